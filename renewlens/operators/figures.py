@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from renewlens.functions import lifecycle
 from renewlens.functions.exact import WEIGHT_TYPE, percent
 from renewlens.functions.ordering import smallest_first
-from renewlens.operators import churn, engagement, marts, revenue
+from renewlens.operators import engagement, marts, revenue
 
 
 def headline(payments: DataFrame, subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
@@ -113,14 +113,14 @@ def _side_by_side(
     return both.select(*columns).orderBy(smallest_first(key))
 
 
+def _cell(figure: str, value: Column | None = None) -> Column:
+    value = F.col(figure) if value is None else value
+    return F.struct(F.lit(figure).alias("figure"), value.cast("double").alias("value"))
+
+
 def _panel(df: DataFrame, panel: str, label: str | None, figures: list[str]) -> DataFrame:
     """Long form of a result: one row per label and figure."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(name).alias("figure"), F.col(name).cast("double").alias("value"))
-            for name in figures
-        ]
-    )
+    cells = F.array(*[_cell(name) for name in figures])
     name = F.col(label) if label else F.lit("all")
     return df.select(name.alias("label"), cells.alias("cells")).select(
         F.lit(panel).alias("panel"), "label", F.inline("cells")
@@ -161,35 +161,65 @@ def plan_page(
     )
 
 
+def _churn_panels(marted: DataFrame) -> DataFrame:
+    """Headline, plan and bucket churn from one pass over subscriptions.
+
+    Rows are counted per plan and bucket first; the three levels are then added up from those
+    few counts.
+    """
+    counts = marted.groupBy("subscription_type", "tenure_bucket").agg(
+        F.count("*").alias("total"), F.count_if("is_churned").alias("churned")
+    )
+    levels = counts.groupingSets(
+        [[], ["subscription_type"], ["tenure_bucket"]], "subscription_type", "tenure_bucket"
+    ).agg(
+        F.grouping("subscription_type").alias("all_plans"),
+        F.grouping("tenure_bucket").alias("all_buckets"),
+        F.sum("total").alias("total_subscriptions"),
+        F.sum("churned").alias("churned_subscriptions"),
+        percent(F.sum("churned"), F.sum("total")).alias("churn_rate_percent"),
+    )
+    by_plan, by_bucket = F.col("all_plans") == 0, F.col("all_buckets") == 0
+    rate = F.col("churn_rate_percent")
+    return (
+        levels.where(~by_bucket | F.col("tenure_bucket").isNotNull())
+        .select(
+            F.when(by_plan, "churn rate by plan")
+            .when(by_bucket, "churn by tenure")
+            .otherwise("headline")
+            .alias("panel"),
+            F.when(by_plan, F.col("subscription_type"))
+            .when(by_bucket, F.col("tenure_bucket"))
+            .otherwise("all")
+            .alias("label"),
+            F.when(by_plan, F.array(_cell("churn_rate", rate)))
+            .when(
+                by_bucket,
+                F.array(
+                    _cell("total_subscriptions"),
+                    _cell("churned_subscriptions"),
+                    _cell("churn_rate_percent"),
+                ),
+            )
+            .otherwise(F.array(_cell("total_subscriptions"), _cell("churn_rate_percent")))
+            .alias("cells"),
+        )
+        .select("panel", "label", F.inline("cells"))
+    )
+
+
 def summary_page(payments: DataFrame, subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
     """Churn severity, revenue share by plan and churn by tenure bucket, in long form."""
-    marted = marts.bi_subscriptions(subscriptions, as_of=as_of)
     return reduce(
         DataFrame.unionByName,
         [
-            _panel(
-                headline(payments, subscriptions, as_of=as_of),
-                "headline",
-                None,
-                ["total_subscriptions", "churn_rate_percent", "total_revenue"],
-            ),
-            _panel(
-                churn.plan_churn_rates(subscriptions, as_of=as_of),
-                "churn rate by plan",
-                "subscription_type",
-                ["churn_rate"],
-            ),
+            _churn_panels(marts.bi_subscriptions(subscriptions, as_of=as_of)),
+            _panel(revenue.total_revenue(payments), "headline", None, ["total_revenue"]),
             _panel(
                 revenue.plan_shares(payments, subscriptions),
                 "revenue by plan",
                 "subscription_type",
                 ["revenue", "revenue_share_percent"],
             ),
-            _panel(
-                marts.churn_by_bucket(marted),
-                "churn by tenure",
-                "tenure_bucket",
-                ["total_subscriptions", "churned_subscriptions", "churn_rate_percent"],
-            ),
         ],
     )

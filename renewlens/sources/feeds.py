@@ -12,6 +12,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from renewlens.functions.parsing import ID_TYPE, Rule, day, day_if_shaped, day_or_open, integer
 
+# Holds a whole line that has the wrong number of fields, and null for every other line.
+BAD_LINE = "bad_line"
+
 
 @dataclass(frozen=True)
 class Feed:
@@ -33,15 +36,21 @@ class Feed:
         """True on a header line that landed as data. A null key is never a header."""
         return F.col(self.key).eqNullSafe(F.lit(self.key))
 
-    def is_malformed(self) -> Column:
-        flags = [rule.malformed(F.col(column)) for column, rule in self.rules.items()]
-        return reduce(lambda left, right: left | right, flags)
-
-    def reasons(self) -> Column:
-        found = [
-            F.when(rule.malformed(F.col(column)), F.lit(f"{column}: not {rule.expects}"))
+    def _flags(self, raw: DataFrame) -> list[tuple[Column, str]]:
+        """Each thing that can be wrong with a row, and how it is reported."""
+        flags = [
+            (rule.malformed(F.col(column)), f"{column}: not {rule.expects}")
             for column, rule in self.rules.items()
         ]
+        if BAD_LINE in raw.columns:
+            flags.insert(0, (F.col(BAD_LINE).isNotNull(), "line: wrong number of fields"))
+        return flags
+
+    def is_malformed(self, raw: DataFrame) -> Column:
+        return reduce(lambda left, right: left | right, [flag for flag, _ in self._flags(raw)])
+
+    def reasons(self, raw: DataFrame) -> Column:
+        found = [F.when(flag, F.lit(reason)) for flag, reason in self._flags(raw)]
         return F.array_compact(F.array(*found))
 
 
@@ -115,16 +124,21 @@ def read_feed(
     With ``header`` the first line of every file is skipped. Quotes inside a field are
     doubled; an empty unquoted field is null and a quoted one is the empty string.
     ``multi_line`` allows line ends inside quotes, at the price that Spark can no longer split
-    a large file. ``strict`` fails on a line with the wrong number of fields.
+    a large file. A line with the wrong number of fields is kept in the column ``bad_line``
+    and rejected later, or fails the job if ``strict``. Columns are not pruned inside the CSV
+    parser, since it counts the fields of a line only when it reads them all.
     """
+    bad_line = [] if strict else [StructField(BAD_LINE, StringType())]
     return (
-        spark.read.schema(feed.schema)
+        spark.read.schema(StructType([*feed.schema.fields, *bad_line]))
         .option("header", header)
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("nullValue", "\u0000")
         .option("emptyValue", "")
         .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BAD_LINE)
+        .option("columnPruning", False)
         .csv(path)
     )
 
@@ -137,7 +151,7 @@ def rejects(raw: DataFrame, feed: Feed) -> DataFrame:
     """Rows that cannot be typed, with every reason. These rows are absent from typed tables."""
     return (
         strip_header(raw, feed)
-        .withColumn("reject_reasons", feed.reasons())
+        .withColumn("reject_reasons", feed.reasons(raw))
         .where(F.size("reject_reasons") > 0)
     )
 
@@ -151,14 +165,14 @@ def accepted(raw: DataFrame, feed: Feed, *, strict: bool = False) -> DataFrame:
     if strict:
         message = F.concat(
             F.lit(f"malformed row in {feed.name}: "),
-            F.array_join(feed.reasons(), "; "),
+            F.array_join(feed.reasons(raw), "; "),
             F.lit(" | "),
             F.to_json(F.struct(*feed.rules)),
         )
         keep = (
             F.when(feed.is_header(), F.lit(False))
-            .when(feed.is_malformed(), F.raise_error(message).cast("boolean"))
+            .when(feed.is_malformed(raw), F.raise_error(message).cast("boolean"))
             .otherwise(F.lit(True))
         )
         return raw.where(keep)
-    return raw.where(~feed.is_header() & ~feed.is_malformed())
+    return raw.where(~feed.is_header() & ~feed.is_malformed(raw))
