@@ -39,13 +39,13 @@ def as_of_day(as_of: dt.date | str | Column | None) -> Column:
 
 
 def is_churned(end: Column, as_of: Column) -> Column:
-    """Ended before the reference day. Never null: an open end is not churned."""
-    return F.coalesce(end < as_of, F.lit(False))
+    """Ended before the reference day. Never null, and a form that Parquet scans can filter by."""
+    return end.isNotNull() & (end < as_of)
 
 
 def is_running(end: Column, as_of: Column) -> Column:
     """Loose activity, the complement of churned: a future start counts as running."""
-    return ~is_churned(end, as_of)
+    return end.isNull() | (end >= as_of)
 
 
 def is_active(start: Column, end: Column, as_of: Column) -> Column:

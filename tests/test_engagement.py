@@ -1,0 +1,109 @@
+import random
+from collections import defaultdict
+from decimal import Decimal
+
+from renewlens.operators import engagement as ops
+from renewlens.operators import typed
+from renewlens.sources import feeds
+
+from .conftest import AS_OF
+from .helpers import day, engagement, half_up, rows, subscriptions, text_frame, users
+
+
+def test_counts_group_by_text_and_type_afterwards(spark):
+    feed = feeds.listening_feed()
+    ids = ["7", "7", "07", "8", None, "x", "user_id"]
+    raw = text_frame(spark, feed, [{"history_id": str(i), "user_id": u} for i, u in enumerate(ids)])
+    header = text_frame(spark, feed, [{column: column for column in feed.columns}])
+    found = rows(typed.engagement_per_user(raw.unionByName(header)))
+    assert sorted(found, key=repr) == sorted([(7, 2), (7, 1), (8, 1), (None, 1)], key=repr)
+    assert feeds.rejects(raw.unionByName(header), feed).count() == 2
+
+
+def test_top_users_and_range(spark):
+    eng = engagement(spark, [(3, 5), (1, 5), (2, 9), (None, 5), (4, 1), (5, 1)])
+    assert rows(ops.top_users(eng, 4)) == [(2, 9), (1, 5), (3, 5), (None, 5)]
+    assert rows(ops.listening_range(eng)) == [(1, 9, half_up("4.33"))]
+    assert rows(ops.listening_range(eng.limit(0))) == [(None, None, None)]
+
+
+def test_average_weighs_a_user_by_subscriptions(spark, today):
+    eng = engagement(spark, [(1, 10), (2, 40)])
+    subs = subscriptions(
+        spark,
+        [
+            (1, 1, "A", None, None), (2, 1, "A", None, None), (3, 2, "A", None, "1999-01-01"),
+            (4, 2, "B", None, None), (5, 9, "B", None, None),
+        ],
+    )
+    people = users(spark, [1, 2, 9])
+    assert rows(ops.engagement_by_plan(eng, people, subs)) == [
+        ("B", 1, half_up(40), 40), ("A", 2, half_up(20), 40),
+    ]
+    assert rows(ops.engagement_by_status(eng, subs, as_of=today)) == [
+        ("Active", 2, half_up(20), 40), ("Churned", 1, half_up(40), 40),
+    ]
+
+
+def test_repeated_users_multiply_rows_but_not_the_distinct_count(spark):
+    eng = engagement(spark, [(1, 10), (1, 20), (2, 100)])
+    subs = subscriptions(spark, [(1, 1, "A", None, None), (2, 2, "A", None, None)])
+    people = users(spark, [1, 1, 2, None])
+    # Rows: user 1 has 2 engagement rows x 2 user rows, user 2 has one row.
+    assert rows(ops.engagement_by_plan(eng, people, subs)) == [("A", 2, half_up(32), 100)]
+    # A user missing from the user table drops out of the plan metric.
+    assert rows(ops.engagement_by_plan(eng, users(spark, [2]), subs)) == [
+        ("A", 1, half_up(100), 100)
+    ]
+
+
+def _summary(joined):
+    found = defaultdict(list)
+    for group, user, listens in joined:
+        found[group].append((user, listens))
+    return {
+        group: (
+            len({user for user, _ in pairs}),
+            half_up(Decimal(sum(n for _, n in pairs)) / len(pairs)),
+            max(n for _, n in pairs),
+        )
+        for group, pairs in found.items()
+    }
+
+
+def test_hot_user_against_brute_force(spark, setting, today):
+    """A third of the rows of every input belong to one user."""
+    rng = random.Random(5)
+    some = [None, *range(40)]
+    eng_rows = [(7, rng.randint(1, 90)) for _ in range(15)]
+    eng_rows += [(rng.choice(some), rng.randint(1, 90)) for _ in range(30)]
+    user_rows = [7] * 20 + [rng.choice(some) for _ in range(40)]
+    ends = [None, "1999-05-05", "2000-01-01", "2003-01-01"]
+    sub_rows = [(i, 7, rng.choice("AB"), None, rng.choice(ends)) for i in range(100)]
+    sub_rows += [
+        (i, rng.choice(some), rng.choice("ABC"), None, rng.choice(ends)) for i in range(100, 300)
+    ]
+
+    def churned(end):
+        return end is not None and day(end) < AS_OF
+
+    by_plan = _summary(
+        (plan, u, n)
+        for u, n in eng_rows if u is not None
+        for other in user_rows if other == u
+        for _, owner, plan, _, _ in sub_rows if owner == u
+    )
+    by_status = _summary(
+        ("Churned" if churned(end) else "Active", u, n)
+        for u, n in eng_rows if u is not None
+        for _, owner, _, _, end in sub_rows if owner == u
+    )
+    eng = engagement(spark, eng_rows).repartition(3)
+    people = users(spark, user_rows).repartition(3)
+    subs = subscriptions(spark, sub_rows).repartition(5)
+    for threshold in ("10m", "-1"):
+        setting(spark__sql__autoBroadcastJoinThreshold=threshold)
+        assert {r[0]: r[1:] for r in rows(ops.engagement_by_plan(eng, people, subs))} == by_plan
+        assert {
+            r[0]: r[1:] for r in rows(ops.engagement_by_status(eng, subs, as_of=today))
+        } == by_status

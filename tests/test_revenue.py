@@ -1,0 +1,131 @@
+import random
+from collections import defaultdict
+from decimal import Decimal
+
+from renewlens.operators import figures, marts, revenue
+
+from .helpers import half_up, payments, rows, subscriptions
+
+
+def _plans(spark, pairs):
+    return subscriptions(spark, [(sub, 1, plan, "1999-01-01", None) for sub, plan in pairs])
+
+
+def test_payments_and_subscriptions_without_partner_drop_out(spark):
+    pay = payments(spark, [(1, 100), (2, 200), (9, 900), (None, 50)])
+    subs = _plans(spark, [(1, "A"), (2, "A"), (3, "B"), (None, "A")])
+    assert rows(revenue.revenue_per_paying_subscription(pay, subs)) == [
+        ("A", Decimal("3.00"), 2, Decimal("1.50"))
+    ]
+    assert rows(marts.bi_payments(pay, subs).select("subscription_id", "subscription_type")) == [
+        (1, "A"), (2, "A"),
+    ]
+    # Totals over payments alone keep them.
+    assert rows(revenue.total_revenue(pay)) == [(Decimal("12.50"),)]
+    assert rows(revenue.paying_subscriptions(pay)) == [(3, Decimal("12.50"))]
+
+
+def test_repeated_subscription_repeats_its_payments(spark):
+    pay = payments(spark, [(1, 100), (1, 50)])
+    subs = _plans(spark, [(1, "A"), (1, "A"), (1, "B")])
+    assert rows(revenue.revenue_by_plan(pay, subs)) == [
+        ("A", Decimal("3.00")), ("B", Decimal("1.50")),
+    ]
+    assert marts.bi_payments(pay, subs).count() == 6
+    assert rows(revenue.revenue_per_paying_subscription(pay, subs)) == [
+        ("A", Decimal("3.00"), 1, Decimal("3.00")),
+        ("B", Decimal("1.50"), 1, Decimal("1.50")),
+    ]
+
+
+def test_plan_without_any_amount_has_null_revenue_and_comes_first(spark):
+    pay = payments(spark, [(1, 100), (2, None), (2, None)])
+    subs = _plans(spark, [(1, "A"), (2, "B")])
+    assert rows(revenue.revenue_by_plan(pay, subs)) == [("B", None), ("A", Decimal("1.00"))]
+    assert rows(revenue.revenue_per_paying_subscription(pay, subs))[0] == ("B", None, 1, None)
+    assert rows(revenue.revenue_share_by_plan(pay, subs)) == [
+        ("B", None, None), ("A", Decimal("1.00"), half_up(100)),
+    ]
+    assert rows(revenue.top_subscriptions(pay, 2)) == [(2, None), (1, Decimal("1.00"))]
+
+
+def test_shares_and_averages_round_half_up(spark):
+    pay = payments(spark, [(1, 1), (2, 7), (3, 2), (4, 1), (5, 2)])
+    subs = _plans(spark, [(1, "A"), (2, "B"), (3, "C"), (4, "C"), (5, "A")])
+    assert rows(revenue.revenue_share_by_plan(pay, subs)) == [
+        ("B", Decimal("0.07"), half_up("53.85")),
+        ("A", Decimal("0.03"), half_up("23.08")),
+        ("C", Decimal("0.03"), half_up("23.08")),
+    ]
+    averages = {r[0]: r[3] for r in rows(revenue.revenue_per_paying_subscription(pay, subs))}
+    assert averages == {"A": Decimal("0.02"), "B": Decimal("0.07"), "C": Decimal("0.02")}
+
+
+def test_top_breaks_ties_by_id_with_null_last(spark):
+    pay = payments(spark, [(None, 5), (3, 5), (2, 5), (1, 4)])
+    assert [r[0] for r in rows(revenue.top_subscriptions(pay, 3))] == [2, 3, None]
+
+
+def _brute_force(pay, subs):
+    """Join every payment to every copy of its subscription, in plain Python."""
+    copies = defaultdict(list)
+    for sub, plan in subs:
+        copies[sub].append(plan)
+    total, ids, joined = defaultdict(int), defaultdict(set), 0
+    for sub, cents in pay:
+        for plan in copies[sub] if sub is not None else ():
+            total[plan] += cents
+            ids[plan].add(sub)
+            joined += 1
+    return total, ids, joined
+
+
+def _skewed(seed=11):
+    """A third of all payments and a third of all subscription rows share one id."""
+    rng = random.Random(seed)
+    pay = [(7, rng.randint(-500, 9000)) for _ in range(1500)]
+    pay += [(rng.choice([None, *range(60)]), rng.randint(1, 9000)) for _ in range(3000)]
+    subs = [(7, rng.choice("AB")) for _ in range(200)]
+    subs += [(rng.choice([None, *range(80)]), rng.choice("ABC")) for _ in range(400)]
+    return pay, subs
+
+
+def test_hot_subscription_against_brute_force(spark, setting):
+    pay, subs = _skewed()
+    total, ids, joined = _brute_force(pay, subs)
+    pay_frame, sub_frame = payments(spark, pay).repartition(5), _plans(spark, subs).repartition(3)
+    whole = sum(total.values())
+    for threshold in ("10m", "-1"):
+        setting(spark__sql__autoBroadcastJoinThreshold=threshold)
+        found = {
+            plan: (cents * 100, n, average)
+            for plan, cents, n, average in rows(
+                revenue.revenue_per_paying_subscription(pay_frame, sub_frame)
+            )
+        }
+        assert found == {
+            plan: (cents, len(ids[plan]), half_up(Decimal(cents) / len(ids[plan]) / 100))
+            for plan, cents in total.items()
+        }
+        shares = {plan: share for plan, _, share in rows(
+            revenue.revenue_share_by_plan(pay_frame, sub_frame))}
+        assert shares == {
+            plan: half_up(Decimal(cents) * 100 / whole) for plan, cents in total.items()
+        }
+        routes = rows(figures.revenue_two_routes(pay_frame, sub_frame))
+        assert [(p, a * 100, d) for p, a, _, d in routes] == [
+            (p, total[p], 0) for p in sorted(total)
+        ]
+        assert marts.bi_payments(pay_frame, sub_frame).count() == joined
+
+
+def test_one_side_of_a_huge_product_does_not_overflow(spark):
+    """Weights beyond 64 bits: revenue times copies is decimal throughout."""
+    from pyspark.sql import functions as F
+
+    pay = payments(spark, [(1, 2147483647)]).select("subscription_id", "amount")
+    per_sub = pay.groupBy("subscription_id").agg(F.sum("amount").alias("subscription_revenue"))
+    found = per_sub.select(
+        F.col("subscription_revenue") * F.lit(10**14).cast(revenue.WEIGHT_TYPE)
+    ).first()[0]
+    assert found == Decimal("21474836.47") * 10**14
