@@ -76,7 +76,7 @@ eng AS (
   FROM (SELECT user_id, count(*) AS n FROM listening_in GROUP BY user_id)
 ),
 life AS (
-  SELECT *, ended AND true AS is_churned,
+  SELECT *,
          CASE WHEN ended THEN end_date - start_date ELSE {_DAY} - start_date END AS days,
          CASE WHEN ended THEN end_date - start_date END AS ended_days
   FROM (SELECT *, end_date IS NOT NULL AND end_date < {_DAY} AS ended FROM sub)
@@ -120,17 +120,16 @@ _BY_PLAN = f"""
          count(DISTINCT sub.subscription_id) AS subscriptions
   FROM {_JOINED} GROUP BY sub.subscription_type"""
 _PLAN_LISTENS = f"""
-  SELECT s.subscription_type, count(DISTINCT e.user_id) AS users_with_listens,
-         {_rounded('sum(e.total_listens)', 'count(*)')} AS avg_listens_per_user,
-         max(e.total_listens) AS max_listens
-  FROM eng e JOIN person u ON u.user_id = e.user_id JOIN sub s ON s.user_id = u.user_id
-  GROUP BY s.subscription_type"""
+  SELECT sub.subscription_type, count(DISTINCT user_id) AS users_with_listens,
+         {_rounded('sum(total_listens)', 'count(*)')} AS avg_listens_per_user,
+         max(total_listens) AS max_listens
+  FROM eng JOIN person USING (user_id) JOIN sub USING (user_id) GROUP BY sub.subscription_type"""
 _STATUS_LISTENS = f"""
-  SELECT if(s.ended, 'Churned', 'Active') AS subscription_status,
-         count(DISTINCT e.user_id) AS users,
-         {_rounded('sum(e.total_listens)', 'count(*)')} AS avg_listens,
-         max(e.total_listens) AS max_listens
-  FROM eng e JOIN life s ON s.user_id = e.user_id GROUP BY 1"""
+  SELECT if(ended, 'Churned', 'Active') AS subscription_status,
+         count(DISTINCT user_id) AS users,
+         {_rounded('sum(total_listens)', 'count(*)')} AS avg_listens,
+         max(total_listens) AS max_listens
+  FROM eng JOIN life USING (user_id) GROUP BY ended"""
 _HEADLINE = f"""
   SELECT (SELECT count(*) FROM life) AS total_subscriptions,
          (SELECT {_CHURN} FROM life) AS churn_rate_percent,
@@ -174,8 +173,8 @@ _BODIES = {
     "v4_engagement_per_user": "SELECT * FROM eng",
     "v5_bi_subscriptions": f"""
       SELECT subscription_id, user_id, subscription_type, start_date, end_date,
-             start_date <= {_DAY} AND (end_date IS NULL OR end_date >= {_DAY}) AS is_active,
-             is_churned, days::int AS tenure_days, tenure_bucket
+             start_date <= {_DAY} AND NOT ended AS is_active, ended AS is_churned,
+             days::int AS tenure_days, tenure_bucket
       FROM ({_MART_BUCKETED})""",
     "v6_bi_payments": f"""
       SELECT payment_id, subscription_id, pay.user_id, sub.subscription_type, amount_cents,

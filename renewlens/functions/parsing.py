@@ -39,11 +39,13 @@ class Rule:
     exempt: Callable[[Column], Column] | None = None
 
     def malformed(self, text: Column) -> Column:
-        lost = text.isNotNull() & self.typed(text).isNull()
+        """The parse comes first: on a good value it alone decides, and it runs once."""
+        lost = self.typed(text).isNull() & text.isNotNull()
         return lost if self.exempt is None else lost & ~self.exempt(text)
 
 
 def _day(text: Column) -> Column:
+    """Parsing passes through the session time zone; in UTC every calendar day exists."""
     return F.try_to_date(text, DAY_FORMAT)
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
 from renewlens.operators import checks, churn, engagement, figures, revenue
 from renewlens.plans.warehouse import Landing, Warehouse
+from renewlens.sources import feeds
 from renewlens.sources.standins import OFFSET
 
 Report = Callable[[Warehouse], DataFrame]
@@ -82,21 +84,23 @@ FIGURES: dict[str, Report] = {
 
 
 def _row_counts(landing: Landing, w: Warehouse) -> DataFrame:
-    clean = landing.stripped()
-    counted = {
-        "users_raw": clean.users,
-        "dim_users": w.dim_users,
-        "subscriptions_raw": clean.subscriptions,
-        "fct_subscriptions": w.fct_subscriptions,
-        "payments_raw": clean.payments,
-        "fct_payments": w.fct_payments,
-        "listening_raw": clean.listening,
-        "bi_subscriptions": w.bi_subscriptions,
-        "bi_engagement": w.bi_engagement,
-    }
-    counts = {name: checks.row_count(df) for name, df in counted.items()}
-    counts["bi_payments"] = checks.joined_payment_count(w.fct_payments, w.fct_subscriptions)
-    return checks.combine_counts(counts)
+    """Rows of each feed, typed table and row-level mart; one scan per feed and per join side."""
+    joined = checks.joined_payment_count(w.fct_payments, w.fct_subscriptions)
+    counts = [
+        checks.feed_counts(landing.users, feeds.users_feed(), "users_raw", "dim_users"),
+        checks.feed_counts(
+            landing.subscriptions,
+            feeds.subscriptions_feed(),
+            "subscriptions_raw",
+            "fct_subscriptions",
+            "bi_subscriptions",
+        ),
+        checks.feed_counts(landing.payments, feeds.payments_feed(), "payments_raw", "fct_payments"),
+        checks.feed_counts(landing.listening, feeds.listening_feed(), "listening_raw"),
+        checks.label_count(checks.row_count(w.bi_engagement), "bi_engagement"),
+        checks.label_count(joined, "bi_payments"),
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _reject_counts(landing: Landing, w: Warehouse) -> DataFrame:

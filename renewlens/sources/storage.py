@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get(_SHARED_FOLDER_SETTING, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {_SHARED_FOLDER_SETTING} to a folder every machine can reach")
         root = tempfile.mkdtemp(prefix="renewlens-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

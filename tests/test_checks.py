@@ -1,4 +1,4 @@
-from renewlens.operators import checks, churn, figures, marts
+from renewlens.operators import checks, churn, figures, marts, typed
 from renewlens.sources import feeds
 
 from .helpers import payments, rows, subscriptions, text_frame
@@ -29,6 +29,19 @@ def test_row_counts(spark):
     assert rows(checks.row_count(spark.range(4), "users_rows")) == [(4,)]
 
 
+def test_feed_counts_match_the_tables(spark):
+    feed = feeds.users_feed()
+    raw = text_frame(
+        spark, feed, [{"user_id": "user_id"}, {"user_id": "7"}, {"user_id": "x"}, {"user_id": None}]
+    )
+    found = checks.feed_counts(raw, feed, "users_raw", "dim_users", "again")
+    assert rows(found) == [
+        ("users_raw", feeds.strip_header(raw, feed).count()),
+        ("dim_users", typed.dim_users(raw).count()),
+        ("again", 2),
+    ] == [("users_raw", 3), ("dim_users", 2), ("again", 2)]
+
+
 def test_joined_payment_count_matches_the_mart(spark):
     pay = payments(spark, [(1, 1), (1, 2), (2, 3), (None, 4), (8, 5)])
     subs = subscriptions(

@@ -165,6 +165,19 @@ def test_ids_are_wide_and_can_be_narrowed(spark):
     assert feeds.rejects(raw, feed).count() == 1
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Kolkata"])
+def test_dates_do_not_depend_on_the_time_zone(spark, setting, zone):
+    """A day whose midnight a zone skipped (15 October 2017 in Sao Paulo) is read like any other."""
+    setting(spark__sql__session__timeZone=zone)
+    raw = text_frame(
+        spark,
+        feeds.subscriptions_feed(),
+        [_subscription(start_date="15-10-2017", end_date="30-12-2011")],
+    )
+    (row,) = typed.fct_subscriptions(raw).collect()
+    assert (row.start_date, row.end_date) == (dt.date(2017, 10, 15), dt.date(2011, 12, 30))
+
+
 def test_strict_fails_on_a_malformed_row_only(spark):
     feed = feeds.subscriptions_feed()
     header = {column: column for column in feed.columns}
