@@ -4,27 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution: right-sized shuffle partitions, split hot ones, switch to broadcast only
-# when the measured size of a side allows it.
-ADAPTIVE = {
+# Adaptive execution merges small shuffle partitions, splits hot ones in joins and turns a join
+# into a broadcast only where the measured size of a side allows it. Dates are read in UTC.
+BASE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
 }
-_PARTITION_BYTES = 128 * 1024 * 1024
-_MOST_PARTITIONS = 200_000
+_MIB = 1024 * 1024
+_MOST_SCAN_TASKS = 100_000
+_MOST_PARTITIONS = 50_000
 
 
 def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
-    """Settings for a given input size.
+    """Settings for a given size of input files.
 
-    Adaptive execution only merges shuffle partitions, it never adds any, so a large input
-    needs enough of them to begin with: one per 128 MiB of input, at least one per core.
+    Adaptive execution never adds shuffle partitions, so there must be enough to begin with:
+    one per GiB of input, since pruned columns and partial aggregates leave an eighth of the
+    input or less to shuffle, about 128 MiB each. Scan tasks grow from 128 MiB of file to 1 GiB,
+    as a report reads two or three columns of it. Both numbers are bounded, because a shuffle
+    moves as many blocks as their product.
     """
-    partitions = min(max(cores, input_bytes // _PARTITION_BYTES), _MOST_PARTITIONS)
-    return {**ADAPTIVE, "spark.sql.shuffle.partitions": str(partitions)}
+    partitions = min(max(cores, input_bytes // (1024 * _MIB)), _MOST_PARTITIONS)
+    scan = min(max(128 * _MIB, input_bytes // _MOST_SCAN_TASKS), 1024 * _MIB)
+    return {
+        **BASE,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(scan),
+    }
 
 
 def apply(spark: SparkSession, settings: dict[str, str]) -> None:
@@ -40,7 +49,7 @@ def local_session(app: str, cores: int | str = "*", **extra: str) -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
-    for key, value in {**ADAPTIVE, "spark.sql.shuffle.partitions": "8", **extra}.items():
+    for key, value in {**BASE, "spark.sql.shuffle.partitions": "8", **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -1,0 +1,59 @@
+import pytest
+
+from renewlens import __main__ as command
+from renewlens.plans import job
+from renewlens.plans.reports import FIGURES, METRICS
+from renewlens.plans.warehouse import MARTS, TYPED, Landing, Warehouse
+from renewlens.sources import feeds
+from renewlens.sources.storage import export_csv, shared_folder
+
+from .conftest import AS_OF, SMALL
+from .helpers import rows, text_frame
+
+
+def _with_bad_user(spark):
+    landing = Landing.from_standins(spark, SMALL)
+    bad = text_frame(spark, feeds.users_feed(), [{"user_id": "x7", "username": "odd"}])
+    return Landing(
+        landing.users.unionByName(bad), landing.subscriptions, landing.payments, landing.listening
+    )
+
+
+def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
+    landing, out = _with_bad_user(spark), str(tmp_path / "out")
+    counts = job.run(spark, landing, out, as_of=AS_OF)
+    expected = Warehouse.from_landing(landing, as_of=AS_OF)
+    assert counts["users"] == {"landed": expected.dim_users.count() + 1, "rejected": 1}
+    assert counts["payments"]["rejected"] == 0
+    assert sorted(path.name for path in (tmp_path / "out/typed").iterdir()) == sorted(TYPED)
+    assert sorted(path.name for path in (tmp_path / "out/marts").iterdir()) == sorted(MARTS)
+    assert [path.name for path in (tmp_path / "out/rejects").iterdir()] == ["users"]
+    assert {path.name for path in (tmp_path / "out/reports").iterdir()} == {*METRICS, *FIGURES}
+    (reject,) = spark.read.parquet(f"{out}/rejects/users").collect()
+    assert reject.username == "odd"
+    mart = expected.bi_churn_tenure
+    exported = spark.read.schema(mart.schema).option("header", True)
+    assert rows(exported.csv(f"{out}/export/bi_churn_tenure")) == rows(mart)
+    plans = METRICS["m10_revenue_by_plan"](expected)
+    report = spark.read.schema(plans.schema).option("header", True)
+    assert sorted(rows(report.csv(f"{out}/reports/m10_revenue_by_plan"))) == sorted(rows(plans))
+
+
+def test_strict_run_stops_at_a_malformed_row(spark, tmp_path):
+    with pytest.raises(Exception, match="malformed row in users: user_id"):
+        job.run(spark, _with_bad_user(spark), str(tmp_path / "out"), as_of=AS_OF, strict=True)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    landing, paths = Landing.from_standins(spark, SMALL), []
+    for name in ("users", "subscriptions", "payments", "listening"):
+        folder = shared_folder(spark, name)
+        export_csv(getattr(landing, name), folder, quote_all=False)
+        paths += [f"--{name}", folder]
+    out = str(tmp_path / "out")
+    command.main([*paths, "--out", out, "--as-of", str(AS_OF), "--report", "m01_active_subscriptions"])
+    assert "0 rejected" in capsys.readouterr().out
+    found = spark.read.option("header", True).csv(f"{out}/reports/m01_active_subscriptions")
+    active = METRICS["m01_active_subscriptions"](Warehouse.from_landing(landing, as_of=AS_OF))
+    assert [int(row[0]) for row in rows(found)] == [row[0] for row in rows(active)]
+    assert [path.name for path in (tmp_path / "out/reports").iterdir()] == ["m01_active_subscriptions"]

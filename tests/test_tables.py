@@ -163,9 +163,11 @@ def test_shared_folder_comes_from_the_session(spark, setting):
     assert storage.shared_folder(spark, "x").startswith(f"{root}/x-")
 
 
-def test_shuffle_partitions_grow_with_the_input():
-    terabyte = 1024**4
-    key = "spark.sql.shuffle.partitions"
-    assert settings_for(0, 8)[key] == "8"
-    assert settings_for(terabyte, 100)[key] == "8192"
-    assert int(settings_for(100 * terabyte, 4000)[key]) == 200_000
+def test_tasks_and_shuffle_partitions_grow_with_the_input_up_to_a_bound():
+    gib = 1024**3
+    key, scan = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
+    small, large, huge = (settings_for(size * gib, 100) for size in (0, 1024, 100 * 1024))
+    assert (small[key], small[scan]) == ("100", str(gib // 8))
+    assert (large[key], large[scan]) == ("1024", str(gib // 8))
+    assert huge[key] == "50000"
+    assert gib // 8 < int(huge[scan]) <= gib
