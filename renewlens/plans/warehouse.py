@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -13,16 +14,42 @@ from renewlens.operators import marts, typed
 from renewlens.sources import feeds, standins, storage, tables
 
 AsOf = dt.date | str | None
+Frame = DataFrame | Callable[[], DataFrame]
+
+TYPED = ("dim_users", "fct_subscriptions", "fct_payments", "engagement_per_user")
+MARTS = ("bi_subscriptions", "bi_payments", "bi_engagement", "bi_churn_tenure")
+
+
+def _made(given: Frame) -> DataFrame:
+    return given if isinstance(given, DataFrame) else given()
 
 
-@dataclass(frozen=True)
 class Landing:
-    """The four landed text feeds."""
+    """The four landed text feeds. A feed given as a function is read when it is first used."""
+
+    def __init__(self, users: Frame, subscriptions: Frame, payments: Frame, listening: Frame):
+        self._given = {
+            "users": users,
+            "subscriptions": subscriptions,
+            "payments": payments,
+            "listening": listening,
+        }
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return _made(self._given["users"])
+
+    @cached_property
+    def subscriptions(self) -> DataFrame:
+        return _made(self._given["subscriptions"])
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return _made(self._given["payments"])
 
-    users: DataFrame
-    subscriptions: DataFrame
-    payments: DataFrame
-    listening: DataFrame
+    @cached_property
+    def listening(self) -> DataFrame:
+        return _made(self._given["listening"])
 
     @classmethod
     def from_csv(
@@ -35,8 +62,8 @@ class Landing:
         listening: str,
         strict: bool = False,
     ) -> Landing:
-        def land(path: str, feed: feeds.Feed) -> DataFrame:
-            return feeds.read_feed(spark, path, feed, strict=strict)
+        def land(path: str, feed: feeds.Feed) -> Frame:
+            return lambda: feeds.read_feed(spark, path, feed, strict=strict)
 
         return cls(
             land(users, feeds.users_feed()),
@@ -48,19 +75,19 @@ class Landing:
     @classmethod
     def from_standins(cls, spark: SparkSession, folder: str, *, payers: bool = True) -> Landing:
         return cls(
-            standins.users_raw(spark, folder),
-            standins.subscriptions_raw(spark, folder),
-            standins.payments_raw(spark, folder, payers=payers),
-            standins.listening_raw(spark, folder),
+            lambda: standins.users_raw(spark, folder),
+            lambda: standins.subscriptions_raw(spark, folder),
+            lambda: standins.payments_raw(spark, folder, payers=payers),
+            lambda: standins.listening_raw(spark, folder),
         )
 
     def stripped(self) -> Landing:
         """The feeds without header lines that landed as data."""
         return Landing(
-            feeds.strip_header(self.users, feeds.users_feed()),
-            feeds.strip_header(self.subscriptions, feeds.subscriptions_feed()),
-            feeds.strip_header(self.payments, feeds.payments_feed()),
-            feeds.strip_header(self.listening, feeds.listening_feed()),
+            lambda: feeds.strip_header(self.users, feeds.users_feed()),
+            lambda: feeds.strip_header(self.subscriptions, feeds.subscriptions_feed()),
+            lambda: feeds.strip_header(self.payments, feeds.payments_feed()),
+            lambda: feeds.strip_header(self.listening, feeds.listening_feed()),
         )
 
     def rejects(self, id_type: str = ID_TYPE) -> dict[str, DataFrame]:
@@ -73,15 +100,41 @@ class Landing:
         }
 
 
-@dataclass(frozen=True)
 class Warehouse:
     """Typed tables, with the marts derived from them as of one day."""
 
-    dim_users: DataFrame
-    fct_subscriptions: DataFrame
-    fct_payments: DataFrame
-    engagement_per_user: DataFrame
-    as_of: Column
+    def __init__(
+        self,
+        dim_users: Frame,
+        fct_subscriptions: Frame,
+        fct_payments: Frame,
+        engagement_per_user: Frame,
+        as_of: AsOf | Column,
+    ):
+        self._given = dict(
+            zip(
+                TYPED,
+                (dim_users, fct_subscriptions, fct_payments, engagement_per_user),
+                strict=True,
+            )
+        )
+        self.as_of = as_of_day(as_of)
+
+    @cached_property
+    def dim_users(self) -> DataFrame:
+        return _made(self._given["dim_users"])
+
+    @cached_property
+    def fct_subscriptions(self) -> DataFrame:
+        return _made(self._given["fct_subscriptions"])
+
+    @cached_property
+    def fct_payments(self) -> DataFrame:
+        return _made(self._given["fct_payments"])
+
+    @cached_property
+    def engagement_per_user(self) -> DataFrame:
+        return _made(self._given["engagement_per_user"])
 
     @classmethod
     def from_landing(
@@ -90,20 +143,20 @@ class Warehouse:
         """Type the feeds on every read. ``strict`` fails on a malformed row."""
         how = {"id_type": id_type, "strict": strict}
         return cls(
-            typed.dim_users(landing.users, **how),
-            typed.fct_subscriptions(landing.subscriptions, **how),
-            typed.fct_payments(landing.payments, **how),
-            typed.engagement_per_user(landing.listening, **how),
-            as_of_day(as_of),
+            lambda: typed.dim_users(landing.users, **how),
+            lambda: typed.fct_subscriptions(landing.subscriptions, **how),
+            lambda: typed.fct_payments(landing.payments, **how),
+            lambda: typed.engagement_per_user(landing.listening, **how),
+            as_of,
         )
 
     @classmethod
     def from_tables(cls, spark: SparkSession, namespace: str, *, as_of: AsOf) -> Warehouse:
-        return cls(*(spark.table(f"{namespace}.{name}") for name in TYPED), as_of_day(as_of))
+        return cls(*(partial(spark.table, f"{namespace}.{name}") for name in TYPED), as_of)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str, *, as_of: AsOf) -> Warehouse:
-        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in TYPED), as_of_day(as_of))
+        return cls(*(partial(spark.read.parquet, f"{folder}/{name}") for name in TYPED), as_of)
 
     def typed_tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TYPED}
@@ -138,6 +191,3 @@ class Warehouse:
         """All eight relations by name, for example to publish them as views."""
         return {**self.typed_tables(), **{name: getattr(self, name) for name in MARTS}}
 
-
-TYPED = ("dim_users", "fct_subscriptions", "fct_payments", "engagement_per_user")
-MARTS = ("bi_subscriptions", "bi_payments", "bi_engagement", "bi_churn_tenure")
