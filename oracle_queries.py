@@ -43,7 +43,9 @@ listening_raw AS (
          event_type AS song_id, strftime(ts, '%d-%m-%Y') AS listen_date, '33:25.6' AS created_at
   FROM events
   UNION ALL SELECT 'row_id','history_id','user_id','song_id','listen_date','created_at'
-),
+)"""
+
+_CLEAN = """
 users_in AS (FROM users_raw WHERE user_id IS DISTINCT FROM 'user_id'),
 subscriptions_in AS (FROM subscriptions_raw WHERE subscription_id IS DISTINCT FROM 'subscription_id'),
 payments_in AS (FROM payments_raw WHERE payment_id IS DISTINCT FROM 'payment_id'),
@@ -224,9 +226,10 @@ _BODIES = {
     "m14_top_subscriptions": """
       SELECT subscription_id, sum(amount_cents) / 100.0 AS subscription_revenue
       FROM pay GROUP BY subscription_id
-      ORDER BY sum(amount_cents) DESC, subscription_id LIMIT 10""",
+      ORDER BY sum(amount_cents) DESC NULLS FIRST, subscription_id NULLS LAST LIMIT 10""",
     "m15_top_users": """
-      SELECT user_id, total_listens FROM eng ORDER BY total_listens DESC, user_id LIMIT 10""",
+      SELECT user_id, total_listens FROM eng
+      ORDER BY total_listens DESC, user_id NULLS LAST LIMIT 10""",
     "m16_listening_range": f"""
       SELECT min(total_listens) AS min_listens, max(total_listens) AS max_listens,
              {_rounded('sum(total_listens)', 'count(*)')} AS avg_listens
@@ -360,4 +363,10 @@ _BODIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"WITH{_LANDED},{_TYPED}\n{body}" for name, body in _BODIES.items()}
+    """SQL over the star-schema tables."""
+    return {name: f"WITH{_LANDED},{_CLEAN},{_TYPED}\n{body}" for name, body in _BODIES.items()}
+
+
+def sql_over_feeds() -> dict[str, str]:
+    """The same over four tables users_raw, subscriptions_raw, payments_raw and listening_raw."""
+    return {name: f"WITH{_CLEAN},{_TYPED}\n{body}" for name, body in _BODIES.items()}

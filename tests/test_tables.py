@@ -32,8 +32,8 @@ def warehouse(landing):
 
 @pytest.fixture(scope="module")
 def stored(spark, warehouse):
-    warehouse.save_tables(spark, "sub_metrics_saved")
-    return Warehouse.from_tables(spark, "sub_metrics_saved", as_of=AS_OF)
+    warehouse.save_tables(spark, "saved_tables")
+    return Warehouse.from_tables(spark, "saved_tables", as_of=AS_OF)
 
 
 def test_namespace_life(spark):
