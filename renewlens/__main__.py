@@ -17,6 +17,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--out", required=True, help="folder for all results")
     parser.add_argument("--as-of", help="reference day, YYYY-MM-DD; today if left out")
     parser.add_argument("--strict", action="store_true", help="fail on the first malformed row")
+    parser.add_argument("--overwrite", action="store_true", help="replace earlier results")
     parser.add_argument("--report", action="append", help="only this report; may be repeated")
     parser.add_argument("--input-gib", type=int, default=0, help="size of the feeds, for tuning")
     chosen = parser.parse_args(arguments)
@@ -39,6 +40,7 @@ def main(arguments: list[str] | None = None) -> None:
         as_of=chosen.as_of,
         strict=chosen.strict,
         reports=chosen.report,
+        mode="overwrite" if chosen.overwrite else "errorifexists",
     )
     for name, found in counts.items():
         print(f"{name}: {found['landed']} rows landed, {found['rejected']} rejected")

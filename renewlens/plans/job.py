@@ -3,7 +3,7 @@
 Everything is written below one folder that all machines can reach:
 
     typed/<table>      typed tables as Parquet
-    rejects/<feed>     malformed rows with their reasons, for feeds that have any
+    rejects/<feed>     malformed rows with their reasons, mostly empty
     marts/<mart>       reporting tables as Parquet
     reports/<report>   metrics and figures as CSV
     export/bi_churn_tenure   the churn mart as CSV
@@ -16,10 +16,19 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from renewlens.operators import typed
 from renewlens.plans.reports import FIGURES, METRICS
 from renewlens.plans.warehouse import MARTS, AsOf, Landing, Warehouse
 from renewlens.sources import feeds, storage
 
+# Feed: its typed table, how to build it, and how the feed is declared.
+_TABLES = {
+    "users": ("dim_users", typed.dim_users, feeds.users_feed()),
+    "subscriptions": ("fct_subscriptions", typed.fct_subscriptions, feeds.subscriptions_feed()),
+    "payments": ("fct_payments", typed.fct_payments, feeds.payments_feed()),
+    "listening": ("engagement_per_user", typed.engagement_per_user, feeds.listening_feed()),
+}
+
 
 def _watched(raw: DataFrame, feed: feeds.Feed, watch: Observation) -> DataFrame:
     """Count header-free and malformed rows while the frame is read for something else."""
@@ -32,48 +41,49 @@ def _watched(raw: DataFrame, feed: feeds.Feed, watch: Observation) -> DataFrame:
 
 
 def set_up(
-    landing: Landing, folder: str, *, as_of: AsOf, strict: bool = False
+    landing: Landing,
+    folder: str,
+    *,
+    strict: bool = False,
+    mode: str = "errorifexists",
 ) -> dict[str, dict[str, int]]:
     """Type the feeds once and set malformed rows aside; returns row counts per feed.
 
-    The feeds are read a second time for the rejects only if the first reading met some. The
+    A feed is read a second time for its rejects only if the first reading met some. The
     counts are for information: a task that Spark runs again may be counted again.
     """
-    described = {
-        "users": feeds.users_feed(),
-        "subscriptions": feeds.subscriptions_feed(),
-        "payments": feeds.payments_feed(),
-        "listening": feeds.listening_feed(),
-    }
-    watches = {name: Observation(name) for name in described}
-    watched = Landing(
-        **{
-            name: _watched(getattr(landing, name), feed, watches[name])
-            for name, feed in described.items()
-        }
-    )
-    Warehouse.from_landing(watched, as_of=as_of, strict=strict).save_parquet(f"{folder}/typed")
-    counts = {name: watch.get for name, watch in watches.items()}
-    for name, rejected in landing.rejects().items():
-        if counts[name]["rejected"]:
-            storage.export_parquet(rejected, f"{folder}/rejects/{name}")
+    counts = {}
+    for name, (table, build, feed) in _TABLES.items():
+        raw = getattr(landing, name)
+        watch = Observation()
+        typed_table = build(_watched(raw, feed, watch), strict=strict)
+        storage.export_parquet(typed_table, f"{folder}/typed/{table}", mode=mode)
+        counts[name] = watch.get
+        rejected = feeds.rejects(raw, feed)
+        kept = rejected if counts[name]["rejected"] else rejected.limit(0)
+        storage.export_parquet(kept, f"{folder}/rejects/{name}", mode=mode)
     return counts
 
 
-def write_marts(warehouse: Warehouse, folder: str) -> None:
+def write_marts(warehouse: Warehouse, folder: str, *, mode: str = "errorifexists") -> None:
     for name in MARTS:
-        storage.export_parquet(getattr(warehouse, name), f"{folder}/marts/{name}")
+        storage.export_parquet(getattr(warehouse, name), f"{folder}/marts/{name}", mode=mode)
     # At most five buckets exist, so one file holds them.
-    storage.export_csv(warehouse.bi_churn_tenure.coalesce(1), f"{folder}/export/bi_churn_tenure")
+    churn = warehouse.bi_churn_tenure.coalesce(1)
+    storage.export_csv(churn, f"{folder}/export/bi_churn_tenure", mode=mode)
 
 
 def write_reports(
-    warehouse: Warehouse, folder: str, names: Iterable[str] | None = None
+    warehouse: Warehouse,
+    folder: str,
+    names: Iterable[str] | None = None,
+    *,
+    mode: str = "errorifexists",
 ) -> None:
     """Write the named reports, or all metrics and figures, as CSV."""
     known = {**METRICS, **FIGURES}
     for name in known if names is None else names:
-        storage.export_csv(known[name](warehouse), f"{folder}/reports/{name}")
+        storage.export_csv(known[name](warehouse), f"{folder}/reports/{name}", mode=mode)
 
 
 def run(
@@ -84,12 +94,13 @@ def run(
     as_of: AsOf,
     strict: bool = False,
     reports: Iterable[str] | None = None,
+    mode: str = "errorifexists",
 ) -> dict[str, dict[str, int]]:
     """Set up, then write marts and reports from the stored tables, all as of one day."""
     if as_of is None:
         as_of = spark.range(1).select(F.current_date()).first()[0]
-    counts = set_up(landing, folder, as_of=as_of, strict=strict)
+    counts = set_up(landing, folder, strict=strict, mode=mode)
     warehouse = Warehouse.from_parquet(spark, f"{folder}/typed", as_of=as_of)
-    write_marts(warehouse, folder)
-    write_reports(warehouse, folder, reports)
+    write_marts(warehouse, folder, mode=mode)
+    write_reports(warehouse, folder, reports, mode=mode)
     return counts

@@ -167,9 +167,9 @@ class Warehouse:
         for name, df in self.typed_tables().items():
             tables.save_table(df, f"{namespace}.{name}")
 
-    def save_parquet(self, folder: str) -> None:
+    def save_parquet(self, folder: str, *, mode: str = "errorifexists") -> None:
         for name, df in self.typed_tables().items():
-            storage.export_parquet(df, f"{folder}/{name}")
+            storage.export_parquet(df, f"{folder}/{name}", mode=mode)
 
     @property
     def bi_subscriptions(self) -> DataFrame:

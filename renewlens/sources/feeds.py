@@ -149,10 +149,8 @@ def strip_header(raw: DataFrame, feed: Feed) -> DataFrame:
 
 def rejects(raw: DataFrame, feed: Feed) -> DataFrame:
     """Rows that cannot be typed, with every reason. These rows are absent from typed tables."""
-    return (
-        strip_header(raw, feed)
-        .withColumn("reject_reasons", feed.reasons(raw))
-        .where(F.size("reject_reasons") > 0)
+    return raw.where(~feed.is_header() & feed.is_malformed(raw)).withColumn(
+        "reject_reasons", feed.reasons(raw)
     )
 
 

@@ -27,7 +27,11 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
     assert counts["payments"]["rejected"] == 0
     assert sorted(path.name for path in (tmp_path / "out/typed").iterdir()) == sorted(TYPED)
     assert sorted(path.name for path in (tmp_path / "out/marts").iterdir()) == sorted(MARTS)
-    assert [path.name for path in (tmp_path / "out/rejects").iterdir()] == ["users"]
+    rejects = {
+        name: spark.read.parquet(f"{out}/rejects/{name}").count()
+        for name in ("users", "subscriptions", "payments", "listening")
+    }
+    assert rejects == {"users": 1, "subscriptions": 0, "payments": 0, "listening": 0}
     assert {path.name for path in (tmp_path / "out/reports").iterdir()} == {*METRICS, *FIGURES}
     (reject,) = spark.read.parquet(f"{out}/rejects/users").collect()
     assert reject.username == "odd"
@@ -39,6 +43,16 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
     assert sorted(rows(report.csv(f"{out}/reports/m10_revenue_by_plan"))) == sorted(rows(plans))
 
 
+def test_a_second_run_must_be_told_to_overwrite(spark, tmp_path):
+    out, names = str(tmp_path / "out"), ["m01_active_subscriptions"]
+    job.run(spark, _with_bad_user(spark), out, as_of=AS_OF, reports=names)
+    clean = Landing.from_standins(spark, SMALL)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        job.run(spark, clean, out, as_of=AS_OF, reports=names)
+    job.run(spark, clean, out, as_of=AS_OF, reports=names, mode="overwrite")
+    assert spark.read.parquet(f"{out}/rejects/users").count() == 0
+
+
 def test_strict_run_stops_at_a_malformed_row(spark, tmp_path):
     with pytest.raises(Exception, match="malformed row in users: user_id"):
         job.run(spark, _with_bad_user(spark), str(tmp_path / "out"), as_of=AS_OF, strict=True)
