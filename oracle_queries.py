@@ -253,8 +253,8 @@ _BODIES = {
                 "avg_revenue_per_subscription",
             ),
             _panel(
-                "average engagement by plan", "subscription_type", _PLAN_LISTENS,
-                "avg_listens_per_user",
+                "engagement by plan", "subscription_type", _PLAN_LISTENS,
+                "users_with_listens", "avg_listens_per_user", "max_listens",
             ),
             _panel(
                 "engagement by status", "subscription_status", _STATUS_LISTENS,
@@ -339,6 +339,25 @@ _BODIES = {
       SELECT count(*) AS looks_like_date FROM payments_in
       WHERE regexp_matches(created_at, '^[0-9]{2}-[0-9]{2}-[0-9]{4}')""",
     "q10_churn_mart_display": _MART,
+    "t01_saved_table_counts": _counted(
+        ("dim_users", "person"),
+        ("fct_subscriptions", "sub"),
+        ("fct_payments", "pay"),
+        ("engagement_per_user", "eng"),
+        ("users_draft", "person WHERE false"),
+    ),
+    "t07_status_over_views": f"""
+      SELECT tenure_bucket, start_date <= {_DAY} AND NOT ended AS is_active, ended AS is_churned,
+             count(*) AS subscriptions
+      FROM ({_MART_BUCKETED}) GROUP BY ALL""",
+    "r2_rejects_of_swapped_dates": """
+      SELECT row_id, subscription_id, swapped AS start_date, end_date,
+             'start_date: not a day-month-year date' AS reasons
+      FROM (
+        SELECT *, strftime(strptime(start_date, '%d-%m-%Y'), '%m-%d-%Y') AS swapped
+        FROM subscriptions_in
+      )
+      WHERE swapped IS NOT NULL AND try_strptime(swapped, '%d-%m-%Y') IS NULL""",
     "r1_reject_counts": """
       SELECT 'users' AS relation, count(*) AS rows FROM users_in
       WHERE user_id IS NOT NULL AND TRY_CAST(user_id AS bigint) IS NULL

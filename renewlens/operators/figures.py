@@ -147,9 +147,9 @@ def plan_page(
             ),
             _panel(
                 engagement.plan_engagement(engagement_rows, users, subscriptions),
-                "average engagement by plan",
+                "engagement by plan",
                 "subscription_type",
-                ["avg_listens_per_user"],
+                ["users_with_listens", "avg_listens_per_user", "max_listens"],
             ),
             _panel(
                 engagement.status_engagement(engagement_rows, subscriptions, as_of=as_of),

@@ -60,10 +60,12 @@ class Landing:
         subscriptions: str,
         payments: str,
         listening: str,
-        strict: bool = False,
+        **reading: bool,
     ) -> Landing:
+        """Read four sets of CSV files; ``reading`` holds options of ``feeds.read_feed``."""
+
         def land(path: str, feed: feeds.Feed) -> Frame:
-            return lambda: feeds.read_feed(spark, path, feed, strict=strict)
+            return lambda: feeds.read_feed(spark, path, feed, **reading)
 
         return cls(
             land(users, feeds.users_feed()),

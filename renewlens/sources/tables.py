@@ -11,8 +11,10 @@ def _quoted(name: str) -> str:
     return ".".join(f"`{part}`" for part in name.split("."))
 
 
-def create_namespace(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(name)}")
+def create_namespace(spark: SparkSession, name: str, folder: str | None = None) -> None:
+    """Create a namespace if it is missing, with its tables below a folder if one is named."""
+    place = f" LOCATION '{folder}'" if folder else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(name)}{place}")
 
 
 def use_namespace(spark: SparkSession, name: str) -> None:
