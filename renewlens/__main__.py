@@ -43,7 +43,7 @@ def main(arguments: list[str] | None = None) -> None:
         mode="overwrite" if chosen.overwrite else "errorifexists",
     )
     for name, found in counts.items():
-        print(f"{name}: {found['landed']} rows landed, {found['rejected']} rejected")
+        print(f"{name}: {found['typed']} typed rows, {found['rejected']} rejected")
 
 
 if __name__ == "__main__":

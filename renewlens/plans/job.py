@@ -11,7 +11,7 @@ Everything is written below one folder that all machines can reach:
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +30,19 @@ _TABLES = {
 }
 
 
-def _watched(raw: DataFrame, feed: feeds.Feed, watch: Observation) -> DataFrame:
-    """Count header-free and malformed rows while the frame is read for something else."""
-    known = ~feed.is_header()
-    return raw.observe(
-        watch,
-        F.count_if(known).alias("landed"),
-        F.count_if(known & feed.is_malformed(raw)).alias("rejected"),
-    )
+def _write_watched(
+    raw: DataFrame, feed: feeds.Feed, build: Callable[..., DataFrame], path: str, **how: str | bool
+) -> bool:
+    """Write a table with one row per accepted row; tells whether malformed rows were met."""
+    watch = Observation()
+    malformed = F.count_if(~feed.is_header() & feed.is_malformed(raw)).alias("malformed")
+    watched = raw.observe(watch, malformed)
+    storage.export_parquet(build(watched, strict=how["strict"]), path, mode=how["mode"])
+    return watch.get["malformed"] > 0
 
 
 def set_up(
+    spark: SparkSession,
     landing: Landing,
     folder: str,
     *,
@@ -49,19 +51,23 @@ def set_up(
 ) -> dict[str, dict[str, int]]:
     """Type the feeds once and set malformed rows aside; returns row counts per feed.
 
-    A feed is read a second time for its rejects only if the first reading met some. The
-    counts are for information: a task that Spark runs again may be counted again.
+    A row-level feed is read a second time for its rejects only if the first reading met some.
+    Listening is always read twice: its table is an aggregate, and adaptive execution may drop
+    an empty aggregate together with what was observed below it.
     """
     counts = {}
     for name, (table, build, feed) in _TABLES.items():
-        raw = getattr(landing, name)
-        watch = Observation()
-        typed_table = build(_watched(raw, feed, watch), strict=strict)
-        storage.export_parquet(typed_table, f"{folder}/typed/{table}", mode=mode)
-        counts[name] = watch.get
+        raw, path = getattr(landing, name), f"{folder}/typed/{table}"
         rejected = feeds.rejects(raw, feed)
-        kept = rejected if counts[name]["rejected"] else rejected.limit(0)
-        storage.export_parquet(kept, f"{folder}/rejects/{name}", mode=mode)
+        if name == "listening":
+            storage.export_parquet(build(raw, strict=strict), path, mode=mode)
+        elif not _write_watched(raw, feed, build, path, strict=strict, mode=mode):
+            rejected = rejected.limit(0)
+        storage.export_parquet(rejected, f"{folder}/rejects/{name}", mode=mode)
+        counts[name] = {
+            "typed": spark.read.parquet(path).count(),
+            "rejected": spark.read.parquet(f"{folder}/rejects/{name}").count(),
+        }
     return counts
 
 
@@ -99,7 +105,7 @@ def run(
     """Set up, then write marts and reports from the stored tables, all as of one day."""
     if as_of is None:
         as_of = spark.range(1).select(F.current_date()).first()[0]
-    counts = set_up(landing, folder, strict=strict, mode=mode)
+    counts = set_up(spark, landing, folder, strict=strict, mode=mode)
     warehouse = Warehouse.from_parquet(spark, f"{folder}/typed", as_of=as_of)
     write_marts(warehouse, folder, mode=mode)
     write_reports(warehouse, folder, reports, mode=mode)

@@ -23,7 +23,7 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
     landing, out = _with_bad_user(spark), str(tmp_path / "out")
     counts = job.run(spark, landing, out, as_of=AS_OF)
     expected = Warehouse.from_landing(landing, as_of=AS_OF)
-    assert counts["users"] == {"landed": expected.dim_users.count() + 1, "rejected": 1}
+    assert counts["users"] == {"typed": expected.dim_users.count(), "rejected": 1}
     assert counts["payments"]["rejected"] == 0
     assert sorted(path.name for path in (tmp_path / "out/typed").iterdir()) == sorted(TYPED)
     assert sorted(path.name for path in (tmp_path / "out/marts").iterdir()) == sorted(MARTS)
@@ -43,6 +43,25 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
     assert sorted(rows(report.csv(f"{out}/reports/m10_revenue_by_plan"))) == sorted(rows(plans))
 
 
+@pytest.mark.parametrize("lines", [[], ["1,1,x,s,d,c"], ["1,1,7,s,d,c", "2,2,x,s,d,c", "3,3"]])
+def test_empty_and_wholly_malformed_feeds(spark, tmp_path, lines):
+    paths = {}
+    for name, feed in (
+        ("users", feeds.users_feed()),
+        ("subscriptions", feeds.subscriptions_feed()),
+        ("payments", feeds.payments_feed()),
+        ("listening", feeds.listening_feed()),
+    ):
+        paths[name] = str(tmp_path / f"{name}.csv")
+        content = [",".join(feed.columns), *(lines if name == "listening" else [])]
+        (tmp_path / f"{name}.csv").write_text("\n".join(content) + "\n")
+    out = str(tmp_path / "out")
+    counts = job.run(spark, Landing.from_csv(spark, **paths), out, as_of=AS_OF)
+    good = sum(line.startswith("1,1,7") for line in lines)
+    assert counts["listening"] == {"typed": good, "rejected": len(lines) - good}
+    assert counts["payments"] == {"typed": 0, "rejected": 0}
+
+
 def test_a_second_run_must_be_told_to_overwrite(spark, tmp_path):
     out, names = str(tmp_path / "out"), ["m01_active_subscriptions"]
     job.run(spark, _with_bad_user(spark), out, as_of=AS_OF, reports=names)
