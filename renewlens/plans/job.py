@@ -21,12 +21,12 @@ from renewlens.plans.reports import FIGURES, METRICS
 from renewlens.plans.warehouse import MARTS, AsOf, Landing, Warehouse
 from renewlens.sources import feeds, storage
 
-# Feed: its typed table, how to build it, and how the feed is declared.
+# The typed table of each feed and how it is built.
 _TABLES = {
-    "users": ("dim_users", typed.dim_users, feeds.users_feed()),
-    "subscriptions": ("fct_subscriptions", typed.fct_subscriptions, feeds.subscriptions_feed()),
-    "payments": ("fct_payments", typed.fct_payments, feeds.payments_feed()),
-    "listening": ("engagement_per_user", typed.engagement_per_user, feeds.listening_feed()),
+    "users": ("dim_users", typed.dim_users),
+    "subscriptions": ("fct_subscriptions", typed.fct_subscriptions),
+    "payments": ("fct_payments", typed.fct_payments),
+    "listening": ("engagement_per_user", typed.engagement_per_user),
 }
 
 
@@ -56,7 +56,8 @@ def set_up(
     an empty aggregate together with what was observed below it.
     """
     counts = {}
-    for name, (table, build, feed) in _TABLES.items():
+    for name, feed in feeds.all_feeds().items():
+        table, build = _TABLES[name]
         raw, path = getattr(landing, name), f"{folder}/typed/{table}"
         rejected = feeds.rejects(raw, feed)
         if name == "listening":

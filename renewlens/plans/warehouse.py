@@ -63,15 +63,17 @@ class Landing:
         **reading: bool,
     ) -> Landing:
         """Read four sets of CSV files; ``reading`` holds options of ``feeds.read_feed``."""
-
-        def land(path: str, feed: feeds.Feed) -> Frame:
-            return lambda: feeds.read_feed(spark, path, feed, **reading)
-
+        paths = {
+            "users": users,
+            "subscriptions": subscriptions,
+            "payments": payments,
+            "listening": listening,
+        }
         return cls(
-            land(users, feeds.users_feed()),
-            land(subscriptions, feeds.subscriptions_feed()),
-            land(payments, feeds.payments_feed()),
-            land(listening, feeds.listening_feed()),
+            **{
+                name: partial(feeds.read_feed, spark, paths[name], feed, **reading)
+                for name, feed in feeds.all_feeds().items()
+            }
         )
 
     @classmethod
@@ -86,19 +88,17 @@ class Landing:
     def stripped(self) -> Landing:
         """The feeds without header lines that landed as data."""
         return Landing(
-            lambda: feeds.strip_header(self.users, feeds.users_feed()),
-            lambda: feeds.strip_header(self.subscriptions, feeds.subscriptions_feed()),
-            lambda: feeds.strip_header(self.payments, feeds.payments_feed()),
-            lambda: feeds.strip_header(self.listening, feeds.listening_feed()),
+            **{
+                name: lambda name=name, feed=feed: feeds.strip_header(getattr(self, name), feed)
+                for name, feed in feeds.all_feeds().items()
+            }
         )
 
     def rejects(self, id_type: str = ID_TYPE) -> dict[str, DataFrame]:
         """Malformed rows of each feed with their reasons."""
         return {
-            "users": feeds.rejects(self.users, feeds.users_feed(id_type)),
-            "subscriptions": feeds.rejects(self.subscriptions, feeds.subscriptions_feed(id_type)),
-            "payments": feeds.rejects(self.payments, feeds.payments_feed(id_type)),
-            "listening": feeds.rejects(self.listening, feeds.listening_feed(id_type)),
+            name: feeds.rejects(getattr(self, name), feed)
+            for name, feed in feeds.all_feeds(id_type).items()
         }
 
 

@@ -110,6 +110,12 @@ def listening_feed(id_type: str = ID_TYPE) -> Feed:
     )
 
 
+def all_feeds(id_type: str = ID_TYPE) -> dict[str, Feed]:
+    """The four feeds by name."""
+    declared = (users_feed, subscriptions_feed, payments_feed, listening_feed)
+    return {feed.name: feed for feed in (declare(id_type) for declare in declared)}
+
+
 def read_feed(
     spark: SparkSession,
     path: str | list[str],

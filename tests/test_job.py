@@ -46,12 +46,7 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
 @pytest.mark.parametrize("lines", [[], ["1,1,x,s,d,c"], ["1,1,7,s,d,c", "2,2,x,s,d,c", "3,3"]])
 def test_empty_and_wholly_malformed_feeds(spark, tmp_path, lines):
     paths = {}
-    for name, feed in (
-        ("users", feeds.users_feed()),
-        ("subscriptions", feeds.subscriptions_feed()),
-        ("payments", feeds.payments_feed()),
-        ("listening", feeds.listening_feed()),
-    ):
+    for name, feed in feeds.all_feeds().items():
         paths[name] = str(tmp_path / f"{name}.csv")
         content = [",".join(feed.columns), *(lines if name == "listening" else [])]
         (tmp_path / f"{name}.csv").write_text("\n".join(content) + "\n")

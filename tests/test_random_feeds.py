@@ -17,12 +17,7 @@ from renewlens.sources import feeds
 from .conftest import AS_OF
 from .helpers import same_rows, text_frame
 
-FEEDS = {
-    "users": feeds.users_feed(),
-    "subscriptions": feeds.subscriptions_feed(),
-    "payments": feeds.payments_feed(),
-    "listening": feeds.listening_feed(),
-}
+FEEDS = feeds.all_feeds()
 # Shown rows of these are ordered by every column; the SQL orders by fewer.
 UNORDERED = {name for name in CHECKS if name.startswith("q01_preview")} | {"q08_payments_at_offset"}
 SQL = oracle_queries.sql_over_feeds()
