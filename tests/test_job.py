@@ -51,7 +51,8 @@ def test_empty_and_wholly_malformed_feeds(spark, tmp_path, lines):
         content = [",".join(feed.columns), *(lines if name == "listening" else [])]
         (tmp_path / f"{name}.csv").write_text("\n".join(content) + "\n")
     out = str(tmp_path / "out")
-    counts = job.run(spark, Landing.from_csv(spark, **paths), out, as_of=AS_OF)
+    landing = Landing.from_csv(spark, **paths)
+    counts = job.run(spark, landing, out, as_of=AS_OF, reports=["m16_listening_range"])
     good = sum(line.startswith("1,1,7") for line in lines)
     assert counts["listening"] == {"typed": good, "rejected": len(lines) - good}
     assert counts["payments"] == {"typed": 0, "rejected": 0}
