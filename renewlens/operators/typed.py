@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from renewlens.functions.parsing import ID_TYPE, cents_to_money
 from renewlens.sources import feeds
 
 
-def dim_users(users_raw: DataFrame, *, id_type: str = ID_TYPE, strict: bool = False) -> DataFrame:
+def dim_users(
+    users_raw: DataFrame,
+    *,
+    id_type: str = ID_TYPE,
+    strict: bool = False,
+    watch: Observation | None = None,
+) -> DataFrame:
     """One row per landed user row. The password hash stays behind."""
     feed = feeds.users_feed(id_type)
-    return feeds.accepted(users_raw, feed, strict=strict).select(
+    return feeds.typed_rows(
+        users_raw,
+        feed,
         "row_id",
         feed.typed("user_id"),
         "username",
@@ -21,14 +29,22 @@ def dim_users(users_raw: DataFrame, *, id_type: str = ID_TYPE, strict: bool = Fa
         "last_name",
         "subscription_type",
         "created_at",
+        strict=strict,
+        watch=watch,
     )
 
 
 def fct_subscriptions(
-    subscriptions_raw: DataFrame, *, id_type: str = ID_TYPE, strict: bool = False
+    subscriptions_raw: DataFrame,
+    *,
+    id_type: str = ID_TYPE,
+    strict: bool = False,
+    watch: Observation | None = None,
 ) -> DataFrame:
     feed = feeds.subscriptions_feed(id_type)
-    return feeds.accepted(subscriptions_raw, feed, strict=strict).select(
+    return feeds.typed_rows(
+        subscriptions_raw,
+        feed,
         "row_id",
         feed.typed("subscription_id"),
         feed.typed("user_id"),
@@ -36,16 +52,24 @@ def fct_subscriptions(
         feed.typed("start_date"),
         feed.typed("end_date"),
         "created_at",
+        strict=strict,
+        watch=watch,
     )
 
 
 def fct_payments(
-    payments_raw: DataFrame, *, id_type: str = ID_TYPE, strict: bool = False
+    payments_raw: DataFrame,
+    *,
+    id_type: str = ID_TYPE,
+    strict: bool = False,
+    watch: Observation | None = None,
 ) -> DataFrame:
     """Amounts land as whole cents; the money column is exact."""
     feed = feeds.payments_feed(id_type)
     cents = feed.rules["amount"].typed(F.col("amount"))
-    return feeds.accepted(payments_raw, feed, strict=strict).select(
+    return feeds.typed_rows(
+        payments_raw,
+        feed,
         "row_id",
         feed.typed("payment_id"),
         feed.typed("user_id"),
@@ -55,6 +79,8 @@ def fct_payments(
         feed.typed("payment_date"),
         "payment_method",
         "created_at",
+        strict=strict,
+        watch=watch,
     )
 
 

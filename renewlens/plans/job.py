@@ -11,9 +11,9 @@ Everything is written below one folder that all machines can reach:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from renewlens.operators import typed
@@ -30,17 +30,6 @@ _TABLES = {
 }
 
 
-def _write_watched(
-    raw: DataFrame, feed: feeds.Feed, build: Callable[..., DataFrame], path: str, **how: str | bool
-) -> bool:
-    """Write a table with one row per accepted row; tells whether malformed rows were met."""
-    watch = Observation()
-    malformed = F.count_if(~feed.is_header() & feed.is_malformed(raw)).alias("malformed")
-    watched = raw.observe(watch, malformed)
-    storage.export_parquet(build(watched, strict=how["strict"]), path, mode=how["mode"])
-    return watch.get["malformed"] > 0
-
-
 def set_up(
     spark: SparkSession,
     landing: Landing,
@@ -51,18 +40,19 @@ def set_up(
 ) -> dict[str, dict[str, int]]:
     """Type the feeds once and set malformed rows aside; returns row counts per feed.
 
-    A row-level feed is read a second time for its rejects only if the first reading met some.
-    Listening is always read twice: its table is an aggregate, and adaptive execution may drop
-    an empty aggregate together with what was observed below it.
+    A row-level feed is read a second time for its rejects only if the first reading met some,
+    and a strict run has none. Listening is otherwise read twice: its table is an aggregate, and
+    adaptive execution may drop an empty one together with what was observed below it.
     """
     counts = {}
     for name, feed in feeds.all_feeds().items():
         table, build = _TABLES[name]
         raw, path = getattr(landing, name), f"{folder}/typed/{table}"
+        watch = None if strict or name == "listening" else Observation()
+        typed_table = build(raw, strict=strict) if watch is None else build(raw, watch=watch)
+        storage.export_parquet(typed_table, path, mode=mode)
         rejected = feeds.rejects(raw, feed)
-        if name == "listening":
-            storage.export_parquet(build(raw, strict=strict), path, mode=mode)
-        elif not _write_watched(raw, feed, build, path, strict=strict, mode=mode):
+        if strict or (watch and not watch.get["malformed"]):
             rejected = rejected.limit(0)
         storage.export_parquet(rejected, f"{folder}/rejects/{name}", mode=mode)
         counts[name] = {

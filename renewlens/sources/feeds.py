@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -180,3 +180,22 @@ def accepted(raw: DataFrame, feed: Feed, *, strict: bool = False) -> DataFrame:
         )
         return raw.where(keep)
     return raw.where(~feed.is_header() & ~feed.is_malformed(raw))
+
+
+def typed_rows(
+    raw: DataFrame,
+    feed: Feed,
+    *columns: Column | str,
+    strict: bool = False,
+    watch: Observation | None = None,
+) -> DataFrame:
+    """Columns of the rows that can be typed.
+
+    With ``watch`` the malformed rows are counted on the way under the name ``malformed``. The
+    count stands between parsing and filtering, so a value is parsed once for both.
+    """
+    if watch is None or strict:
+        return accepted(raw, feed, strict=strict).select(*columns)
+    judged = strip_header(raw, feed).select(*columns, feed.is_malformed(raw).alias("malformed"))
+    counted = judged.observe(watch, F.count_if("malformed").alias("malformed"))
+    return counted.where(~F.col("malformed")).drop("malformed")

@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Observation
 
 from renewlens.operators import typed
 from renewlens.sources import feeds
@@ -178,6 +179,26 @@ def test_dates_do_not_depend_on_the_time_zone(spark, setting, zone):
     assert (row.start_date, row.end_date) == (dt.date(2017, 10, 15), dt.date(2011, 12, 30))
 
 
+def test_counting_malformed_rows_on_the_way_changes_nothing(spark):
+    feed = feeds.payments_feed()
+    raw = text_frame(
+        spark,
+        feed,
+        [
+            {column: column for column in feed.columns},
+            _payment(),
+            _payment(row_id="2", amount=None, payment_date="01-01-2020"),
+            _payment(row_id="bad", amount="1.5"),
+            _payment(row_id="worse", payment_date="99-99-2024", user_id="x"),
+        ],
+    )
+    watch = Observation()
+    watched = typed.fct_payments(raw, watch=watch)
+    assert rows(watched) == rows(typed.fct_payments(raw))
+    assert watched.dtypes == typed.fct_payments(raw).dtypes
+    assert watch.get == {"malformed": 2}
+
+
 def test_strict_fails_on_a_malformed_row_only(spark):
     feed = feeds.subscriptions_feed()
     header = {column: column for column in feed.columns}
