@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHARED_FOLDER_SETTING = "spark.checkpoint.dir"
+_SHARED_FOLDER_SETTINGS = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the folder the cluster shares.
+    """A fresh path below the folder that all machines of the cluster share.
 
-    The folder comes from the session. Only a local session without the setting gets a
-    temporary folder, since on a cluster no other machine could read it.
+    The session names the folder: ``spark.checkpoint.dir``, otherwise the warehouse. Nothing is
+    ever put into a folder of one machine; a session that names neither is refused.
     """
-    root = spark.conf.get(_SHARED_FOLDER_SETTING, None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError(f"set {_SHARED_FOLDER_SETTING} to a folder every machine can reach")
-        root = tempfile.mkdtemp(prefix="renewlens-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    for setting in _SHARED_FOLDER_SETTINGS:
+        root = spark.conf.get(setting, None)
+        if root:
+            return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    raise ValueError(f"set {_SHARED_FOLDER_SETTINGS[0]} to a folder every machine can reach")
 
 
 def export_csv(
