@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.llm import lines, mixing, quality, sql
-from renewlens.llm.common import table
+from renewlens.llm import hidden_markov, lines, mixing, quality, sql, token_ids
+from renewlens.llm.common import fold, table
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -27,11 +34,17 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_hidden_markov": _hidden_markov,
         "op3_mixing": _mixing,
         "op4_quality_rules": _quality,
         "op7_line_dedup": _lines,
+        "op8_token_ids": _token_ids,
     }
 
 
