@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.llm import hidden_markov, lines, mixing, quality, sql, token_ids
+from renewlens.llm import (
+    hidden_markov,
+    lines,
+    min_max_hash,
+    mixing,
+    quality,
+    sql,
+    token_ids,
+)
 from renewlens.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +37,10 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def _min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return min_max_hash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -43,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op1_hidden_markov": _hidden_markov,
         "op3_mixing": _mixing,
         "op4_quality_rules": _quality,
+        "op5_min_max_hash": _min_max_hash,
         "op7_line_dedup": _lines,
         "op8_token_ids": _token_ids,
     }
