@@ -16,6 +16,7 @@ from renewlens.llm import (
     quality,
     sql,
     token_ids,
+    toxicity,
 )
 from renewlens.llm.common import fold, table
 
@@ -41,6 +42,13 @@ def _min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return min_max_hash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -56,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op3_mixing": _mixing,
         "op4_quality_rules": _quality,
         "op5_min_max_hash": _min_max_hash,
+        "op6_toxicity": _toxicity,
         "op7_line_dedup": _lines,
         "op8_token_ids": _token_ids,
     }

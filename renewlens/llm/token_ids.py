@@ -17,7 +17,9 @@ A second folder beside it lists the id of every rank.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,9 +33,15 @@ from renewlens.llm.common import store, text_of
 from renewlens.sources.storage import export_parquet, shared_folder
 
 BLOCK_IDS = 1 << 18
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 250_000
+_FORGET_AFTER = 32
+_JOINED = 256
 _CACHED_BYTES = 48
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 2 << 20
+# ASCII punctuation but the apostrophe, a run of which is one piece,
+# and letters whose lower case depends on the library or on neighbours.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_CONTEXT_LOWER = frozenset("\u03a3\u0130")
 MOST_BROADCAST_SHARDS = 1_000_000
 
 _BLOCKS = (
@@ -72,32 +80,97 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     return ranks
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones as they are."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in plain]
+    return {byte: chr(byte) for byte in plain} | {
+        byte: chr(256 + i) for i, byte in enumerate(others)
+    }
+
+
 class _Encoder:
-    """Ids of texts as little-endian 32-bit integers, with a bounded memory of words.
+    """Ids of texts as little-endian integers, with a bounded memory of words.
 
     The tokenizer never looks past ASCII white space, so the ids of a text are those of its words
-    in a row. Words that were met before are not tokenized again.
+    in a row. Most words are letters with punctuation at the end. Such pieces need no normalising
+    and splitting, which is the dear part: those of many words are joined by spaces and go through
+    the vocabulary's merges at once, and the id that ends a piece shows where the next begins.
+    All other words are encoded one by one.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self._dtype = np.dtype(dtype)
         self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        suffix = described["model"].get("end_of_word_suffix")
+        self._merges = None
+        if suffix:
+            described |= {
+                "normalizer": None,
+                "pre_tokenizer": {"type": "WhitespaceSplit"},
+                "post_processor": None,
+            }
+            self._merges = Tokenizer.from_str(json.dumps(described))
+            vocabulary = self._tokenizer.get_vocab()
+            self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self._ends[[one for word, one in vocabulary.items() if word.endswith(suffix)]] = True
+        self._alphabet = _byte_alphabet()
+        # Frequent words come early; when full it stays as it is until many words were unknown.
         self._known: dict[bytes, bytes] = {}
+        self._unknown = 0
+
+    def _pieces(self, word: str) -> list[str] | None:
+        """The pieces of a word of letters and punctuation, None for any other word."""
+        letters = word.rstrip(_PUNCTUATION)
+        if not letters.isalpha():
+            return None if letters else [word]
+        ending = word[len(letters) :]
+        if letters.isascii():
+            letters = letters.lower()
+        elif unicodedata.is_normalized("NFC", letters) and not _CONTEXT_LOWER & set(letters):
+            letters = letters.lower().encode().decode("latin-1").translate(self._alphabet)
+        else:
+            return None
+        return [letters, ending] if ending else [letters]
 
     def _tokenize(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self._tokenizer.encode_batch_fast(
-            [word.decode() for word in words], add_special_tokens=False
-        )
-        return {
-            word: np.array(one.ids, dtype="<u4").tobytes()
-            for word, one in zip(words, found, strict=True)
-        }
+        found: dict[bytes, bytes] = {}
+        texts = [word.decode() for word in words]
+        split = [self._pieces(text) if self._merges else None for text in texts]
+        rest = [i for i, pieces in enumerate(split) if pieces is None]
+        easy = [i for i, pieces in enumerate(split) if pieces is not None]
+        if easy:
+            pieces = [piece for i in easy for piece in split[i]]
+            joined = [
+                " ".join(pieces[i : i + _JOINED]) for i in range(0, len(pieces), _JOINED)
+            ]
+            encoded = self._merges.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.concatenate([np.array(one.ids, dtype=self._dtype) for one in encoded])
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            counts = np.cumsum([len(split[i]) for i in easy])
+            if len(ends) == counts[-1]:
+                bounds = (np.append(0, ends[counts - 1]) * self._dtype.itemsize).tolist()
+                raw = ids.tobytes()
+                for i, begin, end in zip(easy, bounds, bounds[1:], strict=False):
+                    found[words[i]] = raw[begin:end]
+            else:
+                rest = list(range(len(words)))
+        if rest:
+            encoded = self._tokenizer.encode_batch_fast(
+                [texts[i] for i in rest], add_special_tokens=False
+            )
+            for i, one in zip(rest, encoded, strict=True):
+                found[words[i]] = np.array(one.ids, dtype=self._dtype).tobytes()
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._known) > _CACHED_WORDS:
-            self._known = {}
+        if self._unknown > _FORGET_AFTER * _CACHED_WORDS:
+            self._known, self._unknown = {}, 0
         get = self._known.get
         split = [text.encode().split() for text in texts]
         parts = [list(map(get, words)) for words in split]
@@ -117,7 +190,10 @@ class _Encoder:
             )
             for words, ids in zip(split, parts, strict=True)
         ]
-        self._known.update((w, ids) for w, ids in fresh.items() if len(w) <= _CACHED_BYTES)
+        if len(self._known) < _CACHED_WORDS:
+            self._known.update((w, ids) for w, ids in fresh.items() if len(w) <= _CACHED_BYTES)
+        else:
+            self._unknown += len(fresh)
         return whole
 
 
@@ -125,12 +201,12 @@ class _Encoder:
 _ENCODERS: dict[str, _Encoder] = {}
 
 
-def _encode_documents(path: str, end_id: int) -> Callable:
-    end = np.array([end_id], dtype="<u4").tobytes()
+def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
+    end = np.array([end_id], dtype=dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
-            _ENCODERS[path] = _Encoder(path)
+            _ENCODERS[path] = _Encoder(path, dtype)
         encode = _ENCODERS[path]
         for batch in batches:
             rows = max(1, batch.num_rows * _SLICE_BYTES // max(batch.nbytes, 1))
@@ -144,28 +220,31 @@ def _encode_documents(path: str, end_id: int) -> Callable:
     return run
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        for one in batch.column(0):
-            counts = np.bincount(np.frombuffer(one.as_buffer(), dtype="<u4"))
-            if len(counts) > len(total):
-                total = np.concatenate([total, np.zeros(len(counts) - len(total), np.int64)])
-            total[: len(counts)] += counts
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"]
-    )
+def _count_ids(dtype: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for one in batch.column(0):
+                counts = np.bincount(np.frombuffer(one.as_buffer(), dtype=dtype))
+                if len(counts) > len(total):
+                    total = np.concatenate([total, np.zeros(len(counts) - len(total), np.int64)])
+                total[: len(counts)] += counts
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"]
+        )
+
+    return run
 
 
-def rank_ids(tokens: DataFrame) -> np.ndarray:
+def rank_ids(tokens: DataFrame, dtype: str) -> np.ndarray:
     """Ids by falling frequency, ties by id. Their number is bounded by the vocabulary."""
-    counted = tokens.select("ids").mapInArrow(_count_ids, "id bigint, n bigint")
+    counted = tokens.select("ids").mapInArrow(_count_ids(dtype), "id bigint, n bigint")
     rows = counted.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()
     return np.array([row["id"] for row in rows], dtype=np.uint32)
 
 
-def _write_blocks(ids_by_rank: np.ndarray) -> Callable:
+def _write_blocks(ids_by_rank: np.ndarray, dtype: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = np.zeros(int(ids_by_rank.max(initial=0)) + 1, dtype=np.uint32)
         rank_of[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
@@ -195,7 +274,7 @@ def _write_blocks(ids_by_rank: np.ndarray) -> Callable:
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 documents.append(doc_id)
-                pieces.append(np.frombuffer(ids.as_buffer(), dtype="<u4").copy())
+                pieces.append(np.frombuffer(ids.as_py(), dtype=dtype))
                 held += len(pieces[-1])
                 if held >= BLOCK_IDS:
                     yield flush()
@@ -206,6 +285,14 @@ def _write_blocks(ids_by_rank: np.ndarray) -> Callable:
     return run
 
 
+def _narrowest(tokenizer: str, end_id: int) -> str:
+    """Two bytes hold an id if the vocabulary allows, else four."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab().values())
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def write_files(
     documents: DataFrame,
     path: str,
@@ -224,13 +311,14 @@ def write_files(
     texts = documents.select(
         F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")
     )
+    dtype = _narrowest(tokenizer, end_id)
     tokens = store(
-        texts.mapInArrow(_encode_documents(tokenizer, end_id), "doc_id bigint, ids binary"),
+        texts.mapInArrow(_encode_documents(tokenizer, end_id, dtype), "doc_id bigint, ids binary"),
         "token-ids",
     )
-    ids_by_rank = rank_ids(tokens)
+    ids_by_rank = rank_ids(tokens, dtype)
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    export_parquet(ordered.mapInArrow(_write_blocks(ids_by_rank), _BLOCKS), f"{path}/blocks")
+    export_parquet(ordered.mapInArrow(_write_blocks(ids_by_rank, dtype), _BLOCKS), f"{path}/blocks")
     ranks = documents.sparkSession.createDataFrame(
         [(rank, int(one)) for rank, one in enumerate(ids_by_rank)], "rank int, id bigint"
     )
