@@ -1,9 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on what toxic texts alone say. A
-text is read in windows of a few words, each compressed with the ordinary dictionary and with one
-in which the toxic dictionary takes the place of its rarest part. A window that is shorter with the
-latter speaks like the toxic texts. Counts of such windows beyond several thresholds, the
+text is read in windows of a few words, each compressed with the ordinary dictionary alone and with
+the toxic one behind it. A window that is shorter with the latter speaks like the toxic texts. Counts of such windows beyond several thresholds, the
 greatest and the mean difference become a probability by a logistic curve, calibrated on texts that
 the dictionaries had not seen.
 
@@ -27,9 +26,12 @@ from renewlens.llm.common import text_of
 
 WORDS = 8
 LONGEST_WINDOW = 512
-ORDINARY_BYTES = 112_640
+ORDINARY_BYTES = 32_768
 TOXIC_BYTES = 4_096
 THRESHOLDS = (2, 3, 4)
+# Both dictionaries end with this and every window begins with it. The match keeps a window from
+# being stored as it is, as zstandard does when it would save less than two bytes.
+ANCHOR = bytes(range(1, 9)) * 5
 _LEAST_CONTEXTS = 3
 _LEAST_SHARE = 0.01
 _SLICE_BYTES = 8 << 20
@@ -103,8 +105,8 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     # Training may cut a word; those that are not there as a whole are put in front.
     cut = [word for word in dict.fromkeys(mixed) if word not in special]
     special = (b"".join(cut) + special)[-TOXIC_BYTES:]
-    # The front of a dictionary is the farthest away and holds what is worth least.
-    return base, special + base[len(special) :]
+    # The end of a dictionary is the nearest, and its matches cost least.
+    return base + bytes(len(special)) + ANCHOR, base + special + ANCHOR
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -113,6 +115,9 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         3,
         strategy=zstandard.STRATEGY_BTULTRA,
         min_match=3,
+        search_log=8,
+        hash_log=17,
+        chain_log=17,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         write_content_size=0,
         write_checksum=0,
@@ -123,7 +128,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def _lengths(compressor: zstandard.ZstdCompressor, pieces: list[bytes]) -> np.ndarray:
-    found = compressor.multi_compress_to_buffer(pieces, threads=1)
+    found = compressor.multi_compress_to_buffer([ANCHOR + one for one in pieces], threads=1)
     return np.fromiter((len(one) for one in found), np.int64, len(pieces))
 
 
