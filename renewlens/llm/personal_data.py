@@ -107,6 +107,9 @@ see figure 12 (page 30) and table 4
 the sum of 1 2 3 4 5 6 7 8 is 36
 at 5 he left and at 6 he came
 call me later
+to to to to to to
+at at at at at at at the end
+he went to to the door at at once
 the phone is old
 write a card to them
 a card of 300 grams
@@ -358,6 +361,17 @@ def viterbi(field: Field, kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return labels
 
 
+def possible(kind: str, text: str) -> bool:
+    """Whether the text of a span has what its kind cannot do without."""
+    digits = len(_DIGIT.findall(text))
+    if kind == "email":
+        at = "@" in text or re.search(r"\bat\b", text, re.IGNORECASE)
+        return bool(at and re.search(r"\bdot\b|[^.]\.[^.]", text, re.IGNORECASE))
+    if kind == "ip":
+        return len(re.findall("[.:]", text)) >= 2
+    return 13 <= digits <= 19 if kind == "card" else 7 <= digits <= 15
+
+
 def field_spans(
     text: str, labels: np.ndarray, taken: dict[str, list[tuple[int, int]]]
 ) -> dict[str, list[tuple[int, int]]]:
@@ -379,8 +393,10 @@ def field_spans(
             body = text[begin:end]
             begin += len(body) - len(body.lstrip(".,;:!?\"'"))
             end -= len(body) - len(body.rstrip(".,;:!?\"'"))
-            if begin < end and all(end <= a or b <= begin for a, b in busy):
-                spans[KINDS[(labels[run[0]] - 1) // 2]].append((begin, end))
+            kind = KINDS[(labels[run[0]] - 1) // 2]
+            free = begin < end and all(end <= a or b <= begin for a, b in busy)
+            if free and possible(kind, text[begin:end]):
+                spans[kind].append((begin, end))
             run = []
         if number >= 0:
             run.append(int(number))

@@ -13,6 +13,7 @@ from renewlens.llm import (
     lines,
     min_max_hash,
     mixing,
+    personal_data,
     quality,
     sql,
     token_ids,
@@ -29,6 +30,10 @@ def _hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
 
 
+def _personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def _token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_hidden_markov": _hidden_markov,
+        "op2_personal_data": _personal_data,
         "op3_mixing": _mixing,
         "op4_quality_rules": _quality,
         "op5_min_max_hash": _min_max_hash,
