@@ -4,12 +4,13 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 so that half as many hashes are evaluated. Values are banded; texts that agree in a band are
 candidates, and a candidate pair is a link only if the full shingle sets confirm it.
 
-Work on groups stays linear. Texts with the same set are one class, found by aggregation, and only
-its representative goes on. In a bucket every member is first compared with the smallest member
-alone. What is then connected needs no further comparison, so the second round compares only
-members of a bucket that are still in different components, and no link is lost: two texts of one
-bucket are either in one component already or compared. Components, fingerprints and links stay
-in tables.
+Work on groups is bounded. Texts with the same set are one class, found by aggregation, and only
+its representative goes on. In a bucket every member is first compared with one central member
+alone: a star. What is connected then needs no further comparison. Where members that share
+buckets, directly or through others, are still in several components, all but the largest component
+are compared with the whole group, in blocks of bounded size that run as tasks of their own and
+give back only links between components. So every two texts of a bucket are either in one component
+or compared in full. Components, fingerprints and links stay in tables.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from renewlens.llm.common import store, text_of
@@ -176,6 +177,143 @@ def _confirm(pairs: DataFrame, texts: DataFrame, *, words: int, percent: int) ->
     return store(both.filter(common * 100 >= union * percent).select("a", "b"), "minmax-links")
 
 
+def _near(left: str, right: str, percent: int) -> Column:
+    """Sets of such sizes can be similar enough."""
+    return (F.col(left) * 100 >= F.col(right) * percent) & (
+        F.col(right) * 100 >= F.col(left) * percent
+    )
+
+
+def _compare(percent: int) -> Callable:
+    """Links between components, from the rows to compare (side 0) with the others (side 1)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = np.asarray(rows.column("side"))
+        ids = np.asarray(rows.column("id"))
+        component = np.asarray(rows.column("component"))
+        column = rows.column("shingles").combine_chunks()
+        offsets = np.asarray(column.offsets, dtype=np.int64)
+        flat = np.asarray(column.values)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        # Only what two sets have can be common. Columns are taken a part at a time.
+        _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        several = times[code] > 1
+        order = np.argsort(code[several], kind="stable")
+        owner, code = owner[several][order], code[several][order]
+        _, code = np.unique(code, return_inverse=True)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        step = max(1, (8 << 20) // max(len(ids), 1))
+        for begin in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+            part = slice(*np.searchsorted(code, [begin, begin + step]))
+            has = np.zeros((len(ids), step), dtype=np.float32)
+            has[owner[part], code[part] - begin] = 1
+            common += has[left] @ has[right].T
+        union = sizes[left][:, None] + sizes[right][None, :] - common
+        linked = (common * 100 >= union * percent) & (
+            component[left][:, None] != component[right][None, :]
+        )
+        # A spanning set of links says all there is to say about components.
+        root: dict[int, int] = {}
+
+        def top(one: int) -> int:
+            while root.get(one, one) != one:
+                one = root[one]
+            return one
+
+        found = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, y = top(int(component[left[i]])), top(int(component[right[j]]))
+            if x != y:
+                root[x] = y
+                found.append((int(ids[left[i]]), int(ids[right[j]])))
+        return pa.table(
+            {
+                "a": pa.array([one[0] for one in found], pa.int64()),
+                "b": pa.array([one[1] for one in found], pa.int64()),
+            }
+        )
+
+    return run
+
+
+def _across(
+    grouped: DataFrame, found: DataFrame, texts: DataFrame, *, words: int, percent: int
+) -> DataFrame:
+    """Links between different components of a group; stored.
+
+    ``grouped``: id, group, n_shingles. Sizes fall into levels such that similar sets are on the
+    same level or on adjacent ones. On each level the members outside the group's largest component
+    (copied to the levels beside their own) meet all members, block by block.
+    """
+    placed = store(
+        grouped.join(found.select(F.col("id").alias("f_id"), "component"), F.col("id") == F.col("f_id"), "left")
+        .select(
+            "id",
+            "group",
+            "n_shingles",
+            F.coalesce("component", "id").alias("component"),
+            F.floor(F.log("n_shingles") / np.log(100 / percent)).cast("int").alias("level"),
+        ),
+        "minmax-placed",
+    )
+    largest = (
+        placed.groupBy("group", "component")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(F.col("group").alias("o_group"))
+        .agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+        .filter("parts > 1")
+        .select("o_group", "main")
+    )
+    open_groups = placed.join(largest, F.col("group") == F.col("o_group")).drop("o_group")
+    rows_a_block = F.greatest(
+        F.lit(16), F.least(F.lit(512), (F.lit(2e6) / F.pow(F.lit(100 / percent), F.col("level"))))
+    )
+    rest = open_groups.filter(F.col("component") != F.col("main")).withColumn(
+        "at", F.explode(F.array(*[F.col("level") + step for step in (-1, 0, 1)]))
+    )
+
+    def blocks(rows: DataFrame, level: str, name: str) -> DataFrame:
+        counts = rows.withColumn("level", F.col(level)).groupBy("group", "level")
+        return counts.agg(F.count(F.lit(1)).alias("n")).select(
+            F.col("group").alias(f"{name}_group"),
+            F.col("level").alias(f"{name}_level"),
+            F.ceil(F.col("n") / rows_a_block).cast("int").alias(f"{name}_blocks"),
+        )
+
+    rest_blocks, all_blocks = blocks(rest, "at", "r"), blocks(open_groups, "level", "m")
+    both = rest_blocks.join(
+        all_blocks,
+        (F.col("r_group") == F.col("m_group")) & (F.col("r_level") == F.col("m_level")),
+    ).select("r_group", "r_level", "r_blocks", "m_blocks")
+
+    def copies(rows: DataFrame, level: str, side: int, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        named = (block.alias("i"), each.alias("j")) if side == 0 else (block.alias("j"), each.alias("i"))
+        return rows.join(
+            both, (F.col("group") == F.col("r_group")) & (F.col(level) == F.col("r_level"))
+        ).select("id", "component", "group", F.col(level).alias("level"), F.lit(side).alias("side"), *named)
+
+    tasks = copies(rest, "at", 0, "r_blocks", "m_blocks").select(
+        "id", "component", "group", "level", "side", "i", "j"
+    ).unionByName(copies(open_groups, "level", 1, "m_blocks", "r_blocks"))
+    needed = open_groups.select(F.col("id").alias("wanted"))
+    sets = store(
+        texts.join(needed, F.col("doc_id") == F.col("wanted"), "left_semi")
+        .select("doc_id", "text")
+        .mapInArrow(_sets(words), "id bigint, shingles array<bigint>"),
+        "minmax-open-sets",
+    )
+    compared = (
+        tasks.join(sets, "id")
+        .groupBy("group", "level", "i", "j")
+        .applyInArrow(_compare(percent), "a bigint, b bigint")
+    )
+    return store(compared.distinct(), "minmax-across")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component: the smallest id that links reach, for every id of a link.
 
@@ -247,58 +385,43 @@ def near_duplicates(
     buckets = heads.select(
         F.col("doc_id").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "hash")
     )
-    # Round one: every member of a bucket against its smallest. A pair needs similar sizes.
     shared = store(
         buckets.groupBy("band", "hash")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        .filter("first < last")
-        .select(F.col("band").alias("s_band"), F.col("hash").alias("s_hash"), "first"),
+        .agg(F.count(F.lit(1)).alias("size"))
+        .filter("size > 1")
+        .select(F.col("band").alias("s_band"), F.col("hash").alias("s_hash"), "size"),
         "minmax-shared",
     )
+    same_bucket = (F.col("band") == F.col("s_band")) & (F.col("hash") == F.col("s_hash"))
     members = store(
-        buckets.join(shared, (F.col("band") == F.col("s_band")) & (F.col("hash") == F.col("s_hash")))
-        .select("band", "hash", "id", "n_shingles", "first"),
+        buckets.join(shared, same_bucket).select("band", "hash", "id", "n_shingles", "size"),
         "minmax-members",
     )
-    star = members.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    links = _confirm(star.distinct(), texts, words=words, percent=percent)
-    found = components(links)
-
-    # Round two: members of a bucket that are still in different components.
-    placed = members.join(
-        found.select(F.col("id").alias("f_id"), F.col("component")), F.col("id") == F.col("f_id"), "left"
-    ).select("band", "hash", "id", "n_shingles", F.coalesce("component", "id").alias("component"), "first")
-    split = (
-        placed.groupBy("band", "hash")
-        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .filter("least < most")
-        .select(F.col("band").alias("s_band"), F.col("hash").alias("s_hash"))
-    )
-    open_members = store(
-        placed.join(
-            split, (F.col("band") == F.col("s_band")) & (F.col("hash") == F.col("s_hash")), "left_semi"
-        ),
-        "minmax-open",
-    )
-    x, y = open_members.alias("x"), open_members.alias("y")
-    near_sizes = (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * percent) & (
-        F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * percent
+    # Round one: every member of a bucket against the one with the most companions.
+    company = members.groupBy(F.col("id").alias("m_id")).agg(F.sum("size").alias("company"))
+    centres = (
+        members.join(company, F.col("id") == F.col("m_id"))
+        .groupBy(F.col("band").alias("s_band"), F.col("hash").alias("s_hash"))
+        .agg(F.max(F.struct("company", "id", "n_shingles")).alias("centre"))
     )
-    rest = (
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.hash") == F.col("y.hash"))
-            & (F.col("x.component") < F.col("y.component"))
-            & near_sizes
-            # Compared in round one.
-            & (F.col("x.id") != F.col("y.first"))
-            & (F.col("y.id") != F.col("x.first")),
+    star = store(
+        members.join(centres, same_bucket)
+        .filter(F.col("id") != F.col("centre.id"))
+        .select(
+            F.col("centre.id").alias("a"),
+            F.col("id").alias("b"),
+            _near("centre.n_shingles", "n_shingles", percent).alias("near"),
         )
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
+        .distinct(),
+        "minmax-star",
     )
-    more = _confirm(rest, texts, words=words, percent=percent)
+    links = _confirm(star.filter("near").select("a", "b"), texts, words=words, percent=percent)
+    found = components(links)
+
+    # Round two: groups that are still in several components.
+    grouped = components(star).select("id", F.col("component").alias("group"))
+    sizes = members.select("id", "n_shingles").distinct()
+    more = _across(grouped.join(sizes, "id"), found, texts, words=words, percent=percent)
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
