@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from renewlens.llm import (
+    decontamination,
     hidden_markov,
+    licences,
     lines,
     min_max_hash,
     mixing,
@@ -63,6 +65,16 @@ def _token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
 
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def _licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_hidden_markov": _hidden_markov,
@@ -73,6 +85,8 @@ def queries() -> dict[str, Query]:
         "op6_toxicity": _toxicity,
         "op7_line_dedup": _lines,
         "op8_token_ids": _token_ids,
+        "op9_decontamination": _decontamination,
+        "op10_licences": _licences,
     }
 
 
