@@ -33,7 +33,7 @@ from renewlens.llm.common import store, text_of
 from renewlens.sources.storage import export_parquet, shared_folder
 
 BLOCK_IDS = 1 << 18
-_CACHED_WORDS = 250_000
+_CACHED_WORDS = 600_000
 _FORGET_AFTER = 32
 _JOINED = 256
 _CACHED_BYTES = 48
@@ -41,6 +41,7 @@ _SLICE_BYTES = 2 << 20
 # ASCII punctuation but the apostrophe, a run of which is one piece,
 # and letters whose lower case depends on the library or on neighbours.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_ENDINGS = frozenset(bytes([byte]) for byte in _PUNCTUATION.encode())
 _CONTEXT_LOWER = frozenset("\u03a3\u0130")
 MOST_BROADCAST_SHARDS = 1_000_000
 
@@ -140,39 +141,54 @@ class _Encoder:
 
     def _tokenize(self, words: list[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {}
-        texts = [word.decode() for word in words]
-        split = [self._pieces(text) if self._merges else None for text in texts]
-        rest = [i for i, pieces in enumerate(split) if pieces is None]
-        easy = [i for i, pieces in enumerate(split) if pieces is not None]
+        pieces: list[bytes] = []
+        easy: list[bytes] = []
+        counts: list[int] = []
+        rest: list[bytes] = []
+        for word in words if self._merges else ():
+            if word.isalpha():  # ASCII letters
+                pieces.append(word.lower())
+            elif word[:-1].isalpha() and word[-1:] in _ENDINGS:
+                pieces += [word[:-1].lower(), word[-1:]]
+            else:
+                split = self._pieces(word.decode())
+                if split is None:
+                    rest.append(word)
+                    continue
+                pieces += [piece.encode() for piece in split]
+            easy.append(word)
+            counts.append(len(pieces))
+        if not self._merges:
+            rest = words
         if easy:
-            pieces = [piece for i in easy for piece in split[i]]
             joined = [
-                " ".join(pieces[i : i + _JOINED]) for i in range(0, len(pieces), _JOINED)
+                b" ".join(pieces[i : i + _JOINED]).decode()
+                for i in range(0, len(pieces), _JOINED)
             ]
             encoded = self._merges.encode_batch_fast(joined, add_special_tokens=False)
             ids = np.concatenate([np.array(one.ids, dtype=self._dtype) for one in encoded])
             ends = np.flatnonzero(self._ends[ids]) + 1
-            counts = np.cumsum([len(split[i]) for i in easy])
-            if len(ends) == counts[-1]:
-                bounds = (np.append(0, ends[counts - 1]) * self._dtype.itemsize).tolist()
-                raw = ids.tobytes()
-                for i, begin, end in zip(easy, bounds, bounds[1:], strict=False):
-                    found[words[i]] = raw[begin:end]
+            if len(ends) == len(pieces):
+                bounds = ends[np.array(counts) - 1] * self._dtype.itemsize
+                raw, begin = ids.tobytes(), 0
+                for word, end in zip(easy, bounds.tolist(), strict=True):
+                    found[word] = raw[begin:end]
+                    begin = end
             else:
-                rest = list(range(len(words)))
+                rest = words
         if rest:
             encoded = self._tokenizer.encode_batch_fast(
-                [texts[i] for i in rest], add_special_tokens=False
+                [word.decode() for word in rest], add_special_tokens=False
             )
-            for i, one in zip(rest, encoded, strict=True):
-                found[words[i]] = np.array(one.ids, dtype=self._dtype).tobytes()
+            for word, one in zip(rest, encoded, strict=True):
+                found[word] = np.array(one.ids, dtype=self._dtype).tobytes()
         return found
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         if self._unknown > _FORGET_AFTER * _CACHED_WORDS:
             self._known, self._unknown = {}, 0
         get = self._known.get
-        split = [text.encode().split() for text in texts]
+        split = [text.split() for text in texts]
         parts = [list(map(get, words)) for words in split]
         missing = {
             word
@@ -212,7 +228,8 @@ def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
             rows = max(1, batch.num_rows * _SLICE_BYTES // max(batch.nbytes, 1))
             for begin in range(0, batch.num_rows, rows):
                 part = batch.slice(begin, rows)
-                ids = [one + end for one in encode(part.column(1).to_pylist())]
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                ids = [one + end for one in encode(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
                 )
@@ -224,11 +241,10 @@ def _count_ids(dtype: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for one in batch.column(0):
-                counts = np.bincount(np.frombuffer(one.as_buffer(), dtype=dtype))
-                if len(counts) > len(total):
-                    total = np.concatenate([total, np.zeros(len(counts) - len(total), np.int64)])
-                total[: len(counts)] += counts
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype)
+            counts = np.bincount(ids, minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"]
