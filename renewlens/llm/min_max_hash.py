@@ -30,6 +30,8 @@ BANDS = 32
 # A text with more candidate partners than this has its set copied to several tasks.
 _PARTNERS_A_TASK = 256
 _SLICE_BYTES = 8 << 20
+# So many ids of dropped documents are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_ROWS = 2_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64, fixed values
 
 
@@ -436,3 +438,17 @@ def near_duplicates(
     return every.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def one_of_each(
+    documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The documents, with all their columns, without those that have a smaller one to stand in."""
+    judged = near_duplicates(documents, id_col=id_col, text_col=text_col, **options)
+    dropped = store(
+        judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(),
+        "minmax-dropped",
+    )
+    if dropped.count() <= MOST_BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return documents.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
