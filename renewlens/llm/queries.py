@@ -94,5 +94,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": sql.MIXING,
         "op4_quality_rules": sql.QUALITY,
+        "op5_min_max_hash": sql.MIN_MAX_HASH,
         "op7_line_dedup": sql.LINES,
+        "op9_decontamination": sql.DECONTAMINATION,
     }

@@ -105,3 +105,67 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
            ) AS kept
 FROM counts
 """
+
+MIN_MAX_HASH = rf"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS words
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(words) < 4 THEN words ELSE words[i:i + 3] END AS shingle
+    FROM docs, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS t(i)
+    WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+components AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
+       documents.doc_id = component_id AS kept
+FROM documents JOIN components USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+_NORMAL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+DECONTAMINATION = f"""
+WITH docs AS (SELECT doc_id, {_NORMAL.format()} AS words FROM documents),
+items AS (SELECT item_id, {_NORMAL.format()} AS words FROM benchmark),
+spots AS (
+    SELECT doc_id, i - 1 AS place, array_to_string(words[i:i + 4], ' ') AS shingle,
+           len(words) - 4 AS n
+    FROM docs, unnest(range(1, len(words) - 3)) AS t(i)),
+item_spots AS (
+    SELECT item_id, i - 1 AS place, array_to_string(words[i:i + 4], ' ') AS shingle,
+           len(words) AS n_words
+    FROM items, unnest(range(1, len(words) - 3)) AS t(i)),
+windows AS (
+    SELECT DISTINCT doc_id, n_words, n,
+           greatest(0, least(s.place - i.place, n - (n_words - 4))) AS start
+    FROM spots s JOIN item_spots i USING (shingle)),
+window_shingles AS (
+    SELECT w.doc_id, start, n_words, shingle, count(*) AS times
+    FROM windows w JOIN spots s
+      ON s.doc_id = w.doc_id AND s.place >= start AND s.place < start + n_words - 4
+    GROUP BY ALL),
+window_sizes AS (
+    SELECT doc_id, start, n_words, sum(times) AS size FROM window_shingles GROUP BY ALL),
+item_shingles AS (SELECT item_id, shingle, count(*) AS times FROM item_spots GROUP BY ALL),
+item_sizes AS (SELECT item_id, sum(times) AS size FROM item_shingles GROUP BY ALL),
+shared AS (
+    SELECT doc_id, start, n_words, item_id, sum(least(w.times, i.times)) AS common
+    FROM window_shingles w JOIN item_shingles i USING (shingle) GROUP BY ALL),
+compared AS (
+    SELECT shared.*, w.size + i.size - common AS either
+    FROM shared JOIN window_sizes w USING (doc_id, start, n_words) JOIN item_sizes i USING (item_id))
+SELECT doc_id, item_id, (common / either)::DOUBLE AS similarity, start::BIGINT AS start,
+       n_words::BIGINT AS n_words
+FROM compared WHERE common * 100 >= either * 80
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id
+    ORDER BY common / either DESC, start, n_words DESC) = 1
+"""
