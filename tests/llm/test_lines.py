@@ -1,0 +1,64 @@
+from collections import defaultdict
+
+import pytest
+
+from renewlens.llm import lines
+from tests.llm.helpers import documents
+
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def key(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(SPACES))
+
+
+def plain(rows, min_documents=2):
+    holders = defaultdict(set)
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 10:
+                holders[key(line)].add(i)
+    out = []
+    for i, text in rows:
+        kept = [
+            line
+            for line in (text or "").split("\n")
+            if len(holders[key(line)]) < min_documents or i == min(holders[key(line)])
+        ]
+        out.append((i, "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("min_documents", [2, 3])
+def test_against_plain_version(spark, min_documents):
+    rows = [
+        (1, "A shared line here\nown line of one\n"),
+        (2, "  a SHARED line here\t\n\nÉcole commune ici\nshort"),
+        (3, "école commune ici\nÉcole commune ici\na shared line here\na shared line here"),
+        (4, "short\n\n\n"),
+        (5, None),
+        (6, ""),
+        (7, "a shared line here"),
+        (8, "xx shared by two"),
+        (9, "xx shared by two\r\n" + "long " * 5000),
+    ]
+    found = lines.dedup_lines(documents(spark, rows), min_documents=min_documents).collect()
+    assert sorted((row.doc_id, row.text) for row in found) == plain(rows, min_documents)
+    assert all(
+        row.n_lines - row.n_dropped == (len(row.text.split("\n")) if row.n_lines > row.n_dropped else 0)
+        for row in found
+    )
+
+
+def test_odd_rows(spark):
+    line = "the same long line"
+    rows = [(1, line), (1, line), (None, line), (2, line + "\n" + line)]
+    found = lines.dedup_lines(documents(spark, rows)).collect()
+    # A null id is the smallest, so it keeps the line.
+    assert sorted((str(row.doc_id), row.text, row.n_dropped) for row in found) == [
+        ("1", "", 1),
+        ("1", "", 1),
+        ("2", "", 2),
+        ("None", line, 0),
+    ]
+    assert lines.dedup_lines(documents(spark, [])).count() == 0

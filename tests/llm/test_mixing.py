@@ -1,0 +1,80 @@
+import random
+
+from renewlens.llm import mixing
+from tests.llm.helpers import documents, words
+
+
+def target(sizes, share=1.5, weights=(3, 1, 2), most=2):
+    """The resharing as it is described: give by weight, cut what is above, give the rest again."""
+    names = sorted(sizes, key=lambda name: (name is None, (name or "").encode()))
+    weight = {name: weights[i % len(weights)] for i, name in enumerate(names)}
+    result, open_names = {}, set(names)
+    left = share * sum(sizes.values())
+    while open_names:
+        total = sum(weight[name] for name in open_names)
+        above = {n for n in open_names if left * weight[n] / total > most * sizes[n]}
+        if not above:
+            return result | {n: left * weight[n] / total for n in open_names}
+        for name in above:
+            result[name] = most * sizes[name]
+            left -= result[name]
+        open_names -= above
+    return result
+
+
+def mixed(spark, rows):
+    return [row.asDict() for row in mixing.mix(documents(spark, rows)).collect()]
+
+
+def test_targets_and_taken_words(spark):
+    random.seed(4)
+    sources = ["b", "a", "Z", "é", None, "tiny", "hot"]
+    weights = [5, 5, 5, 5, 5, 1, 60]
+    rows = [
+        (i, "w " * random.randint(0, 40), random.choices(sources, weights)[0]) for i in range(600)
+    ]
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(words(text))
+    expected = target(sizes)
+    source_of = {i: source for i, _, source in rows}
+    taken = dict.fromkeys(sizes, 0)
+    found = mixed(spark, rows)
+    assert len(found) == len(rows)
+    for row in found:
+        source = source_of[row["doc_id"]]
+        assert row["source_size"] == sizes[source]
+        assert abs(row["target"] - expected[source]) < 1e-6 * (1 + expected[source])
+        assert row["taken"] in (0, row["size"], 2 * row["size"])
+        taken[source] += row["taken"]
+    for source, words_taken in taken.items():
+        assert abs(words_taken - expected[source]) <= 40  # one document
+
+
+def test_reruns_agree(spark):
+    rows = [(i, "w " * (i % 7), "ab"[i % 2]) for i in range(80)]
+    first = sorted(tuple(row.values()) for row in mixed(spark, rows))
+    assert first == sorted(tuple(row.values()) for row in mixed(spark, rows[::-1]))
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (None, "a b"), (None, "c d e"), (3, "x"), (3, "x"), (4, "y " * 900)]
+    found = mixed(spark, rows)
+    assert len(found) == len(rows)
+    assert sum(row["size"] for row in found) == 907
+    same = [row["taken"] for row in found if row["doc_id"] == 3]
+    assert same[0] == same[1]
+    assert mixed(spark, []) == []
+    assert [row["taken"] for row in mixed(spark, [(1, None), (2, " ")])] == [0, 0]
+
+
+def test_mixed_documents_repeat_rows(spark):
+    rows = [(i, f"word{i} " * (1 + i % 5), "abc"[i % 3]) for i in range(90)]
+    frame = documents(spark, rows)
+    plan = {row.doc_id: row for row in mixing.mix(frame).collect()}
+    out = mixing.mixed_documents(frame)
+    assert out.columns == frame.columns
+    times = {}
+    for row in out.collect():
+        times[row.doc_id] = times.get(row.doc_id, 0) + 1
+    assert times == {i: row.taken // row.size for i, row in plan.items() if row.taken}

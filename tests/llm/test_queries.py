@@ -1,0 +1,34 @@
+"""Every registered query against its SQL, or that it covers the whole table."""
+
+import pytest
+
+import __spark_entry__ as entry
+from renewlens.llm import queries
+from tests.conftest import MEDIUM
+from tests.helpers import same_rows
+
+SQL = queries.oracle_sql()
+
+
+def test_registered():
+    names = [f"op{n}_" for n in range(1, 11)]
+    assert all(sum(one.startswith(name) for one in queries.queries()) == 1 for name in names)
+    assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query(name, spark, duck_medium):
+    df = queries.queries()[name](spark, MEDIUM)
+    found = [tuple(row) for row in df.collect()]
+    cursor = duck_medium.execute(SQL[name])
+    names = [column[0] for column in cursor.description]
+    same_rows(found, df.columns, cursor.fetchall(), names)
+
+
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op9_decontamination", "op10_licences"])
+def test_native_queries_run_no_python(name, spark, capsys):
+    queries.queries()[name](spark, MEDIUM).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" in plan or "Project" in plan
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian"))
