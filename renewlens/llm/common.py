@@ -13,6 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Rows that a broadcast may have.
+MOST_BROADCAST_ROWS = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +28,16 @@ def store(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """Marked for a broadcast if a count shows that it is small; else Spark joins it by a shuffle.
+
+    For tables of a few narrow columns; the count costs a pass over what ``df`` reads.
+    """
+    if df.limit(most_rows + 1).count() <= most_rows:
+        return F.broadcast(df)
+    return df
+
+
 def text_of(column: str) -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -21,12 +21,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import store, text_of
+from renewlens.llm.common import small, store, text_of
 
 RADIUS = 31
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 3
-# A table of so many rows at most is broadcast; a larger one is joined by a shuffle.
-MOST_BROADCAST_ROWS = 2_000_000
 _SECOND = 1  # added to a shingle's hash, it gives the other 64 bits
 
 
@@ -101,12 +99,6 @@ def _numbered(hashes: str) -> Column:
     )
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    if rows.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS:
-        return F.broadcast(rows)
-    return rows
-
-
 def find_leaks(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -150,7 +142,7 @@ def find_leaks(
     # The outer form keeps Spark from testing the array beforehand, which would build it twice.
     spots = hashed.select("key", F.posexplode_outer("hashes").alias("at", "hash"))
     windows = (
-        spots.join(_small(places.distinct()), "hash")
+        spots.join(small(places.distinct()), "hash")
         .select("key", (F.col("at") - F.col("place")).alias("begin"), "n_words")
         .distinct()
     )
@@ -161,7 +153,7 @@ def find_leaks(
         "leaks-windows",
     )
 
-    held = rows.join(_small(by_document), F.col("key") == F.col("w_key"))
+    held = rows.join(small(by_document), F.col("key") == F.col("w_key"))
     held = held.withColumn("words", own_words).withColumn(
         "hashes", shingles(F.col("words"), words)
     )
@@ -219,7 +211,7 @@ def find_leaks(
         .distinct()
     )
     compared = candidates.join(
-        _small(items.select(F.col("item").alias("c_item"), "item_id", "item_set")),
+        small(items.select(F.col("item").alias("c_item"), "item_id", "item_set")),
         F.col("item") == F.col("c_item"),
     )
     common = F.size(F.array_intersect("window_set", "item_set"))
@@ -254,5 +246,5 @@ def without_leaks(
     leaks = find_leaks(documents, benchmark, id_col=id_col, **options)
     leaking = store(leaks.select(F.col("doc_id").alias("_leaking")).distinct(), "leaks-documents")
     return documents.join(
-        _small(leaking), F.col(id_col).eqNullSafe(F.col("_leaking")), "left_anti"
+        small(leaking), F.col(id_col).eqNullSafe(F.col("_leaking")), "left_anti"
     )

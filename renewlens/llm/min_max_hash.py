@@ -23,15 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import store, text_of
+from renewlens.llm.common import small, store, text_of
 
 ROWS = 5
 BANDS = 32
 # A text with more candidate partners than this has its set copied to several tasks.
 _PARTNERS_A_TASK = 256
 _SLICE_BYTES = 8 << 20
-# So many ids of dropped documents are broadcast; more are joined by a shuffle.
-MOST_BROADCAST_ROWS = 2_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64, fixed values
 
 
@@ -156,7 +154,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, *, words: int, percent: int) ->
     a_ids = a_counts.select(F.col("a").alias("wanted"), copies.alias("copies"))
     b_ids = pairs.select(F.col("b").alias("wanted")).distinct().withColumn("copies", F.lit(0))
     wanted = a_ids.unionByName(b_ids).groupBy("wanted").agg(F.max("copies").alias("copies"))
-    needed = texts.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    needed = texts.join(small(wanted), F.col("doc_id") == F.col("wanted"), "left_semi")
     sets = store(
         needed.select("doc_id", "text").mapInArrow(_sets(words), "id bigint, shingles array<bigint>"),
         "minmax-sets",
@@ -303,7 +301,7 @@ def _across(
     ).unionByName(copies(open_groups, "level", 1, "m_blocks", "r_blocks"))
     needed = open_groups.select(F.col("id").alias("wanted"))
     sets = store(
-        texts.join(needed, F.col("doc_id") == F.col("wanted"), "left_semi")
+        texts.join(small(needed), F.col("doc_id") == F.col("wanted"), "left_semi")
         .select("doc_id", "text")
         .mapInArrow(_sets(words), "id bigint, shingles array<bigint>"),
         "minmax-open-sets",
@@ -449,6 +447,4 @@ def one_of_each(
         judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(),
         "minmax-dropped",
     )
-    if dropped.count() <= MOST_BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return documents.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    return documents.join(small(dropped), F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")

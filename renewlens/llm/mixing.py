@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import WORD, store, text_of
+from renewlens.llm.common import WORD, small, store, text_of
 
 BITS_A_LEVEL = 12
 LEVELS = 5
@@ -92,7 +92,7 @@ def thresholds(documents: DataFrame, budgets: DataFrame) -> DataFrame:
         sums = rest.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         sums = sums.withColumn("upto", F.sum("words").over(running))
         with_state = sums.alias("s").join(
-            _small(state).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))
+            small(state, MOST_BROADCAST_SOURCES).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))
         )
         over = with_state.select(
             "t.source", "budget", "bucket", "s.words", (F.col("below") + F.col("upto")).alias("upto")
@@ -112,7 +112,7 @@ def thresholds(documents: DataFrame, budgets: DataFrame) -> DataFrame:
         )
         edge = state.select(F.col("source").alias("edge_source"), F.col("prefix").alias("edge"))
         rest = rest.join(
-            _small(edge),
+            small(edge, MOST_BROADCAST_SOURCES),
             F.col("source").eqNullSafe(F.col("edge_source")) & (bucket == F.col("edge")),
             "left_semi",
         )
@@ -122,13 +122,6 @@ def thresholds(documents: DataFrame, budgets: DataFrame) -> DataFrame:
     )
 
 
-def _small(by_source: DataFrame) -> DataFrame:
-    """Broadcast a table of one row per source if it is small, else let Spark choose."""
-    if by_source.limit(MOST_BROADCAST_SOURCES + 1).count() <= MOST_BROADCAST_SOURCES:
-        return F.broadcast(by_source)
-    return by_source
-
-
 def sized(documents: DataFrame, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, source, size in words (0 for a null text), hash; stored, as it is read repeatedly."""
     return store(
@@ -192,7 +185,7 @@ def apply(
         F.col("threshold").alias("_threshold"),
     )
     joined = documents.join(
-        _small(renamed), F.col(source).cast("string").eqNullSafe(F.col("_source"))
+        small(renamed, MOST_BROADCAST_SOURCES), F.col(source).cast("string").eqNullSafe(F.col("_source"))
     )
     once_more = F.when(hash_column < F.col("_threshold"), 1).otherwise(0)
     return joined.withColumn("_copies", F.col("_rounds") + once_more)

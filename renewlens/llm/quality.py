@@ -121,9 +121,8 @@ def with_counts(
     )
 
 
-def measure(counted: DataFrame, candidates: list[Rule], *, rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """Cost and selectivity of each rule on at most ``rows`` rows, which are stored first."""
-    sample = store(counted.limit(rows), "quality-sample")
+def measure(sample: DataFrame, candidates: list[Rule]) -> list[Measured]:
+    """Cost and selectivity of each rule on a stored sample that has the counts."""
 
     def run(*columns: Column) -> tuple[float, tuple]:
         took = []
@@ -171,13 +170,19 @@ def judge(
 ) -> DataFrame:
     """Every row of ``documents`` with its counts, base_failed, rejected_by and kept.
 
+    About ``sample_rows`` random rows serve to order the rules.
+
     A null text counts as empty and fails the base rule; nulls in other columns, repeated rows and
     clashing names of other columns do not matter, as only id and text are read. An empty table
     gives no rows.
     """
     counted = with_counts(documents, id_col=id_col, text_col=text_col)
     chosen = rules() if candidates is None else candidates
-    ordered = in_order(measure(counted, chosen, rows=sample_rows))
+    # Drawn before anything is counted, so only the sample is counted twice.
+    share = min(1.0, sample_rows / max(documents.count(), 1))
+    drawn = documents.sample(fraction=share, seed=1)
+    sample = store(with_counts(drawn, id_col=id_col, text_col=text_col), "quality-sample")
+    ordered = in_order(measure(sample, chosen))
     judged = counted.withColumn("base_failed", base_failed())
     judged = judged.withColumn("rejected_by", F.when(~F.col("base_failed"), verdict(ordered)))
     return judged.select(

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import store, text_of
+from renewlens.llm.common import small, store, text_of
 from renewlens.sources.storage import export_parquet, shared_folder
 
 BLOCK_IDS = 1 << 18
@@ -43,7 +43,6 @@ _SLICE_BYTES = 2 << 20
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENDINGS = frozenset(bytes([byte]) for byte in _PUNCTUATION.encode())
 _CONTEXT_LOWER = frozenset("\u03a3\u0130")
-MOST_BROADCAST_SHARDS = 1_000_000
 
 _BLOCKS = (
     "shard int, block int, first bigint, doc_ids array<bigint>, counts array<bigint>, "
@@ -390,9 +389,7 @@ def read_files(spark: SparkSession, path: str, *, digest: bool = False) -> DataF
     starts = shards.select(
         F.col("shard").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start")
     )
-    if starts.limit(MOST_BROADCAST_SHARDS + 1).count() <= MOST_BROADCAST_SHARDS:
-        starts = F.broadcast(starts)
-    placed = blocks.join(starts, F.col("shard") == F.col("of")).select(
+    placed = blocks.join(small(starts), F.col("shard") == F.col("of")).select(
         (F.col("shard_start") + F.col("first")).alias("start"), "doc_ids", "counts", "control", "data"
     )
     last = "ids_crc32 bigint" if digest else "ids array<bigint>"
