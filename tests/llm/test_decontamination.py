@@ -1,0 +1,107 @@
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from renewlens.llm import decontamination as dc
+from tests.llm.helpers import documents
+
+ITEMS = "item_id bigint, text string, words string, item int"
+
+
+def benchmark(spark, rows):
+    return spark.createDataFrame([(i, text, "w", 1) for i, text in rows], ITEMS)
+
+
+def normal(text):
+    return [word for word in re.split(r"[\W_]+", (text or "").lower()) if word]
+
+
+def shingles(words):
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
+def similarity(a, b):
+    a, b = Counter(a), Counter(b)
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def best(text, item):
+    """Greatest similarity of an item-sized window, by trying all of them."""
+    document, wanted = shingles(normal(text)), shingles(normal(item))
+    if not document or not wanted:
+        return 0
+    size = len(wanted)
+    starts = range(max(1, len(document) - size + 1))
+    return max(similarity(document[s : s + size], wanted) for s in starts)
+
+
+def test_planted_items_against_all_windows(spark):
+    random.seed(12)
+
+    def prose(count):
+        return [f"w{random.randrange(3000)}" for _ in range(count)]
+
+    items = [(i, " ".join(prose(random.randint(15, 60)))) for i in range(12)]
+    rows = []
+    for i in range(200):
+        text = prose(random.randint(0, 150))
+        if i % 2:
+            words = items[i % 12][1].split()
+            for _ in range(i % 5):
+                words[random.randrange(len(words))] = "changed"
+            at = random.randint(0, len(text))
+            text[at:at] = [word.upper() + ("," if i % 3 else "") for word in words]
+        rows.append((i, " ".join(text)))
+    frame = documents(spark, rows)
+    found = {
+        (row.doc_id, row.item_id): row.similarity
+        for row in dc.find_leaks(frame, benchmark(spark, items)).collect()
+    }
+    expected = {}
+    for i, text in rows:
+        for item, wanted in items:
+            value = best(text, wanted)
+            if value >= 0.8:
+                expected[i, item] = value
+    assert len(expected) > 20
+    assert found == expected
+    left = dc.without_leaks(frame, benchmark(spark, items))
+    assert left.columns == frame.columns
+    leaking = {i for i, _ in expected}
+    assert {row.doc_id for row in left.collect()} == {i for i, _ in rows} - leaking
+
+
+def test_index_holds_all_within_the_radius(spark):
+    """Of fingerprints at most 31 bits apart, some block differs in at most three."""
+    random.seed(1)
+    changes = set(dc._changes())
+    assert len(changes) == 697
+    for _ in range(300):
+        bits = random.sample(range(128), dc.RADIUS)
+        blocks = [sum(1 << bit % 16 for bit in bits if bit // 16 == block) for block in range(8)]
+        assert any(block in changes for block in blocks)
+
+
+def test_fingerprint_is_the_majority(spark):
+    frame = spark.createDataFrame([([5, 6, 7],), ([1],), ([],)], "h array<bigint>")
+    frame = frame.withColumn("other", F.transform("h", lambda h: F.xxhash64(h, F.lit(dc._SECOND))))
+    for row in dc.with_fingerprint(frame, "h").collect():
+        for hashes, got in ((row.h, row.high), (row.other, row.low)):
+            for bit in range(64):
+                ones = sum(h >> bit & 1 for h in hashes)
+                assert (got >> bit & 1) == (2 * ones > len(hashes))
+
+
+def test_odd_rows(spark):
+    item = "one two three four five six seven eight nine ten"
+    items = benchmark(spark, [(1, item), (1, item), (2, None), (3, "too short"), (None, item)])
+    rows = [(1, None), (2, ""), (None, item), (3, item), (3, item), (4, "x " * 9000 + item), (5, "one two")]
+    found = dc.find_leaks(documents(spark, rows), items).collect()
+    pairs = {(row.doc_id, row.item_id) for row in found}
+    assert pairs == {(d, i) for d in (None, 3, 4) for i in (1, None)}
+    left = dc.without_leaks(documents(spark, rows), items)
+    assert sorted(row.doc_id for row in left.collect()) == [1, 2, 5]
+    assert dc.find_leaks(documents(spark, []), items).count() == 0
+    assert dc.find_leaks(documents(spark, rows), benchmark(spark, [])).count() == 0

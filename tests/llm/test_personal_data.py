@@ -1,0 +1,109 @@
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from renewlens.llm import personal_data as pd
+from tests.llm.helpers import documents
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pd.train()
+
+
+def plain(text):
+    """The patterns as the contract writes them."""
+
+    def digits(match):
+        return re.sub("[^0-9]", "", match[0])
+
+    def found(pattern, test):
+        return [m.span() for m in re.finditer(pattern, text) if test(m)]
+
+    return {
+        "email": found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": found(
+            r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            lambda m: all(int(part) <= 255 for part in m[0].split(".")),
+        ),
+        "card": found(
+            r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and pd._luhn(digits(m))
+        ),
+        "phone": found(r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    }
+
+
+def test_patterns_against_plain_ones():
+    random.seed(1)
+    texts = ["".join(random.choices("a@b.c-1 2+3(4)5.6%_ 0é255.", k=random.randint(0, 30))) for _ in range(20000)]
+    assert all(pd.pattern_spans(text) == plain(text) for text in texts)
+
+
+def test_patterns_on_documents(medium_texts):
+    assert all(pd.pattern_spans(text) == plain(text) for text in medium_texts.values())
+
+
+def test_long_runs_end():
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "@" * 100_000, "+1 " * 50_000, "1." * 100_000):
+        pd.pattern_spans(text)
+
+
+def test_viterbi_finds_the_best_path(field):
+    random = np.random.default_rng(3)
+    steps = field.step + pd._allowed()
+    texts = [random.integers(0, len(field.kinds), size) for size in (1, 3, 4, 2, 4)]
+    lengths = np.array([len(one) for one in texts])
+    found = np.split(pd.viterbi(field, np.concatenate(texts), lengths), np.cumsum(lengths)[:-1])
+    for kinds, labels in zip(texts, found, strict=True):
+
+        def score(path, kinds=kinds):
+            total = field.start[path[0]] + pd._allowed()[0, path[0]]
+            for t, label in enumerate(path):
+                total += field.here[kinds[t], label]
+                total += field.before[kinds[t - 1], label] + steps[path[t - 1], label] if t else 0
+                total += field.after[kinds[t + 1], label] if t + 1 < len(kinds) else 0
+            return total
+
+        best = max(itertools.product(range(pd.LABELS), repeat=len(kinds)), key=score)
+        assert abs(score(tuple(labels)) - score(best)) < 1e-9
+
+
+def test_field_reads_new_sentences(spark, field):
+    rows = [
+        (1, "please call (415) 555-0177 tomorrow"),
+        (2, "write to email bob (at) host (dot) net soon"),
+        (3, "in 1999 there were 300 people in room 12, on page 5"),
+        (4, "mail a.b@c.de or phone +44 20 7946 0018 now"),
+        (5, "to to to to at at at it is"),
+    ]
+    found = {row.doc_id: row for row in pd.find(documents(spark, rows), field=field).collect()}
+    assert found[1].spans == "phone:12:26" and found[1].n_added == 1
+    assert found[2].spans.startswith("email:15:") and found[2].n_added == 1
+    assert found[3].spans == found[5].spans == ""
+    assert found[4].spans == pd.written(plain(rows[3][1])) and found[4].n_added == 0
+
+
+def test_base_spans_stay(spark, field, medium_texts):
+    rows = list(medium_texts.items())
+    for row in pd.find(documents(spark, rows), field=field).collect():
+        base = plain(medium_texts[row.doc_id])
+        text = pd.written(base)
+        assert row.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [len(base[k]) for k in pd.KINDS]
+        assert set(filter(None, text.split(","))) <= set(row.spans.split(","))
+        assert row.n_added == len(list(filter(None, row.spans.split(",")))) - sum(map(len, base.values()))
+
+
+def test_odd_rows(spark, field):
+    rows = [(1, None), (2, ""), (None, "a@b.co"), (3, "a@b.co"), (3, "a@b.co"), (4, "é" * 9 + " 1.2.3.4")]
+    found = pd.find(documents(spark, rows), field=field).collect()
+    assert len(found) == len(rows)
+    spans = sorted((str(row.doc_id), row.spans) for row in found)
+    assert spans == [
+        ("1", ""), ("2", ""), ("3", "email:0:6"), ("3", "email:0:6"), ("4", "ip:10:17"), ("None", "email:0:6")
+    ]
+    assert pd.find(documents(spark, []), field=field).count() == 0
