@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +34,11 @@ from renewlens.llm.common import small, store, text_of
 from renewlens.sources.storage import export_parquet, shared_folder
 
 BLOCK_IDS = 1 << 18
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 500_000
 _FORGET_AFTER = 32
 _JOINED = 256
 _CACHED_BYTES = 48
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 8 << 20
 # ASCII punctuation but the apostrophe, a run of which is one piece,
 # and letters whose lower case depends on the library or on neighbours.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -90,13 +91,14 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class _Encoder:
-    """Ids of texts as little-endian integers, with a bounded memory of words.
+    """Ids of texts, with a bounded memory of words.
 
     The tokenizer never looks past ASCII white space, so the ids of a text are those of its words
-    in a row. Most words are letters with punctuation at the end. Such pieces need no normalising
-    and splitting, which is the dear part: those of many words are joined by spaces and go through
-    the vocabulary's merges at once, and the id that ends a piece shows where the next begins.
-    All other words are encoded one by one.
+    in a row. Arrow splits a slice of texts and numbers its distinct words, and only words that are not
+    known yet are tokenized. Most of them are letters with punctuation at the end. Such pieces
+    need no normalising and splitting, which is the dear part: those of many words are joined by
+    spaces and go through the vocabulary's merges at once, and the id that ends a piece shows where
+    the next begins. All other words are encoded one by one.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -121,7 +123,12 @@ class _Encoder:
             self._ends[[one for word, one in vocabulary.items() if word.endswith(suffix)]] = True
         self._alphabet = _byte_alphabet()
         # Frequent words come early; when full it stays as it is until many words were unknown.
-        self._known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known = pa.array([], pa.string())
+        self._bounds = np.zeros(1, dtype=np.int64)
+        self._ids = np.zeros(0, dtype=self._dtype)
         self._unknown = 0
 
     def _pieces(self, word: str) -> list[str] | None:
@@ -138,13 +145,13 @@ class _Encoder:
             return None
         return [letters, ending] if ending else [letters]
 
-    def _tokenize(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found: dict[bytes, bytes] = {}
+    def _tokenize(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the words, and the ids of all in a row."""
         pieces: list[bytes] = []
-        easy: list[bytes] = []
-        counts: list[int] = []
-        rest: list[bytes] = []
-        for word in words if self._merges else ():
+        easy: list[int] = []
+        upto: list[int] = []
+        rest: list[int] = []
+        for number, word in enumerate(words):
             if word.isalpha():  # ASCII letters
                 pieces.append(word.lower())
             elif word[:-1].isalpha() and word[-1:] in _ENDINGS:
@@ -152,14 +159,14 @@ class _Encoder:
             else:
                 split = self._pieces(word.decode())
                 if split is None:
-                    rest.append(word)
+                    rest.append(number)
                     continue
                 pieces += [piece.encode() for piece in split]
-            easy.append(word)
-            counts.append(len(pieces))
-        if not self._merges:
-            rest = words
-        if easy:
+            easy.append(number)
+            upto.append(len(pieces))
+        counts = np.zeros(len(words), dtype=np.int64)
+        ids = np.zeros(0, dtype=self._dtype)
+        if easy and self._merges:
             joined = [
                 b" ".join(pieces[i : i + _JOINED]).decode()
                 for i in range(0, len(pieces), _JOINED)
@@ -168,48 +175,58 @@ class _Encoder:
             ids = np.concatenate([np.array(one.ids, dtype=self._dtype) for one in encoded])
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) == len(pieces):
-                bounds = ends[np.array(counts) - 1] * self._dtype.itemsize
-                raw, begin = ids.tobytes(), 0
-                for word, end in zip(easy, bounds.tolist(), strict=True):
-                    found[word] = raw[begin:end]
-                    begin = end
+                counts[easy] = np.diff(ends[np.array(upto) - 1], prepend=0)
             else:
-                rest = words
+                easy = []
+        if len(easy) + len(rest) < len(words) or not self._merges:
+            easy, rest, ids = [], list(range(len(words))), ids[:0]
         if rest:
             encoded = self._tokenizer.encode_batch_fast(
-                [word.decode() for word in rest], add_special_tokens=False
+                [words[i].decode() for i in rest], add_special_tokens=False
             )
-            for word, one in zip(rest, encoded, strict=True):
-                found[word] = np.array(one.ids, dtype=self._dtype).tobytes()
-        return found
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+            counts[rest] = [len(one.ids) for one in encoded]
+            others = np.array([i for one in encoded for i in one.ids], dtype=self._dtype)
+            # Back into the order of the words.
+            place = np.zeros(len(words), dtype=bool)
+            place[rest] = True
+            whole = np.empty(int(counts.sum()), dtype=self._dtype)
+            from_rest = np.repeat(place, counts)
+            whole[from_rest] = others
+            whole[~from_rest] = ids
+            ids = whole
+        return counts, ids
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and the ids of all in a row."""
         if self._unknown > _FORGET_AFTER * _CACHED_WORDS:
-            self._known, self._unknown = {}, 0
-        get = self._known.get
-        split = [text.split() for text in texts]
-        parts = [list(map(get, words)) for words in split]
-        missing = {
-            word
-            for words, ids in zip(split, parts, strict=True)
-            if None in ids
-            for word, one in zip(words, ids, strict=True)
-            if one is None
-        }
-        fresh = self._tokenize(list(missing)) if missing else {}
-        whole = [
-            b"".join(
-                [fresh[w] if one is None else one for w, one in zip(words, ids, strict=True)]
-                if None in ids
-                else ids
-            )
-            for words, ids in zip(split, parts, strict=True)
-        ]
+            self._forget()
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary
+        known = pc.index_in(words, value_set=self._known)
+        new = words.filter(known.is_null())
+        counts, ids = self._tokenize(new.cast(pa.binary()).to_pylist())
+        all_ids = np.concatenate([self._ids, ids])
+        bounds = np.concatenate([self._bounds, self._bounds[-1] + np.cumsum(counts)])
+        row = np.asarray(known.fill_null(-1)).copy()
+        row[row < 0] = len(self._known) + np.arange(len(new))
         if len(self._known) < _CACHED_WORDS:
-            self._known.update((w, ids) for w, ids in fresh.items() if len(w) <= _CACHED_BYTES)
+            short = np.asarray(pc.less_equal(pc.binary_length(new), _CACHED_BYTES))
+            self._known = pa.concat_arrays([self._known, new.filter(pa.array(short))])
+            self._ids = np.concatenate([self._ids, ids[np.repeat(short, counts)]])
+            self._bounds = np.append(0, np.cumsum(np.append(np.diff(self._bounds), counts[short])))
         else:
-            self._unknown += len(fresh)
-        return whole
+            self._unknown += len(new)
+
+        row = row[np.asarray(numbered.indices)]
+        begins = bounds[row]
+        sizes = bounds[row + 1] - begins
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = all_ids[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]
+        offsets = np.asarray(split.offsets, dtype=np.int64)
+        upto = np.append(0, ends)[offsets - offsets[0]]
+        return np.diff(upto), flat
 
 
 # One encoder per tokenizer file; a Python worker keeps it from task to task.
@@ -217,8 +234,6 @@ _ENCODERS: dict[str, _Encoder] = {}
 
 
 def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
-    end = np.array([end_id], dtype=dtype).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = _Encoder(path, dtype)
@@ -227,11 +242,19 @@ def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
             rows = max(1, batch.num_rows * _SLICE_BYTES // max(batch.nbytes, 1))
             for begin in range(0, batch.num_rows, rows):
                 part = batch.slice(begin, rows)
-                texts = part.column(1).cast(pa.binary()).to_pylist()
-                ids = [one + end for one in encode(texts)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
+                counts, ids = encode(part.column(1))
+                ends = np.cumsum(counts + 1)
+                whole = np.full(len(ids) + len(counts), end_id, dtype=dtype)
+                inner = np.ones(len(whole), dtype=bool)
+                inner[ends - 1] = False
+                whole[inner] = ids
+                offsets = np.append(0, ends * whole.itemsize).astype(np.int32)
+                binary = pa.Array.from_buffers(
+                    pa.binary(),
+                    len(counts),
+                    [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(whole.tobytes())],
                 )
+                yield pa.RecordBatch.from_arrays([part.column(0), binary], names=["doc_id", "ids"])
 
     return run
 
