@@ -32,6 +32,7 @@ THRESHOLDS = (2, 3, 4)
 # Both dictionaries end with this and every window begins with it. The match keeps a window from
 # being stored as it is, as zstandard does when it would save less than two bytes.
 ANCHOR = bytes(range(1, 9)) * 5
+_PARTS = 4
 _LEAST_CONTEXTS = 3
 _LEAST_SHARE = 0.01
 _SLICE_BYTES = 8 << 20
@@ -171,18 +172,18 @@ def _curve(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries of all texts given; the curve from two halves, each seen by the other's."""
+    """Dictionaries of all texts given; the curve from parts that its dictionaries had not seen."""
     if not toxic or not ordinary:
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
         count = len(THRESHOLDS) + 4
         weights = np.append(np.zeros(count), np.log(share / (1 - share)))
         return Model(b"", b"", np.zeros(count), np.ones(count), weights)
     rows, labels = [], []
-    for half in (0, 1):
-        fit = [one for i, one in enumerate(toxic) if i % 2 != half] or toxic
-        fit_ordinary = [one for i, one in enumerate(ordinary) if i % 2 != half] or ordinary
+    for part in range(_PARTS):
+        fit = [one for i, one in enumerate(toxic) if i % _PARTS != part] or toxic
+        fit_ordinary = [one for i, one in enumerate(ordinary) if i % _PARTS != part] or ordinary
         compressors = [_compressor(one) for one in train_dictionaries(fit, fit_ordinary)]
-        for label, texts in ((1, toxic[half::2]), (0, ordinary[half::2])):
+        for label, texts in ((1, toxic[part::_PARTS]), (0, ordinary[part::_PARTS])):
             if texts:
                 rows.append(features(texts, *compressors))
                 labels.append(np.full(len(texts), label))
