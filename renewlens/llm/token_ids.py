@@ -36,9 +36,10 @@ from renewlens.sources.storage import export_parquet, shared_folder
 BLOCK_IDS = 1 << 18
 _CACHED_WORDS = 500_000
 _FORGET_AFTER = 32
-_JOINED = 256
+_JOINED = 256  # pieces in a text
+_AT_ONCE = 32  # such texts in a call
 _CACHED_BYTES = 48
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 # ASCII punctuation but the apostrophe, a run of which is one piece,
 # and letters whose lower case depends on the library or on neighbours.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -171,8 +172,13 @@ class _Encoder:
                 b" ".join(pieces[i : i + _JOINED]).decode()
                 for i in range(0, len(pieces), _JOINED)
             ]
-            encoded = self._merges.encode_batch_fast(joined, add_special_tokens=False)
-            ids = np.concatenate([np.array(one.ids, dtype=self._dtype) for one in encoded])
+            found = []
+            for i in range(0, len(joined), _AT_ONCE):
+                encoded = self._merges.encode_batch_fast(
+                    joined[i : i + _AT_ONCE], add_special_tokens=False
+                )
+                found += [np.array(one.ids, dtype=self._dtype) for one in encoded]
+            ids = np.concatenate(found)
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) == len(pieces):
                 counts[easy] = np.diff(ends[np.array(upto) - 1], prepend=0)
@@ -255,6 +261,8 @@ def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
                     [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(whole.tobytes())],
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), binary], names=["doc_id", "ids"])
+        # The worker lives on; what Arrow holds back would count against its executor.
+        pa.default_memory_pool().release_unused()
 
     return run
 
