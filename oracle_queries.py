@@ -34,7 +34,8 @@ payments_raw AS (
   SELECT l_orderkey::varchar AS row_id, (l_orderkey * 10 + l_linenumber)::varchar AS payment_id,
          o_custkey::varchar AS user_id, round(l_extendedprice * 100)::bigint::varchar AS amount,
          CASE WHEN l_returnflag = 'N' THEN '33:25.6' ELSE strftime(l_shipdate, '%d-%m-%Y') END AS payment_date,
-         l_returnflag AS payment_method, '24:52.6' AS created_at, l_orderkey::varchar AS subscription_id
+         l_returnflag AS payment_method,
+         CASE WHEN l_linenumber = 1 THEN strftime(l_shipdate, '%d-%m-%Y') ELSE '24:52.6' END AS created_at, l_orderkey::varchar AS subscription_id
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey
   UNION ALL SELECT 'row_id','payment_id','user_id','amount','payment_date','payment_method','created_at','subscription_id'
 ),
@@ -339,12 +340,15 @@ _BODIES = {
       SELECT count(*) AS looks_like_date FROM payments_in
       WHERE regexp_matches(created_at, '^[0-9]{2}-[0-9]{2}-[0-9]{4}')""",
     "q10_churn_mart_display": _MART,
-    "t01_saved_table_counts": _counted(
-        ("dim_users", "person"),
-        ("fct_subscriptions", "sub"),
-        ("fct_payments", "pay"),
-        ("engagement_per_user", "eng"),
-        ("users_draft", "person WHERE false"),
+    "t01_saved_table_counts": " UNION ALL ".join(
+        f"SELECT '{name}' AS relation, count(*) AS rows, count(user_id) AS user_ids FROM {source}"
+        for name, source in (
+            ("dim_users", "person"),
+            ("fct_subscriptions", "sub"),
+            ("fct_payments", "pay"),
+            ("engagement_per_user", "eng"),
+            ("users_draft", "person WHERE false"),
+        )
     ),
     "t07_status_over_views": f"""
       SELECT tenure_bucket, start_date <= {_DAY} AND NOT ended AS is_active, ended AS is_churned,

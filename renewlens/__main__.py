@@ -15,16 +15,16 @@ def main(arguments: list[str] | None = None) -> None:
     for feed in ("users", "subscriptions", "payments", "listening"):
         parser.add_argument(f"--{feed}", required=True, help=f"path of the {feed} CSV files")
     parser.add_argument("--out", required=True, help="folder for all results")
-    parser.add_argument("--as-of", help="reference day, YYYY-MM-DD; today if left out")
+    parser.add_argument("--as-of", help="reference day, YYYY-MM-DD; today in UTC if left out")
     parser.add_argument("--strict", action="store_true", help="fail on the first malformed row")
     parser.add_argument("--overwrite", action="store_true", help="replace earlier results")
     parser.add_argument("--report", action="append", help="only this report; may be repeated")
-    parser.add_argument("--input-gib", type=int, default=0, help="size of the feeds, for tuning")
     chosen = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName("renewlens").getOrCreate()
-    cores = spark.sparkContext.defaultParallelism
-    session.apply(spark, session.settings_for(chosen.input_gib * 1024**3, cores))
+    paths = [chosen.users, chosen.subscriptions, chosen.payments, chosen.listening]
+    size = session.input_size(spark, paths)
+    session.apply(spark, session.sized(spark, size))
     landing = Landing.from_csv(
         spark,
         users=chosen.users,
@@ -41,6 +41,7 @@ def main(arguments: list[str] | None = None) -> None:
         strict=chosen.strict,
         reports=chosen.report,
         mode="overwrite" if chosen.overwrite else "errorifexists",
+        input_bytes=size,
     )
     for name, found in counts.items():
         print(f"{name}: {found['typed']} typed rows, {found['rejected']} rejected")

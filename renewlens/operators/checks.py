@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from renewlens.functions.ordering import largest_first, smallest_first
 from renewlens.functions.parsing import ALL_DIGITS, STARTS_LIKE_DAY, integer
-from renewlens.operators.revenue import subscription_copies
-from renewlens.sources.feeds import Feed
 
 
 def preview(df: DataFrame, n: int, *columns: str) -> DataFrame:
@@ -33,33 +31,11 @@ def row_count(df: DataFrame, name: str = "rows") -> DataFrame:
 def row_counts(relations: Mapping[str, DataFrame]) -> DataFrame:
     """One row per relation with its number of rows."""
     return reduce(
-        DataFrame.unionByName, [label_count(row_count(df), name) for name, df in relations.items()]
-    )
-
-
-def label_count(count: DataFrame, *names: str) -> DataFrame:
-    """A one-row count as one row per relation known to have that many rows."""
-    return count.select(F.explode(F.array(*map(F.lit, names))).alias("relation"), "rows")
-
-
-def feed_counts(raw: DataFrame, feed: Feed, landed: str, *typed: str) -> DataFrame:
-    """Rows of a landed feed and of the tables with one row per typable row, in one scan."""
-    known = ~feed.is_header()
-    cells = [
-        F.struct(F.lit(name).alias("relation"), F.count_if(counted).alias("rows"))
-        for name, counted in (
-            (landed, known), *((name, known & ~feed.is_malformed(raw)) for name in typed)
-        )
-    ]
-    return raw.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-
-
-def joined_payment_count(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Rows of the payments mart, without producing them: counts per subscription multiply."""
-    paid = payments.groupBy("subscription_id").agg(F.count("*").alias("payments"))
-    pairs = paid.join(subscription_copies(subscriptions), "subscription_id")
-    return pairs.agg(
-        F.coalesce(F.sum(F.col("payments") * F.col("copies")), F.lit(0)).alias("rows")
+        DataFrame.unionByName,
+        [
+            row_count(df).select(F.lit(name).alias("relation"), "rows")
+            for name, df in relations.items()
+        ],
     )
 
 

@@ -58,11 +58,33 @@ def _summary(joined: DataFrame, group: str, weight: Column, *names: str) -> Data
     )
 
 
+def subscription_counts(subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
+    """Subscriptions per user, plan and status, from which counts by plan or by status add up."""
+    status = lifecycle.status_label(F.col("end_date"), as_of).alias("subscription_status")
+    return _copies(
+        subscriptions.select("user_id", "subscription_type", status),
+        "user_id",
+        "subscription_type",
+        "subscription_status",
+        name="subscription_rows",
+    )
+
+
+def _added_up(counts: DataFrame, *keys: str) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("subscription_rows").alias("subscription_rows"))
+
+
 def plan_engagement(
     engagement: DataFrame, users: DataFrame, subscriptions: DataFrame
 ) -> DataFrame:
-    """Engagement of known users by the plan of their subscriptions, unsorted."""
-    plans = _copies(subscriptions, "user_id", "subscription_type", name="subscription_rows")
+    """Engagement of known users by the plan of their subscriptions, unsorted.
+
+    ``subscriptions`` may be counted already, as ``subscription_counts`` does.
+    """
+    if "subscription_rows" in subscriptions.columns:
+        plans = _added_up(subscriptions, "user_id", "subscription_type")
+    else:
+        plans = _copies(subscriptions, "user_id", "subscription_type", name="subscription_rows")
     joined = (
         _per_user(engagement)
         .join(_copies(users, "user_id", name="user_rows"), "user_id")
@@ -82,14 +104,20 @@ def plan_engagement(
 def status_engagement(
     engagement: DataFrame, subscriptions: DataFrame, *, as_of: Column
 ) -> DataFrame:
-    """Engagement by status of the user's subscriptions, unsorted; a user may be in both."""
-    status = lifecycle.status_label(F.col("end_date"), as_of).alias("subscription_status")
-    statuses = _copies(
-        subscriptions.select("user_id", status),
-        "user_id",
-        "subscription_status",
-        name="subscription_rows",
-    )
+    """Engagement by status of the user's subscriptions, unsorted; a user may be in both.
+
+    ``subscriptions`` may be counted already, as ``subscription_counts`` does.
+    """
+    if "subscription_rows" in subscriptions.columns:
+        statuses = _added_up(subscriptions, "user_id", "subscription_status")
+    else:
+        status = lifecycle.status_label(F.col("end_date"), as_of).alias("subscription_status")
+        statuses = _copies(
+            subscriptions.select("user_id", status),
+            "user_id",
+            "subscription_status",
+            name="subscription_rows",
+        )
     return _summary(
         _per_user(engagement).join(statuses, "user_id"),
         "subscription_status",

@@ -30,8 +30,13 @@ def headline(payments: DataFrame, subscriptions: DataFrame, *, as_of: Column) ->
     )
 
 
-def revenue_two_routes(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Revenue by plan from every joined payment and from cents summed before the join."""
+def revenue_two_routes(
+    payments: DataFrame, subscriptions: DataFrame, paid: DataFrame | None = None
+) -> DataFrame:
+    """Revenue by plan from every joined payment and from cents summed before the join.
+
+    The second route starts from ``paid``, revenue per subscription, if that is given.
+    """
     copies = revenue.subscription_copies(subscriptions)
     joined = (
         payments.select("subscription_id", "amount")
@@ -39,9 +44,7 @@ def revenue_two_routes(payments: DataFrame, subscriptions: DataFrame) -> DataFra
         .groupBy("subscription_type")
         .agg(F.sum(F.col("amount") * F.col("copies").cast(WEIGHT_TYPE)).alias("joined_revenue"))
     )
-    cents = payments.groupBy("subscription_id").agg(
-        F.sum(F.col("amount_cents").cast("decimal(12,0)")).alias("cents")
-    )
+    cents = revenue.subscription_revenue(payments if paid is None else paid)
     all_cents = F.sum(F.col("cents") * F.col("copies").cast(WEIGHT_TYPE))
     summed = (
         cents.join(copies, "subscription_id")
@@ -134,25 +137,31 @@ def plan_page(
     subscriptions: DataFrame,
     *,
     as_of: Column,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
-    """Average revenue and engagement by plan, and engagement by status, in long form."""
+    """Average revenue and engagement by plan, and engagement by status, in long form.
+
+    One count of subscriptions serves both engagement panels; the revenue panel takes the copies
+    per subscription, counted here unless they are given.
+    """
+    counts = engagement.subscription_counts(subscriptions, as_of=as_of)
     return reduce(
         DataFrame.unionByName,
         [
             _panel(
-                revenue.plan_averages(payments, subscriptions),
+                revenue.plan_averages(payments, subscriptions if copies is None else copies),
                 "average revenue by plan",
                 "subscription_type",
                 ["avg_revenue_per_subscription"],
             ),
             _panel(
-                engagement.plan_engagement(engagement_rows, users, subscriptions),
+                engagement.plan_engagement(engagement_rows, users, counts),
                 "engagement by plan",
                 "subscription_type",
                 ["users_with_listens", "avg_listens_per_user", "max_listens"],
             ),
             _panel(
-                engagement.status_engagement(engagement_rows, subscriptions, as_of=as_of),
+                engagement.status_engagement(engagement_rows, counts, as_of=as_of),
                 "engagement by status",
                 "subscription_status",
                 ["users", "avg_listens", "max_listens"],
@@ -208,15 +217,26 @@ def _churn_panels(marted: DataFrame) -> DataFrame:
     )
 
 
-def summary_page(payments: DataFrame, subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
-    """Churn severity, revenue share by plan and churn by tenure bucket, in long form."""
+def summary_page(
+    payments: DataFrame,
+    subscriptions: DataFrame,
+    *,
+    as_of: Column,
+    copies: DataFrame | None = None,
+) -> DataFrame:
+    """Churn severity, revenue share by plan and churn by tenure bucket, in long form.
+
+    The total and the shares start from the same sum per subscription; where that is stored, the
+    payments are not read.
+    """
+    paid = revenue.subscription_revenue(payments)
     return reduce(
         DataFrame.unionByName,
         [
             _churn_panels(marts.bi_subscriptions(subscriptions, as_of=as_of)),
-            _panel(revenue.total_revenue(payments), "headline", None, ["total_revenue"]),
+            _panel(revenue.total_revenue(paid), "headline", None, ["total_revenue"]),
             _panel(
-                revenue.plan_shares(payments, subscriptions),
+                revenue.plan_shares(paid, subscriptions if copies is None else copies),
                 "revenue by plan",
                 "subscription_type",
                 ["revenue", "revenue_share_percent"],

@@ -4,6 +4,9 @@ Payments are summed per subscription before they meet the plans, and repeated su
 rows are counted into one. A subscription with any number of payments or copies is thus one
 row on each side of the join, and its revenue is multiplied by the number of copies, which is
 what joining every payment to every copy would add up to.
+
+Both sides may be given collapsed already, as ``subscription_revenue`` and
+``subscription_copies`` return them: stored once, they serve all reports.
 """
 
 from __future__ import annotations
@@ -18,14 +21,21 @@ from renewlens.functions.ordering import largest_first, smallest_first
 
 def subscription_copies(subscriptions: DataFrame) -> DataFrame:
     """Distinct pairs of subscription and plan with the number of rows of each."""
+    if "copies" in subscriptions.columns:
+        return subscriptions
     return subscriptions.groupBy("subscription_id", "subscription_type").agg(
         F.count("*").alias("copies")
     )
 
 
 def subscription_revenue(payments: DataFrame) -> DataFrame:
-    """Revenue per subscription; null where no payment has an amount."""
-    return payments.groupBy("subscription_id").agg(F.sum("amount").alias("subscription_revenue"))
+    """Revenue per subscription, in money and in cents; null where no payment has an amount."""
+    if "subscription_revenue" in payments.columns:
+        return payments
+    return payments.groupBy("subscription_id").agg(
+        F.sum("amount").alias("subscription_revenue"),
+        F.sum(F.col("amount_cents").cast("decimal(12,0)")).alias("cents"),
+    )
 
 
 def plan_revenue(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -47,7 +57,11 @@ def plan_averages(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def plan_shares(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Share of each plan in all revenue, unsorted; the window runs over one row per plan."""
+    """Share of each plan in all revenue, unsorted.
+
+    The window runs over one row per plan text. Plans are free text, so the bound on its rows is
+    that a service has few plans; a feed with a text of its own in every row would break it.
+    """
     everything = F.sum("revenue").over(Window.partitionBy())
     return plan_revenue(payments, subscriptions).select(
         "subscription_type",
@@ -61,7 +75,9 @@ def _richest_first(df: DataFrame) -> DataFrame:
 
 
 def total_revenue(payments: DataFrame) -> DataFrame:
-    return payments.agg(F.sum("amount").alias("total_revenue"))
+    """Sum of payments, or of revenue per subscription where that is given."""
+    amount = "amount" if "amount" in payments.columns else "subscription_revenue"
+    return payments.agg(F.sum(amount).alias("total_revenue"))
 
 
 def revenue_by_plan(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -90,6 +106,7 @@ def top_subscriptions(payments: DataFrame, n: int = 10) -> DataFrame:
     """Subscriptions with the largest revenue; ties go to the smaller id."""
     return (
         subscription_revenue(payments)
+        .select("subscription_id", "subscription_revenue")
         .orderBy(largest_first("subscription_revenue"), smallest_first("subscription_id"))
         .limit(n)
     )

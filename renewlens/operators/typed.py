@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from renewlens.functions.parsing import ID_TYPE, cents_to_money
@@ -14,7 +14,7 @@ def dim_users(
     *,
     id_type: str = ID_TYPE,
     strict: bool = False,
-    watch: Observation | None = None,
+    judged: bool = False,
 ) -> DataFrame:
     """One row per landed user row. The password hash stays behind."""
     feed = feeds.users_feed(id_type)
@@ -30,7 +30,7 @@ def dim_users(
         "subscription_type",
         "created_at",
         strict=strict,
-        watch=watch,
+        judged=judged,
     )
 
 
@@ -39,7 +39,7 @@ def fct_subscriptions(
     *,
     id_type: str = ID_TYPE,
     strict: bool = False,
-    watch: Observation | None = None,
+    judged: bool = False,
 ) -> DataFrame:
     feed = feeds.subscriptions_feed(id_type)
     return feeds.typed_rows(
@@ -53,7 +53,7 @@ def fct_subscriptions(
         feed.typed("end_date"),
         "created_at",
         strict=strict,
-        watch=watch,
+        judged=judged,
     )
 
 
@@ -62,7 +62,7 @@ def fct_payments(
     *,
     id_type: str = ID_TYPE,
     strict: bool = False,
-    watch: Observation | None = None,
+    judged: bool = False,
 ) -> DataFrame:
     """Amounts land as whole cents; the money column is exact."""
     feed = feeds.payments_feed(id_type)
@@ -80,18 +80,30 @@ def fct_payments(
         "payment_method",
         "created_at",
         strict=strict,
-        watch=watch,
+        judged=judged,
     )
 
 
+def listening_users(
+    listening_raw: DataFrame,
+    *,
+    id_type: str = ID_TYPE,
+    strict: bool = False,
+    judged: bool = False,
+) -> DataFrame:
+    """The user of each event, still as text."""
+    feed = feeds.listening_feed(id_type)
+    return feeds.typed_rows(listening_raw, feed, "user_id", strict=strict, judged=judged)
+
+
+def listens_per_user(users: DataFrame, *, id_type: str = ID_TYPE) -> DataFrame:
+    """Events per user. Groups by the text of the id: '7' and '07' are two rows with id 7."""
+    per_text = users.groupBy("user_id").agg(F.count("*").alias("total_listens"))
+    return per_text.select(feeds.listening_feed(id_type).typed("user_id"), "total_listens")
+
+
 def engagement_per_user(
     listening_raw: DataFrame, *, id_type: str = ID_TYPE, strict: bool = False
 ) -> DataFrame:
-    """Events per user. Groups by the text of the id: '7' and '07' are two rows with id 7."""
-    feed = feeds.listening_feed(id_type)
-    per_text = (
-        feeds.accepted(listening_raw, feed, strict=strict)
-        .groupBy("user_id")
-        .agg(F.count("*").alias("total_listens"))
-    )
-    return per_text.select(feed.typed("user_id"), "total_listens")
+    users = listening_users(listening_raw, id_type=id_type, strict=strict)
+    return listens_per_user(users, id_type=id_type)

@@ -2,34 +2,60 @@
 
 Everything is written below one folder that all machines can reach:
 
-    typed/<table>      typed tables as Parquet
-    rejects/<feed>     malformed rows with their reasons, mostly empty
-    marts/<mart>       reporting tables as Parquet
-    reports/<report>   metrics and figures as CSV
+    judged/<feed>     every row once, typed, or with its text and reasons if it is malformed;
+                      partitioned by the verdict
+    typed/<table>     listening per user, and revenue and copies per subscription
+    rejects/<feed>    malformed rows with their reasons, mostly empty
+    marts/<mart>      reporting tables as Parquet
+    reports/<report>  metrics and figures as CSV
     export/bi_churn_tenure   the churn mart as CSV
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import partial
 
-from pyspark.sql import Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.operators import typed
+from renewlens.operators import revenue, typed
+from renewlens.plans import session
 from renewlens.plans.reports import FIGURES, METRICS
-from renewlens.plans.warehouse import MARTS, AsOf, Landing, Warehouse
+from renewlens.plans.warehouse import COLLAPSED, MARTS, AsOf, Landing, Warehouse
 from renewlens.sources import feeds, storage
 
-# The typed table of each feed and how it is built.
-_TABLES = {
-    "users": ("dim_users", typed.dim_users),
-    "subscriptions": ("fct_subscriptions", typed.fct_subscriptions),
-    "payments": ("fct_payments", typed.fct_payments),
-    "listening": ("engagement_per_user", typed.engagement_per_user),
+# How the rows of each feed are typed and judged.
+_JUDGED = {
+    "users": typed.dim_users,
+    "subscriptions": typed.fct_subscriptions,
+    "payments": typed.fct_payments,
+    "listening": typed.listening_users,
 }
 
 
+def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The judged rows of a feed. The schema is given, since an empty feed leaves no files."""
+    feed = feeds.all_feeds()[name]
+    landed = spark.createDataFrame([], f"{feed.schema.simpleString()[7:-1]}, {feeds.BAD_LINE}:string")
+    schema = _JUDGED[name](landed, judged=True).schema
+    return spark.read.schema(schema).parquet(f"{folder}/judged/{name}")
+
+
+def _accepted(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return feeds.accepted_rows(_stored(spark, folder, name))
+
+
+def stored_warehouse(spark: SparkSession, folder: str, *, as_of: AsOf) -> Warehouse:
+    """The relations over what ``set_up`` stored below a folder."""
+    given = (partial(_accepted, spark, folder, name) for name in ("users", "subscriptions", "payments"))
+    read = {
+        name: partial(spark.read.parquet, f"{folder}/typed/{name}")
+        for name in ("engagement_per_user", *COLLAPSED)
+    }
+    return Warehouse(*given, read.pop("engagement_per_user"), as_of, **read)
+
+
 def set_up(
     spark: SparkSession,
     landing: Landing,
@@ -38,27 +64,29 @@ def set_up(
     strict: bool = False,
     mode: str = "errorifexists",
 ) -> dict[str, dict[str, int]]:
-    """Type the feeds once and set malformed rows aside; returns row counts per feed.
+    """Read each feed once, judge and type its rows; returns row counts per feed.
 
-    A row-level feed is read a second time for its rejects only if the first reading met some,
-    and a strict run has none. Listening is otherwise read twice: its table is an aggregate, and
-    adaptive execution may drop an empty one together with what was observed below it.
+    What the reports start from is then summed once from the stored rows: listening per user,
+    revenue and copies per subscription.
     """
     counts = {}
-    for name, feed in feeds.all_feeds().items():
-        table, build = _TABLES[name]
-        raw, path = getattr(landing, name), f"{folder}/typed/{table}"
-        watch = None if strict or name == "listening" else Observation()
-        typed_table = build(raw, strict=strict) if watch is None else build(raw, watch=watch)
-        storage.export_parquet(typed_table, path, mode=mode)
-        rejected = feeds.rejects(raw, feed)
-        if strict or (watch and not watch.get["malformed"]):
-            rejected = rejected.limit(0)
+    for name, judge in _JUDGED.items():
+        judged = judge(getattr(landing, name), strict=strict, judged=True)
+        judged.write.mode(mode).partitionBy("verdict").parquet(f"{folder}/judged/{name}")
+        rejected = feeds.rejected_rows(_stored(spark, folder, name))
         storage.export_parquet(rejected, f"{folder}/rejects/{name}", mode=mode)
         counts[name] = {
-            "typed": spark.read.parquet(path).count(),
+            "typed": _accepted(spark, folder, name).count(),
             "rejected": spark.read.parquet(f"{folder}/rejects/{name}").count(),
         }
+    derived = {
+        "engagement_per_user": typed.listens_per_user(_accepted(spark, folder, "listening")),
+        "subscription_revenue": revenue.subscription_revenue(_accepted(spark, folder, "payments")),
+        "subscription_copies": revenue.subscription_copies(_accepted(spark, folder, "subscriptions")),
+    }
+    for name, df in derived.items():
+        storage.export_parquet(df, f"{folder}/typed/{name}", mode=mode)
+    counts["listening"]["typed"] = spark.read.parquet(f"{folder}/typed/engagement_per_user").count()
     return counts
 
 
@@ -92,12 +120,17 @@ def run(
     strict: bool = False,
     reports: Iterable[str] | None = None,
     mode: str = "errorifexists",
+    input_bytes: int = 0,
 ) -> dict[str, dict[str, int]]:
-    """Set up, then write marts and reports from the stored tables, all as of one day."""
+    """Set up, then write marts and reports from the stored tables, all as of one day.
+
+    The payments mart shuffles whole rows, so it gets partitions for all of ``input_bytes``.
+    """
     if as_of is None:
         as_of = spark.range(1).select(F.current_date()).first()[0]
     counts = set_up(spark, landing, folder, strict=strict, mode=mode)
-    warehouse = Warehouse.from_parquet(spark, f"{folder}/typed", as_of=as_of)
-    write_marts(warehouse, folder, mode=mode)
+    warehouse = stored_warehouse(spark, folder, as_of=as_of)
+    with session.at_least_partitions(spark, session.partitions_for(input_bytes)):
+        write_marts(warehouse, folder, mode=mode)
     write_reports(warehouse, folder, reports, mode=mode)
     return counts

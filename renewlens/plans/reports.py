@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame
 
 from renewlens.operators import checks, churn, engagement, figures, revenue
 from renewlens.plans.warehouse import Landing, Warehouse
-from renewlens.sources import feeds
 from renewlens.sources.standins import OFFSET
 
 Report = Callable[[Warehouse], DataFrame]
@@ -47,15 +44,17 @@ METRICS: dict[str, Report] = {
         w.fct_subscriptions, as_of=w.as_of
     ),
     "m09_total_revenue": lambda w: revenue.total_revenue(w.fct_payments),
-    "m10_revenue_by_plan": lambda w: revenue.revenue_by_plan(w.fct_payments, w.fct_subscriptions),
+    "m10_revenue_by_plan": lambda w: revenue.revenue_by_plan(
+        w.subscription_revenue, w.subscription_copies
+    ),
     "m11_revenue_per_paying_subscription": lambda w: revenue.revenue_per_paying_subscription(
-        w.fct_payments, w.fct_subscriptions
+        w.subscription_revenue, w.subscription_copies
     ),
     "m12_revenue_share_by_plan": lambda w: revenue.revenue_share_by_plan(
-        w.fct_payments, w.fct_subscriptions
+        w.subscription_revenue, w.subscription_copies
     ),
-    "m13_paying_subscriptions": lambda w: revenue.paying_subscriptions(w.fct_payments),
-    "m14_top_subscriptions": lambda w: revenue.top_subscriptions(w.fct_payments),
+    "m13_paying_subscriptions": lambda w: revenue.paying_subscriptions(w.subscription_revenue),
+    "m14_top_subscriptions": lambda w: revenue.top_subscriptions(w.subscription_revenue),
     "m15_top_users": lambda w: engagement.top_users(w.engagement_per_user),
     "m16_listening_range": lambda w: engagement.listening_range(w.engagement_per_user),
     "m17_engagement_by_plan": lambda w: engagement.engagement_by_plan(
@@ -69,38 +68,42 @@ METRICS: dict[str, Report] = {
 FIGURES: dict[str, Report] = {
     "k1_headline": lambda w: figures.headline(w.fct_payments, w.fct_subscriptions, as_of=w.as_of),
     "k2_revenue_two_routes": lambda w: figures.revenue_two_routes(
-        w.fct_payments, w.fct_subscriptions
+        w.fct_payments, w.subscription_copies, w.subscription_revenue
     ),
     "k3_churn_two_routes": lambda w: figures.churn_two_routes(
         w.bi_subscriptions, w.fct_subscriptions, as_of=w.as_of
     ),
     "k4_plan_page": lambda w: figures.plan_page(
-        w.fct_payments, w.engagement_per_user, w.dim_users, w.fct_subscriptions, as_of=w.as_of
+        w.subscription_revenue,
+        w.engagement_per_user,
+        w.dim_users,
+        w.fct_subscriptions,
+        as_of=w.as_of,
+        copies=w.subscription_copies,
     ),
     "k5_summary_page": lambda w: figures.summary_page(
-        w.fct_payments, w.fct_subscriptions, as_of=w.as_of
+        w.subscription_revenue, w.fct_subscriptions, as_of=w.as_of, copies=w.subscription_copies
     ),
 }
 
 
 def _row_counts(landing: Landing, w: Warehouse) -> DataFrame:
-    """Rows of each feed, typed table and row-level mart; one scan per feed and per join side."""
-    joined = checks.joined_payment_count(w.fct_payments, w.fct_subscriptions)
-    counts = [
-        checks.feed_counts(landing.users, feeds.users_feed(), "users_raw", "dim_users"),
-        checks.feed_counts(
-            landing.subscriptions,
-            feeds.subscriptions_feed(),
-            "subscriptions_raw",
-            "fct_subscriptions",
-            "bi_subscriptions",
-        ),
-        checks.feed_counts(landing.payments, feeds.payments_feed(), "payments_raw", "fct_payments"),
-        checks.feed_counts(landing.listening, feeds.listening_feed(), "listening_raw"),
-        checks.label_count(checks.row_count(w.bi_engagement), "bi_engagement"),
-        checks.label_count(joined, "bi_payments"),
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    """Rows of each feed, typed table and row-level mart, each counted as it is."""
+    stripped = landing.stripped()
+    return checks.row_counts(
+        {
+            "users_raw": stripped.users,
+            "dim_users": w.dim_users,
+            "subscriptions_raw": stripped.subscriptions,
+            "fct_subscriptions": w.fct_subscriptions,
+            "payments_raw": stripped.payments,
+            "fct_payments": w.fct_payments,
+            "listening_raw": stripped.listening,
+            "bi_subscriptions": w.bi_subscriptions,
+            "bi_payments": w.bi_payments,
+            "bi_engagement": w.bi_engagement,
+        }
+    )
 
 
 def _reject_counts(landing: Landing, w: Warehouse) -> DataFrame:
@@ -152,15 +155,3 @@ CHECKS: dict[str, Check] = {
     "q10_churn_mart_display": lambda raw, w: w.bi_churn_tenure,
     "r1_reject_counts": _reject_counts,
 }
-
-# The only results that show the payer of a payment (see standins.payments_raw).
-SHOWS_PAYER = frozenset(
-    {
-        "v3_fct_payments",
-        "v6_bi_payments",
-        "s03_payments_without_header",
-        "q01_preview_payments_landed",
-        "q08_payments_at_offset",
-        "r1_reject_counts",
-    }
-)

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from renewlens.functions.lifecycle import as_of_day
 from renewlens.functions.parsing import ID_TYPE
-from renewlens.operators import marts, typed
+from renewlens.operators import marts, revenue, typed
 from renewlens.sources import feeds, standins, storage, tables
 
 AsOf = dt.date | str | None
 Frame = DataFrame | Callable[[], DataFrame]
 
 TYPED = ("dim_users", "fct_subscriptions", "fct_payments", "engagement_per_user")
+# One row per subscription, or subscription and plan: what all revenue reports start from.
+COLLAPSED = ("subscription_revenue", "subscription_copies")
 MARTS = ("bi_subscriptions", "bi_payments", "bi_engagement", "bi_churn_tenure")
 
 
@@ -77,11 +79,11 @@ class Landing:
         )
 
     @classmethod
-    def from_standins(cls, spark: SparkSession, folder: str, *, payers: bool = True) -> Landing:
+    def from_standins(cls, spark: SparkSession, folder: str) -> Landing:
         return cls(
             lambda: standins.users_raw(spark, folder),
             lambda: standins.subscriptions_raw(spark, folder),
-            lambda: standins.payments_raw(spark, folder, payers=payers),
+            lambda: standins.payments_raw(spark, folder),
             lambda: standins.listening_raw(spark, folder),
         )
 
@@ -112,7 +114,14 @@ class Warehouse:
         fct_payments: Frame,
         engagement_per_user: Frame,
         as_of: AsOf | Column,
+        *,
+        subscription_revenue: Frame | None = None,
+        subscription_copies: Frame | None = None,
     ):
+        self._collapsed = {
+            "subscription_revenue": subscription_revenue,
+            "subscription_copies": subscription_copies,
+        }
         self._given = dict(
             zip(
                 TYPED,
@@ -138,6 +147,18 @@ class Warehouse:
     def engagement_per_user(self) -> DataFrame:
         return _made(self._given["engagement_per_user"])
 
+    @cached_property
+    def subscription_revenue(self) -> DataFrame:
+        """Stored if it was, else summed from the payments."""
+        given = self._collapsed["subscription_revenue"]
+        return _made(given) if given else revenue.subscription_revenue(self.fct_payments)
+
+    @cached_property
+    def subscription_copies(self) -> DataFrame:
+        """Stored if it was, else counted from the subscriptions."""
+        given = self._collapsed["subscription_copies"]
+        return _made(given) if given else revenue.subscription_copies(self.fct_subscriptions)
+
     @classmethod
     def from_landing(
         cls, landing: Landing, *, as_of: AsOf, id_type: str = ID_TYPE, strict: bool = False
@@ -154,24 +175,46 @@ class Warehouse:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, namespace: str, *, as_of: AsOf) -> Warehouse:
-        return cls(*(partial(spark.table, f"{namespace}.{name}") for name in TYPED), as_of)
+        collapsed = {name: partial(spark.table, f"{namespace}.{name}") for name in COLLAPSED}
+        given = (partial(spark.table, f"{namespace}.{name}") for name in TYPED)
+        return cls(*given, as_of, **collapsed)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str, *, as_of: AsOf) -> Warehouse:
-        return cls(*(partial(spark.read.parquet, f"{folder}/{name}") for name in TYPED), as_of)
+        collapsed = {name: partial(spark.read.parquet, f"{folder}/{name}") for name in COLLAPSED}
+        given = (partial(spark.read.parquet, f"{folder}/{name}") for name in TYPED)
+        return cls(*given, as_of, **collapsed)
 
     def typed_tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TYPED}
 
     def save_tables(self, spark: SparkSession, namespace: str) -> None:
-        """Parse the feeds once and keep the typed tables in the catalog."""
+        """Parse the feeds once and keep the typed tables in the catalog.
+
+        Revenue and copies per subscription are summed once from the stored tables and kept in
+        buckets by subscription, so that reports join them without a shuffle.
+        """
         tables.create_namespace(spark, namespace)
         for name, df in self.typed_tables().items():
             tables.save_table(df, f"{namespace}.{name}")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        paid = revenue.subscription_revenue(spark.table(f"{namespace}.fct_payments"))
+        copies = revenue.subscription_copies(spark.table(f"{namespace}.fct_subscriptions"))
+        for name, df in zip(COLLAPSED, (paid, copies), strict=True):
+            tables.save_bucketed(df, f"{namespace}.{name}", buckets, "subscription_id")
 
     def save_parquet(self, folder: str, *, mode: str = "errorifexists") -> None:
         for name, df in self.typed_tables().items():
             storage.export_parquet(df, f"{folder}/{name}", mode=mode)
+        self.save_collapsed(self.fct_payments.sparkSession, folder, mode=mode)
+
+    @staticmethod
+    def save_collapsed(spark: SparkSession, folder: str, *, mode: str = "errorifexists") -> None:
+        """Sum revenue and count copies per subscription from the typed tables of a folder."""
+        paid = revenue.subscription_revenue(spark.read.parquet(f"{folder}/fct_payments"))
+        copies = revenue.subscription_copies(spark.read.parquet(f"{folder}/fct_subscriptions"))
+        for name, df in zip(COLLAPSED, (paid, copies), strict=True):
+            storage.export_parquet(df, f"{folder}/{name}", mode=mode)
 
     @property
     def bi_subscriptions(self) -> DataFrame:

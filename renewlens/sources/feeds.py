@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -14,6 +14,7 @@ from renewlens.functions.parsing import ID_TYPE, Rule, day, day_if_shaped, day_o
 
 # Holds a whole line that has the wrong number of fields, and null for every other line.
 BAD_LINE = "bad_line"
+ACCEPTED, REJECTED = "accepted", "rejected"
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,7 @@ class Feed:
         return F.array_compact(F.array(*found))
 
 
+# The columns of the four feeds are fixed values: names and order of the exported files.
 def users_feed(id_type: str = ID_TYPE) -> Feed:
     return Feed(
         "users",
@@ -187,15 +189,32 @@ def typed_rows(
     feed: Feed,
     *columns: Column | str,
     strict: bool = False,
-    watch: Observation | None = None,
+    judged: bool = False,
 ) -> DataFrame:
     """Columns of the rows that can be typed.
 
-    With ``watch`` the malformed rows are counted on the way under the name ``malformed``. The
-    count stands between parsing and filtering, so a value is parsed once for both.
+    With ``judged`` no row is left out: the column ``verdict`` says ACCEPTED or REJECTED, and a
+    rejected row carries its text in ``raw`` and its ``reject_reasons``. One pass over a feed then
+    gives both what was typed and what was not.
     """
-    if watch is None or strict:
+    if not judged:
         return accepted(raw, feed, strict=strict).select(*columns)
-    judged = strip_header(raw, feed).select(*columns, feed.is_malformed(raw).alias("malformed"))
-    counted = judged.observe(watch, F.count_if("malformed").alias("malformed"))
-    return counted.where(~F.col("malformed")).drop("malformed")
+    malformed = feed.is_malformed(raw)
+    kept = accepted(raw, feed, strict=True) if strict else strip_header(raw, feed)
+    text = F.struct(*raw.columns)
+    return kept.select(
+        *columns,
+        F.when(malformed, text).alias("raw"),
+        F.when(malformed, feed.reasons(raw)).alias("reject_reasons"),
+        F.when(malformed, REJECTED).otherwise(ACCEPTED).alias("verdict"),
+    )
+
+
+def accepted_rows(judged: DataFrame) -> DataFrame:
+    """The typed columns of judged rows that were accepted."""
+    return judged.where(F.col("verdict") == ACCEPTED).drop("raw", "reject_reasons", "verdict")
+
+
+def rejected_rows(judged: DataFrame) -> DataFrame:
+    """The text of judged rows that were rejected, with the reasons."""
+    return judged.where(F.col("verdict") == REJECTED).select("raw.*", "reject_reasons")

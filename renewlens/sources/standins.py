@@ -65,33 +65,26 @@ def subscriptions_raw(spark: SparkSession, folder: str) -> DataFrame:
     return _with_header(rows, feeds.subscriptions_feed())
 
 
-def payments_raw(spark: SparkSession, folder: str, *, payers: bool = True) -> DataFrame:
-    """One payment per line item.
+def payments_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """One payment per line item of a known order, paid by the customer of the order.
 
-    Line items do not carry the customer, so the payer is looked up in orders, a join of the
-    two largest tables. No metric reads the payer of a payment: with ``payers=False`` the id
-    stays null and the join is not made. Every line item has its order, so the rows are the
-    same either way.
+    Line items do not carry the customer, so the payer is joined in from orders. The first line of
+    an order has a creation field that looks like a date; the others hold an offset.
     """
-    lines = _table(spark, folder, "lineitem")
-    if payers:
-        orders = _table(spark, folder, "orders").select(
-            F.col("o_orderkey").alias("l_orderkey"), _text("o_custkey").alias("user_id")
-        )
-        lines = lines.join(orders, "l_orderkey")
-    else:
-        lines = lines.withColumn("user_id", F.lit(None).cast("string"))
+    orders = _table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), _text("o_custkey").alias("user_id")
+    )
+    lines = _table(spark, folder, "lineitem").join(orders, "l_orderkey")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    shipped = F.date_format("l_shipdate", DAY_TEXT)
     rows = lines.select(
         _text("l_orderkey").alias("row_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("payment_id"),
         "user_id",
         cents.cast("string").alias("amount"),
-        F.when(F.col("l_returnflag") == "N", OFFSET)
-        .otherwise(F.date_format("l_shipdate", DAY_TEXT))
-        .alias("payment_date"),
+        F.when(F.col("l_returnflag") == "N", OFFSET).otherwise(shipped).alias("payment_date"),
         F.col("l_returnflag").alias("payment_method"),
-        F.lit(PAYMENT_CREATED).alias("created_at"),
+        F.when(F.col("l_linenumber") == 1, shipped).otherwise(PAYMENT_CREATED).alias("created_at"),
         _text("l_orderkey").alias("subscription_id"),
     )
     return _with_header(rows, feeds.payments_feed())

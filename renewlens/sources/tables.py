@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,12 +45,24 @@ def check_columns(df: DataFrame, expected: Mapping[str, str]) -> None:
 def save_table(df: DataFrame, name: str) -> None:
     """Store a frame as a Parquet table, replacing what was there.
 
-    No bucketing: one key may hold a large part of all rows, and a bucketed read would hand
+    No bucketing of rows: one key may hold a large part of them, and a bucketed read would hand
     all of them to one task. Operators collapse keys before they shuffle instead.
     """
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
+def save_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> None:
+    """Store a frame with few rows per key in buckets, which joins on the key need not shuffle."""
+    (
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
+        .format("parquet")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .saveAsTable(name)
+    )
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
 
@@ -60,7 +72,17 @@ def empty_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"TRUNCATE TABLE {_quoted(name)}")
 
 
-def publish_views(relations: Mapping[str, DataFrame]) -> None:
-    """Create or replace one temporary view per relation."""
+def drop_namespace(spark: SparkSession, name: str) -> None:
+    """Drop a namespace with all its tables."""
+    spark.sql(f"DROP DATABASE IF EXISTS {_quoted(name)} CASCADE")
+
+
+def publish_views(relations: Mapping[str, DataFrame], *, prefix: str = "") -> None:
+    """Create or replace one temporary view per relation. A prefix keeps a caller's own views."""
     for name, df in relations.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(f"{prefix}{name}")
+
+
+def drop_views(spark: SparkSession, names: Iterable[str], *, prefix: str = "") -> None:
+    for name in names:
+        spark.catalog.dropTempView(f"{prefix}{name}")

@@ -2,7 +2,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import Observation
 
 from renewlens.operators import typed
 from renewlens.sources import feeds
@@ -179,7 +178,7 @@ def test_dates_do_not_depend_on_the_time_zone(spark, setting, zone):
     assert (row.start_date, row.end_date) == (dt.date(2017, 10, 15), dt.date(2011, 12, 30))
 
 
-def test_counting_malformed_rows_on_the_way_changes_nothing(spark):
+def test_judged_rows_are_the_accepted_and_the_rejected(spark):
     feed = feeds.payments_feed()
     raw = text_frame(
         spark,
@@ -192,11 +191,12 @@ def test_counting_malformed_rows_on_the_way_changes_nothing(spark):
             _payment(row_id="worse", payment_date="99-99-2024", user_id="x"),
         ],
     )
-    watch = Observation()
-    watched = typed.fct_payments(raw, watch=watch)
-    assert rows(watched) == rows(typed.fct_payments(raw))
-    assert watched.dtypes == typed.fct_payments(raw).dtypes
-    assert watch.get == {"malformed": 2}
+    judged = typed.fct_payments(raw, judged=True)
+    assert judged.count() == 4
+    assert rows(feeds.accepted_rows(judged)) == rows(typed.fct_payments(raw))
+    assert feeds.accepted_rows(judged).dtypes == typed.fct_payments(raw).dtypes
+    assert rows(feeds.rejected_rows(judged)) == rows(feeds.rejects(raw, feed))
+    assert feeds.rejected_rows(judged).dtypes == feeds.rejects(raw, feed).dtypes
 
 
 def test_strict_fails_on_a_malformed_row_only(spark):

@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from renewlens import __main__ as command
 from renewlens.plans import job
 from renewlens.plans.reports import FIGURES, METRICS
-from renewlens.plans.warehouse import MARTS, TYPED, Landing, Warehouse
+from renewlens.plans.warehouse import COLLAPSED, MARTS, Landing, Warehouse
 from renewlens.sources import feeds
 from renewlens.sources.storage import export_csv, shared_folder
 
@@ -25,7 +26,13 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
     expected = Warehouse.from_landing(landing, as_of=AS_OF)
     assert counts["users"] == {"typed": expected.dim_users.count(), "rejected": 1}
     assert counts["payments"]["rejected"] == 0
-    assert sorted(path.name for path in (tmp_path / "out/typed").iterdir()) == sorted(TYPED)
+    assert sorted(path.name for path in (tmp_path / "out/judged").iterdir()) == sorted(feeds.all_feeds())
+    assert sorted(path.name for path in (tmp_path / "out/typed").iterdir()) == sorted(
+        ("engagement_per_user", *COLLAPSED)
+    )
+    kept = job.stored_warehouse(spark, out, as_of=AS_OF)
+    for name, df in expected.typed_tables().items():
+        assert sorted(map(str, rows(kept.typed_tables()[name]))) == sorted(map(str, rows(df)))
     assert sorted(path.name for path in (tmp_path / "out/marts").iterdir()) == sorted(MARTS)
     rejects = {
         name: spark.read.parquet(f"{out}/rejects/{name}").count()
@@ -43,6 +50,28 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
     assert sorted(rows(report.csv(f"{out}/reports/m10_revenue_by_plan"))) == sorted(rows(plans))
 
 
+def test_each_feed_is_read_once_also_with_bad_rows(spark, tmp_path):
+    """Every landed row passes a counter; a second reading would pass it again."""
+    clean, counters, frames, sizes = Landing.from_standins(spark, SMALL), {}, {}, {}
+    for name, feed in feeds.all_feeds().items():
+        bad = {column: "x7" for column in feed.columns}
+        landed = getattr(clean, name).unionByName(text_frame(spark, feed, [bad]))
+        folder = shared_folder(spark, f"landed-{name}")
+        landed.write.parquet(folder)
+        counter = counters[name] = spark.sparkContext.accumulator(0)
+
+        def passed(value, counter=counter):
+            counter.add(1)
+            return value
+
+        mark = F.udf(passed, "string").asNondeterministic()
+        frames[name] = spark.read.parquet(folder).withColumn("user_id", mark("user_id"))
+        sizes[name] = landed.count()
+    counts = job.run(spark, Landing(**frames), str(tmp_path / "out"), as_of=AS_OF, reports=[])
+    assert {name: found["rejected"] for name, found in counts.items()} == dict.fromkeys(frames, 1)
+    assert {name: counter.value for name, counter in counters.items()} == sizes
+
+
 @pytest.mark.parametrize("lines", [[], ["1,1,x,s,d,c"], ["1,1,7,s,d,c", "2,2,x,s,d,c", "3,3"]])
 def test_empty_and_wholly_malformed_feeds(spark, tmp_path, lines):
     paths = {}

@@ -22,6 +22,12 @@ def stored(spark, tmp_path_factory):
     return Warehouse.from_parquet(spark, folder, as_of=AS_OF)
 
 
+@pytest.fixture(scope="module")
+def uncollapsed(stored):
+    """Typed tables without the stored sums per subscription."""
+    return Warehouse(*stored.typed_tables().values(), AS_OF)
+
+
 @pytest.mark.parametrize("name", sorted({**REPORTS, **CHECKS}))
 def test_no_python_and_no_product(name, spark, setting):
     setting(spark__sql__autoBroadcastJoinThreshold="-1")
@@ -46,9 +52,12 @@ def _scanned(plan):
         ("m09_total_revenue", [{"amount"}]),
         (
             "m12_revenue_share_by_plan",
-            [{"subscription_id", "amount"}, {"subscription_id", "subscription_type"}],
+            [
+                {"subscription_id", "subscription_revenue"},
+                {"subscription_id", "subscription_type", "copies"},
+            ],
         ),
-        ("m13_paying_subscriptions", [{"subscription_id", "amount"}]),
+        ("m13_paying_subscriptions", [{"subscription_id", "subscription_revenue"}]),
         (
             "m17_engagement_by_plan",
             [{"user_id", "total_listens"}, {"user_id"}, {"user_id", "subscription_type"}],
@@ -71,16 +80,56 @@ def test_date_filters_reach_the_scan(stored):
     "name", ["m10_revenue_by_plan", "m11_revenue_per_paying_subscription", "m12_revenue_share_by_plan",
              "m17_engagement_by_plan", "m18_engagement_by_status"]
 )
-def test_keys_are_collapsed_below_every_shuffle_of_rows(stored, setting, name):
+def test_keys_are_collapsed_below_every_shuffle_of_rows(uncollapsed, setting, name):
     """No exchange carries single rows: each has an aggregate right below it."""
     setting(spark__sql__autoBroadcastJoinThreshold="-1")
-    lines = initial_plan(METRICS[name](stored)).splitlines()
+    lines = initial_plan(METRICS[name](uncollapsed)).splitlines()
     exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
     assert exchanges
     for i in exchanges:
         assert "HashAggregate" in lines[i + 1], lines[i + 1]
 
 
+@pytest.mark.parametrize(
+    "name", ["m10_revenue_by_plan", "m11_revenue_per_paying_subscription", "m12_revenue_share_by_plan"]
+)
+def test_stored_buckets_are_joined_without_a_shuffle(spark, stored, setting, name):
+    setting(spark__sql__autoBroadcastJoinThreshold="-1")
+    stored.save_tables(spark, "bucketed")
+    saved = Warehouse.from_tables(spark, "bucketed", as_of=AS_OF)
+    plan = initial_plan(METRICS[name](saved))
+    assert "SortMergeJoin" in plan
+    assert "hashpartitioning(subscription_id" not in plan
+
+
+@pytest.mark.parametrize(
+    "name, table, scans",
+    [
+        ("k4_plan_page", "fct_payments", 1),
+        # Copies per subscription, and one count that serves both panels of engagement.
+        ("k4_plan_page", "fct_subscriptions", 2),
+        ("k4_plan_page", "engagement_per_user", 1),
+    ],
+)
+def test_report_pages_share_their_scans(uncollapsed, setting, name, table, scans):
+    setting(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+    )
+    plan = final_plan(FIGURES[name](uncollapsed)).split("== Initial Plan ==")[0]
+    assert len(re.findall(rf"FileScan [^\n]*/{table}\]", plan)) == scans
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["m10_revenue_by_plan", "m13_paying_subscriptions", "m14_top_subscriptions", "k4_plan_page", "k5_summary_page"],
+)
+def test_reports_over_stored_sums_read_no_payments(stored, name):
+    plan = initial_plan(REPORTS[name](stored))
+    assert "/subscription_revenue]" in plan
+    assert "/fct_payments]" not in plan
+
+
 @pytest.mark.parametrize("name", ["m14_top_subscriptions", "m15_top_users"])
 def test_top_lists_keep_ten_rows_per_task(stored, name):
     assert "TakeOrderedAndProject" in initial_plan(METRICS[name](stored))

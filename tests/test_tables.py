@@ -2,7 +2,7 @@ import pytest
 
 from renewlens.operators import typed
 from renewlens.plans import reports
-from renewlens.plans.session import settings_for
+from renewlens.plans.session import partitions_for, settings_for
 from renewlens.plans.warehouse import MARTS, TYPED, Landing, Warehouse
 from renewlens.sources import feeds, storage, tables
 
@@ -163,6 +163,17 @@ def test_shared_folder_comes_from_the_session(spark, setting):
     assert storage.shared_folder(spark, "x").startswith(f"{root}/x-")
 
 
+def test_shared_folder_is_refused_where_the_session_names_none():
+    class Bare:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "local[2]"}.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Bare, "x")
+
+
 def test_tasks_and_shuffle_partitions_grow_with_the_input_up_to_a_bound():
     gib = 1024**3
     key, scan = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
@@ -170,4 +181,8 @@ def test_tasks_and_shuffle_partitions_grow_with_the_input_up_to_a_bound():
     assert (small[key], small[scan]) == ("100", str(gib // 8))
     assert (large[key], large[scan]) == ("1024", str(gib // 8))
     assert huge[key] == "50000"
+    assert settings_for(0, 100, present=2000)[key] == "2000"
+    assert settings_for(1024 * gib, 100, present=90_000)[key] == "90000"
+    # A mart shuffles whole rows and gets eight times as many.
+    assert partitions_for(1024 * gib) == 8 * partitions_for(128 * gib) == 8192
     assert gib // 8 < int(huge[scan]) <= gib
