@@ -52,18 +52,44 @@ subscriptions_in AS (FROM subscriptions_raw WHERE subscription_id IS DISTINCT FR
 payments_in AS (FROM payments_raw WHERE payment_id IS DISTINCT FROM 'payment_id'),
 listening_in AS (FROM listening_raw WHERE history_id IS DISTINCT FROM 'history_id')"""
 
+def _not_whole(column: str, kind: str = "bigint") -> str:
+    """Present, and not a whole number; DuckDB's cast would round a fraction or an exponent."""
+    return (
+        f"({column} IS NOT NULL AND (TRY_CAST({column} AS {kind}) IS NULL "
+        f"OR regexp_matches({column}, '[.eE]')))"
+    )
+
+
+# What makes a row of each feed malformed.
+_BAD = {
+    "users": _not_whole("user_id"),
+    "subscriptions": f"""{_not_whole("subscription_id")} OR {_not_whole("user_id")}
+         OR (start_date IS NOT NULL AND try_strptime(start_date, '%d-%m-%Y') IS NULL)
+         OR (end_date <> 'NULL' AND try_strptime(end_date, '%d-%m-%Y') IS NULL)""",
+    "payments": f"""{_not_whole("payment_id")} OR {_not_whole("user_id")}
+         OR {_not_whole("subscription_id")} OR {_not_whole("amount", "int")}
+         OR (regexp_full_match(payment_date, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}')
+             AND try_strptime(payment_date, '%d-%m-%Y') IS NULL)""",
+    "listening": _not_whole("user_id"),
+}
+
+
+def _accepted(feed: str) -> str:
+    return f"(FROM {feed}_in WHERE ({_BAD[feed]}) IS NOT TRUE)"
+
+
 _TYPED = f"""
 person AS (
   SELECT row_id, TRY_CAST(user_id AS bigint) AS user_id, username, email, first_name, last_name,
          subscription_type, created_at
-  FROM users_in
+  FROM {_accepted("users")}
 ),
 sub AS (
   SELECT row_id, TRY_CAST(subscription_id AS bigint) AS subscription_id,
          TRY_CAST(user_id AS bigint) AS user_id, subscription_type,
          try_strptime(start_date, '%d-%m-%Y')::date AS start_date,
          try_strptime(nullif(end_date, 'NULL'), '%d-%m-%Y')::date AS end_date, created_at
-  FROM subscriptions_in
+  FROM {_accepted("subscriptions")}
 ),
 pay AS (
   SELECT row_id, TRY_CAST(payment_id AS bigint) AS payment_id, TRY_CAST(user_id AS bigint) AS user_id,
@@ -72,11 +98,11 @@ pay AS (
          CASE WHEN regexp_full_match(payment_date, '[0-9]{{2}}-[0-9]{{2}}-[0-9]{{4}}')
               THEN try_strptime(payment_date, '%d-%m-%Y')::date END AS payment_date,
          payment_method, created_at
-  FROM payments_in
+  FROM {_accepted("payments")}
 ),
 eng AS (
   SELECT TRY_CAST(user_id AS bigint) AS user_id, n AS total_listens
-  FROM (SELECT user_id, count(*) AS n FROM listening_in GROUP BY user_id)
+  FROM (SELECT user_id, count(*) AS n FROM {_accepted("listening")} GROUP BY user_id)
 ),
 life AS (
   SELECT *,
@@ -86,9 +112,11 @@ life AS (
 )"""
 
 _MONEY = "amount_cents / 100.0"
+_AMOUNT = f"CASE WHEN NOT {_not_whole('amount', 'int')} THEN TRY_CAST(amount AS int) END"
 
 
 def _bucket(days: str, last: str) -> str:
+    # The bounds and labels are fixed values.
     return (
         "(SELECT label FROM (VALUES (30, '0-30 days'), (90, '31-90 days'), (180, '91-180 days'), "
         f"(365, '181-365 days'), (2147483647, '{last}')) AS b(bound, label) "
@@ -169,6 +197,30 @@ _AVERAGES = f"""
   SELECT subscription_type, {_rounded('cents', 'subscriptions * 100')} AS avg_revenue_per_subscription
   FROM ({_BY_PLAN})"""
 
+_REJECT_COUNTS = " UNION ALL ".join(
+    f"SELECT '{feed}' AS relation, count(*) AS rows FROM {feed}_in WHERE {bad}"
+    for feed, bad in _BAD.items()
+)
+
+# The stand-in feeds with part of their rows made malformed, in step with standins.spoiled.
+_SPOILED = """
+users_raw AS (
+  SELECT * REPLACE (if(TRY_CAST(row_id AS bigint) % 11 = 0, 'u' || user_id, user_id) AS user_id)
+  FROM users_sound),
+subscriptions_raw AS (
+  SELECT * REPLACE (CASE WHEN TRY_CAST(row_id AS bigint) % 7 = 0
+    THEN substr(start_date, 4, 3) || substr(start_date, 1, 3) || substr(start_date, 7)
+    ELSE start_date END AS start_date)
+  FROM subscriptions_sound),
+payments_raw AS (
+  SELECT * REPLACE (
+    if(TRY_CAST(payment_id AS bigint) % 13 = 0, '31-02-2000', payment_date) AS payment_date,
+    if(TRY_CAST(payment_id AS bigint) % 17 = 0, amount || '.5', amount) AS amount)
+  FROM payments_sound),
+listening_raw AS (
+  SELECT * REPLACE (if(TRY_CAST(row_id AS bigint) % 5 = 0, user_id || '?', user_id) AS user_id)
+  FROM listening_sound)"""
+
 _BODIES = {
     "v1_dim_users": "SELECT * FROM person",
     "v2_fct_subscriptions": "SELECT * FROM sub",
@@ -327,11 +379,11 @@ _BODIES = {
       SELECT min(amount) AS min_amount, max(amount) AS max_amount FROM payments_in""",
     "q05_commonest_amount_texts": """
       SELECT amount, count(*) AS cnt FROM payments_in GROUP BY 1 ORDER BY cnt DESC, amount LIMIT 15""",
-    "q06_amount_range": """
-      SELECT min(amount::int) AS min_amount_int, max(amount::int) AS max_amount_int
+    "q06_amount_range": f"""
+      SELECT min({_AMOUNT}) AS min_amount_int, max({_AMOUNT}) AS max_amount_int
       FROM payments_in""",
-    "q07_commonest_amounts": """
-      SELECT amount::int AS amount_int, count(*) AS cnt FROM payments_in GROUP BY 1
+    "q07_commonest_amounts": f"""
+      SELECT {_AMOUNT} AS amount_int, count(*) AS cnt FROM payments_in GROUP BY 1
       ORDER BY cnt DESC, 1 LIMIT 15""",
     "q08_payments_at_offset": """
       SELECT * FROM payments_in WHERE '33:25.6' IN (payment_date, created_at)
@@ -362,32 +414,32 @@ _BODIES = {
         FROM subscriptions_in
       )
       WHERE swapped IS NOT NULL AND try_strptime(swapped, '%d-%m-%Y') IS NULL""",
-    "r1_reject_counts": """
-      SELECT 'users' AS relation, count(*) AS rows FROM users_in
-      WHERE user_id IS NOT NULL AND TRY_CAST(user_id AS bigint) IS NULL
-      UNION ALL
-      SELECT 'subscriptions', count(*) FROM subscriptions_in
-      WHERE (subscription_id IS NOT NULL AND TRY_CAST(subscription_id AS bigint) IS NULL)
-         OR (user_id IS NOT NULL AND TRY_CAST(user_id AS bigint) IS NULL)
-         OR (start_date IS NOT NULL AND try_strptime(start_date, '%d-%m-%Y') IS NULL)
-         OR (end_date <> 'NULL' AND try_strptime(end_date, '%d-%m-%Y') IS NULL)
-      UNION ALL
-      SELECT 'payments', count(*) FROM payments_in
-      WHERE (payment_id IS NOT NULL AND TRY_CAST(payment_id AS bigint) IS NULL)
-         OR (user_id IS NOT NULL AND TRY_CAST(user_id AS bigint) IS NULL)
-         OR (subscription_id IS NOT NULL AND TRY_CAST(subscription_id AS bigint) IS NULL)
-         OR (amount IS NOT NULL AND TRY_CAST(amount AS int) IS NULL)
-         OR (regexp_full_match(payment_date, '[0-9]{2}-[0-9]{2}-[0-9]{4}')
-             AND try_strptime(payment_date, '%d-%m-%Y') IS NULL)
-      UNION ALL
-      SELECT 'listening', count(*) FROM listening_in
-      WHERE user_id IS NOT NULL AND TRY_CAST(user_id AS bigint) IS NULL""",
+    "r1_reject_counts": _REJECT_COUNTS,
+}
+
+
+# Reports over the spoiled feeds: their name, and the report that they repeat.
+SPOILED = {
+    "r3_reject_counts": "r1_reject_counts",
+    "r3_dim_users": "v1_dim_users",
+    "r3_fct_subscriptions": "v2_fct_subscriptions",
+    "r3_fct_payments": "v3_fct_payments",
+    "r3_engagement_per_user": "v4_engagement_per_user",
+    "r4_total_revenue": "m09_total_revenue",
+    "r4_revenue_by_plan": "m10_revenue_by_plan",
+    "r4_engagement_by_plan": "m17_engagement_by_plan",
 }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL over the star-schema tables."""
-    return {name: f"WITH{_LANDED},{_CLEAN},{_TYPED}\n{body}" for name, body in _BODIES.items()}
+    sound = {name: f"WITH{_LANDED},{_CLEAN},{_TYPED}\n{body}" for name, body in _BODIES.items()}
+    landed = _LANDED.replace("_raw AS (", "_sound AS (")
+    spoiled = {
+        name: f"WITH{landed},{_SPOILED},{_CLEAN},{_TYPED}\n{_BODIES[report]}"
+        for name, report in SPOILED.items()
+    }
+    return sound | spoiled
 
 
 def sql_over_feeds() -> dict[str, str]:

@@ -87,6 +87,15 @@ class Landing:
             lambda: standins.listening_raw(spark, folder),
         )
 
+    def spoiled(self) -> Landing:
+        """Stand-in feeds with part of their rows made malformed."""
+        return Landing(
+            **{
+                name: lambda name=name: standins.spoiled(name, getattr(self, name))
+                for name in self._given
+            }
+        )
+
     def stripped(self) -> Landing:
         """The feeds without header lines that landed as data."""
         return Landing(

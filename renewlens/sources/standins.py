@@ -90,6 +90,27 @@ def payments_raw(spark: SparkSession, folder: str) -> DataFrame:
     return _with_header(rows, feeds.payments_feed())
 
 
+def spoiled(name: str, raw: DataFrame) -> DataFrame:
+    """A stand-in feed with part of its rows made malformed, some in every feed."""
+
+    def each(key: str, n: int) -> Column:
+        return F.try_to_number(key, F.lit("999999999999")) % n == 0
+
+    def instead(column: str, which: Column, value: Column) -> DataFrame:
+        return raw.withColumn(column, F.when(which, value).otherwise(F.col(column)))
+
+    if name == "users":
+        return instead("user_id", each("row_id", 11), F.concat(F.lit("u"), "user_id"))
+    if name == "subscriptions":
+        start = F.col("start_date")
+        swapped = F.concat(start.substr(4, 3), start.substr(1, 3), F.substring(start, 7, 4))
+        return instead("start_date", each("row_id", 7), swapped)
+    if name == "payments":
+        raw = instead("payment_date", each("payment_id", 13), F.lit("31-02-2000"))
+        return instead("amount", each("payment_id", 17), F.concat("amount", F.lit(".5")))
+    return instead("user_id", each("row_id", 5), F.concat("user_id", F.lit("?")))
+
+
 def listening_raw(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "events").select(
         _text("event_id").alias("row_id"),

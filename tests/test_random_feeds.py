@@ -32,7 +32,7 @@ def _feeds(seed):
         if roll < 0.04:
             return None
         number = str(hot if roll < 0.37 else rng.randrange(n))
-        return rng.choice([number] * 6 + ["0" + number, " " + number])
+        return rng.choice([number] * 12 + ["0" + number, " " + number, number + "x", "1e3"])
 
     def day():
         return f"{rng.randint(1, 28):02d}-{rng.randint(1, 12):02d}-{rng.randint(1997, 2001)}"
@@ -51,8 +51,10 @@ def _feeds(seed):
         {
             "row_id": str(i), "subscription_id": key(150, 3), "user_id": key(40, 7),
             "subscription_type": plan(),
-            "start_date": None if rng.random() < 0.1 else day(),
-            "end_date": rng.choice(["NULL", None, day(), day(), "01-01-2000", "31-12-1999"]),
+            "start_date": rng.choice([None, "31-02-1999", "1999-05-05", *[day() for _ in range(18)]]),
+            "end_date": rng.choice(
+                ["NULL", None, day(), day(), day(), day(), "01-01-2000", "31-12-1999", "13-13-1999"]
+            ),
             "created_at": "24:52.6",
         }
         for i in range(300)
@@ -61,8 +63,12 @@ def _feeds(seed):
         {
             "row_id": str(i), "payment_id": str(i), "user_id": key(40, 7),
             "subscription_id": key(160, 3),
-            "amount": rng.choice([None, "0", "999", "1999", str(rng.randrange(10**6))]),
-            "payment_date": rng.choice([None, "33:25.6", day(), day()[1:], day() + "x"]),
+            "amount": rng.choice(
+                [None, "0", "999", "1999", *[str(rng.randrange(10**6)) for _ in range(8)], "1.5", "-"]
+            ),
+            "payment_date": rng.choice(
+                [None, "33:25.6", day(), day(), day(), day()[1:], day() + "x", "31-04-2000"]
+            ),
             "payment_method": rng.choice(["card", "paypal"]),
             "created_at": rng.choice(["24:52.6", "33:25.6", day(), None]),
         }
