@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import SPACES, lower_ascii, store, text_of
+from renewlens.llm.common import SPACES, lower_ascii, small, store, text_of
+
+MOST_BROADCAST_LINES = 500_000
 
 
 def line_key(line: Column) -> Column:
@@ -51,14 +53,17 @@ def dedup_lines(
     # The first step meets a hot key once per document, the second once per task.
     holders = hashes.select("hash", "doc_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"]
-    repeated = (
+    # Stored, so that the join below has two plain sides: a small one is broadcast, and where it is
+    # large Spark can split the partition of a hot key.
+    repeated = store(
         holders.groupBy("hash")
         .agg(F.count(F.lit(1)).alias("documents"), first.alias("first_id"))
         .filter(F.col("documents") >= min_documents)
-        .select("hash", "first_id")
+        .select("hash", "first_id"),
+        "line-repeats",
     )
     dropped = (
-        hashes.join(repeated, "hash")
+        hashes.join(small(repeated, MOST_BROADCAST_LINES), "hash")
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
         .groupBy(F.col("doc_id").alias("drop_id"), F.col("row_key").alias("drop_key"))
         .agg(F.collect_set("position").alias("drop"))
