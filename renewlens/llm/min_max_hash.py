@@ -287,6 +287,7 @@ def _across(
         all_blocks,
         (F.col("r_group") == F.col("m_group")) & (F.col("r_level") == F.col("m_level")),
     ).select("r_group", "r_level", "r_blocks", "m_blocks")
+    both = small(store(both, "minmax-blocks"))
 
     def copies(rows: DataFrame, level: str, side: int, own: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
