@@ -17,7 +17,6 @@ A second folder beside it lists the id of every rank.
 
 from __future__ import annotations
 
-import json
 import os
 import unicodedata
 import zlib
@@ -34,12 +33,12 @@ from renewlens.llm.common import small, store, text_of
 from renewlens.sources.storage import export_parquet, shared_folder
 
 BLOCK_IDS = 1 << 18
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 300_000
 _FORGET_AFTER = 32
 _JOINED = 256  # pieces in a text
 _AT_ONCE = 32  # such texts in a call
 _CACHED_BYTES = 48
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 # ASCII punctuation but the apostrophe, a run of which is one piece,
 # and letters whose lower case depends on the library or on neighbours.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -104,21 +103,16 @@ class _Encoder:
 
     def __init__(self, path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._dtype = np.dtype(dtype)
         self._tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            described = json.load(file)
-        suffix = described["model"].get("end_of_word_suffix")
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
         self._merges = None
         if suffix:
-            described |= {
-                "normalizer": None,
-                "pre_tokenizer": {"type": "WhitespaceSplit"},
-                "post_processor": None,
-            }
-            self._merges = Tokenizer.from_str(json.dumps(described))
+            # The same model, which both share, for pieces that are split already.
+            self._merges = Tokenizer(self._tokenizer.model)
+            self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             vocabulary = self._tokenizer.get_vocab()
             self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self._ends[[one for word, one in vocabulary.items() if word.endswith(suffix)]] = True
