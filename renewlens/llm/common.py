@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,19 @@ def small(df: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches that gives memory back at its end.
+
+    A Python worker lives on after a task, and what Arrow holds back counts against its executor.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 def text_of(column: str) -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import lower_ascii, store, text_of, words_of
+from renewlens.llm.common import lower_ascii, store, text_of, tidy, words_of
 
 END = 0  # class of the end of a text
 LONGEST_KEY = 64  # longer words are known by a hash, so that keys have a bounded size
@@ -118,12 +118,13 @@ _ENCODED = (
 
 
 def _encode(broadcast) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: Classes = broadcast.value
         get, group = classes.frequent.get, classes.group
         groups: dict[bytes, int] = {}
         for batch in batches:
-            rows = max(1, batch.num_rows * (8 << 20) // max(batch.nbytes, 1))
+            rows = max(1, batch.num_rows * (2 << 20) // max(batch.nbytes, 1))
             for begin in range(0, batch.num_rows, rows):
                 part = batch.slice(begin, rows)
                 flat, offsets, tails, tail_offsets = [], [0], [], [0]
@@ -230,6 +231,7 @@ def _expected_counts(
 
 
 def _baum_welch_task(broadcast) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = broadcast.value
         states = len(model.start)
@@ -330,6 +332,7 @@ def forward_log10(
 
 
 def _score_task(classes_sent, model_sent) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: Classes = classes_sent.value
         model: Model = model_sent.value

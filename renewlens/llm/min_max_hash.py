@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import small, store, text_of
+from renewlens.llm.common import small, store, text_of, tidy
 
 ROWS = 5
 BANDS = 32
 # A text with more candidate partners than this has its set copied to several tasks.
 _PARTNERS_A_TASK = 256
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 2 << 20
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))  # splitmix64, fixed values
 
 
@@ -92,6 +92,7 @@ _SIGNED = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands a
 def _sign(words: int, rows: int, bands: int) -> Callable:
     permutations = -(-rows * bands // 2)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = max(1, batch.num_rows * _SLICE_BYTES // max(batch.nbytes, 1))
@@ -123,6 +124,7 @@ def _sign(words: int, rows: int, bands: int) -> Callable:
 
 
 def _sets(words: int) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = max(1, batch.num_rows * _SLICE_BYTES // max(batch.nbytes, 1))
@@ -204,7 +206,7 @@ def _compare(percent: int) -> Callable:
         _, code = np.unique(code, return_inverse=True)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         common = np.zeros((len(left), len(right)), dtype=np.float32)
-        step = max(1, (8 << 20) // max(len(ids), 1))
+        step = max(1, (2 << 20) // max(len(ids), 1))
         for begin in range(0, int(code[-1]) + 1 if len(code) else 0, step):
             part = slice(*np.searchsorted(code, [begin, begin + step]))
             has = np.zeros((len(ids), step), dtype=np.float32)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import WORD, text_of
+from renewlens.llm.common import WORD, text_of, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 # Label 0 is outside; each kind has a label for its first word and one for those that follow.
@@ -121,7 +121,7 @@ _LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _EDGES = b".,;:!?\"'"
 _CACHED_WORDS = 100_000
 _CACHED_BYTES = 48
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 _BATCH_TOKENS = 1 << 20
 
 
@@ -416,6 +416,7 @@ _FOUND = (
 
 
 def _find(sent) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field: Field = sent.value
         known: dict[bytes, int] = {}

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import small, store, text_of
+from renewlens.llm.common import small, store, text_of, tidy
 from renewlens.sources.storage import export_parquet, shared_folder
 
 BLOCK_IDS = 1 << 18
@@ -234,6 +234,7 @@ _ENCODERS: dict[str, _Encoder] = {}
 
 
 def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = _Encoder(path, dtype)
@@ -255,13 +256,12 @@ def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
                     [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(whole.tobytes())],
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), binary], names=["doc_id", "ids"])
-        # The worker lives on; what Arrow holds back would count against its executor.
-        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _count_ids(dtype: str) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -285,6 +285,7 @@ def rank_ids(tokens: DataFrame, dtype: str) -> np.ndarray:
 
 
 def _write_blocks(ids_by_rank: np.ndarray, dtype: str) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = np.zeros(int(ids_by_rank.max(initial=0)) + 1, dtype=np.uint32)
         rank_of[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
@@ -366,6 +367,7 @@ def write_files(
 
 
 def _read_blocks(ids_by_rank: np.ndarray, digest: bool) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):

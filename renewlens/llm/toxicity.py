@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import text_of
+from renewlens.llm.common import text_of, tidy
 
 WORDS = 8
 LONGEST_WINDOW = 512
@@ -35,7 +35,7 @@ ANCHOR = bytes(range(1, 9)) * 5
 _PARTS = 4
 _LEAST_CONTEXTS = 3
 _LEAST_SHARE = 0.01
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -235,6 +235,7 @@ def labelled_sample(
 
 
 def _score(sent) -> Callable:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         ready = bool(model.ordinary or model.toxic)
@@ -303,6 +304,7 @@ def without_toxic(
     """The documents, with all their columns, that score below ``threshold``."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = _score(sent)
         for batch in batches:
