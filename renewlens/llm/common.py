@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.sources.storage import export_parquet, shared_folder
+from renewlens.sources.storage import shared_folder
 
 # White space of the contracts, and the letters that are folded.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, purpose: str) -> DataFrame:
+def store(df: DataFrame, purpose: str, *, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, purpose)
-    export_parquet(df, path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -356,6 +356,7 @@ def write_files(
     tokens = store(
         texts.mapInArrow(_encode_documents(tokenizer, end_id, dtype), "doc_id bigint, ids binary"),
         "token-ids",
+        compression="zstd",
     )
     ids_by_rank = rank_ids(tokens, dtype)
     ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
