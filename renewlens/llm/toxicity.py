@@ -158,21 +158,31 @@ def features(texts: list[str], ordinary, toxic) -> np.ndarray:
     ).astype(np.float64)
 
 
-def _curve(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method with a little shrinkage."""
+def _curve(
+    rows: np.ndarray, labels: np.ndarray, share: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression by Newton's method with a little shrinkage.
+
+    Texts are weighed so that label 1 has its ``share`` of all labelled texts, not of the sample.
+    """
+    weight = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
     middle, spread = rows.mean(axis=0), rows.std(axis=0) + 1e-9
     scaled = np.c_[(rows - middle) / spread, np.ones(len(rows))]
     weights = np.zeros(scaled.shape[1])
     for _ in range(50):
         now = 1 / (1 + np.exp(-scaled @ weights))
-        slope = scaled.T @ (now - labels) + 0.1 * weights
-        bend = (scaled * (now * (1 - now))[:, None]).T @ scaled + 0.1 * np.eye(len(weights))
+        slope = scaled.T @ (weight * (now - labels)) + 0.1 * weights
+        bend = (scaled * (weight * now * (1 - now))[:, None]).T @ scaled
+        bend += 0.1 * np.eye(len(weights))
         weights -= np.linalg.solve(bend, slope)
     return middle, spread, weights
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries of all texts given; the curve from parts that its dictionaries had not seen."""
+def train(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
+    """Dictionaries of all texts given; the curve from parts that its dictionaries had not seen.
+
+    ``share`` is that of label 1 among all labelled texts, if these are a sample of them.
+    """
     if not toxic or not ordinary:
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
         count = len(THRESHOLDS) + 4
@@ -187,7 +197,10 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
             if texts:
                 rows.append(features(texts, *compressors))
                 labels.append(np.full(len(texts), label))
-    middle, spread, weights = _curve(np.concatenate(rows), np.concatenate(labels))
+    known = np.concatenate(labels)
+    middle, spread, weights = _curve(
+        np.concatenate(rows), known, known.mean() if share is None else share
+    )
     return Model(*train_dictionaries(toxic, ordinary), middle, spread, weights)
 
 
@@ -201,10 +214,11 @@ def labelled_sample(
     label_col: str,
     sample_rows: int,
     sample_chars: int,
-) -> tuple[list[str], list[str]]:
+) -> tuple[list[str], list[str], float | None]:
     """Texts labelled 1 and 0, in the order of a hash of the id, as far as the bounds go.
 
-    The ids are chosen among the labels first, so that no text is shuffled.
+    Third comes the share of 1 among all labels. The ids are chosen among the labels first, so
+    that no text is shuffled.
     """
     marked = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & training)
@@ -231,6 +245,7 @@ def labelled_sample(
     return (
         [row["text"] for row in ordered if row["label"] == 1],
         [row["text"] for row in ordered if row["label"] == 0],
+        marked.agg(F.avg(F.col("label").cast("double"))).first()[0],
     )
 
 
@@ -263,8 +278,8 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    sample_rows: int = 4_000,
-    sample_chars: int = 32_000_000,
+    sample_rows: int = 2_500,
+    sample_chars: int = 20_000_000,
 ) -> Model:
     """Train on labelled rows for which ``training`` (an expression of the id) holds."""
     return train(
