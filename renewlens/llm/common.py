@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 # Rows that a broadcast may have.
 MOST_BROADCAST_ROWS = 2_000_000
 
@@ -26,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def store(df: DataFrame, purpose: str, *, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_folder(spark, purpose), spark.conf.get(_BATCH_ROWS)
+    # Texts are long: Python workers get fewer of them at a time than by default.
+    spark.conf.set(_BATCH_ROWS, min(int(before), 1_000))
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:

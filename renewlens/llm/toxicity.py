@@ -98,7 +98,7 @@ def _train(size: int, samples: list[bytes], **options: int) -> bytes:
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     plain = [window for text in ordinary for window in windows(text)]
-    order = np.random.default_rng(11).permutation(len(plain))[:300_000]
+    order = np.random.default_rng(11).permutation(len(plain))[:150_000]
     base = _train(ORDINARY_BYTES, [plain[i] for i in order])
     words = toxic_samples(toxic, ordinary)
     mixed = [words[i] for i in np.random.default_rng(12).permutation(len(words))]
@@ -278,8 +278,8 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    sample_rows: int = 2_500,
-    sample_chars: int = 20_000_000,
+    sample_rows: int = 1_500,
+    sample_chars: int = 12_000_000,
 ) -> Model:
     """Train on labelled rows for which ``training`` (an expression of the id) holds."""
     return train(
