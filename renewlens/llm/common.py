@@ -40,13 +40,14 @@ def store(df: DataFrame, purpose: str, *, compression: str = "snappy") -> DataFr
 
 
 def small(df: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """Marked for a broadcast if a count shows that it is small; else Spark joins it by a shuffle.
+    """Marked for a broadcast if a count shows that it is small, else for a join by a shuffle.
 
-    For tables of a few narrow columns; the count costs a pass over what ``df`` reads.
+    For tables of a few narrow columns; the count costs a pass over what ``df`` reads. Without the
+    second mark Spark might still broadcast, as it does not foresee the rows of an explode.
     """
     if df.limit(most_rows + 1).count() <= most_rows:
         return F.broadcast(df)
-    return df
+    return df.hint("merge")
 
 
 def tidy(run: Callable) -> Callable:

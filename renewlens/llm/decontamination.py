@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import small, store, text_of
+from renewlens.llm.common import MOST_BROADCAST_ROWS, small, store, text_of
 
 RADIUS = 31
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 3
@@ -197,6 +197,9 @@ def find_leaks(
             )
         ).alias("i_value"),
     )
+    # An item has 8 blocks with 697 values each.
+    few = items.count() * BLOCKS * len(_changes()) <= MOST_BROADCAST_ROWS
+    near = F.broadcast(near) if few else near.hint("merge")
     distance = F.bit_count(F.col("high").bitwiseXOR(F.col("i_high"))) + F.bit_count(
         F.col("low").bitwiseXOR(F.col("i_low"))
     )
