@@ -3,8 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
-from renewlens.llm import queries
-from tests.conftest import MEDIUM
+from renewlens.llm import common, decontamination, lines, mixing, queries
+from tests.conftest import MEDIUM, SMALL
 from tests.helpers import same_rows
 
 SQL = queries.oracle_sql()
@@ -32,3 +32,16 @@ def test_native_queries_run_no_python(name, spark, capsys):
     plan = capsys.readouterr().out
     assert "Exchange" in plan or "Project" in plan
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian"))
+
+
+@pytest.mark.parametrize("name", ["op3_mixing", "op5_min_max_hash", "op7_line_dedup", "op9_decontamination"])
+def test_tables_beyond_the_broadcast_bound_are_shuffled(name, spark, duck_small, monkeypatch):
+    monkeypatch.setattr(common.small, "__defaults__", (0,))
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lines, "MOST_BROADCAST_LINES", 0)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST_SOURCES", 0)
+    df = queries.queries()[name](spark, SMALL)
+    found = [tuple(row) for row in df.collect()]
+    cursor = duck_small.execute(SQL[name])
+    names = [column[0] for column in cursor.description]
+    same_rows(found, df.columns, cursor.fetchall(), names)
