@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what toxic texts alone say. A
-text is read in windows of a few words, each compressed with the ordinary dictionary alone and with
-the toxic one behind it. A window that is shorter with the latter speaks like the toxic texts. Counts of such windows beyond several thresholds, the
-greatest and the mean difference become a probability by a logistic curve, calibrated on texts that
-the dictionaries had not seen.
+One zstandard dictionary is trained on ordinary text. Toxic ones hold the runs of one to three words
+that toxic texts say at a higher rate than ordinary ones, one dictionary for each level of evidence.
+A text is read in windows of a few words, each compressed with the ordinary dictionary alone and
+with each toxic one behind it. A window that is shorter with the latter speaks like the toxic texts.
+Counts of such windows beyond several thresholds, the greatest and the mean difference become a
+probability by a logistic curve, calibrated on texts that the dictionaries had not seen.
 
 Dictionaries and curve come from a bounded sample of labelled texts (``sample_rows`` of each label,
 ``sample_chars`` in all); scoring covers every whole text, and looks at nothing but the text.
@@ -27,23 +28,24 @@ from renewlens.llm.common import text_of, tidy
 WORDS = 8
 LONGEST_WINDOW = 512
 ORDINARY_BYTES = 32_768
-TOXIC_BYTES = 4_096
+RUN_WORDS = (1, 2, 3)
+# Signed root of the likelihood ratio that a run needs for a dictionary. Few words are beyond the
+# last by chance, but many runs, so it takes words alone.
+LEVELS = ((6.0, RUN_WORDS), (3.3, RUN_WORDS), (2.2, (1,)))
 THRESHOLDS = (2, 3, 4)
 # Both dictionaries end with this and every window begins with it. The match keeps a window from
 # being stored as it is, as zstandard does when it would save less than two bytes.
 ANCHOR = bytes(range(1, 9)) * 5
 _PARTS = 4
-_LEAST_CONTEXTS = 3
-_LEAST_SHARE = 0.01
 _SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
 class Model:
-    """Raw contents of the two dictionaries and the curve; no dictionaries: a constant score."""
+    """Raw contents of the ordinary and the toxic dictionaries and the curve; no dictionaries: a
+    constant score."""
 
-    ordinary: bytes
-    toxic: bytes
+    dictionaries: tuple[bytes, ...]
     middle: np.ndarray
     spread: np.ndarray
     weights: np.ndarray  # the last is the intercept
@@ -66,26 +68,84 @@ def windows(text: str) -> list[bytes]:
     ]
 
 
-def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words that toxic texts use in many different contexts and ordinary ones never.
+def _numbered(texts: list[str], known: dict[bytes, int]) -> np.ndarray:
+    """The words of all texts as numbers from 1, with 0 around each text."""
+    numbers = [0]
+    for text in texts:
+        numbers.extend(known.setdefault(word, len(known) + 1) for word in text.encode().lower().split())
+        numbers.append(0)
+    return np.array(numbers, dtype=np.uint64)
 
-    A context is the pair of neighbours, so that copies of a text do not lift their words. Each
-    word is given once for every context.
+
+def _mixed(columns: list[np.ndarray]) -> np.ndarray:
+    mixed = np.full(len(columns[0]), len(columns), np.uint64)
+    for column in columns:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
+def _runs(numbers: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Hash and place of every run of words; the distinct hashes and in how many contexts each is.
+
+    A context is the pair of neighbours, so that copies of a text do not lift their words.
     """
-    common = {word for text in ordinary for word in text.encode().lower().split()}
-    contexts: dict[bytes, set] = defaultdict(set)
-    for text in toxic:
-        words = text.encode().lower().split()
-        for before, word, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
-            if word not in common:
-                contexts[word].add((before, after))
-    least = max(_LEAST_CONTEXTS, _LEAST_SHARE * len(toxic))
-    return [
-        b" " + word + b" "
-        for word in sorted(contexts)
-        if len(contexts[word]) >= least
-        for _ in contexts[word]
-    ]
+    count = max(len(numbers) - length - 1, 0)
+    columns = [numbers[k : k + count] for k in range(length + 2)]
+    whole = np.logical_and.reduce([column != 0 for column in columns[1:-1]])
+    hashes = _mixed(columns[1:-1])[whole]
+    _, first = np.unique(_mixed(columns)[whole], return_index=True)
+    return hashes, np.flatnonzero(whole) + 1, *np.unique(hashes[first], return_counts=True)
+
+
+def _evidence(toxic: np.ndarray, ordinary: np.ndarray, share: float) -> np.ndarray:
+    """Signed root of the likelihood ratio that a run's rate among the toxic is above ``share``."""
+    both = toxic + ordinary
+    ratio = toxic * np.log(toxic / (both * share))
+    ratio += ordinary * np.log(np.maximum(ordinary, 1) / (both * (1 - share)))
+    return np.where(toxic > both * share, np.sqrt(2 * np.maximum(ratio, 0)), 0)
+
+
+def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[list[bytes]]:
+    """For each level, all runs of words with that much evidence, the most evident at the end.
+
+    Ordinary texts may use them too, at a lower rate. A longer run that overlaps a chosen shorter
+    one has nothing to add and is left out.
+    """
+    known: dict[bytes, int] = {}
+    numbers, others = _numbered(toxic, known), _numbered(ordinary, known)
+    words = list(known)
+    found = {}
+    for length in RUN_WORDS:
+        hashes, places, distinct, times = _runs(numbers, length)
+        _, _, other, other_times = _runs(others, length)
+        if not len(distinct) or not len(other):
+            continue
+        at = np.minimum(np.searchsorted(other, distinct), len(other) - 1)
+        shared = np.where(other[at] == distinct, other_times[at], 0)
+        share = times.sum() / (times.sum() + other_times.sum())
+        found[length] = (hashes, places, distinct, _evidence(times, shared, share))
+    levels = []
+    for least, lengths in LEVELS:
+        taken = np.zeros(len(numbers), dtype=bool)
+        chosen = []
+        for length in lengths:
+            if length not in found:
+                continue
+            hashes, places, distinct, evidence = found[length]
+            number = np.searchsorted(distinct, hashes)
+            free = ~np.logical_or.reduce([taken[places + k] for k in range(length)])
+            used = np.flatnonzero((evidence[number] >= least) & free)
+            _, first = np.unique(hashes[used], return_index=True)
+            for one in used[first]:
+                run = numbers[places[one] : places[one] + length]
+                text = b" ".join(words[int(word) - 1] for word in run)
+                chosen.append((evidence[number[one]], b" " + text + b" "))
+            for k in range(length):
+                taken[places[used] + k] = True
+        levels.append([run for _, run in sorted(chosen)])
+    return levels
 
 
 def _train(size: int, samples: list[bytes], **options: int) -> bytes:
@@ -96,29 +156,28 @@ def _train(size: int, samples: list[bytes], **options: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, ...]:
     plain = [window for text in ordinary for window in windows(text)]
     order = np.random.default_rng(11).permutation(len(plain))[:150_000]
     base = _train(ORDINARY_BYTES, [plain[i] for i in order])
-    words = toxic_samples(toxic, ordinary)
-    mixed = [words[i] for i in np.random.default_rng(12).permutation(len(words))]
-    special = _train(TOXIC_BYTES, mixed, d=6, k=16)
-    # Training may cut a word; those that are not there as a whole are put in front.
-    cut = [word for word in dict.fromkeys(mixed) if word not in special]
-    special = (b"".join(cut) + special)[-TOXIC_BYTES:]
+    special = [b"".join(runs) for runs in toxic_samples(toxic, ordinary)]
+    size = max(len(one) for one in special)
     # The end of a dictionary is the nearest, and its matches cost least.
-    return base + bytes(len(special)) + ANCHOR, base + special + ANCHOR
+    return tuple(base + bytes(size - len(one)) + one + ANCHOR for one in (b"", *special))
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    # Large enough that every place of the dictionary is found.
+    log = max(17, len(content).bit_length())
     settings = zstandard.ZstdCompressionParameters.from_level(
         3,
+        window_log=max(21, log + 1),
         strategy=zstandard.STRATEGY_BTULTRA,
         min_match=3,
         search_log=8,
-        hash_log=17,
-        chain_log=17,
+        hash_log=log,
+        chain_log=log,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         write_content_size=0,
         write_checksum=0,
@@ -133,29 +192,27 @@ def _lengths(compressor: zstandard.ZstdCompressor, pieces: list[bytes]) -> np.nd
     return np.fromiter((len(one) for one in found), np.int64, len(pieces))
 
 
-def features(texts: list[str], ordinary, toxic) -> np.ndarray:
+def features(texts: list[str], ordinary, *toxic) -> np.ndarray:
     """One row per text; a text without words counts as one window without a difference."""
     pieces = [windows(text) for text in texts]
     flat = [window for one in pieces for window in one]
-    gain = np.zeros(0, dtype=np.int64)
-    if flat:
-        gain = _lengths(ordinary, flat) - _lengths(toxic, flat)
     sizes = np.array([len(one) for one in pieces])
-    ends = np.cumsum(sizes)
-    gain = np.insert(gain, ends[sizes == 0], 0)
+    ends, empty = np.cumsum(sizes), sizes == 0
     sizes = np.maximum(sizes, 1)
     begins = np.cumsum(sizes) - sizes
-    above = [np.add.reduceat((gain >= t).astype(np.int64), begins) for t in THRESHOLDS]
-    return np.stack(
-        [
-            *[np.log1p(one) for one in above],
+    columns = []
+    alone = _lengths(ordinary, flat) if flat else np.zeros(0, dtype=np.int64)
+    for one in toxic:
+        gain = alone - _lengths(one, flat) if flat else alone
+        gain = np.insert(gain, ends[empty], 0)
+        above = [np.add.reduceat((gain >= t).astype(np.int64), begins) for t in THRESHOLDS]
+        columns += [
+            *[np.log1p(count) for count in above],
             np.maximum.reduceat(gain, begins),
             np.add.reduceat(gain, begins) / sizes,
             above[1] / sizes,
-            np.log1p(sizes),
-        ],
-        axis=1,
-    ).astype(np.float64)
+        ]
+    return np.stack([*columns, np.log1p(sizes)], axis=1).astype(np.float64)
 
 
 def _curve(
@@ -185,9 +242,9 @@ def train(toxic: list[str], ordinary: list[str], share: float | None = None) ->
     """
     if not toxic or not ordinary:
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
-        count = len(THRESHOLDS) + 4
+        count = len(LEVELS) * (len(THRESHOLDS) + 3) + 1
         weights = np.append(np.zeros(count), np.log(share / (1 - share)))
-        return Model(b"", b"", np.zeros(count), np.ones(count), weights)
+        return Model((), np.zeros(count), np.ones(count), weights)
     rows, labels = [], []
     for part in range(_PARTS):
         fit = [one for i, one in enumerate(toxic) if i % _PARTS != part] or toxic
@@ -201,7 +258,7 @@ def train(toxic: list[str], ordinary: list[str], share: float | None = None) ->
     middle, spread, weights = _curve(
         np.concatenate(rows), known, known.mean() if share is None else share
     )
-    return Model(*train_dictionaries(toxic, ordinary), middle, spread, weights)
+    return Model(train_dictionaries(toxic, ordinary), middle, spread, weights)
 
 
 def labelled_sample(
@@ -253,13 +310,12 @@ def _score(sent) -> Callable:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
-        ready = bool(model.ordinary or model.toxic)
-        compressors = [_compressor(one) for one in (model.ordinary, model.toxic)] if ready else []
+        compressors = [_compressor(one) for one in model.dictionaries]
         for batch in batches:
             size = max(1, batch.num_rows * _SLICE_BYTES // max(batch.nbytes, 1))
             for begin in range(0, batch.num_rows, size):
                 part = batch.slice(begin, size)
-                if ready:
+                if compressors:
                     rows = features(part.column(1).to_pylist(), *compressors)
                 else:
                     rows = np.zeros((part.num_rows, len(model.middle)))

@@ -74,3 +74,42 @@ def test_windows_hold_all_words():
     assert joined.split() == text.encode().lower().split()
     assert max(map(len, toxicity.windows(text))) <= toxicity.LONGEST_WINDOW
     assert toxicity.windows("") == []
+
+
+def _accuracy(said, quoted=(), each=3):
+    """Shares found of toxic and of other texts that the model had not seen."""
+    random.seed(4)
+    plain = [f"{a}{b}{c}" for a in "klmst" for b in ("ran", "dol", "vis", "pem") for c in "aeiou"]
+    toxic, ordinary = [], []
+    for i in range(1200):
+        text = random.choices(plain, k=random.randint(30, 120))
+        for _ in range(each if i % 4 == 0 else 0):
+            text.insert(random.randrange(len(text)), random.choice(said))
+        if quoted and i % 40 == 1:
+            text.insert(3, random.choice(quoted))
+        (toxic if i % 4 == 0 else ordinary).append(" ".join(text))
+    model = toxicity.train(toxic[:225], ordinary[:675])
+    compressors = [toxicity._compressor(one) for one in model.dictionaries]
+    return [
+        (model.scores(toxicity.features(texts, *compressors)) >= 0.5).mean()
+        for texts in (toxic[225:], ordinary[675:])
+    ]
+
+
+def test_rarer_insults_are_learnt():
+    """Each of 400 in one or two texts of 225."""
+    random.seed(6)
+    found, flagged = _accuracy(["".join(random.choices("bcdfghjkqwxz", k=9)) for _ in range(400)])
+    assert found > 0.8 and flagged < 0.05
+
+
+def test_insults_that_ordinary_texts_quote_are_learnt():
+    rude = ["zwugrat", "fnorple", "blixxon", "quaxdrem"]
+    found, flagged = _accuracy(rude, rude, each=5)
+    assert found > 0.8 and flagged < 0.05
+
+
+def test_phrases_of_ordinary_words_are_learnt():
+    phrases = ["krana ldole mvisi", "spemo tranu kdola", "lvise mpemi srano", "tdolu kvisa lpeme"]
+    found, flagged = _accuracy(phrases, each=5)
+    assert found > 0.5 and flagged < 0.1
