@@ -37,6 +37,7 @@ THRESHOLDS = (2, 3, 4)
 # being stored as it is, as zstandard does when it would save less than two bytes.
 ANCHOR = bytes(range(1, 9)) * 5
 _PARTS = 4
+_PIECE_CHARS = 1_024
 _SLICE_BYTES = 2 << 20
 
 
@@ -274,13 +275,16 @@ def labelled_sample(
 ) -> tuple[list[str], list[str], float | None]:
     """Texts labelled 1 and 0, in the order of a hash of the id, as far as the bounds go.
 
-    Third comes the share of 1 among all labels. The ids are chosen among the labels first, so
-    that no text is shuffled.
+    Third comes the share of 1 among all labels of documents. The ids are chosen among these labels
+    first, so that no other text is shuffled. Where the texts are too long together, the longest
+    give pieces chosen by hash, so every text has its part and no label is left without one.
     """
+    ids = documents.select(F.col(id_col).alias("sample_id")).distinct()
     marked = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & training)
         .groupBy(F.col(id_col).alias("sample_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("label"))
+        .join(ids, "sample_id", "left_semi")
         .withColumn("place", F.xxhash64("sample_id"))
     )
     chosen = [
@@ -291,11 +295,34 @@ def labelled_sample(
     found = documents.select(
         F.col(id_col).alias("sample_id"), text_of(text_col).alias("text")
     ).join(few, "sample_id")
-    running = Window.partitionBy("label").orderBy("place", "sample_id", "text")
+    # Where ids repeat, every id has its first text before any has its second.
+    digest = F.xxhash64("text")
+    same_id = Window.partitionBy("label", "sample_id").orderBy("digest")
+    by_label = Window.partitionBy("label").orderBy("nth", "place", "sample_id")
+    rows = (
+        found.select(
+            "sample_id", "label", "place", digest.alias("digest"), F.length("text").alias("size")
+        )
+        .distinct()
+        .withColumn("nth", F.row_number().over(same_id))
+        .withColumn("number", F.row_number().over(by_label))
+        .filter(F.col("number") <= sample_rows)
+        .collect()
+    )
+    most = {
+        label: _most_chars([row["size"] for row in rows if row["label"] == label], sample_chars // 2)
+        for label in (1, 0)
+    }
+    kind = found.schema["sample_id"].dataType.simpleString()
+    wanted = documents.sparkSession.createDataFrame(
+        [(row["sample_id"], row["digest"], most[row["label"]]) for row in rows],
+        f"sample_id {kind}, digest bigint, most bigint",
+    )
     texts = (
-        found.withColumn("upto", F.sum(F.length("text")).over(running))
-        .filter(F.col("upto") <= sample_chars // 2)
-        .select("label", "place", "text")
+        found.withColumn("digest", digest)
+        .join(F.broadcast(wanted), ["sample_id", "digest"])
+        .withColumn("text", _pieces(F.col("text"), F.col("most")))
+        .dropDuplicates(["sample_id", "digest"])
         .collect()
     )
     ordered = sorted(texts, key=lambda row: (row["place"], row["text"]))
@@ -306,6 +333,31 @@ def labelled_sample(
     )
 
 
+def _most_chars(sizes: list[int], bound: int) -> int:
+    """Characters of each text, so that all together keep to ``bound``."""
+    left = bound
+    for place, size in enumerate(sorted(sizes)):
+        most = left // (len(sizes) - place)
+        if size > most:
+            return max(most, 1)
+        left -= size
+    return max(sizes, default=1)
+
+
+def _pieces(text: Column, most: Column) -> Column:
+    """The text, or of a longer one pieces chosen by hash, in their order."""
+    size = F.least(F.lit(_PIECE_CHARS), most).cast("int")
+    numbers = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+    digest = F.xxhash64(text)
+    hashed = F.array_sort(
+        F.transform(numbers, lambda i: F.struct(F.xxhash64(i, digest).alias("hash"), i.alias("i")))
+    )
+    first = F.slice(hashed, F.lit(1), F.floor(most / size).cast("int"))
+    chosen = F.sort_array(F.transform(first, lambda one: one["i"]))
+    pieces = F.transform(chosen, lambda i: F.substring(text, i * size + 1, size))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(pieces, " "))
+
+
 def _score(sent) -> Callable:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

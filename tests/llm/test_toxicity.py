@@ -113,3 +113,36 @@ def test_phrases_of_ordinary_words_are_learnt():
     phrases = ["krana ldole mvisi", "spemo tranu kdola", "lvise mpemi srano", "tdolu kvisa lpeme"]
     found, flagged = _accuracy(phrases, each=5)
     assert found > 0.5 and flagged < 0.1
+
+
+def test_overlong_texts_leave_the_sample_whole(spark):
+    rows, labels = _corpus()
+    truth = dict(labels)
+    # The first of each label in the order of the sample, and one in between.
+    long = [i for i in range(400) if i % 7 == 0]
+    rows = [(i, " ".join([text] * 400) if i in long else text) for i, text in rows]
+    frame = documents(spark, [*rows, (5, "another text of the same id"), rows[1], rows[1]])
+    table = spark.createDataFrame([*labels, (10**9, 1), (10**9 + 1, 0)], "doc_id bigint, toxic int")
+    toxic, ordinary, share = toxicity.labelled_sample(
+        frame, table, fold("doc_id", 5) >= 0, id_col="doc_id", text_col="text", label_col="toxic",
+        sample_rows=500, sample_chars=400_000,
+    )
+    assert len(toxic) == sum(truth.values()) + 1 and len(ordinary) == 400 - sum(truth.values())
+    assert sum(map(len, toxic)) <= 201_000 and sum(map(len, ordinary)) <= 201_000
+    whole = {text for i, text in rows if i not in long}
+    assert whole <= {*toxic, *ordinary}
+    assert share == sum(truth.values()) / 400
+    model = toxicity.fit(frame, table, fold("doc_id", 5) != 0, sample_chars=400_000)
+    found = toxicity.score(frame, model).filter("doc_id % 7 != 0").collect()
+    assert sum(row.predicted != truth[row.doc_id] for row in found) <= 0.05 * len(found)
+
+
+def test_one_text_beyond_the_bound(spark):
+    frame = documents(spark, [(1, "zwug fnorp " * 3000), (2, "karan lodol " * 3000)])
+    table = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    toxic, ordinary, _ = toxicity.labelled_sample(
+        frame, table, fold("doc_id", 5) >= 0, id_col="doc_id", text_col="text", label_col="toxic",
+        sample_rows=5, sample_chars=20_000,
+    )
+    assert "zwug" in toxic[0] and "lodol" in ordinary[0]
+    assert 8_000 <= len(toxic[0]) <= 10_100
