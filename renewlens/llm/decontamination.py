@@ -99,7 +99,12 @@ def _numbered(hashes: str) -> Column:
     )
 
 
-def find_leaks(
+def _key(id_col: str, text_col: str) -> Column:
+    """Stands for a document: ids may be null or repeated."""
+    return F.xxhash64(F.col(id_col).cast("string"), text_of(text_col))
+
+
+def _similar_windows(
     documents: DataFrame,
     benchmark: DataFrame,
     *,
@@ -110,14 +115,7 @@ def find_leaks(
     words: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, similarity, start, n_words.
-
-    ``start`` and ``n_words`` give the most similar window in normalised words (the first of equals).
-    A document shorter than an item is one window. An item with fewer words than a shingle matches
-    nothing, nor does a null or empty text. Null ids are kept as null; rows with the same id give one
-    row per item. Repeated items are found one by one. Empty tables give no rows; other columns are
-    not read.
-    """
+    """Every window that is similar enough to an item, with the key of its document."""
     own_words = normalised_words(F.col("text"))
     items = benchmark.select(
         F.col(item_col).alias("item_id"), text_of(item_text_col).alias("text")
@@ -135,7 +133,7 @@ def find_leaks(
 
     # A key that two documents share lays windows on both, which the comparison sorts out.
     rows = documents.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    rows = rows.withColumn("key", _key("doc_id", "text"))
     hashed = rows.withColumn("words", own_words).select(
         "key", shingles(F.col("words"), words).alias("hashes")
     )
@@ -158,8 +156,9 @@ def find_leaks(
         "hashes", shingles(F.col("words"), words)
     )
     laid = held.select(
-        "doc_id", "hashes", F.explode("windows").alias("window")
+        "key", "doc_id", "hashes", F.explode("windows").alias("window")
     ).select(
+        "key",
         "doc_id",
         "hashes",
         F.col("window.n_words").alias("n_words"),
@@ -169,6 +168,7 @@ def find_leaks(
     last = F.greatest(F.lit(0), F.size("hashes") - F.col("length"))
     laid = laid.withColumn("start", F.greatest(F.lit(0), F.least(F.col("begin"), last)))
     laid = laid.select(
+        "key",
         "doc_id",
         "start",
         "n_words",
@@ -181,7 +181,7 @@ def find_leaks(
         "leaks-fingerprints",
     )
     probes = marked.select(
-        "doc_id", "start", "n_words", "high", "low", "window_set",
+        "key", "doc_id", "start", "n_words", "high", "low", "window_set",
         F.posexplode(_blocks()).alias("block", "value"),
     )
     index = items.select(
@@ -210,7 +210,7 @@ def find_leaks(
             & (F.col("value") == F.col("i_value"))
             & (distance <= RADIUS),
         )
-        .select("doc_id", "start", "n_words", "window_set", "item")
+        .select("key", "doc_id", "start", "n_words", "window_set", "item")
         .distinct()
     )
     compared = candidates.join(
@@ -220,9 +220,40 @@ def find_leaks(
     common = F.size(F.array_intersect("window_set", "item_set"))
     union = F.size("window_set") + F.size("item_set") - common
     similar = compared.withColumn("common", common).withColumn("union", union)
+    return similar.filter(F.col("common") * 100 >= F.col("union") * percent)
+
+
+def find_leaks(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    words: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """One row per document and item that it holds: doc_id, item_id, similarity, start, n_words.
+
+    ``start`` and ``n_words`` give the most similar window in normalised words (the first of equals).
+    A document shorter than an item is one window. An item with fewer words than a shingle matches
+    nothing, nor does a null or empty text. Null ids are kept as null; rows with the same id give one
+    row per item. Repeated items are found one by one. Empty tables give no rows; other columns are
+    not read.
+    """
+    similar = _similar_windows(
+        documents,
+        benchmark,
+        id_col=id_col,
+        text_col=text_col,
+        item_col=item_col,
+        item_text_col=item_text_col,
+        words=words,
+        percent=percent,
+    )
     best = (
-        similar.filter(F.col("common") * 100 >= F.col("union") * percent)
-        .groupBy("doc_id", "item_id", "item")
+        similar.groupBy("doc_id", "item_id", "item")
         .agg(
             F.max(
                 F.struct(
@@ -243,11 +274,14 @@ def find_leaks(
 
 
 def without_leaks(
-    documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options
+    documents: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **options,
 ) -> DataFrame:
-    """The documents, with all their columns, that hold no item."""
-    leaks = find_leaks(documents, benchmark, id_col=id_col, **options)
-    leaking = store(leaks.select(F.col("doc_id").alias("_leaking")).distinct(), "leaks-documents")
-    return documents.join(
-        small(leaking), F.col(id_col).eqNullSafe(F.col("_leaking")), "left_anti"
-    )
+    """The documents, with all their columns, that hold no item; each is judged by its own text."""
+    found = _similar_windows(documents, benchmark, id_col=id_col, text_col=text_col, **options)
+    leaking = store(found.select(F.col("key").alias("_leaking")).distinct(), "leaks-documents")
+    return documents.join(small(leaking), _key(id_col, text_col) == F.col("_leaking"), "left_anti")

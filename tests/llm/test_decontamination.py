@@ -105,3 +105,13 @@ def test_odd_rows(spark):
     assert sorted(row.doc_id for row in left.collect()) == [1, 2, 5]
     assert dc.find_leaks(documents(spark, []), items).count() == 0
     assert dc.find_leaks(documents(spark, rows), benchmark(spark, [])).count() == 0
+
+
+def test_only_leaking_rows_go_where_ids_repeat(spark):
+    item = "one two three four five six seven eight nine ten"
+    clean = "a text with nothing of the items in any of its words"
+    rows = [(None, item), (None, clean), (None, None), (7, item), (7, clean), (7, clean), (8, item)]
+    left = dc.without_leaks(documents(spark, rows), benchmark(spark, [(1, item)]))
+    assert sorted((str(row.doc_id), row.text or "") for row in left.collect()) == [
+        ("7", clean), ("7", clean), ("None", ""), ("None", clean)
+    ]
