@@ -7,9 +7,10 @@ item's blocks with all changes of up to three bits finds all items within the ra
 found is then compared exactly: the windows' and the item's shingles, weighted by how often each
 occurs, must be similar enough (sum of the smaller weights over sum of the larger).
 
-Windows are laid where a shingle of the document is a shingle of an item, at the same place in both.
-A window that could be similar enough shares most of the item's shingles with it, so this loses
-none; it spares the fingerprints of text that shares nothing with any item.
+Windows are laid wherever enough shingles of the document are shingles of one item, in any order: a
+window that is similar enough shares most of the item's shingles with it, so this loses none. They are
+also laid where a shingle is at the same place in both, for items of another length. Text that shares
+little with any item gets no further fingerprints.
 
 Everything is DataFrame functions; the documents are read twice and only hashes are shuffled.
 """
@@ -104,6 +105,27 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), text_of(text_col))
 
 
+def _starts(words: int, percent: int) -> Column:
+    """Starts of all windows of ``n_words`` that hold enough of the spots ``ats``.
+
+    Of two sets of the same size, that many must be common for the similarity.
+    """
+    length = F.col("n_words") - (words - 1)
+    needed = F.ceil(length * (2 * percent) / (100 + percent) - 1e-9).cast("int")
+    numbers = F.sequence(F.lit(0), F.size("ats") - needed)
+    runs = F.transform(
+        numbers,
+        lambda i: F.struct(
+            (F.get("ats", i + needed - 1) - length + 1).alias("least"), F.get("ats", i).alias("most")
+        ),
+    )
+    close = F.filter(runs, lambda run: run["least"] <= run["most"])
+    starts = F.array_distinct(
+        F.flatten(F.transform(close, lambda run: F.sequence(run["least"], run["most"])))
+    )
+    return F.when(F.size("ats") >= needed, starts).otherwise(F.array().cast("array<int>"))
+
+
 def _similar_windows(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -129,7 +151,12 @@ def _similar_windows(
         .withColumn("item_set", _numbered("item_hashes")),
         "leaks-items",
     )
-    places = items.select("n_words", F.posexplode("item_hashes").alias("place", "hash"))
+    # Items with the same shingles lay the same windows.
+    places = items.select(
+        "n_words",
+        F.xxhash64(F.sort_array("item_hashes")).alias("shape"),
+        F.posexplode("item_hashes").alias("place", "hash"),
+    )
 
     # A key that two documents share lays windows on both, which the comparison sorts out.
     rows = documents.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -139,11 +166,17 @@ def _similar_windows(
     )
     # The outer form keeps Spark from testing the array beforehand, which would build it twice.
     spots = hashed.select("key", F.posexplode_outer("hashes").alias("at", "hash"))
-    windows = (
+    shared = (
         spots.join(small(places.distinct()), "hash")
-        .select("key", (F.col("at") - F.col("place")).alias("begin"), "n_words")
-        .distinct()
+        .groupBy("key", "shape", "n_words")
+        .agg(
+            F.sort_array(F.collect_set("at")).alias("ats"),
+            F.collect_set(F.col("at") - F.col("place")).alias("aligned"),
+        )
     )
+    windows = shared.select(
+        "key", F.explode(F.array_union("aligned", _starts(words, percent))).alias("begin"), "n_words"
+    ).distinct()
     by_document = store(
         windows.groupBy(F.col("key").alias("w_key")).agg(
             F.collect_list(F.struct("begin", "n_words")).alias("windows")

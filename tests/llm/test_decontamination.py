@@ -115,3 +115,26 @@ def test_only_leaking_rows_go_where_ids_repeat(spark):
     assert sorted((str(row.doc_id), row.text or "") for row in left.collect()) == [
         ("7", clean), ("7", clean), ("None", ""), ("None", clean)
     ]
+
+
+def test_swapped_halves_against_all_windows(spark):
+    random.seed(21)
+
+    def prose(count):
+        return [f"w{random.randrange(5000)}" for _ in range(count)]
+
+    items = [(i, " ".join(prose(60))) for i in range(6)]
+    rows = []
+    for i in range(60):
+        words = items[i % 6][1].split()
+        cut = random.randint(10, 50) if i % 3 else 30
+        rows.append((i, " ".join(prose(i) + words[cut:] + words[:cut] + prose(40))))
+    frame = documents(spark, rows)
+    found = {
+        (row.doc_id, row.item_id): (row.similarity, row.start)
+        for row in dc.find_leaks(frame, benchmark(spark, items)).collect()
+    }
+    expected = {(i, i % 6): best(text, items[i % 6][1]) for i, text in rows}
+    assert min(expected.values()) >= 0.8
+    assert {pair: value for pair, (value, _) in found.items()} == expected
+    assert dc.without_leaks(frame, benchmark(spark, items)).isEmpty()
