@@ -184,7 +184,11 @@ def _similar_windows(
         "leaks-windows",
     )
 
-    held = rows.join(small(by_document), F.col("key") == F.col("w_key"))
+    # Each row holds all windows of a document, so these are counted.
+    n_windows = by_document.agg(F.sum(F.size("windows"))).first()[0] or 0
+    few = n_windows <= MOST_BROADCAST_ROWS
+    by_document = F.broadcast(by_document) if few else by_document.hint("merge")
+    held = rows.join(by_document, F.col("key") == F.col("w_key"))
     held = held.withColumn("words", own_words).withColumn(
         "hashes", shingles(F.col("words"), words)
     )

@@ -138,3 +138,16 @@ def test_swapped_halves_against_all_windows(spark):
     assert min(expected.values()) >= 0.8
     assert {pair: value for pair, (value, _) in found.items()} == expected
     assert dc.without_leaks(frame, benchmark(spark, items)).isEmpty()
+
+
+def test_many_windows_in_few_documents_are_not_broadcast(spark, monkeypatch):
+    """Three documents with more windows than the bound of rows."""
+    item = " ".join(f"w{i}" for i in range(12))
+    frame = documents(spark, [(i, " x ".join([item] * 40)) for i in range(3)])
+    asked = []
+    monkeypatch.setattr(dc, "MOST_BROADCAST_ROWS", 100)
+    broadcast = F.broadcast
+    monkeypatch.setattr(dc.F, "broadcast", lambda df: asked.append(df.columns) or broadcast(df))
+    found = dc.find_leaks(frame, benchmark(spark, [(1, item)])).collect()
+    assert {row.doc_id for row in found} == {0, 1, 2}
+    assert ["w_key", "windows"] not in asked
