@@ -1,0 +1,183 @@
+"""Periodic runs against a plain search of every period of every text."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from renewlens.llm import periodic_runs, queries
+from renewlens.llm.periodic_runs import MODULUS, backward, find, forward, squared_differences
+from tests.conftest import SMALL
+
+from .helpers import documents, words
+
+
+def plain_runs(found, least=12):
+    """(start, end, period) of all runs: every period, every maximal stretch, smallest period."""
+    shortest = {}
+    for period in range(1, len(found) // 2 + 1):
+        first = None
+        for at in range(len(found) - period + 1):
+            if at + period < len(found) and found[at] == found[at + period]:
+                first = at if first is None else first
+            elif first is not None:
+                if at + period - first >= max(least, 2 * period):
+                    shortest.setdefault((first, at + period), period)
+                first = None
+    return sorted(((s, e, p) for (s, e), p in shortest.items()), key=lambda run: (run[0], run[2]))
+
+
+def plain_collapsed(found, runs):
+    gone = {at for start, end, period in runs for at in range(start + period, end)}
+    return " ".join(word for at, word in enumerate(found) if at not in gone)
+
+
+def same_as_plain(numbers):
+    runs = [tuple(map(int, row)) for row in find(np.array(numbers, dtype=np.int64))]
+    assert runs == plain_runs(numbers)
+
+
+def test_transform_is_exact_and_multiplies():
+    random_numbers = np.random.default_rng(1)
+    for size in (1, 2, 8, 64, 1024):
+        columns = random_numbers.integers(0, MODULUS, (size, 3)).astype(np.uint64)
+        assert (backward(forward(columns)) == columns).all()
+    blocks = random_numbers.integers(0, 1000, (16, 5)).astype(np.uint64)
+    windows = random_numbers.integers(0, 1000, (47, 5)).astype(np.uint64)
+    windows[9:25, 2] = blocks[:, 2]
+    found = squared_differences(blocks, windows)
+    for column in range(5):
+        for place in range(32):
+            gap = windows[place : place + 16, column].astype(int) - blocks[:, column].astype(int)
+            assert found[place, column] == (gap**2).sum()
+    assert found[9, 2] == 0
+
+
+def test_random_sequences_of_few_letters():
+    source = random.Random(2)
+    for _ in range(400):
+        letters = source.choice([1, 2, 3, 5])
+        same_as_plain([source.randrange(letters) for _ in range(source.randint(0, 130))])
+
+
+def test_sequences_of_repeated_parts_with_large_numbers():
+    source = random.Random(3)
+    for _ in range(150):
+        sequence = []
+        while len(sequence) < source.randint(50, 300):
+            most = source.choice([2, 50_000_000])
+            part = [source.randrange(most) for _ in range(source.randint(1, 40))]
+            sequence += (part * source.randint(1, 5))[: source.randint(1, 120)]
+        same_as_plain(sequence)
+
+
+def test_words_without_squares_beyond_the_bound_and_fibonacci():
+    same_as_plain([bin(at).count("1") % 2 for at in range(300)])
+    shorter, longer = [0], [0, 1]
+    for _ in range(9):
+        shorter, longer = longer, longer + shorter
+    same_as_plain(longer)
+    same_as_plain([7] * 500)
+
+
+def test_numbers_that_share_a_code_are_no_copy():
+    """Codes are remainders: numbers a bound apart look alike to the convolution."""
+    bound = 40_133
+    sequence = [at % 5 + (bound * (at // 5)) for at in range(60)]
+    assert plain_runs(sequence) == []
+    assert len(find(np.array(sequence, dtype=np.int64))) == 0
+
+
+def test_long_sequences_of_one_word_and_of_two_alternating_regions():
+    assert find(np.zeros(50_000, dtype=np.int64)).tolist() == [[0, 50_000, 1]]
+    sequence = np.zeros(4_000, dtype=np.int64)
+    sequence[999::1000] = [1, 2, 3, 4]
+    expected = [(at, at + 999, 1) for at in (0, 1000, 2000, 3000)]
+    found = [tuple(row) for row in find(sequence).tolist()]
+    assert [run for run in found if run[2] == 1] == expected
+
+
+def test_odd_rows(spark):
+    part = "alpha beta gamma delta "
+    rows = [
+        (1, part * 6), (1, part * 6), (None, part * 4), (2, None), (3, ""), (4, " \t\n "),
+        (5, "one\ntwo\u00a0x " * 7), (6, "w " * 11), (7, "w " * 12), (8, "long" * 100_000),
+    ]
+    found = periodic_runs.runs_of(documents(spark, rows))
+    assert found.columns == ["doc_id", "n_words", "runs", "collapsed"]
+    collected = sorted(found.collect(), key=lambda row: (row.doc_id is None, row.doc_id, row.runs))
+    by_id = {row.doc_id: row for row in collected}
+    assert len(collected) == len(rows)
+    assert by_id[1].runs == [(0, 24, 4)] and by_id[1].collapsed == part.strip()
+    assert by_id[None].runs == [(0, 16, 4)]
+    assert [(by_id[i].n_words, by_id[i].runs, by_id[i].collapsed) for i in (2, 3, 4)] == [(0, [], "")] * 3
+    assert by_id[5].runs == [(0, 14, 2)] and by_id[5].collapsed == "one two\u00a0x"
+    assert by_id[6].runs == [] and by_id[7].runs == [(0, 12, 1)]
+    assert by_id[8].collapsed == "long" * 100_000
+
+
+def test_text_ids_and_empty_tables(spark):
+    frame = spark.createDataFrame([("a", "x " * 20, 1)], "`key` string, body string, runs int")
+    (row,) = periodic_runs.runs_of(frame, id_col="key", text_col="body").collect()
+    assert tuple(row) == ("a", 20, [(0, 20, 1)], "x")
+    none = periodic_runs.runs_of(frame.where("false"), id_col="key", text_col="body")
+    assert none.collect() == []
+
+
+def test_shorter_runs_on_request(spark):
+    (row,) = periodic_runs.runs_of(documents(spark, [(1, "q a b a b a b q")]), least=6).collect()
+    assert row.runs == [(1, 6, 2)]
+    with pytest.raises(Exception, match="at least 5"):
+        find(np.zeros(9, dtype=np.int64), least=4)
+
+
+def _expected(doc_id, text):
+    found, number = words(text), zlib.crc32(str(doc_id).encode())
+    g, n = number // 10, len(found)
+    if number % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        found = [found[i] if i < a else found[a + (i - a) % p] for i in range(n)]
+    runs = plain_runs(found)
+    best = min(runs, key=lambda run: (run[0] - run[1], run[0], run[2]), default=None)
+    named = (None,) * 4
+    if best:
+        length = best[1] - best[0]
+        named = (best[0], length, best[2], 1000 * length // best[2])
+    lines = "".join(f"{start},{end - start},{period}\n" for start, end, period in runs)
+    digests = [hashlib.sha256(one.encode()).hexdigest() for one in (lines, plain_collapsed(found, runs))]
+    return (doc_id, len(runs), *named, *digests, n)
+
+
+def test_query_against_a_plain_version(spark, small_texts):
+    df = queries.queries()["op11_periodic_runs"](spark, SMALL)
+    assert df.columns == [
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        "runs_sha256", "collapsed_sha256", "n_words",
+    ]
+    found = {row.doc_id: tuple(row) for row in df.collect()}
+    assert len(found) == len(small_texts) and sum(row[1] > 0 for row in found.values()) > 10
+    short = {i for i, text in small_texts.items() if len(words(text)) <= 1500}
+    assert len(short) > 0.9 * len(small_texts)
+    for doc_id in short:
+        assert found[doc_id] == _expected(doc_id, small_texts[doc_id])
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    rows = [(i, "t" + " w%d" % (i % 3) * 40) for i in range(60)] + [(60, None), (61, ""), (None, "a " * 30)]
+    documents(spark, rows).drop("words").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.queries()["op11_periodic_runs"](spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        if row.doc_id is not None:
+            assert tuple(row) == _expected(row.doc_id, dict(rows)[row.doc_id])
+    assert [row.n_runs for row in found if row.doc_id in (60, 61)] == [0, 0]
+
+
+def test_no_shuffle(spark, capsys):
+    queries.queries()["op11_periodic_runs"](spark, SMALL).select(F.sum("n_runs")).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange hashpartitioning" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
