@@ -169,3 +169,73 @@ FROM compared WHERE common * 100 >= either * 80
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id
     ORDER BY common / either DESC, start, n_words DESC) = 1
 """
+
+# Vectors as lists of doubles, which hold these whole numbers and their products exactly.
+_NEAREST = """
+{assigned} AS (
+    SELECT v.row_number, any_value(v.vec_id) AS vec_id, any_value(v.whole) AS whole,
+           min({{'distance': list_inner_product(v.whole, v.whole)
+                     - 2 * list_inner_product(v.whole, c.whole)
+                     + list_inner_product(c.whole, c.whole),
+                 'cluster': c.cluster}}) AS best
+    FROM vectors v, {centroids} c
+    GROUP BY v.row_number
+)"""
+
+_MOVED = """
+{means} AS (
+    SELECT cluster, list(mean ORDER BY place) AS whole
+    FROM (
+        SELECT cluster, place, floor(sum(x) / count(*)) AS mean
+        FROM (
+            SELECT best.cluster AS cluster, unnest(whole) AS x,
+                   generate_subscripts(whole, 1) AS place
+            FROM {assigned}
+        )
+        GROUP BY cluster, place
+    )
+    GROUP BY cluster
+),
+{moved} AS (
+    SELECT c.cluster, coalesce(m.whole, c.whole) AS whole
+    FROM {centroids} c LEFT JOIN {means} m USING (cluster)
+)"""
+
+
+def centroids(rounds: int = 3) -> str:
+    parts = [
+        """
+vectors AS (
+    SELECT row_number() OVER () AS row_number, vec_id,
+           list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS whole
+    FROM embeddings
+    WHERE len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+centroids_0 AS (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), whole) - 1
+               AS cluster, whole
+    FROM vectors
+    ORDER BY cluster LIMIT 16
+)"""
+    ]
+    for n in range(rounds + 1):
+        names = {
+            "assigned": f"assigned_{n}", "centroids": f"centroids_{n}",
+            "means": f"means_{n}", "moved": f"centroids_{n + 1}",
+        }
+        parts.append(_NEAREST.format(**names))
+        if n < rounds:
+            parts.append(_MOVED.format(**names))
+    return (
+        "WITH " + ",".join(parts) + f"""
+SELECT a.vec_id, c.cluster::INTEGER AS cluster, best.distance::BIGINT AS distance,
+       sum(best.distance) OVER (PARTITION BY c.cluster)::BIGINT AS cluster_inertia,
+       sum(best.distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c.whole, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM assigned_{rounds} a JOIN centroids_{rounds} c ON c.cluster = a.best.cluster
+"""
+    )
+
+
+CENTROIDS = centroids()

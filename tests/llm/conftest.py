@@ -3,7 +3,7 @@ import pytest
 
 from tests.conftest import MEDIUM, SMALL
 
-TABLES = ("documents", "benchmark", "labels")
+TABLES = ("documents", "benchmark", "labels", "embeddings")
 
 
 def _connect(folder):

@@ -11,7 +11,7 @@ SQL = queries.oracle_sql()
 
 
 def test_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(one.startswith(name) for one in queries.queries()) == 1 for name in names)
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
     assert set(SQL) <= set(entry.oracle_sql())
