@@ -2,6 +2,9 @@
 
 Each metric is one scan with a partial aggregate per task, so only a few rows per task are
 shuffled however large a plan is. Ties in a descending order are broken by the plan.
+
+``subscriptions`` may also be the status counts of ``marts.status_counts`` for the same day: stored
+once, they serve all reports without another look at the subscriptions.
 """
 
 from __future__ import annotations
@@ -12,26 +15,41 @@ from pyspark.sql import functions as F
 from renewlens.functions import lifecycle
 from renewlens.functions.exact import percent
 from renewlens.functions.ordering import largest_first, smallest_first
+from renewlens.operators.marts import is_counted, number, number_if
 
 
 def _active(subscriptions: DataFrame, as_of: Column) -> DataFrame:
+    if is_counted(subscriptions):
+        return subscriptions.where("is_active")
     return subscriptions.where(lifecycle.is_active(F.col("start_date"), F.col("end_date"), as_of))
 
 
+def _is_churned(subscriptions: DataFrame, as_of: Column) -> Column:
+    if is_counted(subscriptions):
+        return F.col("is_churned")
+    return lifecycle.is_churned(F.col("end_date"), as_of)
+
+
+def _is_running(subscriptions: DataFrame, as_of: Column) -> Column:
+    if is_counted(subscriptions):
+        return ~F.col("is_churned")
+    return lifecycle.is_running(F.col("end_date"), as_of)
+
+
 def _churned(subscriptions: DataFrame, as_of: Column) -> DataFrame:
-    return subscriptions.where(lifecycle.is_churned(F.col("end_date"), as_of))
+    return subscriptions.where(_is_churned(subscriptions, as_of))
 
 
 def _count_by_plan(subscriptions: DataFrame, name: str) -> DataFrame:
     return (
         subscriptions.groupBy("subscription_type")
-        .agg(F.count("*").alias(name))
+        .agg(number(subscriptions).alias(name))
         .orderBy(largest_first(name), smallest_first("subscription_type"))
     )
 
 
 def active_subscriptions(subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
-    return _active(subscriptions, as_of).agg(F.count("*").alias("active_subscriptions"))
+    return _active(subscriptions, as_of).agg(number(subscriptions).alias("active_subscriptions"))
 
 
 def active_by_plan(subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
@@ -53,9 +71,9 @@ def churned_counts(subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
 
 def plan_churn_rates(subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
     """Churn rate per plan, unsorted."""
-    churned = F.count_if(lifecycle.is_churned(F.col("end_date"), as_of))
+    churned = number_if(subscriptions, _is_churned(subscriptions, as_of))
     return subscriptions.groupBy("subscription_type").agg(
-        percent(churned, F.count("*")).alias("churn_rate")
+        percent(churned, number(subscriptions)).alias("churn_rate")
     )
 
 
@@ -67,9 +85,9 @@ def churn_rate_by_plan(subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
 
 def status_rates_by_plan(subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
     """Share of running and of churned subscriptions per plan; the two cover all rows."""
-    end, total = F.col("end_date"), F.count("*")
-    running = F.count_if(lifecycle.is_running(end, as_of))
-    churned = F.count_if(lifecycle.is_churned(end, as_of))
+    total = number(subscriptions)
+    running = number_if(subscriptions, _is_running(subscriptions, as_of))
+    churned = number_if(subscriptions, _is_churned(subscriptions, as_of))
     return (
         subscriptions.groupBy("subscription_type")
         .agg(
@@ -81,7 +99,23 @@ def status_rates_by_plan(subscriptions: DataFrame, *, as_of: Column) -> DataFram
 
 
 def _churned_lifetimes(subscriptions: DataFrame, as_of: Column) -> DataFrame:
-    """Churned subscriptions with days from start to end; an unknown start is in the last bucket."""
+    """Churned subscriptions with days from start to end; an unknown start is in the last bucket.
+
+    Of status counts, a cell with its smallest number of days: a churned subscription's tenure ends
+    with it, so the cells' buckets are these buckets but for the name of the last.
+    """
+    if is_counted(subscriptions):
+        last = F.col("tenure_bucket").isNull() | (
+            F.col("tenure_bucket") == lifecycle.MART_LAST_BUCKET
+        )
+        return _churned(subscriptions, as_of).select(
+            "subscription_type",
+            F.col("first_tenure_day").alias("lifetime_days"),
+            F.when(last, lifecycle.METRIC_LAST_BUCKET)
+            .otherwise(F.col("tenure_bucket"))
+            .alias("tenure_bucket"),
+            "subscriptions",
+        )
     days = F.datediff("end_date", "start_date")
     return _churned(subscriptions, as_of).select(
         "subscription_type",
@@ -94,7 +128,10 @@ def churned_by_bucket(subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
     return (
         _churned_lifetimes(subscriptions, as_of)
         .groupBy("tenure_bucket")
-        .agg(F.count("*").alias("churned_subscriptions"), F.min("lifetime_days").alias("first_day"))
+        .agg(
+            number(subscriptions).alias("churned_subscriptions"),
+            F.min("lifetime_days").alias("first_day"),
+        )
         .orderBy(smallest_first("first_day"))
         .drop("first_day")
     )
@@ -104,7 +141,10 @@ def churned_by_plan_and_bucket(subscriptions: DataFrame, *, as_of: Column) -> Da
     return (
         _churned_lifetimes(subscriptions, as_of)
         .groupBy("subscription_type", "tenure_bucket")
-        .agg(F.count("*").alias("churned_subscriptions"), F.min("lifetime_days").alias("first_day"))
+        .agg(
+            number(subscriptions).alias("churned_subscriptions"),
+            F.min("lifetime_days").alias("first_day"),
+        )
         .orderBy(smallest_first("subscription_type"), smallest_first("first_day"))
         .drop("first_day")
     )

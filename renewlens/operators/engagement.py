@@ -35,6 +35,8 @@ def listening_range(engagement: DataFrame) -> DataFrame:
 
 
 def _per_user(engagement: DataFrame) -> DataFrame:
+    if "engagement_rows" in engagement.columns:
+        return engagement
     return engagement.groupBy("user_id").agg(
         F.count("*").alias("engagement_rows"),
         F.sum("total_listens").alias("listens"),
@@ -46,6 +48,26 @@ def _copies(df: DataFrame, *keys: str, name: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
 
+def user_engagement(engagement: DataFrame, users: DataFrame) -> DataFrame:
+    """One row per user with listening: sums, and the number of rows the user has in ``users``.
+
+    Stored in buckets by user, it meets ``user_subscriptions`` without a shuffle.
+    """
+    known = _copies(users, "user_id", name="user_rows")
+    return (
+        _per_user(engagement)
+        .join(known, "user_id", "left")
+        .withColumn("user_rows", F.coalesce("user_rows", F.lit(0).cast("bigint")))
+    )
+
+
+def user_subscriptions(subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions per user, plan and end, from which counts by plan or status of any day add up."""
+    return _copies(
+        subscriptions, "user_id", "subscription_type", "end_date", name="subscription_rows"
+    )
+
+
 def _summary(joined: DataFrame, group: str, weight: Column, *names: str) -> DataFrame:
     """Users, weighted mean and maximum per group; ``joined`` has one row per user and group."""
     users, average, most = names
@@ -70,7 +92,11 @@ def subscription_counts(subscriptions: DataFrame, *, as_of: Column) -> DataFrame
     )
 
 
-def _added_up(counts: DataFrame, *keys: str) -> DataFrame:
+def _added_up(counts: DataFrame, as_of: Column | None, *keys: str) -> DataFrame:
+    if "end_date" in counts.columns and "subscription_status" in keys:
+        counts = counts.withColumn(
+            "subscription_status", lifecycle.status_label(F.col("end_date"), as_of)
+        )
     return counts.groupBy(*keys).agg(F.sum("subscription_rows").alias("subscription_rows"))
 
 
@@ -79,17 +105,18 @@ def plan_engagement(
 ) -> DataFrame:
     """Engagement of known users by the plan of their subscriptions, unsorted.
 
-    ``subscriptions`` may be counted already, as ``subscription_counts`` does.
+    ``subscriptions`` may be counted already, as ``subscription_counts`` or ``user_subscriptions``
+    do, and ``engagement`` may be that of ``user_engagement``, where ``users`` is not read.
     """
     if "subscription_rows" in subscriptions.columns:
-        plans = _added_up(subscriptions, "user_id", "subscription_type")
+        plans = _added_up(subscriptions, None, "user_id", "subscription_type")
     else:
         plans = _copies(subscriptions, "user_id", "subscription_type", name="subscription_rows")
-    joined = (
-        _per_user(engagement)
-        .join(_copies(users, "user_id", name="user_rows"), "user_id")
-        .join(plans, "user_id")
-    )
+    if "user_rows" in engagement.columns:
+        known = engagement.where(F.col("user_rows") > 0)
+    else:
+        known = _per_user(engagement).join(_copies(users, "user_id", name="user_rows"), "user_id")
+    joined = known.join(plans, "user_id")
     weight = F.col("user_rows").cast(WEIGHT_TYPE) * F.col("subscription_rows").cast(WEIGHT_TYPE)
     return _summary(
         joined,
@@ -106,10 +133,11 @@ def status_engagement(
 ) -> DataFrame:
     """Engagement by status of the user's subscriptions, unsorted; a user may be in both.
 
-    ``subscriptions`` may be counted already, as ``subscription_counts`` does.
+    ``subscriptions`` may be counted already, as ``subscription_counts`` or ``user_subscriptions``
+    do, and ``engagement`` summed by ``user_engagement``.
     """
     if "subscription_rows" in subscriptions.columns:
-        statuses = _added_up(subscriptions, "user_id", "subscription_status")
+        statuses = _added_up(subscriptions, as_of, "user_id", "subscription_status")
     else:
         status = lifecycle.status_label(F.col("end_date"), as_of).alias("subscription_status")
         statuses = _copies(

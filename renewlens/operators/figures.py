@@ -14,9 +14,16 @@ from renewlens.operators import engagement, marts, revenue
 
 
 def headline(payments: DataFrame, subscriptions: DataFrame, *, as_of: Column) -> DataFrame:
-    """Total subscriptions, overall churn rate and total revenue as one row."""
-    total = F.count("*")
-    churned = F.count_if(lifecycle.is_churned(F.col("end_date"), as_of))
+    """Total subscriptions, overall churn rate and total revenue as one row.
+
+    ``subscriptions`` may be status counts, ``payments`` may be revenue per subscription.
+    """
+    total = marts.number(subscriptions)
+    if marts.is_counted(subscriptions):
+        is_churned = F.col("is_churned")
+    else:
+        is_churned = lifecycle.is_churned(F.col("end_date"), as_of)
+    churned = marts.number_if(subscriptions, is_churned)
     lives = subscriptions.agg(
         total.alias("total_subscriptions"), percent(churned, total).alias("churn_rate_percent")
     )
@@ -59,7 +66,10 @@ def revenue_two_routes(
 def churn_two_routes(
     marted: DataFrame, subscriptions: DataFrame, *, as_of: Column
 ) -> DataFrame:
-    """Counts of the churn mart beside counts taken from subscriptions in one row."""
+    """Counts of the churn mart beside counts taken from subscriptions in one row.
+
+    The mart's side may start from status counts; the direct one always reads the subscriptions.
+    """
     mart = marts.churn_by_bucket(marted).select(
         "tenure_bucket",
         F.col("total_subscriptions").alias("mart_total"),
@@ -141,10 +151,14 @@ def plan_page(
 ) -> DataFrame:
     """Average revenue and engagement by plan, and engagement by status, in long form.
 
-    One count of subscriptions serves both engagement panels; the revenue panel takes the copies
-    per subscription, counted here unless they are given.
+    One count of subscriptions per user serves both engagement panels, counted here unless it is
+    given as ``subscriptions``; the revenue panel takes the copies per subscription, counted here
+    from single subscriptions unless they are given.
     """
-    counts = engagement.subscription_counts(subscriptions, as_of=as_of)
+    if "subscription_rows" in subscriptions.columns:
+        counts = subscriptions
+    else:
+        counts = engagement.subscription_counts(subscriptions, as_of=as_of)
     return reduce(
         DataFrame.unionByName,
         [
@@ -171,13 +185,14 @@ def plan_page(
 
 
 def _churn_panels(marted: DataFrame) -> DataFrame:
-    """Headline, plan and bucket churn from one pass over subscriptions.
+    """Headline, plan and bucket churn from one pass over subscriptions, or their status counts.
 
     Rows are counted per plan and bucket first; the three levels are then added up from those
     few counts.
     """
     counts = marted.groupBy("subscription_type", "tenure_bucket").agg(
-        F.count("*").alias("total"), F.count_if("is_churned").alias("churned")
+        marts.number(marted).alias("total"),
+        marts.number_if(marted, F.col("is_churned")).alias("churned"),
     )
     levels = counts.groupingSets(
         [[], ["subscription_type"], ["tenure_bucket"]], "subscription_type", "tenure_bucket"
@@ -223,17 +238,20 @@ def summary_page(
     *,
     as_of: Column,
     copies: DataFrame | None = None,
+    marted: DataFrame | None = None,
 ) -> DataFrame:
     """Churn severity, revenue share by plan and churn by tenure bucket, in long form.
 
     The total and the shares start from the same sum per subscription; where that is stored, the
-    payments are not read.
+    payments are not read. ``marted`` may be status counts.
     """
+    if marted is None:
+        marted = marts.bi_subscriptions(subscriptions, as_of=as_of)
     paid = revenue.subscription_revenue(payments)
     return reduce(
         DataFrame.unionByName,
         [
-            _churn_panels(marts.bi_subscriptions(subscriptions, as_of=as_of)),
+            _churn_panels(marted),
             _panel(revenue.total_revenue(paid), "headline", None, ["total_revenue"]),
             _panel(
                 revenue.plan_shares(paid, subscriptions if copies is None else copies),

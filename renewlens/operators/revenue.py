@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from renewlens.functions.exact import WEIGHT_TYPE, money_per, money_percent
 from renewlens.functions.ordering import largest_first, smallest_first
@@ -59,14 +58,16 @@ def plan_averages(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
 def plan_shares(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Share of each plan in all revenue, unsorted.
 
-    The window runs over one row per plan text. Plans are free text, so the bound on its rows is
-    that a service has few plans; a feed with a text of its own in every row would break it.
+    The total is a scalar subquery over the same sums, one value whatever the number of plans:
+    plans are free text, and a window over all of them would be one task. Spark runs the shuffles
+    that both share once.
     """
-    everything = F.sum("revenue").over(Window.partitionBy())
-    return plan_revenue(payments, subscriptions).select(
+    by_plan = plan_revenue(payments, subscriptions)
+    everything = by_plan.agg(F.sum("revenue")).scalar()
+    return by_plan.withColumn("everything", everything).select(
         "subscription_type",
         "revenue",
-        money_percent(F.col("revenue"), everything).alias("revenue_share_percent"),
+        money_percent(F.col("revenue"), F.col("everything")).alias("revenue_share_percent"),
     )
 
 

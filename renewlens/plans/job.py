@@ -4,7 +4,8 @@ Everything is written below one folder that all machines can reach:
 
     judged/<feed>     every row once, typed, or with its text and reasons if it is malformed;
                       partitioned by the verdict
-    typed/<table>     listening per user, and revenue and copies per subscription
+    typed/<table>     listening per user, sums per subscription and per user in buckets, and the
+                      status counts of the day
     rejects/<feed>    malformed rows with their reasons, mostly empty
     marts/<mart>      reporting tables as Parquet
     reports/<report>  metrics and figures as CSV
@@ -19,10 +20,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.operators import revenue, typed
-from renewlens.plans import session
+from renewlens.operators import typed
+from renewlens.plans import collapsed, session
 from renewlens.plans.reports import FIGURES, METRICS
-from renewlens.plans.warehouse import COLLAPSED, MARTS, AsOf, Landing, Warehouse
+from renewlens.plans.warehouse import MARTS, STATUS, TYPED, AsOf, Landing, Warehouse
 from renewlens.sources import feeds, storage
 
 # How the rows of each feed are typed and judged.
@@ -47,13 +48,21 @@ def _accepted(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stored_warehouse(spark: SparkSession, folder: str, *, as_of: AsOf) -> Warehouse:
-    """The relations over what ``set_up`` stored below a folder."""
+    """The relations over what ``run`` stored below a folder.
+
+    Reading the bucketed tables declares them in the session's catalog, see
+    ``collapsed.open_folder``; ``forget`` takes them out again.
+    """
     given = (partial(_accepted, spark, folder, name) for name in ("users", "subscriptions", "payments"))
-    read = {
-        name: partial(spark.read.parquet, f"{folder}/typed/{name}")
-        for name in ("engagement_per_user", *COLLAPSED)
-    }
-    return Warehouse(*given, read.pop("engagement_per_user"), as_of, **read)
+    listens = partial(spark.read.parquet, f"{folder}/typed/engagement_per_user")
+    status = partial(spark.read.parquet, f"{folder}/typed/{STATUS}")
+    stored = collapsed.open_folder(spark, f"{folder}/typed")
+    return Warehouse(*given, listens, as_of, status=status, **stored)
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Take the bucketed tables below a folder out of the catalog. The files stay."""
+    collapsed.forget_folder(spark, f"{folder}/typed")
 
 
 def set_up(
@@ -61,13 +70,14 @@ def set_up(
     landing: Landing,
     folder: str,
     *,
+    as_of: AsOf,
     strict: bool = False,
     mode: str = "errorifexists",
 ) -> dict[str, dict[str, int]]:
     """Read each feed once, judge and type its rows; returns row counts per feed.
 
-    What the reports start from is then summed once from the stored rows: listening per user,
-    revenue and copies per subscription.
+    What the reports start from is then summed once from the stored rows: listening per user, the
+    collapsed tables, and the status counts as of a day.
     """
     counts = {}
     for name, judge in _JUDGED.items():
@@ -79,13 +89,13 @@ def set_up(
             "typed": _accepted(spark, folder, name).count(),
             "rejected": spark.read.parquet(f"{folder}/rejects/{name}").count(),
         }
-    derived = {
-        "engagement_per_user": typed.listens_per_user(_accepted(spark, folder, "listening")),
-        "subscription_revenue": revenue.subscription_revenue(_accepted(spark, folder, "payments")),
-        "subscription_copies": revenue.subscription_copies(_accepted(spark, folder, "subscriptions")),
-    }
-    for name, df in derived.items():
-        storage.export_parquet(df, f"{folder}/typed/{name}", mode=mode)
+    listens = typed.listens_per_user(_accepted(spark, folder, "listening"))
+    storage.export_parquet(listens, f"{folder}/typed/engagement_per_user", mode=mode)
+    stored = stored_warehouse(spark, folder, as_of=as_of)
+    collapsed.save_folder(
+        spark, f"{folder}/typed", {name: getattr(stored, name) for name in TYPED}, mode=mode
+    )
+    stored.save_status(f"{folder}/typed", stored.fct_subscriptions, mode=mode)
     counts["listening"]["typed"] = spark.read.parquet(f"{folder}/typed/engagement_per_user").count()
     return counts
 
@@ -128,9 +138,12 @@ def run(
     """
     if as_of is None:
         as_of = spark.range(1).select(F.current_date()).first()[0]
-    counts = set_up(spark, landing, folder, strict=strict, mode=mode)
-    warehouse = stored_warehouse(spark, folder, as_of=as_of)
-    with session.at_least_partitions(spark, session.partitions_for(input_bytes)):
-        write_marts(warehouse, folder, mode=mode)
-    write_reports(warehouse, folder, reports, mode=mode)
+    try:
+        counts = set_up(spark, landing, folder, as_of=as_of, strict=strict, mode=mode)
+        warehouse = stored_warehouse(spark, folder, as_of=as_of)
+        with session.at_least_partitions(spark, session.partitions_for(input_bytes)):
+            write_marts(warehouse, folder, mode=mode)
+        write_reports(warehouse, folder, reports, mode=mode)
+    finally:
+        forget(spark, folder)
     return counts

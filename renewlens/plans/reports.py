@@ -25,23 +25,23 @@ RELATIONS: dict[str, Report] = {
 
 METRICS: dict[str, Report] = {
     "m01_active_subscriptions": lambda w: churn.active_subscriptions(
-        w.fct_subscriptions, as_of=w.as_of
+        w.lives, as_of=w.as_of
     ),
-    "m02_active_by_plan": lambda w: churn.active_by_plan(w.fct_subscriptions, as_of=w.as_of),
-    "m03_total_by_plan": lambda w: churn.total_by_plan(w.fct_subscriptions),
-    "m04_churned_counts": lambda w: churn.churned_counts(w.fct_subscriptions, as_of=w.as_of),
-    "m04l_churned_by_plan": lambda w: churn.churned_by_plan(w.fct_subscriptions, as_of=w.as_of),
+    "m02_active_by_plan": lambda w: churn.active_by_plan(w.lives, as_of=w.as_of),
+    "m03_total_by_plan": lambda w: churn.total_by_plan(w.lives),
+    "m04_churned_counts": lambda w: churn.churned_counts(w.lives, as_of=w.as_of),
+    "m04l_churned_by_plan": lambda w: churn.churned_by_plan(w.lives, as_of=w.as_of),
     "m05_churn_rate_by_plan": lambda w: churn.churn_rate_by_plan(
-        w.fct_subscriptions, as_of=w.as_of
+        w.lives, as_of=w.as_of
     ),
     "m06_status_rates_by_plan": lambda w: churn.status_rates_by_plan(
-        w.fct_subscriptions, as_of=w.as_of
+        w.lives, as_of=w.as_of
     ),
     "m07_churned_by_bucket": lambda w: churn.churned_by_bucket(
-        w.fct_subscriptions, as_of=w.as_of
+        w.lives, as_of=w.as_of
     ),
     "m08_churned_by_plan_and_bucket": lambda w: churn.churned_by_plan_and_bucket(
-        w.fct_subscriptions, as_of=w.as_of
+        w.lives, as_of=w.as_of
     ),
     "m09_total_revenue": lambda w: revenue.total_revenue(w.fct_payments),
     "m10_revenue_by_plan": lambda w: revenue.revenue_by_plan(
@@ -58,31 +58,35 @@ METRICS: dict[str, Report] = {
     "m15_top_users": lambda w: engagement.top_users(w.engagement_per_user),
     "m16_listening_range": lambda w: engagement.listening_range(w.engagement_per_user),
     "m17_engagement_by_plan": lambda w: engagement.engagement_by_plan(
-        w.engagement_per_user, w.dim_users, w.fct_subscriptions
+        w.engagement, w.dim_users, w.user_subscriptions
     ),
     "m18_engagement_by_status": lambda w: engagement.engagement_by_status(
-        w.engagement_per_user, w.fct_subscriptions, as_of=w.as_of
+        w.engagement, w.user_subscriptions, as_of=w.as_of
     ),
 }
 
 FIGURES: dict[str, Report] = {
-    "k1_headline": lambda w: figures.headline(w.fct_payments, w.fct_subscriptions, as_of=w.as_of),
+    "k1_headline": lambda w: figures.headline(w.fct_payments, w.lives, as_of=w.as_of),
     "k2_revenue_two_routes": lambda w: figures.revenue_two_routes(
         w.fct_payments, w.subscription_copies, w.subscription_revenue
     ),
     "k3_churn_two_routes": lambda w: figures.churn_two_routes(
-        w.bi_subscriptions, w.fct_subscriptions, as_of=w.as_of
+        w.marted, w.fct_subscriptions, as_of=w.as_of
     ),
     "k4_plan_page": lambda w: figures.plan_page(
         w.subscription_revenue,
-        w.engagement_per_user,
+        w.engagement,
         w.dim_users,
-        w.fct_subscriptions,
+        w.user_subscriptions,
         as_of=w.as_of,
         copies=w.subscription_copies,
     ),
     "k5_summary_page": lambda w: figures.summary_page(
-        w.subscription_revenue, w.fct_subscriptions, as_of=w.as_of, copies=w.subscription_copies
+        w.subscription_revenue,
+        w.fct_subscriptions,
+        as_of=w.as_of,
+        copies=w.subscription_copies,
+        marted=w.marted,
     ),
 }
 

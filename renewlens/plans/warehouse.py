@@ -7,21 +7,31 @@ from collections.abc import Callable
 from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from renewlens.functions.lifecycle import as_of_day
 from renewlens.functions.parsing import ID_TYPE
 from renewlens.operators import marts, revenue, typed
+from renewlens.plans import collapsed
+from renewlens.plans.collapsed import COLLAPSED
 from renewlens.sources import feeds, standins, storage, tables
 
 AsOf = dt.date | str | None
 Frame = DataFrame | Callable[[], DataFrame]
 
 TYPED = ("dim_users", "fct_subscriptions", "fct_payments", "engagement_per_user")
-# One row per subscription, or subscription and plan: what all revenue reports start from.
-COLLAPSED = ("subscription_revenue", "subscription_copies")
+# Subscriptions per plan, bucket and status as of a day: what all counts and rates start from.
+STATUS = "subscription_status"
 MARTS = ("bi_subscriptions", "bi_payments", "bi_engagement", "bi_churn_tenure")
 
 
+def _day(as_of: AsOf | Column) -> dt.date | None:
+    """The day, where it is known before a query runs."""
+    if isinstance(as_of, str):
+        return dt.date.fromisoformat(as_of)
+    return as_of if isinstance(as_of, dt.date) else None
+
+
 def _made(given: Frame) -> DataFrame:
     return given if isinstance(given, DataFrame) else given()
 
@@ -124,13 +134,13 @@ class Warehouse:
         engagement_per_user: Frame,
         as_of: AsOf | Column,
         *,
-        subscription_revenue: Frame | None = None,
-        subscription_copies: Frame | None = None,
+        status: Frame | None = None,
+        **stored: Frame,
     ):
-        self._collapsed = {
-            "subscription_revenue": subscription_revenue,
-            "subscription_copies": subscription_copies,
-        }
+        """``stored`` names collapsed tables; ``status`` holds status counts with their day."""
+        if not stored.keys() <= COLLAPSED.keys():
+            raise TypeError(f"unknown tables: {sorted(stored.keys() - COLLAPSED.keys())}")
+        self._collapsed, self._status, self._known_day = stored, status, _day(as_of)
         self._given = dict(
             zip(
                 TYPED,
@@ -159,15 +169,45 @@ class Warehouse:
     @cached_property
     def subscription_revenue(self) -> DataFrame:
         """Stored if it was, else summed from the payments."""
-        given = self._collapsed["subscription_revenue"]
+        given = self._collapsed.get("subscription_revenue")
         return _made(given) if given else revenue.subscription_revenue(self.fct_payments)
 
     @cached_property
     def subscription_copies(self) -> DataFrame:
         """Stored if it was, else counted from the subscriptions."""
-        given = self._collapsed["subscription_copies"]
+        given = self._collapsed.get("subscription_copies")
         return _made(given) if given else revenue.subscription_copies(self.fct_subscriptions)
 
+    @cached_property
+    def engagement(self) -> DataFrame:
+        """Engagement summed per user if that was stored, else the rows as they are."""
+        given = self._collapsed.get("user_engagement")
+        return _made(given) if given else self.engagement_per_user
+
+    @cached_property
+    def user_subscriptions(self) -> DataFrame:
+        """Subscriptions counted per user if that was stored, else the rows as they are."""
+        given = self._collapsed.get("user_subscriptions")
+        return _made(given) if given else self.fct_subscriptions
+
+    @cached_property
+    def _status_counts(self) -> DataFrame | None:
+        """Stored status counts, if there are any of this day. The table has a few rows per plan."""
+        if self._status is None or self._known_day is None:
+            return None
+        counts = _made(self._status).where(F.col("as_of") == F.lit(self._known_day)).drop("as_of")
+        return None if counts.isEmpty() else counts
+
+    @property
+    def lives(self) -> DataFrame:
+        """What is counted: stored status counts of the day, else single subscriptions."""
+        return self.fct_subscriptions if self._status_counts is None else self._status_counts
+
+    @property
+    def marted(self) -> DataFrame:
+        """The same with status and bucket of each subscription."""
+        return self.bi_subscriptions if self._status_counts is None else self._status_counts
+
     @classmethod
     def from_landing(
         cls, landing: Landing, *, as_of: AsOf, id_type: str = ID_TYPE, strict: bool = False
@@ -184,15 +224,16 @@ class Warehouse:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, namespace: str, *, as_of: AsOf) -> Warehouse:
-        collapsed = {name: partial(spark.table, f"{namespace}.{name}") for name in COLLAPSED}
+        stored = {name: partial(spark.table, f"{namespace}.{name}") for name in COLLAPSED}
         given = (partial(spark.table, f"{namespace}.{name}") for name in TYPED)
-        return cls(*given, as_of, **collapsed)
+        return cls(*given, as_of, status=partial(spark.table, f"{namespace}.{STATUS}"), **stored)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str, *, as_of: AsOf) -> Warehouse:
-        collapsed = {name: partial(spark.read.parquet, f"{folder}/{name}") for name in COLLAPSED}
+        """Read what ``save_parquet`` stored; see ``collapsed.open_folder`` for the catalog."""
         given = (partial(spark.read.parquet, f"{folder}/{name}") for name in TYPED)
-        return cls(*given, as_of, **collapsed)
+        status = partial(spark.read.parquet, f"{folder}/{STATUS}")
+        return cls(*given, as_of, status=status, **collapsed.open_folder(spark, folder))
 
     def typed_tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in TYPED}
@@ -200,30 +241,33 @@ class Warehouse:
     def save_tables(self, spark: SparkSession, namespace: str) -> None:
         """Parse the feeds once and keep the typed tables in the catalog.
 
-        Revenue and copies per subscription are summed once from the stored tables and kept in
-        buckets by subscription, so that reports join them without a shuffle.
+        What reports start from is then made from the stored tables: sums per subscription and
+        per user, in buckets, and the status counts of this warehouse's day.
         """
         tables.create_namespace(spark, namespace)
         for name, df in self.typed_tables().items():
             tables.save_table(df, f"{namespace}.{name}")
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        paid = revenue.subscription_revenue(spark.table(f"{namespace}.fct_payments"))
-        copies = revenue.subscription_copies(spark.table(f"{namespace}.fct_subscriptions"))
-        for name, df in zip(COLLAPSED, (paid, copies), strict=True):
-            tables.save_bucketed(df, f"{namespace}.{name}", buckets, "subscription_id")
+        stored = {name: spark.table(f"{namespace}.{name}") for name in TYPED}
+        collapsed.save_namespace(spark, namespace, stored)
+        tables.save_table(self.dated_status(stored["fct_subscriptions"]), f"{namespace}.{STATUS}")
 
     def save_parquet(self, folder: str, *, mode: str = "errorifexists") -> None:
         for name, df in self.typed_tables().items():
             storage.export_parquet(df, f"{folder}/{name}", mode=mode)
-        self.save_collapsed(self.fct_payments.sparkSession, folder, mode=mode)
-
-    @staticmethod
-    def save_collapsed(spark: SparkSession, folder: str, *, mode: str = "errorifexists") -> None:
-        """Sum revenue and count copies per subscription from the typed tables of a folder."""
-        paid = revenue.subscription_revenue(spark.read.parquet(f"{folder}/fct_payments"))
-        copies = revenue.subscription_copies(spark.read.parquet(f"{folder}/fct_subscriptions"))
-        for name, df in zip(COLLAPSED, (paid, copies), strict=True):
-            storage.export_parquet(df, f"{folder}/{name}", mode=mode)
+        spark = self.fct_payments.sparkSession
+        stored = {name: spark.read.parquet(f"{folder}/{name}") for name in TYPED}
+        collapsed.save_folder(spark, folder, stored, mode=mode)
+        self.save_status(folder, stored["fct_subscriptions"], mode=mode)
+
+    def dated_status(self, subscriptions: DataFrame) -> DataFrame:
+        """Status counts with their day. Each writing replaces those of all days before."""
+        counts = marts.status_counts(subscriptions, as_of=self.as_of)
+        return counts.withColumn("as_of", self.as_of)
+
+    def save_status(
+        self, folder: str, subscriptions: DataFrame, *, mode: str = "errorifexists"
+    ) -> None:
+        storage.export_parquet(self.dated_status(subscriptions), f"{folder}/{STATUS}", mode=mode)
 
     @property
     def bi_subscriptions(self) -> DataFrame:
@@ -239,7 +283,7 @@ class Warehouse:
 
     @property
     def bi_churn_tenure(self) -> DataFrame:
-        return marts.bi_churn_tenure(self.bi_subscriptions)
+        return marts.bi_churn_tenure(self.marted)
 
     def relations(self) -> dict[str, DataFrame]:
         """All eight relations by name, for example to publish them as views."""

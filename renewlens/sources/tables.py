@@ -51,15 +51,43 @@ def save_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
 
 
-def save_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> None:
-    """Store a frame with few rows per key in buckets, which joins on the key need not shuffle."""
-    (
+def save_bucketed(
+    df: DataFrame,
+    name: str,
+    buckets: int,
+    key: str,
+    *,
+    path: str | None = None,
+    mode: str = "overwrite",
+) -> None:
+    """Store a frame with few rows per key in buckets, which joins on the key need not shuffle.
+
+    With a ``path`` the table is external: dropping it leaves the files.
+    """
+    writer = (
         df.repartition(buckets, key)
-        .write.mode("overwrite")
+        .write.mode(mode)
         .format("parquet")
         .bucketBy(buckets, key)
         .sortBy(key)
-        .saveAsTable(name)
+    )
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+
+
+def declared_columns(df: DataFrame) -> str:
+    """The columns of a frame as a table declaration names them."""
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
+def declare_bucketed(
+    spark: SparkSession, name: str, path: str, columns: str, buckets: int, key: str
+) -> None:
+    """Make files that ``save_bucketed`` wrote to a path known to the catalog under a name."""
+    drop_table(spark, name)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {_quoted(name)} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{place}'"
     )
 
 

@@ -1,15 +1,16 @@
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from renewlens import __main__ as command
 from renewlens.plans import job
-from renewlens.plans.reports import FIGURES, METRICS
+from renewlens.plans.reports import FIGURES, METRICS, RELATIONS
 from renewlens.plans.warehouse import COLLAPSED, MARTS, Landing, Warehouse
 from renewlens.sources import feeds
 from renewlens.sources.storage import export_csv, shared_folder
 
 from .conftest import AS_OF, SMALL
-from .helpers import rows, text_frame
+from .helpers import initial_plan, rows, text_frame
 
 
 def _with_bad_user(spark):
@@ -28,7 +29,7 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
     assert counts["payments"]["rejected"] == 0
     assert sorted(path.name for path in (tmp_path / "out/judged").iterdir()) == sorted(feeds.all_feeds())
     assert sorted(path.name for path in (tmp_path / "out/typed").iterdir()) == sorted(
-        ("engagement_per_user", *COLLAPSED)
+        ("engagement_per_user", "layout", "subscription_status", *COLLAPSED)
     )
     kept = job.stored_warehouse(spark, out, as_of=AS_OF)
     for name, df in expected.typed_tables().items():
@@ -50,6 +51,66 @@ def test_run_keeps_tables_rejects_marts_and_reports(spark, tmp_path):
     assert sorted(rows(report.csv(f"{out}/reports/m10_revenue_by_plan"))) == sorted(rows(plans))
 
 
+def test_reports_of_the_job_share_one_look_at_subscriptions_and_move_no_stored_rows(
+    spark, tmp_path, setting
+):
+    """Over what the job stored, before it joins anything small by a broadcast."""
+    out = str(tmp_path / "out")
+    job.run(spark, Landing.from_standins(spark, SMALL), out, as_of=AS_OF, reports=[])
+    setting(
+        spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__maxMetadataStringLength="2000"
+    )
+    kept = job.stored_warehouse(spark, out, as_of=AS_OF)
+    reports = {**RELATIONS, **METRICS, **FIGURES}
+    plans = {name: initial_plan(reports[name](kept)) for name in (*METRICS, *FIGURES, "v8_bi_churn_tenure")}
+    looks = {name: plan.count("/judged/subscriptions]") for name, plan in plans.items()}
+    # Its second route counts the subscriptions themselves.
+    assert looks.pop("k3_churn_two_routes") == 1
+    assert set(looks.values()) == {0}
+    for name in ("m01", "m02", "m03", "m04", "m04l", "m05", "m06", "m07", "m08", "v8", "k1", "k3", "k5"):
+        (plan,) = (plan for full, plan in plans.items() if full.startswith(f"{name}_"))
+        assert "/subscription_status]" in plan, name
+    for name, plan in plans.items():
+        # The row route joins every payment; its payments have to meet the plans.
+        if name != "k2_revenue_two_routes":
+            assert "hashpartitioning(subscription_id" not in plan, name
+        assert "hashpartitioning(user_id" not in plan, name
+    for name in ("m10_revenue_by_plan", "m12_revenue_share_by_plan", "m17_engagement_by_plan", "m18_engagement_by_status", "k4_plan_page"):
+        assert "SortMergeJoin" in plans[name], name
+    job.forget(spark, out)
+
+
+def test_the_catalog_is_left_as_it_was(spark, tmp_path):
+    before, out = {db.name for db in spark.catalog.listDatabases()}, str(tmp_path / "out")
+    landing = Landing.from_standins(spark, SMALL)
+    job.run(spark, landing, out, as_of=AS_OF, reports=["m10_revenue_by_plan"])
+    assert {db.name for db in spark.catalog.listDatabases()} == before
+    kept = job.stored_warehouse(spark, out, as_of=AS_OF)
+    assert kept.subscription_copies.count() > 0
+    assert len({db.name for db in spark.catalog.listDatabases()} - before) == 1
+    job.forget(spark, out)
+    assert {db.name for db in spark.catalog.listDatabases()} == before
+    assert rows(job.stored_warehouse(spark, out, as_of=AS_OF).subscription_copies)
+    job.forget(spark, out)
+
+
+def test_stored_status_serves_its_day_alone(spark, tmp_path, setting):
+    setting(spark__sql__maxMetadataStringLength="2000")
+    landing, out = Landing.from_standins(spark, SMALL), str(tmp_path / "out")
+    job.run(spark, landing, out, as_of=AS_OF, reports=[])
+    reports = {**RELATIONS, **METRICS, **FIGURES}
+    for day in (AS_OF, str(AS_OF), "1996-03-01", F.lit(AS_OF)):
+        kept, expected = job.stored_warehouse(spark, out, as_of=day), Warehouse.from_landing(landing, as_of=day)
+        plan = initial_plan(METRICS["m01_active_subscriptions"](kept))
+        assert ("/subscription_status]" in plan) == (day in (AS_OF, str(AS_OF)) if not isinstance(day, Column) else False)
+        for name in ("m01_active_subscriptions", "m06_status_rates_by_plan", "m07_churned_by_bucket", "v8_bi_churn_tenure", "k5_summary_page"):
+            found, wanted = rows(reports[name](kept)), rows(reports[name](expected))
+            # The rows of a page come in no order.
+            in_order = sorted if name.startswith("k") else list
+            assert in_order(found) == in_order(wanted), (name, day)
+    job.forget(spark, out)
+
+
 def test_each_feed_is_read_once_also_with_bad_rows(spark, tmp_path):
     """Every landed row passes a counter; a second reading would pass it again."""
     clean, counters, frames, sizes = Landing.from_standins(spark, SMALL), {}, {}, {}

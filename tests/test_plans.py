@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from renewlens.operators import marts
+from renewlens.operators import figures, marts
 from renewlens.plans.reports import CHECKS, FIGURES, METRICS, RELATIONS
 from renewlens.plans.warehouse import Landing, Warehouse
 
@@ -38,7 +38,7 @@ def test_no_python_and_no_product(name, spark, setting):
 
 def _scanned(plan):
     """Columns read from each Parquet scan."""
-    return [set(re.findall(r"(\w+)#\d+", cols)) for cols in re.findall(r"FileScan parquet \[([^\]]*)\]", plan)]
+    return [set(re.findall(r"(\w+)#\d+", cols)) for cols in re.findall(r"FileScan parquet [\w.]*\[([^\]]*)\]", plan)]
 
 
 @pytest.mark.parametrize(
@@ -50,28 +50,82 @@ def _scanned(plan):
         ("m08_churned_by_plan_and_bucket", [{"subscription_type", "start_date", "end_date"}]),
         ("v8_bi_churn_tenure", [{"start_date", "end_date"}]),
         ("m09_total_revenue", [{"amount"}]),
+        ("m10_revenue_by_plan", [{"subscription_id", "amount"}, {"subscription_id", "subscription_type"}]),
+        ("m13_paying_subscriptions", [{"subscription_id", "amount"}]),
         (
-            "m12_revenue_share_by_plan",
+            "m17_engagement_by_plan",
+            [{"user_id", "total_listens"}, {"user_id"}, {"user_id", "subscription_type"}],
+        ),
+    ],
+)
+def test_each_input_is_scanned_once_and_pruned(uncollapsed, name, columns):
+    assert _scanned(initial_plan(REPORTS[name](uncollapsed))) == columns
+
+
+@pytest.mark.parametrize(
+    "name, columns",
+    [
+        ("m01_active_subscriptions", [{"is_active", "subscriptions", "as_of"}]),
+        ("m06_status_rates_by_plan", [{"subscription_type", "is_churned", "subscriptions", "as_of"}]),
+        ("m13_paying_subscriptions", [{"subscription_id", "subscription_revenue"}]),
+        (
+            "m10_revenue_by_plan",
             [
                 {"subscription_id", "subscription_revenue"},
                 {"subscription_id", "subscription_type", "copies"},
             ],
         ),
-        ("m13_paying_subscriptions", [{"subscription_id", "subscription_revenue"}]),
         (
             "m17_engagement_by_plan",
-            [{"user_id", "total_listens"}, {"user_id"}, {"user_id", "subscription_type"}],
+            [
+                {"user_id", "engagement_rows", "listens", "most_listens", "user_rows"},
+                {"user_id", "subscription_type", "subscription_rows"},
+            ],
+        ),
+        (
+            "m18_engagement_by_status",
+            [
+                {"user_id", "engagement_rows", "listens", "most_listens"},
+                {"user_id", "end_date", "subscription_rows"},
+            ],
         ),
     ],
 )
-def test_each_input_is_scanned_once_and_pruned(stored, name, columns):
+def test_stored_sums_are_scanned_once_and_pruned(stored, name, columns):
     assert _scanned(initial_plan(REPORTS[name](stored))) == columns
 
 
-def test_date_filters_reach_the_scan(stored):
-    churned = initial_plan(METRICS["m07_churned_by_bucket"](stored))
+def _runs_of_scan(plan, table):
+    """Scans of a table in the parts of a plan that were run; a reused shuffle is not run again."""
+    ran, skipped = [], None
+    for line in plan.splitlines():
+        place = len(line) - len(line.lstrip(" :+-*"))
+        if skipped is None or place < skipped:
+            skipped = place if "== Initial Plan ==" in line else None
+            ran.append(line)
+    return len(re.findall(rf"FileScan [^\n]*/{table}\]", "\n".join(ran)))
+
+
+@pytest.mark.parametrize("name", ["m12_revenue_share_by_plan", "k5_summary_page"])
+def test_shares_need_no_window_over_all_plans(stored, name):
+    plan = initial_plan(REPORTS[name](stored))
+    assert "Window [" not in plan and "Subquery subquery" in plan
+
+
+def test_total_and_shares_share_their_scans(uncollapsed, setting):
+    setting(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__maxMetadataStringLength="2000",
+    )
+    plan = final_plan(METRICS["m12_revenue_share_by_plan"](uncollapsed))
+    assert _runs_of_scan(plan, "fct_payments") == _runs_of_scan(plan, "fct_subscriptions") == 1
+
+
+def test_date_filters_reach_the_scan(uncollapsed):
+    churned = initial_plan(METRICS["m07_churned_by_bucket"](uncollapsed))
     assert "IsNotNull(end_date), LessThan(end_date,2000-01-01)" in churned
-    active = initial_plan(METRICS["m01_active_subscriptions"](stored))
+    active = initial_plan(METRICS["m01_active_subscriptions"](uncollapsed))
     assert "LessThanOrEqual(start_date,2000-01-01)" in active
     assert "Or(IsNull(end_date),GreaterThanOr" in active
 
@@ -135,8 +189,11 @@ def test_top_lists_keep_ten_rows_per_task(stored, name):
     assert "TakeOrderedAndProject" in initial_plan(METRICS[name](stored))
 
 
-def test_hot_subscription_is_split_in_the_row_join(spark, setting):
-    """A third of the payments share one subscription: adaptive execution splits its partition."""
+def test_hot_subscription_is_split_in_the_row_joins(spark, setting):
+    """A third of the payments share one subscription: adaptive execution splits its partition.
+
+    In the payments mart, and in the first of the two routes to revenue by plan.
+    """
     setting(
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
@@ -152,3 +209,9 @@ def test_hot_subscription_is_split_in_the_row_join(spark, setting):
     plan = final_plan(joined)
     assert "SortMergeJoin(skew=true)" in plan
     assert joined.count() == 6000
+    routes = figures.revenue_two_routes(pay, subs.repartition(4))
+    assert "SortMergeJoin(skew=true)" in final_plan(routes)
+    sums = {plan: sum(i for i in range(6000) if "AB"[(7 if i % 3 == 0 else i) % 2] == plan) for plan in "AB"}
+    found = {row.subscription_type: row for row in routes.collect()}
+    assert {name: row.joined_revenue * 100 for name, row in found.items()} == sums
+    assert {row.difference for row in found.values()} == {0}
