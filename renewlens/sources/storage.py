@@ -1,25 +1,101 @@
-"""Writing results, and the shared folder that survives the loss of an executor."""
+"""Writing results, and scratch folders that survive the loss of an executor."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHARED_FOLDER_SETTINGS = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
+SHARED = "spark.checkpoint.dir"
+# Says that a path of the scheme ``file`` is a mount that all machines have.
+MOUNTED = "spark.renewlens.sharedMount"
 
+_RUN: ContextVar[str | None] = ContextVar("renewlens_run", default=None)
+_KEPT: set[str] = set()
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the folder that all machines of the cluster share.
 
-    The session names the folder: ``spark.checkpoint.dir``, otherwise the warehouse. Nothing is
-    ever put into a folder of one machine; a session that names neither is refused.
+def _master(spark: SparkSession) -> str:
+    return spark.sparkContext.master
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The store of a path and the path in it, as Spark's own readers and writers see them."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _file_system(spark, path)
+    return store.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with everything below it; a missing one is no error."""
+    store, place = _file_system(spark, path)
+    store.delete(place, True)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all machines of the cluster share: ``spark.checkpoint.dir``.
+
+    A folder of the scheme ``file`` is taken only where all of Spark runs on this machine, or where
+    ``spark.renewlens.sharedMount`` says that it is mounted everywhere. Where the setting is
+    missing, the warehouse serves on one machine; on a cluster the session is refused, since Spark
+    fills in a machine-local warehouse for everyone.
     """
-    for setting in _SHARED_FOLDER_SETTINGS:
-        root = spark.conf.get(setting, None)
-        if root:
-            return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    raise ValueError(f"set {_SHARED_FOLDER_SETTINGS[0]} to a folder every machine can reach")
+    root, one_machine = spark.conf.get(SHARED, None), _master(spark).startswith("local")
+    if not root:
+        if not one_machine:
+            raise ValueError(f"set {SHARED} to a folder every machine can reach")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    root = root.rstrip("/")
+    if not one_machine and spark.conf.get(MOUNTED, "false") != "true":
+        store, _ = _file_system(spark, root)
+        if store.getUri().getScheme() == "file":
+            raise ValueError(
+                f"{SHARED} is {root}, a folder of one machine; name a shared one, "
+                f"or set {MOUNTED} to true if every machine has it mounted"
+            )
+    return root
+
+
+def _session_folder(spark: SparkSession) -> str:
+    """A folder of this application, which its driver removes when it ends."""
+    folder = f"{shared_root(spark)}/renewlens-{spark.sparkContext.applicationId}"
+    if folder not in _KEPT:
+        store, place = _file_system(spark, folder)
+        store.mkdirs(place)
+        store.deleteOnExit(place)
+        _KEPT.add(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for one run: everything that the work inside stores is removed at its end.
+
+        with scratch(spark):
+            query(spark, tables).write.parquet(result)
+
+    Results are lazy, so read or write them inside. Work outside of any run is stored until the
+    application ends.
+    """
+    folder = f"{shared_root(spark)}/renewlens-run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        remove(spark, folder)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh path below the folder that all machines share, for this run or this application."""
+    return f"{_RUN.get() or _session_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def export_csv(

@@ -1,5 +1,12 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
+import __spark_entry__ as entry
+
 from renewlens.operators import typed
 from renewlens.plans import reports
 from renewlens.plans.session import partitions_for, settings_for
@@ -160,20 +167,74 @@ def test_rejects_can_be_stored(spark):
     assert typed.dim_users(raw).count() == 1
 
 
-def test_shared_folder_comes_from_the_session(spark, setting):
+def test_shared_folder_comes_from_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
-    assert storage.shared_folder(spark, "x").startswith(f"{root}/x-")
-
-
-def test_shared_folder_is_refused_where_the_session_names_none():
-    class Bare:
-        class conf:  # noqa: N801
-            @staticmethod
-            def get(key, default=None):
-                return {"spark.master": "local[2]"}.get(key, default)
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        storage.shared_folder(Bare, "x")
+    folder = storage.shared_folder(spark, "x")
+    assert folder.startswith(f"{root}/renewlens-{spark.sparkContext.applicationId}/x-")
+    assert folder != storage.shared_folder(spark, "x")
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, setting, monkeypatch):
+    """The session's shared folder has no scheme, and files are its default one."""
+    assert storage.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    monkeypatch.setattr(storage, "_master", lambda session: "yarn")
+    with pytest.raises(ValueError, match="a folder of one machine"):
+        storage.shared_folder(spark, "x")
+    with pytest.raises(ValueError, match="a folder of one machine"), storage.scratch(spark):
+        pass
+    setting(spark__renewlens__sharedMount="true")
+    assert storage.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_without_a_setting_only_one_machine_alone_uses_its_warehouse(tmp_path):
+    """In a session of its own, which sets no shared folder."""
+    work = f"""
+import sys
+from renewlens.plans.session import local_session
+from renewlens.sources import storage
+spark = local_session("bare", 1, **{{"spark.sql.warehouse.dir": "{tmp_path}/warehouse"}})
+folder = storage.shared_folder(spark, "x")
+assert folder.startswith("file:{tmp_path}/warehouse/renewlens-"), folder
+spark.range(3).write.parquet(folder)
+storage._master = lambda session: "spark://host:7077"
+try:
+    storage.shared_folder(spark, "x")
+except ValueError as refused:
+    assert "spark.checkpoint.dir" in str(refused)
+else:
+    sys.exit("not refused")
+"""
+    # Nor do the machine's own defaults.
+    bare = {**os.environ, "SPARK_CONF_DIR": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", work], check=True, timeout=120, env=bare)
+    # The application took its folder with it.
+    assert [path.name for path in (tmp_path / "warehouse").iterdir()] == []
+
+
+def _left(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    return {path for path in root.rglob("*") if path.is_file()}
+
+
+@pytest.mark.parametrize(
+    "name", ["s01_users_through_csv", "s04_churn_mart_through_csv", "t01_saved_table_counts"]
+)
+def test_a_run_leaves_no_scratch(spark, name):
+    before = _left(spark)
+    with storage.scratch(spark) as folder:
+        found = entry.queries()[name](spark, SMALL).collect()
+        assert found and storage.exists(spark, folder) and _left(spark) > before
+    assert not storage.exists(spark, folder) and _left(spark) == before
+
+
+def test_scratch_is_removed_after_a_failure(spark):
+    before = _left(spark)
+    with pytest.raises(ZeroDivisionError), storage.scratch(spark) as folder:
+        spark.range(3).write.parquet(storage.shared_folder(spark, "x"))
+        assert storage.exists(spark, folder)
+        _ = 1 / 0
+    assert _left(spark) == before
+    storage.remove(spark, folder)
 
 
 def test_tasks_and_shuffle_partitions_grow_with_the_input_up_to_a_bound():
