@@ -118,28 +118,67 @@ def all_feeds(id_type: str = ID_TYPE) -> dict[str, Feed]:
     return {feed.name: feed for feed in (declare(id_type) for declare in declared)}
 
 
+def _file_order(feed: Feed, found: list[str], where: str) -> tuple[str, ...]:
+    """The feed's columns in the order of a header line; case does not matter."""
+    if not found:
+        return feed.columns
+    by_name = {column.lower(): column for column in feed.columns}
+    if sorted(name.lower() for name in found) != sorted(by_name):
+        raise ValueError(
+            f"header of {feed.name} in {where}: found {', '.join(found)}; "
+            f"expected {', '.join(feed.columns)}, in any order"
+        )
+    return tuple(by_name[name.lower()] for name in found)
+
+
+def _files_below(spark: SparkSession, path: str) -> list[str]:
+    """Files from a listing; no content is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return sorted(row.path for row in listed.select("path").collect())
+
+
 def read_feed(
     spark: SparkSession,
     path: str | list[str],
     feed: Feed,
     *,
     header: bool = True,
+    by_name: bool = True,
+    each_file: bool = False,
     multi_line: bool = False,
     strict: bool = False,
 ) -> DataFrame:
     """Land CSV files as text columns.
 
-    With ``header`` the first line of every file is skipped. Quotes inside a field are
-    doubled; an empty unquoted field is null and a quoted one is the empty string.
-    ``multi_line`` allows line ends inside quotes, at the price that Spark can no longer split
-    a large file. A line with the wrong number of fields is kept in the column ``bad_line``
-    and rejected later, or fails the job if ``strict``. Columns are not pruned inside the CSV
-    parser, since it counts the fields of a line only when it reads them all.
+    With ``header`` the first line of every file is skipped and names its columns, which may stand
+    in any order. The first header found below a path sets the order for all its files, and a file
+    with another one fails the read; several paths may differ from each other, and with
+    ``each_file`` so may the files of a path, for the price of a look at each by the driver. Other
+    names than the feed's raise an error. ``by_name=False`` takes the columns by position, whatever
+    their header says.
+
+    Quotes inside a field are doubled; an empty unquoted field is null and a quoted one is the
+    empty string. ``multi_line`` allows line ends inside quotes, at the price that Spark can no
+    longer split a large file. A line with the wrong number of fields is kept in the column
+    ``bad_line`` and rejected later, or fails the job if ``strict``. Columns are not pruned inside
+    the CSV parser, since it counts the fields of a line only when it reads them all.
     """
-    bad_line = [] if strict else [StructField(BAD_LINE, StringType())]
-    return (
-        spark.read.schema(StructType([*feed.schema.fields, *bad_line]))
+    reader = spark.read.option("multiLine", multi_line).option("escape", '"')
+    paths = [path] if isinstance(path, str) else list(path)
+    orders: dict[tuple[str, ...], list[str]] = {}
+    if header and by_name:
+        if each_file:
+            paths = [file for one in paths for file in _files_below(spark, one)]
+        for one in paths:
+            found = reader.option("header", True).csv(one).columns
+            orders.setdefault(_file_order(feed, found, one), []).append(one)
+    orders = orders or {feed.columns: paths}
+    bad_line = [] if strict else [BAD_LINE]
+    landed = [
+        spark.read.schema(StructType([StructField(name, StringType()) for name in (*order, *bad_line)]))
         .option("header", header)
+        # Every file's header is held against the schema as the file is read.
+        .option("enforceSchema", not (header and by_name))
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("nullValue", "\u0000")
@@ -147,8 +186,11 @@ def read_feed(
         .option("mode", "FAILFAST" if strict else "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_LINE)
         .option("columnPruning", False)
-        .csv(path)
-    )
+        .csv(files)
+        .select(*feed.columns, *bad_line)
+        for order, files in orders.items()
+    ]
+    return reduce(DataFrame.unionByName, landed)
 
 
 def strip_header(raw: DataFrame, feed: Feed) -> DataFrame:

@@ -271,3 +271,96 @@ def test_csv_round_trip_keeps_nulls_quotes_and_empty_text(spark, tmp_path):
     export_csv(raw, str(tmp_path / "out"), quote_all=False)
     back = feeds.read_feed(spark, str(tmp_path / "out"), feed).select(*feed.columns)
     assert rows(back) == rows(raw)
+
+
+SWAPPED = ("row_id", "user_id", "email", "username", "password_hash", "first_name", "last_name", "subscription_type", "created_at")
+
+
+def _users_file(folder, name, columns, number):
+    fields = {**dict.fromkeys(columns, "x"), "row_id": str(number), "user_id": str(number)}
+    fields |= {"username": f"name{number}", "email": f"mail{number}"}
+    folder.mkdir(exist_ok=True)
+    lines = [",".join(columns), ",".join(fields[column.lower()] if column.lower() in fields else "x" for column in columns)]
+    (folder / name).write_text("\n".join(lines) + "\n")
+    return str(folder / name)
+
+
+def _names(df):
+    return sorted((row.user_id, row.username, row.email) for row in df.collect())
+
+
+BOTH = [("1", "name1", "mail1"), ("2", "name2", "mail2")]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_columns_go_by_the_names_of_the_header(spark, tmp_path, strict):
+    feed = feeds.users_feed()
+    plain = _users_file(tmp_path / "plain", "a.csv", feed.columns, 1)
+    swapped = _users_file(tmp_path / "swapped", "b.csv", SWAPPED, 2)
+    for paths in ([plain, swapped], [swapped, plain]):
+        assert _names(feeds.read_feed(spark, paths, feed, strict=strict)) == BOTH
+    landed = feeds.read_feed(spark, swapped, feed, strict=strict)
+    assert landed.columns[: len(feed.columns)] == list(feed.columns)
+    # By position, the two columns change places.
+    by_place = feeds.read_feed(spark, swapped, feed, strict=strict, by_name=False)
+    assert _names(by_place) == [("2", "mail2", "name2")]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_two_files_of_one_folder_in_different_column_order(spark, tmp_path, strict):
+    feed, folder = feeds.users_feed(), tmp_path / "users"
+    _users_file(folder, "a.csv", feed.columns, 1)
+    _users_file(folder, "b.csv", SWAPPED, 2)
+    with pytest.raises(Exception, match="(?s)header.*username|username.*header"):
+        feeds.read_feed(spark, str(folder), feed, strict=strict).collect()
+    assert _names(feeds.read_feed(spark, str(folder), feed, strict=strict, each_file=True)) == BOTH
+    assert _names(feeds.read_feed(spark, str(folder), feed, by_name=False)) == [
+        ("1", "name1", "mail1"), ("2", "mail2", "name2")
+    ]
+
+
+def test_a_header_with_other_names_is_refused(spark, tmp_path):
+    feed = feeds.users_feed()
+    renamed = tuple("login" if column == "username" else column for column in feed.columns)
+    path = _users_file(tmp_path / "renamed", "a.csv", renamed, 1)
+    with pytest.raises(ValueError, match="header of users .* found .*login.* expected .*username"):
+        feeds.read_feed(spark, path, feed)
+    short = _users_file(tmp_path / "short", "a.csv", feed.columns[:-1], 1)
+    twice = _users_file(tmp_path / "twice", "a.csv", (*feed.columns[:-1], "user_id"), 1)
+    for wrong in (short, twice):
+        with pytest.raises(ValueError, match="header of users"):
+            feeds.read_feed(spark, wrong, feed)
+    (tmp_path / "later").mkdir()
+    _users_file(tmp_path / "later", "a.csv", feed.columns, 1)
+    _users_file(tmp_path / "later", "b.csv", renamed, 2)
+    with pytest.raises(Exception, match="login"):
+        feeds.read_feed(spark, str(tmp_path / "later"), feed).collect()
+
+
+def test_case_of_a_header_and_files_without_lines(spark, tmp_path):
+    feed, folder = feeds.users_feed(), tmp_path / "users"
+    upper = tuple(column.upper() for column in SWAPPED)
+    _users_file(folder, "b.csv", upper, 2)
+    (folder / "a.csv").write_text("")
+    for each_file in (False, True):
+        assert _names(feeds.read_feed(spark, str(folder), feed, each_file=each_file)) == [BOTH[1]]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.csv").write_text("")
+    assert feeds.read_feed(spark, str(tmp_path / "empty"), feed).collect() == []
+    (tmp_path / "bare").mkdir()
+    (tmp_path / "bare" / "a.csv").write_text(",".join(SWAPPED) + "\n")
+    assert feeds.read_feed(spark, str(tmp_path / "bare"), feed).collect() == []
+
+
+def test_quoted_headers_and_bad_lines_under_a_header_in_another_order(spark, tmp_path):
+    feed, folder = feeds.users_feed(), tmp_path / "users"
+    _users_file(folder, "b.csv", SWAPPED, 2)
+    text = (folder / "b.csv").read_text().split("\n")
+    quoted = ",".join(f'"{column}"' for column in SWAPPED)
+    (folder / "b.csv").write_text("\n".join([quoted, text[1], "3,3,short"]) + "\n")
+    landed = feeds.read_feed(spark, str(folder), feed)
+    assert [row.bad_line for row in landed.collect() if row.bad_line] == ["3,3,short"]
+    (reject,) = feeds.rejects(landed, feed).collect()
+    assert reject.reject_reasons[0] == "line: wrong number of fields"
+    multi = feeds.read_feed(spark, str(folder), feed, multi_line=True)
+    assert ("2", "name2", "mail2") in [(row.user_id, row.username, row.email) for row in multi.collect()]
