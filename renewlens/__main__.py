@@ -18,6 +18,9 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--as-of", help="reference day, YYYY-MM-DD; today in UTC if left out")
     parser.add_argument("--strict", action="store_true", help="fail on the first malformed row")
     parser.add_argument("--overwrite", action="store_true", help="replace earlier results")
+    parser.add_argument(
+        "--by-position", action="store_true", help="take columns by position, not by header"
+    )
     parser.add_argument("--report", action="append", help="only this report; may be repeated")
     chosen = parser.parse_args(arguments)
 
@@ -32,6 +35,7 @@ def main(arguments: list[str] | None = None) -> None:
         payments=chosen.payments,
         listening=chosen.listening,
         strict=chosen.strict,
+        by_name=not chosen.by_position,
     )
     counts = job.run(
         spark,
