@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,12 +55,17 @@ def small(df: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
 def tidy(run: Callable) -> Callable:
     """A function over Arrow batches that gives memory back at its end.
 
-    A Python worker lives on after a task, and what Arrow holds back counts against its executor.
+    A Python worker lives on after a task, and what Arrow and the C library hold back, after large
+    work of numpy, zstandard or a tokenizer, counts against its executor.
     """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
     return tidied
 

@@ -1,11 +1,15 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on ordinary text. Toxic ones hold the runs of one to three words
-that toxic texts say at a higher rate than ordinary ones, one dictionary for each level of evidence.
-A text is read in windows of a few words, each compressed with the ordinary dictionary alone and
-with each toxic one behind it. A window that is shorter with the latter speaks like the toxic texts.
+Two zstandard dictionaries are trained, one on windows of ordinary texts and one on windows of
+toxic ones. The toxic texts are mostly made of ordinary words too, and a dictionary of all their
+windows compresses every text alike; so the windows it is trained on are those of one to three
+words that toxic texts say at a higher rate than ordinary ones, each as often as it occurs times its
+evidence. A text is read in windows of eight words, each compressed twice: with the ordinary
+dictionary, and with the same one and the toxic dictionary behind it, so that the two differ by
+nothing but what the toxic texts taught. A window that is shorter with the latter speaks like them.
 Counts of such windows beyond several thresholds, the greatest and the mean difference become a
-probability by a logistic curve, calibrated on texts that the dictionaries had not seen.
+probability by a logistic curve, calibrated on texts that the dictionaries had not seen. How much
+evidence a window needs for training is one of a few values, the one whose curve fits these best.
 
 Dictionaries and curve come from a bounded sample of labelled texts (``sample_rows`` of each label,
 ``sample_chars`` in all); scoring covers every whole text, and looks at nothing but the text.
@@ -29,9 +33,11 @@ WORDS = 8
 LONGEST_WINDOW = 512
 ORDINARY_BYTES = 32_768
 RUN_WORDS = (1, 2, 3)
-# Signed root of the likelihood ratio that a run needs for a dictionary. Few words are beyond the
-# last by chance, but many runs, so it takes words alone.
-LEVELS = ((6.0, RUN_WORDS), (3.3, RUN_WORDS), (2.2, (1,)))
+# Signed root of the likelihood ratio that a run needs to be a training window: of one word, and of
+# more. Many long runs are beyond a low bound by chance. The bounds with the best curve are taken.
+BOUNDS = ((2.2, 3.3), (3.3, 3.3), (4.5, 4.5))
+# What a trained dictionary has besides its content.
+_HEADER_BYTES = 1_024
 THRESHOLDS = (2, 3, 4)
 # Both dictionaries end with this and every window begins with it. The match keeps a window from
 # being stored as it is, as zstandard does when it would save less than two bytes.
@@ -43,8 +49,8 @@ _SLICE_BYTES = 2 << 20
 
 @dataclass(frozen=True)
 class Model:
-    """Raw contents of the ordinary and the toxic dictionaries and the curve; no dictionaries: a
-    constant score."""
+    """Raw contents of the ordinary dictionary and of both together, and the curve; no
+    dictionaries: a constant score."""
 
     dictionaries: tuple[bytes, ...]
     middle: np.ndarray
@@ -108,16 +114,15 @@ def _evidence(toxic: np.ndarray, ordinary: np.ndarray, share: float) -> np.ndarr
     return np.where(toxic > both * share, np.sqrt(2 * np.maximum(ratio, 0)), 0)
 
 
-def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[list[bytes]]:
-    """For each level, all runs of words with that much evidence, the most evident at the end.
+def toxic_windows(toxic: list[str], ordinary: list[str]) -> list[tuple[float, int, bytes]]:
+    """Evidence, words and text of the windows that toxic texts say at a higher rate.
 
-    Ordinary texts may use them too, at a lower rate. A longer run that overlaps a chosen shorter
-    one has nothing to add and is left out.
+    Every place where one stands is listed; of overlapping ones, that with more evidence. Ordinary
+    texts may use them too, at a lower rate.
     """
     known: dict[bytes, int] = {}
     numbers, others = _numbered(toxic, known), _numbered(ordinary, known)
-    words = list(known)
-    found = {}
+    words, found = list(known), []
     for length in RUN_WORDS:
         hashes, places, distinct, times = _runs(numbers, length)
         _, _, other, other_times = _runs(others, length)
@@ -126,45 +131,53 @@ def toxic_samples(toxic: list[str], ordinary: list[str]) -> list[list[bytes]]:
         at = np.minimum(np.searchsorted(other, distinct), len(other) - 1)
         shared = np.where(other[at] == distinct, other_times[at], 0)
         share = times.sum() / (times.sum() + other_times.sum())
-        found[length] = (hashes, places, distinct, _evidence(times, shared, share))
-    levels = []
-    for least, lengths in LEVELS:
-        taken = np.zeros(len(numbers), dtype=bool)
-        chosen = []
-        for length in lengths:
-            if length not in found:
-                continue
-            hashes, places, distinct, evidence = found[length]
-            number = np.searchsorted(distinct, hashes)
-            free = ~np.logical_or.reduce([taken[places + k] for k in range(length)])
-            used = np.flatnonzero((evidence[number] >= least) & free)
-            _, first = np.unique(hashes[used], return_index=True)
-            for one in used[first]:
-                run = numbers[places[one] : places[one] + length]
-                text = b" ".join(words[int(word) - 1] for word in run)
-                chosen.append((evidence[number[one]], b" " + text + b" "))
-            for k in range(length):
-                taken[places[used] + k] = True
-        levels.append([run for _, run in sorted(chosen)])
-    return levels
-
-
-def _train(size: int, samples: list[bytes], **options: int) -> bytes:
+        evidence = _evidence(times, shared, share)[np.searchsorted(distinct, hashes)]
+        least = min(word if length == 1 else run for word, run in BOUNDS)
+        found += [(evidence[i], length, int(places[i])) for i in np.flatnonzero(evidence >= least)]
+    taken, chosen = np.zeros(len(numbers), dtype=bool), []
+    for evidence, length, place in sorted(found, key=lambda one: (-one[0], one[1], one[2])):
+        if not taken[place : place + length].any():
+            taken[place : place + length] = True
+            run = b" ".join(words[int(word) - 1] for word in numbers[place : place + length])
+            chosen.append((float(evidence), length, b" " + run + b" "))
+    return chosen
+
+
+def _train(size: int, samples: list[bytes], segment: int) -> bytes:
     """Content of a trained dictionary; of too few samples, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, **options).as_bytes()
+        return zstandard.train_dictionary(
+            size, samples, k=segment, d=6, f=20, accel=2, split_point=1.0
+        ).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+        return b"".join(dict.fromkeys(samples))
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, ...]:
-    plain = [window for text in ordinary for window in windows(text)]
-    order = np.random.default_rng(11).permutation(len(plain))[:150_000]
-    base = _train(ORDINARY_BYTES, [plain[i] for i in order])
-    special = [b"".join(runs) for runs in toxic_samples(toxic, ordinary)]
-    size = max(len(one) for one in special)
-    # The end of a dictionary is the nearest, and its matches cost least.
-    return tuple(base + bytes(size - len(one)) + one + ANCHOR for one in (b"", *special))
+def ordinary_dictionary(ordinary: list[str]) -> bytes:
+    return _train(ORDINARY_BYTES, [window for text in ordinary for window in windows(text)], 50)
+
+
+def toxic_dictionary(
+    found: list[tuple[float, int, bytes]], least_word: float, least_run: float
+) -> bytes:
+    """Trained on the windows with that much evidence, each as often as its evidence says.
+
+    There is room for all that differ.
+    """
+    samples = [
+        text
+        for evidence, length, text in found
+        if evidence >= (least_word if length == 1 else least_run)
+        for _ in range(int(evidence))
+    ]
+    order = np.random.default_rng(11).permutation(len(samples))
+    size = sum(map(len, set(samples))) + _HEADER_BYTES
+    return _train(size, [samples[i] for i in order], 12)
+
+
+def _contents(base: bytes, special: bytes) -> tuple[bytes, bytes]:
+    """What the two compressors know: places are the same, and the nearest cost least."""
+    return base + bytes(len(special)) + ANCHOR, base + special + ANCHOR
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -173,7 +186,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     log = max(17, len(content).bit_length())
     settings = zstandard.ZstdCompressionParameters.from_level(
         3,
-        window_log=max(21, log + 1),
+        window_log=log + 1,
         strategy=zstandard.STRATEGY_BTULTRA,
         min_match=3,
         search_log=8,
@@ -193,7 +206,7 @@ def _lengths(compressor: zstandard.ZstdCompressor, pieces: list[bytes]) -> np.nd
     return np.fromiter((len(one) for one in found), np.int64, len(pieces))
 
 
-def features(texts: list[str], ordinary, *toxic) -> np.ndarray:
+def features(texts: list[str], ordinary, toxic) -> np.ndarray:
     """One row per text; a text without words counts as one window without a difference."""
     pieces = [windows(text) for text in texts]
     flat = [window for one in pieces for window in one]
@@ -201,25 +214,25 @@ def features(texts: list[str], ordinary, *toxic) -> np.ndarray:
     ends, empty = np.cumsum(sizes), sizes == 0
     sizes = np.maximum(sizes, 1)
     begins = np.cumsum(sizes) - sizes
-    columns = []
-    alone = _lengths(ordinary, flat) if flat else np.zeros(0, dtype=np.int64)
-    for one in toxic:
-        gain = alone - _lengths(one, flat) if flat else alone
-        gain = np.insert(gain, ends[empty], 0)
-        above = [np.add.reduceat((gain >= t).astype(np.int64), begins) for t in THRESHOLDS]
-        columns += [
-            *[np.log1p(count) for count in above],
-            np.maximum.reduceat(gain, begins),
-            np.add.reduceat(gain, begins) / sizes,
-            above[1] / sizes,
-        ]
-    return np.stack([*columns, np.log1p(sizes)], axis=1).astype(np.float64)
+    gain = np.zeros(0, dtype=np.int64)
+    if flat:
+        gain = _lengths(ordinary, flat) - _lengths(toxic, flat)
+    gain = np.insert(gain, ends[empty], 0)
+    above = [np.add.reduceat((gain >= t).astype(np.int64), begins) for t in THRESHOLDS]
+    columns = [
+        *[np.log1p(count) for count in above],
+        np.maximum.reduceat(gain, begins),
+        np.add.reduceat(gain, begins) / sizes,
+        above[1] / sizes,
+        np.log1p(sizes),
+    ]
+    return np.stack(columns, axis=1).astype(np.float64)
 
 
 def _curve(
     rows: np.ndarray, labels: np.ndarray, share: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method with a little shrinkage.
+) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Logistic regression by Newton's method with a little shrinkage; its loss comes first.
 
     Texts are weighed so that label 1 has its ``share`` of all labelled texts, not of the sample.
     """
@@ -233,7 +246,14 @@ def _curve(
         bend = (scaled * (weight * now * (1 - now))[:, None]).T @ scaled
         bend += 0.1 * np.eye(len(weights))
         weights -= np.linalg.solve(bend, slope)
-    return middle, spread, weights
+    sure = np.clip(1 / (1 + np.exp(-scaled @ weights)), 1e-9, 1 - 1e-9)
+    loss = -(weight * np.where(labels == 1, np.log(sure), np.log(1 - sure))).sum()
+    return loss, (middle, spread, weights)
+
+
+def _split(texts: list[str], part: int) -> tuple[list[str], list[str]]:
+    """Texts to train on and the part that is left out; of a single text, that text as both."""
+    return [one for i, one in enumerate(texts) if i % _PARTS != part] or texts, texts[part::_PARTS]
 
 
 def train(toxic: list[str], ordinary: list[str], share: float | None = None) -> Model:
@@ -243,23 +263,27 @@ def train(toxic: list[str], ordinary: list[str], share: float | None = None) ->
     """
     if not toxic or not ordinary:
         share = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1)
-        count = len(LEVELS) * (len(THRESHOLDS) + 3) + 1
+        count = len(THRESHOLDS) + 4
         weights = np.append(np.zeros(count), np.log(share / (1 - share)))
         return Model((), np.zeros(count), np.ones(count), weights)
-    rows, labels = [], []
+    rows, labels = {bounds: [] for bounds in BOUNDS}, []
     for part in range(_PARTS):
-        fit = [one for i, one in enumerate(toxic) if i % _PARTS != part] or toxic
-        fit_ordinary = [one for i, one in enumerate(ordinary) if i % _PARTS != part] or ordinary
-        compressors = [_compressor(one) for one in train_dictionaries(fit, fit_ordinary)]
-        for label, texts in ((1, toxic[part::_PARTS]), (0, ordinary[part::_PARTS])):
-            if texts:
-                rows.append(features(texts, *compressors))
-                labels.append(np.full(len(texts), label))
+        fit, left = _split(toxic, part)
+        fit_ordinary, left_ordinary = _split(ordinary, part)
+        base, found = ordinary_dictionary(fit_ordinary), toxic_windows(fit, fit_ordinary)
+        for bounds in BOUNDS:
+            special = toxic_dictionary(found, *bounds)
+            compressors = [_compressor(one) for one in _contents(base, special)]
+            rows[bounds] += [features(texts, *compressors) for texts in (left, left_ordinary) if texts]
+        labels += [np.full(len(texts), label) for label, texts in ((1, left), (0, left_ordinary))]
     known = np.concatenate(labels)
-    middle, spread, weights = _curve(
-        np.concatenate(rows), known, known.mean() if share is None else share
-    )
-    return Model(train_dictionaries(toxic, ordinary), middle, spread, weights)
+    curves = {
+        bounds: _curve(np.concatenate(found), known, known.mean() if share is None else share)
+        for bounds, found in rows.items()
+    }
+    best = min(BOUNDS, key=lambda bounds: curves[bounds][0])
+    special = toxic_dictionary(toxic_windows(toxic, ordinary), *best)
+    return Model(_contents(ordinary_dictionary(ordinary), special), *curves[best][1])
 
 
 def labelled_sample(

@@ -1,5 +1,8 @@
+import math
 import random
 
+import pytest
+
 from renewlens.llm import toxicity
 from renewlens.llm.common import fold
 from renewlens.llm.queries import queries
@@ -146,3 +149,49 @@ def test_one_text_beyond_the_bound(spark):
     )
     assert "zwug" in toxic[0] and "lodol" in ordinary[0]
     assert 8_000 <= len(toxic[0]) <= 10_100
+
+
+def test_score_against_a_plain_version(spark):
+    """Every window compressed alone, twice, and the curve in plain numbers."""
+    rows, labels = _corpus()
+    frame = documents(spark, rows)
+    table = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(frame, table, fold("doc_id", 5) != 0)
+
+    def plain_score(text):
+        words = (text or "").encode().lower().split()
+        found = [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8)]
+        found = [one[i : i + 512] for one in found for i in range(0, len(one), 512)]
+        gains = []
+        for window in found:
+            lengths = [
+                len(toxicity._compressor(content).compress(toxicity.ANCHOR + window))
+                for content in model.dictionaries
+            ]
+            gains.append(lengths[0] - lengths[1])
+        gains = gains or [0]
+        above = [sum(gain >= t for gain in gains) for t in (2, 3, 4)]
+        values = [math.log1p(count) for count in above]
+        values += [max(gains), sum(gains) / len(gains), above[1] / len(gains), math.log1p(len(gains))]
+        power = model.weights[-1] + sum(
+            weight * (value - middle) / spread
+            for weight, value, middle, spread in zip(model.weights, values, model.middle, model.spread)
+        )
+        return 1 / (1 + math.exp(-power))
+
+    some = [*rows[:12], (1000, None), (1001, "  "), (1002, "x" * 2000 + " blixxon"), (1003, "Ä Blixxon")]
+    for row in toxicity.score(documents(spark, some), model).collect():
+        assert row.score == pytest.approx(plain_score(dict(some)[row.doc_id]), abs=1e-9)
+
+
+def test_dictionaries_are_trained_on_texts_of_their_label():
+    rows, labels = _corpus()
+    truth = dict(labels)
+    toxic = [text for i, text in rows if truth[i]]
+    ordinary = [text for i, text in rows if not truth[i]]
+    found = toxicity.toxic_windows(toxic, ordinary)
+    for _, length, text in found:
+        assert len(text.split()) == length and any(text in f" {one} ".encode() for one in toxic)
+    assert {b" zwugrat ", b" fnorple ", b" blixxon "} <= {text for _, _, text in found}
+    special = toxicity.toxic_dictionary(found, 3.3, 3.3)
+    assert b"zwugrat" in special and b"zwugrat" not in toxicity.ordinary_dictionary(ordinary)
