@@ -17,6 +17,7 @@ A second folder beside it lists the id of every rank.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import small, store, text_of, tidy
+from renewlens.llm.common import SPACES, small, store, text_of, tidy
 from renewlens.sources.storage import export_parquet, shared_folder
 
 BLOCK_IDS = 1 << 18
@@ -44,9 +45,38 @@ _SLICE_BYTES = 2 << 20
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENDINGS = frozenset(bytes([byte]) for byte in _PUNCTUATION.encode())
 _CONTEXT_LOWER = frozenset("\u03a3\u0130")
+# What a tokenizer file says of how texts become words, where words can be encoded
+# one by one and taken apart without the library.
+_WORD_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_WORD_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {
+                "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+            },
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {
+            "type": "ByteLevel",
+            "add_prefix_space": False,
+            "trim_offsets": True,
+            "use_regex": False,
+        },
+    ],
+}
 
 _BLOCKS = (
-    "shard int, block int, first bigint, doc_ids array<bigint>, counts array<bigint>, "
+    "shard int, block int, first bigint, doc_ids array<{kind}>, counts array<bigint>, "
     "control binary, data binary"
 )
 # Lengths of the four ranks that a control byte describes.
@@ -90,11 +120,31 @@ def _byte_alphabet() -> dict[int, str]:
     }
 
 
+def _by_words(path: str) -> bool:
+    """Whether a tokenizer file says exactly what ``_Encoder`` does with words by itself."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model = said["model"]
+    return (
+        said["normalizer"] == _WORD_NORMALIZER
+        and said["pre_tokenizer"] == _WORD_SPLITTER
+        and model["type"] == "BPE"
+        and bool(model.get("end_of_word_suffix"))
+        and not any(model.get(name) for name in ("dropout", "unk_token", "continuing_subword_prefix"))
+        and not any(
+            set(token["content"]) & set(SPACES) or token["lstrip"] or token["rstrip"]
+            or token["normalized"] or token["single_word"]
+            for token in said["added_tokens"]
+        )
+    )
+
+
 class _Encoder:
-    """Ids of texts, with a bounded memory of words.
+    """Ids of texts, with a bounded memory of words where the tokenizer allows it.
 
-    The tokenizer never looks past ASCII white space, so the ids of a text are those of its words
-    in a row. Arrow splits a slice of texts and numbers its distinct words, and only words that are not
+    A tokenizer of the one kind that this class knows (``_by_words``) never looks past ASCII white
+    space, so the ids of a text are those of its words in a row; with any other, the library
+    encodes every text as it is. Arrow splits a slice of texts and numbers its distinct words, and only words that are not
     known yet are tokenized. Most of them are letters with punctuation at the end. Such pieces
     need no normalising and splitting, which is the dear part: those of many words are joined by
     spaces and go through the vocabulary's merges at once, and the id that ends a piece shows where
@@ -107,9 +157,12 @@ class _Encoder:
 
         self._dtype = np.dtype(dtype)
         self._tokenizer = Tokenizer.from_file(path)
-        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
         self._merges = None
-        if suffix:
+        self._words = _by_words(path)
+        if self._words:
+            suffix = self._tokenizer.model.end_of_word_suffix
             # The same model, which both share, for pieces that are split already.
             self._merges = Tokenizer(self._tokenizer.model)
             self._merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -198,6 +251,11 @@ class _Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and the ids of all in a row."""
+        if not self._words:
+            encoded = self._tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            ids = [np.array(one.ids, dtype=self._dtype) for one in encoded]
+            counts = np.array([len(one) for one in ids], dtype=np.int64)
+            return counts, np.concatenate([*ids, np.zeros(0, dtype=self._dtype)])
         if self._unknown > _FORGET_AFTER * _CACHED_WORDS:
             self._forget()
         split = pc.ascii_split_whitespace(texts)
@@ -229,7 +287,7 @@ class _Encoder:
         return np.diff(upto), flat
 
 
-# One encoder per tokenizer file; a Python worker keeps it from task to task.
+# The encoder of the last tokenizer file; a Python worker keeps it from task to task.
 _ENCODERS: dict[str, _Encoder] = {}
 
 
@@ -237,6 +295,7 @@ def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
+            _ENCODERS.clear()
             _ENCODERS[path] = _Encoder(path, dtype)
         encode = _ENCODERS[path]
         for batch in batches:
@@ -290,9 +349,11 @@ def _write_blocks(ids_by_rank: np.ndarray, dtype: str) -> Callable:
         rank_of = np.zeros(int(ids_by_rank.max(initial=0)) + 1, dtype=np.uint32)
         rank_of[ids_by_rank] = np.arange(len(ids_by_rank), dtype=np.uint32)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        documents: list[int | None] = []
+        documents: list = []
         pieces: list[np.ndarray] = []
 
+        kind: pa.DataType = pa.int64()
+
         def flush() -> pa.RecordBatch:
             nonlocal block, first
             control, data = encode_ranks(rank_of[np.concatenate(pieces)])
@@ -301,7 +362,7 @@ def _write_blocks(ids_by_rank: np.ndarray, dtype: str) -> Callable:
                 "shard": pa.array([shard], pa.int32()),
                 "block": pa.array([block], pa.int32()),
                 "first": pa.array([first], pa.int64()),
-                "doc_ids": pa.array([documents], pa.list_(pa.int64())),
+                "doc_ids": pa.array([documents], pa.list_(kind)),
                 "counts": pa.array([counts], pa.list_(pa.int64())),
                 "control": pa.array([control], pa.binary()),
                 "data": pa.array([data], pa.binary()),
@@ -313,6 +374,7 @@ def _write_blocks(ids_by_rank: np.ndarray, dtype: str) -> Callable:
 
         held = 0
         for batch in batches:
+            kind = batch.schema[0].type
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 documents.append(doc_id)
                 pieces.append(np.frombuffer(ids.as_py(), dtype=dtype))
@@ -346,21 +408,29 @@ def write_files(
     """Tokenize every whole text, append ``end_id`` and write all ids in ascending id order.
 
     A null text has the end id alone; a null id comes first; rows with the same id follow each
-    other, ordered by their ids. An empty table gives files without blocks. Other columns are not
-    read. ``tokenizer`` is a file that every machine can open.
+    other, in an order of their token ids. Ids of documents keep their type, numbers or text. A very
+    long text is encoded whole and stays in one block. An empty table gives files without blocks.
+    Other columns are not read. ``tokenizer`` is a file that every machine can open.
     """
-    texts = documents.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")
-    )
+    texts = documents.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
     dtype = _narrowest(tokenizer, end_id)
     tokens = store(
-        texts.mapInArrow(_encode_documents(tokenizer, end_id, dtype), "doc_id bigint, ids binary"),
+        texts.mapInArrow(_encode_documents(tokenizer, end_id, dtype), f"doc_id {kind}, ids binary"),
         "token-ids",
         compression="zstd",
     )
     ids_by_rank = rank_ids(tokens, dtype)
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    export_parquet(ordered.mapInArrow(_write_blocks(ids_by_rank, dtype), _BLOCKS), f"{path}/blocks")
+    # An id may hold a third of all rows, and those may be copies: digest and row part them.
+    order = ["doc_id", "digest", "row"]
+    ordered = (
+        tokens.withColumns({"digest": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "ids")
+    )
+    schema = _BLOCKS.format(kind=kind)
+    export_parquet(ordered.mapInArrow(_write_blocks(ids_by_rank, dtype), schema), f"{path}/blocks")
     ranks = documents.sparkSession.createDataFrame(
         [(rank, int(one)) for rank, one in enumerate(ids_by_rank)], "rank int, id bigint"
     )
@@ -391,7 +461,7 @@ def _read_blocks(ids_by_rank: np.ndarray, digest: bool) -> Callable:
                     values = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(docs, pa.int64()),
+                        pa.array(docs, block.schema.field("doc_ids").type.value_type),
                         pa.array(start + begins, pa.int64()),
                         pa.array(counts, pa.int64()),
                         values,
@@ -410,7 +480,8 @@ def read_files(spark: SparkSession, path: str, *, digest: bool = False) -> DataF
     """
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()
     ids_by_rank = np.array([row["id"] for row in ranks], dtype=np.uint32)
-    blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     in_block = F.aggregate("counts", F.lit(0).cast("bigint"), lambda total, n: total + n)
     shards = blocks.groupBy("shard").agg(F.sum(in_block).alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -422,7 +493,7 @@ def read_files(spark: SparkSession, path: str, *, digest: bool = False) -> DataF
     )
     last = "ids_crc32 bigint" if digest else "ids array<bigint>"
     return placed.mapInArrow(
-        _read_blocks(ids_by_rank, digest), f"doc_id bigint, start bigint, n_tokens bigint, {last}"
+        _read_blocks(ids_by_rank, digest), f"doc_id {kind}, start bigint, n_tokens bigint, {last}"
     )
 
 

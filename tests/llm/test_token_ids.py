@@ -1,8 +1,13 @@
+import json
 import random
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -68,3 +73,97 @@ def test_odd_rows_and_whole_ids(spark, monkeypatch):
         assert (row.start, row.n_tokens) == (start, len(row.ids))
         start += row.n_tokens
     assert token_ids.round_trip(documents(spark, []), tokenizer=TOKENIZER).count() == 0
+
+
+def _changed(tmp_path, name, change):
+    said = json.loads(Path(TOKENIZER).read_text())
+    change(said)
+    path = tmp_path / f"{name}.json"
+    path.write_text(json.dumps(said))
+    return str(path)
+
+
+def _cased(said):
+    said["normalizer"]["normalizers"] = said["normalizer"]["normalizers"][:2]
+
+
+def _without_accents(said):
+    said["normalizer"]["normalizers"] = [{"type": "NFD"}, {"type": "StripAccents"}, {"type": "Lowercase"}]
+
+
+def _whole_words(said):
+    said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+
+
+def _cut_short(said):
+    said["truncation"] = {"max_length": 3, "strategy": "LongestFirst", "stride": 0, "direction": "Right"}
+
+
+@pytest.fixture(scope="module")
+def other_tokenizers(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("tokenizers")
+    made = {
+        "cased": _changed(folder, "cased", _cased),
+        "accents": _changed(folder, "accents", _without_accents),
+        "whole": _changed(folder, "whole", _whole_words),
+        "short": _changed(folder, "short", _cut_short),
+        "bytes": public_tokenizers.path("byte_bpe_50k.json"),
+    }
+    plain = {name: Tokenizer.from_file(path) for name, path in made.items()}
+    for tokenizer in plain.values():
+        tokenizer.no_truncation()
+    return {name: (path, plain[name], token_ids._Encoder(path, "<u4")) for name, path in made.items()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abC dÉé'sL9 \t\n.,!ﬁ🙂", max_size=30), max_size=5))
+def test_other_tokenizers_give_their_own_ids(other_tokenizers, texts):
+    for _, tokenizer, encoder in other_tokenizers.values():
+        expected = [one.ids for one in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        counts, ids = encoder(pa.array(texts, pa.string()))
+        assert counts.tolist() == [len(one) for one in expected]
+        assert ids.tolist() == [i for one in expected for i in one]
+
+
+def test_cased_tokenizer_through_the_files(spark, other_tokenizers):
+    path, _, _ = other_tokenizers["cased"]
+    rows = [(1, "Hello World"), (2, "hello world")]
+    found = token_ids.round_trip(documents(spark, rows), tokenizer=path, digest=False).collect()
+    tokenizer = Tokenizer.from_file(path)
+    assert {row.doc_id: row.ids for row in found} == {
+        i: [*tokenizer.encode(text, add_special_tokens=False).ids, 1] for i, text in rows
+    }
+    assert len(set(map(str, (row.ids for row in found)))) == 2
+
+
+def test_text_ids(spark):
+    frame = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "x"), ("ä", None)], "doc_id string, text string")
+    found = token_ids.round_trip(frame, tokenizer=TOKENIZER, digest=False)
+    rows = sorted(found.collect(), key=lambda row: row.start)
+    assert [row.doc_id for row in rows] == [None, "a", "b", "ä"]
+    texts = {row.doc_id: row.text for row in frame.collect()}
+    start = 0
+    for row in rows:
+        assert (row.start, row.ids) == (start, encode(texts[row.doc_id]))
+        start += row.n_tokens
+
+
+def test_rows_of_one_id_are_spread(spark, setting):
+    """A third of the rows has no id, and all of these are copies."""
+    setting(spark__sql__shuffle__partitions="8", spark__sql__adaptive__coalescePartitions__enabled="false")
+    rows = [(None if i % 3 == 0 else i, "same" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    path = shared_folder(spark, "hot-ids")
+    token_ids.write_files(documents(spark, rows), path, tokenizer=TOKENIZER)
+    blocks = spark.read.parquet(f"{path}/blocks").collect()
+    in_shard = Counter()
+    for block in blocks:
+        in_shard[block.shard] += len(block.doc_ids)
+    assert len(in_shard) == 8 and max(in_shard.values()) < 700
+    found = token_ids.read_files(spark, path).collect()
+    assert len(found) == 3000 and sum(row.doc_id is None for row in found) == 1000
+    start = 0
+    for row in sorted(found, key=lambda row: row.start):
+        assert row.start == start
+        start += row.n_tokens
+    placed = [row.doc_id for row in sorted(found, key=lambda row: row.start) if row.doc_id is not None]
+    assert placed == sorted(placed)

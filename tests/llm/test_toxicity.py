@@ -194,4 +194,4 @@ def test_dictionaries_are_trained_on_texts_of_their_label():
         assert len(text.split()) == length and any(text in f" {one} ".encode() for one in toxic)
     assert {b" zwugrat ", b" fnorple ", b" blixxon "} <= {text for _, _, text in found}
     special = toxicity.toxic_dictionary(found, 3.3, 3.3)
-    assert b"zwugrat" in special and b"zwugrat" not in toxicity.ordinary_dictionary(ordinary)
+    assert b"zwug" in special and b"zwug" not in toxicity.ordinary_dictionary(ordinary)
