@@ -17,7 +17,7 @@ Dictionaries and curve come from a bounded sample of labelled texts (``sample_ro
 
 from __future__ import annotations
 
-from collections import defaultdict
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -286,7 +286,7 @@ def train(toxic: list[str], ordinary: list[str], share: float | None = None) ->
     return Model(_contents(ordinary_dictionary(ordinary), special), *curves[best][1])
 
 
-def labelled_sample(
+def sampled_texts(
     documents: DataFrame,
     labels: DataFrame,
     training: Column,
@@ -296,10 +296,10 @@ def labelled_sample(
     label_col: str,
     sample_rows: int,
     sample_chars: int,
-) -> tuple[list[str], list[str], float | None]:
-    """Texts labelled 1 and 0, in the order of a hash of the id, as far as the bounds go.
+) -> tuple[DataFrame, float | None]:
+    """Labelled texts (``label``, ``place``, ``text``) as far as the bounds go.
 
-    Third comes the share of 1 among all labels of documents. The ids are chosen among these labels
+    Second comes the share of 1 among all labels of documents. The ids are chosen among these labels
     first, so that no other text is shuffled. Where the texts are too long together, the longest
     give pieces chosen by hash, so every text has its part and no label is left without one.
     """
@@ -347,14 +347,27 @@ def labelled_sample(
         .join(F.broadcast(wanted), ["sample_id", "digest"])
         .withColumn("text", _pieces(F.col("text"), F.col("most")))
         .dropDuplicates(["sample_id", "digest"])
-        .collect()
-    )
-    ordered = sorted(texts, key=lambda row: (row["place"], row["text"]))
-    return (
-        [row["text"] for row in ordered if row["label"] == 1],
-        [row["text"] for row in ordered if row["label"] == 0],
-        marked.agg(F.avg(F.col("label").cast("double"))).first()[0],
     )
+    share = marked.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    return texts.select("label", "place", "text"), share
+
+
+def by_label(rows: list[tuple[int, int, str]]) -> tuple[list[str], list[str]]:
+    """Texts labelled 1 and 0 of a sample, in the order of the hash of their ids."""
+    ordered = sorted(rows, key=lambda row: (row[1], row[2]))
+    return tuple([text for one, _, text in ordered if one == label] for label in (1, 0))
+
+
+def _train_sample(share: float | None) -> Callable:
+    """Trains on all rows of a task, which hold the whole sample, and returns the model."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns))]
+        model = train(*by_label(rows), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
 
 
 def _most_chars(sizes: list[int], bound: int) -> int:
@@ -413,19 +426,22 @@ def fit(
     sample_rows: int = 1_500,
     sample_chars: int = 12_000_000,
 ) -> Model:
-    """Train on labelled rows for which ``training`` (an expression of the id) holds."""
-    return train(
-        *labelled_sample(
-            documents,
-            labels,
-            training,
-            id_col=id_col,
-            text_col=text_col,
-            label_col=label_col,
-            sample_rows=sample_rows,
-            sample_chars=sample_chars,
-        )
+    """Train on labelled rows for which ``training`` (an expression of the id) holds.
+
+    One task trains on the sample, whose size the bounds limit; the driver gets the model alone.
+    """
+    texts, share = sampled_texts(
+        documents,
+        labels,
+        training,
+        id_col=id_col,
+        text_col=text_col,
+        label_col=label_col,
+        sample_rows=sample_rows,
+        sample_chars=sample_chars,
     )
+    trained = texts.repartition(1).mapInArrow(_train_sample(share), "model binary").collect()
+    return pickle.loads(trained[0]["model"]) if trained else train([], [], share)
 
 
 def score(

@@ -126,10 +126,11 @@ def test_overlong_texts_leave_the_sample_whole(spark):
     rows = [(i, " ".join([text] * 400) if i in long else text) for i, text in rows]
     frame = documents(spark, [*rows, (5, "another text of the same id"), rows[1], rows[1]])
     table = spark.createDataFrame([*labels, (10**9, 1), (10**9 + 1, 0)], "doc_id bigint, toxic int")
-    toxic, ordinary, share = toxicity.labelled_sample(
+    sample, share = toxicity.sampled_texts(
         frame, table, fold("doc_id", 5) >= 0, id_col="doc_id", text_col="text", label_col="toxic",
         sample_rows=500, sample_chars=400_000,
     )
+    toxic, ordinary = toxicity.by_label([tuple(row) for row in sample.collect()])
     assert len(toxic) == sum(truth.values()) + 1 and len(ordinary) == 400 - sum(truth.values())
     assert sum(map(len, toxic)) <= 201_000 and sum(map(len, ordinary)) <= 201_000
     whole = {text for i, text in rows if i not in long}
@@ -143,10 +144,11 @@ def test_overlong_texts_leave_the_sample_whole(spark):
 def test_one_text_beyond_the_bound(spark):
     frame = documents(spark, [(1, "zwug fnorp " * 3000), (2, "karan lodol " * 3000)])
     table = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
-    toxic, ordinary, _ = toxicity.labelled_sample(
+    sample, _ = toxicity.sampled_texts(
         frame, table, fold("doc_id", 5) >= 0, id_col="doc_id", text_col="text", label_col="toxic",
         sample_rows=5, sample_chars=20_000,
     )
+    toxic, ordinary = toxicity.by_label([tuple(row) for row in sample.collect()])
     assert "zwug" in toxic[0] and "lodol" in ordinary[0]
     assert 8_000 <= len(toxic[0]) <= 10_100
 
