@@ -41,6 +41,20 @@ def store(df: DataFrame, purpose: str, *, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(columns: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores before it as no column begins with it, whatever its case."""
+    taken = [name.lower() for name in columns]
+    while any(name.startswith(wanted.lower()) for name in taken):
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def ids_tell_rows_apart(df: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own. Only ids are read."""
+    counted = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(F.col("id").isNull() | (F.col("n") > 1)).isEmpty()
+
+
 def small(df: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
     """Marked for a broadcast if a count shows that it is small, else for a join by a shuffle.
 

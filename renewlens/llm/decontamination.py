@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import MOST_BROADCAST_ROWS, small, store, text_of
+from renewlens.llm.common import MOST_BROADCAST_ROWS, free_prefix, small, store, text_of
 
 RADIUS = 31
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 8, 16, 3
@@ -320,5 +320,6 @@ def without_leaks(
 ) -> DataFrame:
     """The documents, with all their columns, that hold no item; each is judged by its own text."""
     found = _similar_windows(documents, benchmark, id_col=id_col, text_col=text_col, **options)
-    leaking = store(found.select(F.col("key").alias("_leaking")).distinct(), "leaks-documents")
-    return documents.join(small(leaking), _key(id_col, text_col) == F.col("_leaking"), "left_anti")
+    name = free_prefix(documents.columns, "_leaking")
+    leaking = store(found.select(F.col("key").alias(name)).distinct(), "leaks-documents")
+    return documents.join(small(leaking), _key(id_col, text_col) == F.col(name), "left_anti")

@@ -85,15 +85,22 @@ def choose_classes(counts: DataFrame, texts: int, *, frequent: int, tail_groups:
         F.count(F.lit(1)).alias("words"), F.min("n").alias("least"), F.sum("n").alias("n")
     )
     rows = sorted(histogram.collect(), key=lambda row: -row["step"])
-    words, least = 0, None
+    words, least, inside = 0, None, F.lit(False)
     for row in rows:
-        words += row["words"]
-        if words > frequent:
+        if words + row["words"] > frequent:
+            # The step where the bound falls: its most frequent words, ties in the order of words.
+            here = counts.filter(step == row["step"]).orderBy(F.desc("n"), "key")
+            last = here.limit(frequent - words).orderBy("n", F.desc("key")).limit(1).collect()
+            for one in last:
+                inside = (F.col("n") > one["n"]) | (
+                    (F.col("n") == one["n"]) & (F.col("key") <= one["key"])
+                )
             break
-        least = row["least"]
-    head = [] if least is None else counts.filter(F.col("n") >= least).collect()
+        words, least = words + row["words"], row["least"]
+        inside = F.col("n") >= least
+    head = counts.filter(inside).collect()
     head = sorted(((row["key"].encode(), row["n"]) for row in head), key=lambda x: (-x[1], x[0]))
-    tail = counts if least is None else counts.filter(F.col("n") < least)
+    tail = counts.filter(~inside)
     groups = tail.groupBy(_group(F.col("key"), tail_groups).alias("group")).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")
     )
@@ -112,7 +119,7 @@ def choose_classes(counts: DataFrame, texts: int, *, frequent: int, tail_groups:
 
 
 _ENCODED = (
-    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, classes array<int>, "
+    "row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, classes array<int>, "
     "tail array<string>"
 )
 
@@ -191,12 +198,25 @@ def _in_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.R
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _settled(step: np.ndarray) -> np.ndarray:
+    """How likely the states are far from the start of a text."""
+    likely = np.full(len(step), 1 / len(step))
+    for _ in range(100):
+        likely = likely @ step
+    return likely / likely.sum()
+
+
 def _expected_counts(
-    values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: Model
+    values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fresh: np.ndarray, model: Model
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One E step over sequences side by side, longest first: start, step and emission counts."""
+    """One E step over sequences side by side, longest first: start, step and emission counts.
+
+    A sequence that is not ``fresh`` goes on in a text. Its first word belongs to the piece before
+    it: the step from that word on is counted, the word and a start are not.
+    """
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
+    starts, lengths, fresh = starts[order], lengths[order], fresh[order]
+    begin = np.where(fresh[:, None], model.start, _settled(model.step))
     states, longest = len(model.start), int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     first = np.concatenate([[0], np.cumsum(active)])
@@ -209,7 +229,7 @@ def _expected_counts(
         seen[here] = values[starts[:n] + t]
         likely[here] = model.emit[seen[here]]
         if t == 0:
-            now = likely[here] * model.start
+            now = likely[here] * begin
         else:
             now = (forward[first[t - 1] : first[t - 1] + n] @ model.step) * likely[here]
         scale[here] = now.sum(axis=1)
@@ -224,10 +244,12 @@ def _expected_counts(
         back = np.ones((active[t], states))
         back[:n] = ahead @ model.step.T
         gamma[first[t] : first[t + 1]] *= back
+    gamma[: active[0]][~fresh] = 0
+    start_counts = gamma[: active[0]].sum(axis=0)
     emit_counts = np.stack(
         [np.bincount(seen, gamma[:, k], minlength=len(model.emit)) for k in range(states)], axis=1
     )
-    return gamma[: active[0]].sum(axis=0), step_counts * model.step, emit_counts
+    return start_counts, step_counts * model.step, emit_counts
 
 
 def _baum_welch_task(broadcast) -> Callable:
@@ -242,12 +264,16 @@ def _baum_welch_task(broadcast) -> Callable:
             begins = [
                 np.arange(a, b, _SEGMENT) for a, b in zip(offsets[:-1], offsets[1:], strict=True)
             ]
+            fresh = np.concatenate([np.arange(len(b)) == 0 for b in begins])
             ends = np.repeat(offsets[1:], [len(b) for b in begins])
             begins = np.concatenate(begins)
-            lengths = np.minimum(_SEGMENT, ends - begins)
+            ends = np.minimum(begins + _SEGMENT, ends)
+            # A piece inside a text begins with the last word of the one before.
+            begins = begins - ~fresh
             for part in range(0, len(begins), 1024):
+                some = slice(part, part + 1024)
                 found = _expected_counts(
-                    values, begins[part : part + 1024], lengths[part : part + 1024], model
+                    values, begins[some], ends[some] - begins[some], fresh[some], model
                 )
                 start += found[0]
                 step += found[1]
@@ -380,13 +406,13 @@ def score(
 
     Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram, add one) and
     score, both log10. Texts are split at white space, A-Z folded, and end with an end token.
-    A null text is empty: its end token alone. A null id stays null, and rows with the same id are
+    A null text is empty: its end token alone. Ids keep their type. A null id stays null, and rows with the same id are
     scored one by one. With nothing to learn from, every token counts as unknown. An empty table
     gives no rows. Other columns are not read.
     """
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.col(id_col).alias("doc_id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         text_of(text_col).alias("text"),
     )
@@ -395,7 +421,8 @@ def score(
     classes = choose_classes(counts, training.count(), frequent=frequent, tail_groups=tail_groups)
     context = documents.sparkSession.sparkContext
     classes_sent = context.broadcast(classes)
-    encoded = store(rows.mapInArrow(_encode(classes_sent), _ENCODED), "lm-encoded")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    encoded = store(rows.mapInArrow(_encode(classes_sent), _ENCODED.format(kind=kind)), "lm-encoded")
 
     model = initial_model(classes, states)
     for _ in range(steps):
@@ -403,7 +430,7 @@ def score(
 
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "classes").mapInArrow(
         _score_task(classes_sent, context.broadcast(model)),
-        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, "
+        f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, "
         "base double, model double",
     )
     # Frequent words are gone, so no key of this join is hot.

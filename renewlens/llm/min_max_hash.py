@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from renewlens.llm.common import small, store, text_of, tidy
+from renewlens.llm.common import free_prefix, ids_tell_rows_apart, small, store, text_of, tidy
 
 ROWS = 5
 BANDS = 32
@@ -380,12 +381,14 @@ def near_duplicates(
     32 bands of 5 values a pair at the limit is missed with a probability of 3 in a million.
 
     A null text, or one without words, is linked to nothing. Rows with the same id are one document
-    to the links. A null id is in no component and kept. An empty table gives no rows; other
-    columns are not read.
+    to the links. A null id is in no component and kept. Ids may be whole numbers or text, whose
+    order is that of its bytes. Very long texts are compared whole. An empty table gives no rows;
+    other columns are not read.
     """
-    texts = documents.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")
-    )
+    texts = documents.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    if not isinstance(texts.schema["doc_id"].dataType, IntegralType):
+        return _by_number(texts, words=words, percent=percent, rows=rows, bands=bands)
+    texts = texts.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     signed = store(texts.mapInArrow(_sign(words, rows, bands), _SIGNED), "minmax-signed")
     same = ["n_shingles", "set_a", "set_b"]
     full = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -452,10 +455,58 @@ def near_duplicates(
 def one_of_each(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> DataFrame:
-    """The documents, with all their columns, without those that have a smaller one to stand in."""
-    judged = near_duplicates(documents, id_col=id_col, text_col=text_col, **options)
+    """The documents, with all their columns, without those that have a smaller one to stand in.
+
+    One row of each group stays: that with the smallest id, a null one last. Where ids do not tell
+    rows apart, rows are judged one by one, so of repeated rows one stays, and rows that share an id
+    alone are no group. Rows without words all stay.
+    """
+    if ids_tell_rows_apart(documents, id_col):
+        judged = near_duplicates(documents, id_col=id_col, text_col=text_col, **options)
+        row, numbered = id_col, documents
+        kept = judged.filter("kept")
+    else:
+        row = free_prefix(documents.columns, "_row")
+        numbered = store(documents.withColumn(row, F.monotonically_increasing_id()), "minmax-rows")
+        judged = near_duplicates(numbered, id_col=row, text_col=text_col, **options)
+        ids = numbered.select(F.col(row).alias("n"), F.col(id_col).alias("id"))
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))["n"]
+        kept = (
+            judged.join(ids, F.col("doc_id") == F.col("n"))
+            .groupBy("component_id")
+            .agg(first.alias("doc_id"))
+        )
+    name = free_prefix(documents.columns, "_dropped")
     dropped = store(
-        judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(),
+        judged.select(F.col("doc_id").alias(name))
+        .join(kept.select(F.col("doc_id").alias("stays")), F.col(name) == F.col("stays"), "left_anti")
+        .distinct(),
         "minmax-dropped",
     )
-    return documents.join(small(dropped), F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    left = numbered.join(small(dropped), F.col(row) == F.col(name), "left_anti")
+    return left.select(*[left[f"`{column}`"] for column in documents.columns])
+
+
+def _by_number(texts: DataFrame, **options) -> DataFrame:
+    """``near_duplicates`` of documents whose ids are no whole numbers, by their rank as numbers.
+
+    Sorted partitions are numbered one after the other, so the smaller id has the smaller number.
+    """
+    ids = texts.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct()
+    ranked = ids.orderBy("id").withColumn("n", F.monotonically_increasing_id())
+    numbers = store(ranked, "minmax-numbers")
+    known = texts.join(numbers, F.col("doc_id") == F.col("id"), "left")
+    numbered = store(known.select(F.col("n").alias("number"), "text"), "minmax-numbered")
+    judged = near_duplicates(numbered, id_col="number", **options)
+    own = numbers.select(F.col("n").alias("own"), F.col("id").alias("named"))
+    other = numbers.select(F.col("n").alias("other"), F.col("id").alias("component_name"))
+    return (
+        judged.join(own, F.col("doc_id") == F.col("own"), "left")
+        .join(other, F.col("component_id") == F.col("other"), "left")
+        .select(
+            F.col("named").alias("doc_id"),
+            "n_shingles",
+            F.col("component_name").alias("component_id"),
+            "kept",
+        )
+    )

@@ -10,12 +10,13 @@ a second time, so that repeats are a subset of what is taken.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import WORD, small, store, text_of
+from renewlens.llm.common import WORD, free_prefix, small, store, text_of
 
 BITS_A_LEVEL = 12
 LEVELS = 5
@@ -176,19 +177,30 @@ def plan(
 def apply(
     documents: DataFrame, mix: DataFrame, *, source: str, hash_column: Column
 ) -> DataFrame:
-    """The documents with ``_copies``, how often each is taken, and its source's row of the plan."""
+    """The documents with how often each is taken, and its source's row of the plan.
+
+    These columns, ``copies``, ``source``, ``source_size``, ``target``, ``rounds`` and ``threshold``,
+    have names that ``added`` gives, so that they clash with none of the documents'.
+    """
+    name = added(documents)
     renamed = mix.select(
-        F.col("source").alias("_source"),
-        F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"),
-        F.col("rounds").alias("_rounds"),
-        F.col("threshold").alias("_threshold"),
+        *[
+            F.col(column).alias(name(column))
+            for column in ("source", "source_size", "target", "rounds", "threshold")
+        ]
     )
     joined = documents.join(
-        small(renamed, MOST_BROADCAST_SOURCES), F.col(source).cast("string").eqNullSafe(F.col("_source"))
+        small(renamed, MOST_BROADCAST_SOURCES),
+        F.col(source).cast("string").eqNullSafe(F.col(name("source"))),
     )
-    once_more = F.when(hash_column < F.col("_threshold"), 1).otherwise(0)
-    return joined.withColumn("_copies", F.col("_rounds") + once_more)
+    once_more = F.when(hash_column < F.col(name("threshold")), 1).otherwise(0)
+    return joined.withColumn(name("copies"), F.col(name("rounds")) + once_more)
+
+
+def added(documents: DataFrame) -> Callable[[str], str]:
+    """Names of what ``apply`` adds to a table."""
+    prefix = free_prefix(documents.columns, "_mix_")
+    return lambda column: f"{prefix}{column}"
 
 
 def mix(
@@ -210,12 +222,13 @@ def mix(
     sizes = sized(documents, id_col=id_col, text_col=text_col, source_col=source_col)
     chosen = plan(sizes, share=share, weights=weights, most=most)
     applied = apply(sizes, chosen, source="source", hash_column=F.col("hash"))
+    name = added(sizes)
     return applied.select(
         "doc_id",
         "size",
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("size") * F.col("_copies")).alias("taken"),
+        F.col(name("source_size")).alias("source_size"),
+        F.col(name("target")).alias("target"),
+        (F.col("size") * F.col(name("copies"))).alias("taken"),
     )
 
 
@@ -235,7 +248,8 @@ def mixed_documents(
     applied = apply(
         documents, chosen, source=source_col, hash_column=document_hash(id_col, text_col)
     )
-    repeated = applied.filter("_copies > 0").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    name = added(documents)
+    repeated = applied.filter(F.col(name("copies")) > 0).withColumn(
+        name("copy"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(name("copies"))))
     )
     return repeated.select(*[repeated[f"`{name}`"] for name in documents.columns])

@@ -43,7 +43,9 @@ def test_forward_sums_all_paths(model):
 def test_expected_counts_weigh_all_paths(model):
     texts = [[1, 2, 3, 0], [3, 0], [2, 2, 1]]
     lengths = np.array([len(one) for one in texts])
-    found = hm._expected_counts(np.concatenate(texts), np.cumsum(lengths) - lengths, lengths, model)
+    found = hm._expected_counts(
+        np.concatenate(texts), np.cumsum(lengths) - lengths, lengths, np.ones(3, dtype=bool), model
+    )
     start, step, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((4, 3))
     for text in texts:
         total = sum(p for _, p in paths(text, model))
@@ -57,6 +59,39 @@ def test_expected_counts_weigh_all_paths(model):
         assert np.allclose(one, other)
 
 
+def test_pieces_of_a_text_count_every_step_and_word_once(model):
+    settled = hm._settled(model.step)
+    assert np.allclose(settled @ model.step, settled)
+    text = np.array([1, 2, 3, 0, 2, 2, 1, 3, 3, 0, 1, 2])
+    begins, ends = np.array([0, 3, 7]), np.array([4, 8, 12])
+    fresh = np.array([True, False, False])
+    start, step, emit = hm._expected_counts(text, begins, ends - begins, fresh, model)
+    assert np.isclose(start.sum(), 1) and np.isclose(step.sum(), len(text) - 1)
+    assert np.allclose(emit.sum(axis=1), np.bincount(text, minlength=4))
+    alone = hm._expected_counts(text, begins[:1], ends[:1], fresh[:1], model)
+    assert np.allclose(start, alone[0])
+
+
+def test_the_most_frequent_words_exactly_are_classes(spark):
+    """Also where many words are equally frequent, in the order of words."""
+    times = {"a": 9, "b": 5, **{f"w{i:02}": 3 for i in range(30)}, "z": 1}
+    text = " ".join(word for word, n in times.items() for _ in range(n))
+    counts = hm.count_words(documents(spark, [(1, text)]))
+    ranked = sorted(times, key=lambda word: (-times[word], word))
+    for frequent in (0, 1, 2, 3, 17, 32, 33, 50):
+        classes = hm.choose_classes(counts, 1, frequent=frequent, tail_groups=4)
+        wanted = ranked[:frequent]
+        assert classes.frequent == {word.encode(): n for n, word in enumerate(wanted, start=1)}
+        assert classes.tail_words.sum() == len(times) - len(wanted)
+        assert classes.counts.sum() + classes.tail_counts.sum() == sum(times.values()) + 1
+
+
+def test_text_ids(spark):
+    frame = spark.createDataFrame([("x", "a b a"), ("y", None)], "doc_id string, text string")
+    found = hm.score(frame, fold("doc_id", 7) < 0, states=2, steps=1)
+    assert {row.doc_id: row.n_tokens for row in found.collect()} == {"x": 4, "y": 1}
+
+
 def test_base_score_against_plain_counts(spark, medium_texts):
     train = Counter()
     tokens = {i: [*folded(text), "\n"] for i, text in medium_texts.items()}
