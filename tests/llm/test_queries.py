@@ -1,9 +1,12 @@
 """Every registered query against its SQL, or that it covers the whole table."""
 
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
 from renewlens.llm import common, decontamination, lines, mixing, queries
+from renewlens.sources import storage
 from tests.conftest import MEDIUM, SMALL
 from tests.helpers import same_rows
 
@@ -45,3 +48,16 @@ def test_tables_beyond_the_broadcast_bound_are_shuffled(name, spark, duck_small,
     cursor = duck_small.execute(SQL[name])
     names = [column[0] for column in cursor.description]
     same_rows(found, df.columns, cursor.fetchall(), names)
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_a_run_leaves_no_scratch(name, spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+
+    def left():
+        return {path for path in root.rglob("*") if path.is_file()}
+
+    before = left()
+    with storage.scratch(spark) as folder:
+        assert queries.queries()[name](spark, SMALL).count() >= 0
+    assert not storage.exists(spark, folder) and left() == before
