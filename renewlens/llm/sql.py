@@ -144,10 +144,25 @@ item_spots AS (
     SELECT item_id, i - 1 AS place, array_to_string(words[i:i + 4], ' ') AS shingle,
            len(words) AS n_words
     FROM items, unnest(range(1, len(words) - 3)) AS t(i)),
-windows AS (
-    SELECT DISTINCT doc_id, n_words, n,
-           greatest(0, least(s.place - i.place, n - (n_words - 4))) AS start
+aligned AS (
+    SELECT DISTINCT doc_id, n_words, n, s.place - i.place AS begin
+    FROM spots s JOIN item_spots i USING (shingle)),
+-- Wherever a window holds as many shingles of an item as 80 % of similarity need, in any order.
+held AS (
+    SELECT DISTINCT doc_id, item_id, n_words, n, s.place
     FROM spots s JOIN item_spots i USING (shingle)),
+often AS (
+    SELECT doc_id, item_id, n_words, n FROM held GROUP BY ALL
+    HAVING count(*) >= (n_words - 4) * 8 / 9.0 - 1e-9),
+dense AS (
+    SELECT doc_id, item_id, n_words, n, begin
+    FROM held JOIN often USING (doc_id, item_id, n_words, n),
+         unnest(range(place - (n_words - 4) + 1, place + 1)) AS t(begin)
+    GROUP BY ALL HAVING count(*) >= (n_words - 4) * 8 / 9.0 - 1e-9),
+windows AS (
+    SELECT DISTINCT doc_id, n_words, n, greatest(0, least(begin, n - (n_words - 4))) AS start
+    FROM (SELECT doc_id, n_words, n, begin FROM aligned
+          UNION ALL SELECT doc_id, n_words, n, begin FROM dense)),
 window_shingles AS (
     SELECT w.doc_id, start, n_words, shingle, count(*) AS times
     FROM windows w JOIN spots s

@@ -2,9 +2,11 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from renewlens.llm import decontamination as dc
+from renewlens.llm.sql import DECONTAMINATION
 from tests.llm.helpers import documents
 
 ITEMS = "item_id bigint, text string, words string, item int"
@@ -151,3 +153,42 @@ def test_many_windows_in_few_documents_are_not_broadcast(spark, monkeypatch):
     found = dc.find_leaks(frame, benchmark(spark, [(1, item)])).collect()
     assert {row.doc_id for row in found} == {0, 1, 2}
     assert ["w_key", "windows"] not in asked
+
+
+def test_sql_with_swapped_parts(spark):
+    """The query's SQL lays the same windows, so whole rows agree."""
+    random.seed(33)
+    items = [(i, " ".join(f"w{random.randrange(900)}" for _ in range(30 + 10 * i))) for i in range(5)]
+    rows = []
+    for i in range(50):
+        words = items[i % 5][1].split()
+        cut = random.randint(6, len(words) - 6)
+        swapped = words[cut:] + words[:cut] if i % 2 else words
+        around = [f"w{random.randrange(900)}" for _ in range(i)]
+        rows.append((i, " ".join(around + swapped + around)))
+    frame, wanted = documents(spark, rows), benchmark(spark, items)
+    found = [tuple(row) for row in dc.find_leaks(frame, wanted).collect()]
+    connection = duckdb.connect()
+    connection.register("documents", frame.select("doc_id", "text").toPandas())
+    connection.register("benchmark", wanted.select("item_id", "text").toPandas())
+    assert len(found) >= 45
+    assert sorted(found) == sorted(connection.execute(DECONTAMINATION).fetchall())
+
+
+def test_recall_near_the_limit(spark):
+    """Of windows at a similarity just above 0.8, the radius finds nearly all; those above 0.9, all."""
+    random.seed(8)
+    items, rows, expected = [], [], {}
+    for i in range(300):
+        words = [f"w{random.randrange(100000)}" for _ in range(60)]
+        items.append((i, " ".join(words)))
+        changed = list(words)
+        for place in (0, 1) if i % 3 == 0 else (30,):
+            changed[place] = "changed"
+        rows.append((i, " ".join(changed)))
+        expected[i] = best(rows[-1][1], items[-1][1])
+    found = {row.doc_id for row in dc.find_leaks(documents(spark, rows), benchmark(spark, items)).collect()}
+    limit = {i for i, value in expected.items() if 0.8 <= value < 0.9}
+    assert len(limit) >= 150
+    assert len(found & limit) >= 0.99 * len(limit)
+    assert {i for i, value in expected.items() if value >= 0.9} <= found
