@@ -1,15 +1,17 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns find what is written in one standard way. The field is trained from a small labelled
-table (``LABELLED``, or one that a caller gives) and adds what context and shape show: national
-telephone numbers, spelled-out addresses, cards with odd separators. A word is known to the field
-only by its shape, so a text becomes a row of small numbers, and Viterbi decodes many texts side by
+table (:func:`labelled`, or one that a caller gives) and adds what context and shape show: national
+telephone numbers, spelled-out addresses, IPv6, cards with odd separators (the sum of their digits is
+checked). A word is known to the field by its shape, by a coarser one where that is new, or as one
+of the cues that stand before personal data in the table, so a text becomes a row of small numbers, and Viterbi decodes many texts side by
 side in numpy. A span of the field that touches a span of a pattern is dropped: the latter stays.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -49,6 +51,13 @@ phone {phone (617) 555-0110}
 the number {phone 555-0136} was busy
 call {phone 020 7946 0958} in London
 mobile {phone 07700 900123} , evenings only
+tel {phone 0221/5550-143} in the morning
+phone {phone 01 55 50 12 34} in paris
+call {phone 06-5550-1234} or {phone 310/555-0166} soon
+my cell is {phone 646.555.0123} now
+ring {phone 0161 496 0123} at noon
+whatsapp {phone 0049 151 55501234} works too
+dial {phone 00 44 20 7946 0321} from abroad
 phone {phone +44 20 7946 0000} now
 tel {phone +1 (202) 555-0143} in town
 call {phone +49 30 901820} before noon
@@ -60,15 +69,29 @@ mail {email mary [at] example [dot] org} instead
 email {email peter at example dot net} for help
 contact {email sales(at)example.com} today
 reach us by email {email help[at]example.org}
+mail {email paul_at_example_dot_org} if you can
+email {email ann-at-example-dot-com} for a list
+mail to {email kim <at> example <dot> net} today
+contact {email team(at)example(dot)com} or visit
+send it to {email lee AT example DOT org} now
 from host {ip 192.0.2.17} last night
 the server {ip 203.0.113.9} is down
 ip {ip 2001:db8:0:0:1:0:0:7} was seen
 address {ip fe80::1ff:fe23:4567:890a} answered
 host {ip 2001:db8::8a2e:370:7334} replied
+the server {ip 2001:0db8:0000:0000:0000:ff00:0042:8329} is down
+from {ip 192[.]0[.]2[.]44} last night
+requests came from {ip 198.51.100[.]7} again
+from {ip fe80::1} to {ip 2001:db8:a::2} at night
 pay with card {card 4111 1111 1111 1111} please
 card number {card 5500-0000-0000-0004} expired
 card {card 4012.8888.8888.1881} was used
 visa {card 4111.1111.1111.1111} on file
+card {card 4111/1111/1111/1111} was charged
+my card is {card 5555_5555_5555_4444} and works
+paid by {card 4242 / 4242 / 4242 / 4242} yesterday
+card: {card 4000 - 0566 - 5566 - 5556} ok
+he paid with {card 5105.1051.0510.5100} there
 the year 1984 was long and 2001 longer
 version 2.0 replaced version 1.4.2 in may
 licensed under version 3 or later
@@ -76,9 +99,9 @@ released on 2024-01-05 at 12:30 and again on 05.01.2024
 it costs 12.50 or 1,200.00 in all
 chapter 4 page 112 line 7
 there were 250 people and 12 dogs
-the order 2390409500648960 was lost
-number 4736962573099580 is no card
-invoice 0810992847249400 of march
+the order 7300518264410927 was lost
+number 1234567812345678 is no card
+invoice 0000111122223334 of march
 part 555-12 is out of stock
 room 101 and room 202 are free
 between 10 and 20 percent of 3000
@@ -107,6 +130,15 @@ see figure 12 (page 30) and table 4
 the sum of 1 2 3 4 5 6 7 8 is 36
 at 5 he left and at 6 he came
 call me later
+call 3 people and 12 friends
+the phone costs 299 or 349.00 in all
+at 12:30:45 and 2024-01-05T10:20:30 it ran
+the ratio 1:2:3 and the mac 00:1a:2b:3c:4d:5e are not it
+commit 9fceb02 and key a1b2c3d4e5f6 were lost
+look at the dot-com and the at-sign
+the table 12/34/56 and the date 01/02/2024
+the code 1234-5678 and the sum 1.234.567,89
+version 10.15.7.2 of 2023.11.02 is out
 to to to to to to
 at at at at at at at the end
 he went to to the door at at once
@@ -117,8 +149,42 @@ our server is new and the host is kind
 email is slow
 """
 
+# Words that announce each kind, ways to write it, and numbers that these words announce as well.
+_ANNOUNCED = {
+    "phone": (
+        "call|phone|tel|tel.|telephone|fax|mobile|cell|dial|ring|phone is|cell is|telephone is|fax at",
+        "(212) 555-0187|415-555-0199|312.555.0175|310/555-0166|6465550123|030 5550 1234|0345-5550142"
+        "|0171 555 20 28|07700 900123|0221/5550-143|1-800-555-0100|01 55 50 12 34|0711 5550 143",
+        "3 people|12 times|2 or 3 of them|at 10:30|299 each|in 2019",
+    ),
+    "card": (
+        "card|visa|mastercard|card number|card is|paid with|card:",
+        "4111.1111.1111.1111|5555/5555/5555/4444|4242_4242_4242_4242|4000 - 0566 - 5566 - 5556"
+        "|3714.496353.98431|4012 / 8888 / 8888 / 1881",
+        "of 300 grams|12 of 40|in 2020|no. 7",
+    ),
+}
+
+
+def labelled() -> str:
+    """The sentences of ``LABELLED``, and every announcing word with some of the ways of writing."""
+    lines = [LABELLED.strip()]
+    for kind, (cues, ways, others) in _ANNOUNCED.items():
+        ways, others = ways.split("|"), others.split("|")
+        for i, cue in enumerate(cues.split("|")):
+            for j in range(4):
+                lines.append(f"my {cue} {{{kind} {ways[(4 * i + j) % len(ways)]}}} is there")
+            lines.append(f"the {cue} {others[i % len(others)]} was there")
+    return "\n".join(lines)
+
+
 _LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _EDGES = b".,;:!?\"'"
+_BRACKETS = b"()[]{}<>*_-"
+_SPELLED = re.compile(
+    r"[A-Za-z0-9.+%-]+?[\W_]+at[\W_]+[A-Za-z0-9-]+(?:(?:\.|[\W_]+dot[\W_]+)[A-Za-z0-9-]+)+", re.IGNORECASE
+)
+_HEXADECIMAL = re.compile("[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*")
 _CACHED_WORDS = 100_000
 _CACHED_BYTES = 48
 _SLICE_BYTES = 2 << 20
@@ -180,11 +246,32 @@ def shape(word: bytes) -> str:
     core = word.strip(_EDGES)
     if not core.translate(None, _LETTERS):
         return "a" if core else "."
-    text = core[:64].decode("ascii", "replace")
-    text = re.sub("[A-Za-z�]+", "a", text)
+    text = re.sub("[A-Za-z\ufffd]+", "a", core.decode("ascii", "replace"))
     return re.sub("[0-9]+", lambda run: "9" * min(len(run[0]), 5), text)
 
 
+def coarse_shape(word: bytes) -> str | None:
+    """What a word is like if its shape is not known; None if nothing can be said.
+
+    An address with its signs spelled out, a hexadecimal address, or the number of digits and of
+    groups of digits, with the brackets at the ends.
+    """
+    text = word.strip(_EDGES).decode("ascii", "replace")
+    if _SPELLED.fullmatch(text):
+        return "~at"
+    if _HEXADECIMAL.fullmatch(text) and (text.count(":") > 5 or "::" in text):
+        return "~h:h"
+    if "[.]" in text and not text.strip("0123456789.[]"):
+        return "~9[.]9"
+    if re.search("[A-Za-z\ufffd]", text):
+        return None
+    groups = re.findall("[0-9]+", text)
+    if not groups:
+        return None
+    ends = ("(" if text[0] == "(" else "") + (")" if text[-1] == ")" else "")
+    return f"~{min(sum(map(len, groups)), 20)}/{min(len(groups), 6)}{ends}"
+
+
 @dataclass(frozen=True)
 class Field:
     """Weights by the kind of a word, of the one before and of the one after; and of steps."""
@@ -196,22 +283,32 @@ class Field:
     step: np.ndarray  # (labels, labels)
     start: np.ndarray
 
-    def kind(self, word: bytes) -> int:
-        """Number of the cue or shape; 0 for plain letters, 1 for an unknown shape with a digit."""
+    def kind(self, word: bytes, *, coarse: bool = False) -> int:
+        """Number of the cue, the shape or the coarse shape (only that if ``coarse``); else 0 for
+        plain letters, 1 for other words with a digit, 2 for the rest."""
         core = word.strip(_EDGES)
-        plain = not core.translate(None, _LETTERS)
-        if len(core) <= 16:
-            cue = self.kinds.get("=" + core.lower().decode("utf-8", "replace"))
-            if cue is not None:
-                return cue
-        if plain:
+        cue = self.kinds.get(_cue(core))
+        if cue is not None:
+            return cue
+        if not core.translate(None, _LETTERS):
             return 0
-        found = self.kinds.get(shape(word))
+        found = None if coarse else self.kinds.get(shape(word))
+        if found is None:
+            found = self.kinds.get(coarse_shape(word) or "")
         if found is not None:
             return found
         return 1 if any(0x30 <= byte <= 0x39 for byte in core) else 2
 
 
+def _cue(core: bytes) -> str:
+    """A cue's name; spelled signs of an address are one, whatever brackets they are in."""
+    word = core.lower()
+    bare = word.strip(_BRACKETS)
+    if bare in (b"at", b"dot") and bare != word:
+        word = b"(%s)" % bare
+    return "=" + word.decode("utf-8", "replace")
+
+
 def parse(table: str) -> list[tuple[list[bytes], list[int]]]:
     """Words and labels of sentences with marked spans."""
     parsed = []
@@ -238,34 +335,41 @@ def _allowed() -> np.ndarray:
     return allowed
 
 
-def train(table: str = LABELLED, *, rounds: int = 400, shrink: float = 0.02) -> Field:
-    """Maximum likelihood with shrinkage by Adam; the same table gives the same field."""
-    sentences = parse(table)
+def train(table: str | None = None, *, rounds: int = 400, shrink: float = 0.02) -> Field:
+    """Maximum likelihood with shrinkage by Adam; the same table gives the same field.
+
+    Without a table it learns from :func:`labelled`.
+    """
+    sentences = parse(labelled() if table is None else table)
     seen: dict[str, list[int]] = {}
     near: set[str] = set()
     for words, labels in sentences:
-        lowered = [word.strip(_EDGES).lower().decode() for word in words]
+        lowered = [_cue(word.strip(_EDGES)) for word in words]
         for place, label in enumerate(labels):
-            seen.setdefault(shape(words[place]), []).append(label)
+            for one in (shape(words[place]), coarse_shape(words[place])):
+                if one is not None:
+                    seen.setdefault(one, []).append(label)
             if label and place and not labels[place - 1]:
                 near.add(lowered[place - 1])
-            if label and lowered[place] in ("at", "dot", "(at)", "(dot)", "[at]", "[dot]"):
+            if label and lowered[place] in ("=at", "=dot", "=(at)", "=(dot)"):
                 near.add(lowered[place])
     # What was met once, outside, teaches the field about shapes that it does not know.
     shapes = sorted(one for one, labels in seen.items() if one != "a" and labels != [0])
-    names = ["a", "9?", "x?", *shapes, *sorted("=" + cue for cue in near)]
+    names = ["a", "9?", "x?", *shapes, *sorted(near)]
     field = Field(
         {name: number for number, name in enumerate(names)},
         *[np.zeros((len(names), LABELS)) for _ in range(3)],
         np.zeros((LABELS, LABELS)),
         np.zeros(LABELS),
     )
+    # Every sentence is learnt from twice, the second time with the coarse shapes alone.
+    views = [(*one, coarse) for coarse in (False, True) for one in sentences]
     longest = max(len(words) for words, _ in sentences)
-    kinds = np.zeros((len(sentences), longest), dtype=np.int64)
+    kinds = np.zeros((len(views), longest), dtype=np.int64)
     gold = np.zeros_like(kinds)
     mask = np.zeros(kinds.shape, dtype=bool)
-    for row, (words, labels) in enumerate(sentences):
-        kinds[row, : len(words)] = [field.kind(word) for word in words]
+    for row, (words, labels, coarse) in enumerate(views):
+        kinds[row, : len(words)] = [field.kind(word, coarse=coarse) for word in words]
         gold[row, : len(words)] = labels
         mask[row, : len(words)] = True
     weights = [field.here, field.before, field.after, field.step, field.start]
@@ -363,13 +467,19 @@ def viterbi(field: Field, kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def possible(kind: str, text: str) -> bool:
     """Whether the text of a span has what its kind cannot do without."""
-    digits = len(_DIGIT.findall(text))
+    digits = "".join(_DIGIT.findall(text))
     if kind == "email":
-        at = "@" in text or re.search(r"\bat\b", text, re.IGNORECASE)
-        return bool(at and re.search(r"\bdot\b|[^.]\.[^.]", text, re.IGNORECASE))
+        at = re.search(r"@|(?<![^\W_])at(?![^\W_])", text, re.IGNORECASE)
+        return bool(at and re.search(r"(?<![^\W_])dot(?![^\W_])|[^.]\.[^.]", text, re.IGNORECASE))
     if kind == "ip":
-        return len(re.findall("[.:]", text)) >= 2
-    return 13 <= digits <= 19 if kind == "card" else 7 <= digits <= 15
+        try:
+            ipaddress.ip_address(text.replace("[.]", ".").strip("[]()").partition("/")[0])
+        except ValueError:
+            return False
+        return True
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and _luhn(digits)
+    return 7 <= len(digits) <= 15
 
 
 def field_spans(
