@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from math import log10
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,11 @@ from renewlens.llm.common import SPACES, store, text_of, words_of
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SAMPLE_ROWS = 2_000
+# How often the sample's rows are repeated to time a rule, runs of each, and the limits of noise.
+REPEATS = (1, 16, 128)
+RUNS = 3
+LEAST_SECONDS = 0.1
+LEAST_COST = 1e-6
 
 
 @dataclass(frozen=True)
@@ -122,28 +129,40 @@ def with_counts(
 
 
 def measure(sample: DataFrame, candidates: list[Rule]) -> list[Measured]:
-    """Cost and selectivity of each rule on a stored sample that has the counts."""
+    """Cost and selectivity of each rule on a stored sample that has the counts.
 
-    def run(*columns: Column) -> tuple[float, tuple]:
+    The rows are repeated until a rule takes ``LEAST_SECONDS`` longer than counting them, or as often
+    as ``REPEATS`` allows; the median of several runs counts. Costs are compared by their power of
+    ten, and those below ``LEAST_COST`` are equal, so that the order does not follow the clock's noise.
+    """
+
+    def run(repeats: int, column: Column) -> tuple[float, int]:
+        rows = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
         took = []
-        for _ in range(2):
+        for _ in range(RUNS):
             begin = time.perf_counter()
-            found = sample.agg(*columns).first()
+            (found,) = rows.agg(column).first()
             took.append(time.perf_counter() - begin)
-        return min(took), found
+        return median(took), found
 
-    idle, (size,) = run(F.count(F.lit(1)))
+    idle = {repeats: run(repeats, F.count(F.lit(1))) for repeats in REPEATS}
+    size = idle[REPEATS[0]][1] // REPEATS[0]
     measured = []
     for rule in candidates:
-        seconds, (hits,) = run(F.count(F.when(rule.rejects, 1)))
-        cost = max(seconds - idle, 1e-4) / max(size, 1)
-        measured.append(Measured(rule, cost, (hits + 0.5) / (size + 1)))
+        for repeats in REPEATS:
+            seconds, hits = run(repeats, F.count(F.when(rule.rejects, 1)))
+            seconds -= idle[repeats][0]
+            if seconds >= LEAST_SECONDS:
+                break
+        cost = max(seconds / max(size * repeats, 1), LEAST_COST)
+        selectivity = (hits / repeats + 0.5) / (size + 1)
+        measured.append(Measured(rule, 10.0 ** round(log10(cost)), selectivity))
     return measured
 
 
 def in_order(measured: list[Measured]) -> list[Rule]:
-    """Most rejection per cost first; a tie goes by name."""
-    ranked = sorted(measured, key=lambda m: (-m.selectivity / m.cost, m.rule.name))
+    """Most rejection per cost first; a tie goes by cost, then by name."""
+    ranked = sorted(measured, key=lambda m: (-m.selectivity / m.cost, m.cost, m.rule.name))
     return [m.rule for m in ranked]
 
 

@@ -1,6 +1,6 @@
 import random
 
-from renewlens.llm import quality
+from renewlens.llm import common, quality
 from tests.llm.helpers import documents, words
 
 
@@ -79,3 +79,11 @@ def test_labels_agree(spark, duck_medium):
     bad = [kept[i] for i, label in labels if not label]
     assert sum(good) / len(good) > 0.95
     assert sum(bad) / len(bad) < 0.1
+
+
+def test_order_does_not_follow_the_clock(spark, medium_texts):
+    sample = common.store(quality.with_counts(documents(spark, list(medium_texts.items()))), "order")
+    orders = [
+        [rule.name for rule in quality.in_order(quality.measure(sample, quality.rules()))] for _ in range(3)
+    ]
+    assert orders[0] == orders[1] == orders[2]
