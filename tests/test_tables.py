@@ -186,6 +186,37 @@ def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, setting, monkeyp
     assert storage.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def _on_a_cluster(setting, monkeypatch, root):
+    """Another setting names the folder, as a running session keeps its own."""
+    monkeypatch.setattr(storage, "SHARED", "spark.renewlens.testFolder")
+    monkeypatch.setattr(storage, "_master", lambda session: "spark://host:7077")
+    setting(spark__renewlens__testFolder=root)
+
+
+@pytest.mark.parametrize(
+    "name", ["s01_users_through_csv", "s04_churn_mart_through_csv", "t01_saved_table_counts"]
+)
+def test_a_mount_named_with_its_scheme_serves_a_cluster(spark, setting, monkeypatch, name):
+    _on_a_cluster(setting, monkeypatch, f"file://{spark.conf.get('spark.checkpoint.dir')}")
+    with storage.scratch(spark):
+        assert entry.queries()[name](spark, SMALL).collect()
+
+
+def test_a_mount_that_tasks_do_not_reach_is_refused(spark, setting, monkeypatch):
+    """As where every machine has a folder of that name for itself: the driver finds no files."""
+    root = f"file://{spark.conf.get('spark.checkpoint.dir')}"
+    _on_a_cluster(setting, monkeypatch, root)
+    monkeypatch.setattr(storage, "_REACHED", {(spark.sparkContext.applicationId, root): False})
+    with pytest.raises(ValueError, match="a folder of one machine"):
+        storage.shared_folder(spark, "x")
+
+
+def test_the_folder_of_the_context_serves_where_no_setting_does(spark, setting, tmp_path, monkeypatch):
+    _on_a_cluster(setting, monkeypatch, "")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: f"file:{tmp_path}/c")
+    assert storage.shared_root(spark) == f"file:{tmp_path}/c"
+
+
 def test_without_a_setting_only_one_machine_alone_uses_its_warehouse(tmp_path):
     """In a session of its own, which sets no shared folder."""
     work = f"""
