@@ -30,16 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import SPACES, small, store, text_of, tidy
+from renewlens.llm.common import SPACES, few_at_a_time, small, store, text_of, tidy
 from renewlens.sources.storage import export_parquet, shared_folder
 
 BLOCK_IDS = 1 << 18
-_CACHED_WORDS = 300_000
-_FORGET_AFTER = 32
+# Every worker of an executor holds these at once, so they are small.
+_CACHED_WORDS = 100_000
+_FORGET_AFTER = 96
 _JOINED = 256  # pieces in a text
-_AT_ONCE = 32  # such texts in a call
+_AT_ONCE = 8  # such texts in a call
 _CACHED_BYTES = 48
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 19
 # ASCII punctuation but the apostrophe, a run of which is one piece,
 # and letters whose lower case depends on the library or on neighbours.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -151,7 +152,8 @@ class _Encoder:
     the next begins. All other words are encoded one by one.
     """
 
-    def __init__(self, path: str, dtype: str) -> None:
+    def __init__(self, path: str, dtype: str, words: bool | None = None) -> None:
+        """``words``: what ``_by_words`` says of the file, if that is known."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -160,7 +162,7 @@ class _Encoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._merges = None
-        self._words = _by_words(path)
+        self._words = _by_words(path) if words is None else words
         if self._words:
             suffix = self._tokenizer.model.end_of_word_suffix
             # The same model, which both share, for pieces that are split already.
@@ -292,11 +294,14 @@ _ENCODERS: dict[str, _Encoder] = {}
 
 
 def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
+    # Asked once, on the driver: the file as Python objects is larger than a task's texts.
+    words = _by_words(path)
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[path] = _Encoder(path, dtype)
+            _ENCODERS[path] = _Encoder(path, dtype, words)
         encode = _ENCODERS[path]
         for batch in batches:
             rows = max(1, batch.num_rows * _SLICE_BYTES // max(batch.nbytes, 1))
@@ -420,7 +425,8 @@ def write_files(
         "token-ids",
         compression="zstd",
     )
-    ids_by_rank = rank_ids(tokens, dtype)
+    with few_at_a_time(documents.sparkSession):
+        ids_by_rank = rank_ids(tokens, dtype)
     # An id may hold a third of all rows, and those may be copies: digest and row part them.
     order = ["doc_id", "digest", "row"]
     ordered = (
@@ -430,7 +436,9 @@ def write_files(
         .select("doc_id", "ids")
     )
     schema = _BLOCKS.format(kind=kind)
-    export_parquet(ordered.mapInArrow(_write_blocks(ids_by_rank, dtype), schema), f"{path}/blocks")
+    with few_at_a_time(documents.sparkSession):
+        blocks = ordered.mapInArrow(_write_blocks(ids_by_rank, dtype), schema)
+        export_parquet(blocks, f"{path}/blocks")
     ranks = documents.sparkSession.createDataFrame(
         [(rank, int(one)) for rank, one in enumerate(ids_by_rank)], "rank int, id bigint"
     )

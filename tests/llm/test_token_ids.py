@@ -167,3 +167,40 @@ def test_rows_of_one_id_are_spread(spark, setting):
         start += row.n_tokens
     placed = [row.doc_id for row in sorted(found, key=lambda row: row.start) if row.doc_id is not None]
     assert placed == sorted(placed)
+
+
+def test_workers_take_few_rows_at_a_time_and_do_not_open_the_file_twice(spark, monkeypatch):
+    """All workers of an executor share its memory: none gets 10,000 documents' ids in one batch."""
+    key, asked, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", [], []
+    before, known = spark.conf.get(key), token_ids._by_words
+    rank_ids, export = token_ids.rank_ids, token_ids.export_parquet
+    monkeypatch.setattr(token_ids, "_by_words", lambda path: asked.append(path) or known(path))
+    monkeypatch.setattr(
+        token_ids, "rank_ids", lambda *args: seen.append(int(spark.conf.get(key))) or rank_ids(*args)
+    )
+
+    def exported(df, path):
+        if path.endswith("/blocks"):
+            seen.append(int(spark.conf.get(key)))
+        export(df, path)
+
+    monkeypatch.setattr(token_ids, "export_parquet", exported)
+    documents = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id bigint, text string")
+    found = token_ids.round_trip(documents, tokenizer=TOKENIZER).collect()
+    assert [row["doc_id"] for row in found] == [1, 2] and len(asked) == 1
+    assert len(seen) == 2 and max(seen) <= 1_000
+    assert spark.conf.get(key) == before
+
+
+def test_a_small_memory_of_words_gives_the_ids_of_the_library(monkeypatch):
+    """More words than are remembered, in texts that are longer than a slice."""
+    monkeypatch.setattr(token_ids, "_CACHED_WORDS", 50)
+    monkeypatch.setattr(token_ids, "_FORGET_AFTER", 2)
+    encoder = token_ids._Encoder(TOKENIZER, "<u2", True)
+    whole = Tokenizer.from_file(TOKENIZER)
+    for start in range(0, 600, 60):
+        texts = [" ".join(f"word{i} Été{i}." for i in range(start, start + 60)), "", "a b"]
+        counts, ids = encoder(pa.array(texts))
+        wanted = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+        assert counts.tolist() == [len(one) for one in wanted]
+        assert ids.tolist() == [i for one in wanted for i in one]
