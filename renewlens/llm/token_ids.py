@@ -17,9 +17,11 @@ A second folder beside it lists the id of every rank.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,12 +42,11 @@ _FORGET_AFTER = 96
 _JOINED = 256  # pieces in a text
 _AT_ONCE = 8  # such texts in a call
 _CACHED_BYTES = 48
-_SLICE_BYTES = 1 << 19
-# ASCII punctuation but the apostrophe, a run of which is one piece,
-# and letters whose lower case depends on the library or on neighbours.
+_SLICE_BYTES = 1 << 20
+# Fixed value: ASCII punctuation but the apostrophe, a run of which is one piece.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_ENDINGS = frozenset(bytes([byte]) for byte in _PUNCTUATION.encode())
-_CONTEXT_LOWER = frozenset("\u03a3\u0130")
+# Fixed value: letters whose lower case depends on the library or on neighbours.
+_CONTEXT_LOWER = ("\u03a3", "\u0130")
 # What a tokenizer file says of how texts become words, where words can be encoded
 # one by one and taken apart without the library.
 _WORD_NORMALIZER = {
@@ -89,15 +90,23 @@ _LENGTHS = (
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit ranks."""
     ranks = ranks.astype("<u4")
-    codes = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(
-        np.uint8
-    )
+    highest = int(ranks.max(initial=0))
+    codes = (ranks > 0xFF).astype(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        if highest > limit:
+            codes += ranks > limit
     padded = np.zeros(-(-len(codes) // 4) * 4, dtype=np.uint8)
     padded[: len(codes)] = codes
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    raw = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) <= codes[:, None]].tobytes()
+    if highest > 0xFFFF:
+        raw = ranks.view(np.uint8)
+    else:
+        raw = ranks.astype("<u2").view(np.uint8)
+    used = np.ones((len(ranks), 4 if highest > 0xFFFF else 2), dtype=bool)
+    for extra in range(1, used.shape[1]):
+        np.greater_equal(codes, extra, out=used[:, extra])
+    return control.tobytes(), raw[used.reshape(-1)].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -106,7 +115,7 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     starts = ends - lengths
     raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8)
     ranks = raw[starts].astype(np.uint32)
-    for extra in (1, 2, 3):
+    for extra in range(1, int(lengths.max(initial=0))):
         longer = np.flatnonzero(lengths > extra)
         ranks[longer] |= raw[starts[longer] + extra].astype(np.uint32) << np.uint32(8 * extra)
     return ranks
@@ -121,6 +130,31 @@ def _byte_alphabet() -> dict[int, str]:
     }
 
 
+# Every byte's character, but a space stays one.
+_SPACED_ALPHABET = "".join(_byte_alphabet()[byte] for byte in range(256)).replace(
+    _byte_alphabet()[ord(" ")], " "
+)
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string ends, and the bytes of all in a row."""
+    _, offsets, raw = strings.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int32)[strings.offset :][: len(strings) + 1]
+    begin, upto = int(offsets[0]), int(offsets[-1])
+    return offsets[1:].astype(np.int64) - begin, np.frombuffer(raw, dtype=np.uint8)[begin:upto]
+
+
+def _in_a_row(
+    which: np.ndarray, bounds: np.ndarray, ids: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids of the words ``which``, and those ids; word i has ids[bounds[i]:bounds[i + 1]]."""
+    begins = bounds[which]
+    sizes = bounds[which + 1] - begins
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return sizes, ids[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]
+
+
 def _by_words(path: str) -> bool:
     """Whether a tokenizer file says exactly what ``_Encoder`` does with words by itself."""
     with open(path, encoding="utf-8") as file:
@@ -171,7 +205,6 @@ class _Encoder:
             vocabulary = self._tokenizer.get_vocab()
             self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self._ends[[one for word, one in vocabulary.items() if word.endswith(suffix)]] = True
-        self._alphabet = _byte_alphabet()
         # Frequent words come early; when full it stays as it is until many words were unknown.
         self._forget()
 
@@ -181,73 +214,87 @@ class _Encoder:
         self._ids = np.zeros(0, dtype=self._dtype)
         self._unknown = 0
 
-    def _pieces(self, word: str) -> list[str] | None:
-        """The pieces of a word of letters and punctuation, None for any other word."""
-        letters = word.rstrip(_PUNCTUATION)
-        if not letters.isalpha():
-            return None if letters else [word]
-        ending = word[len(letters) :]
-        if letters.isascii():
-            letters = letters.lower()
-        elif unicodedata.is_normalized("NFC", letters) and not _CONTEXT_LOWER & set(letters):
-            letters = letters.lower().encode().decode("latin-1").translate(self._alphabet)
-        else:
+    def _easy(self, words: pa.Array, letters: pa.Array) -> np.ndarray:
+        """Which words are ``letters`` and then punctuation, either of which may be missing."""
+        easy = np.asarray(
+            pc.or_(
+                pc.ascii_is_alpha(letters),
+                pc.and_(pc.equal(letters, ""), pc.not_equal(words, "")),
+            )
+        ).copy()
+        others = pc.invert(pc.string_is_ascii(letters))
+        easy[np.asarray(others)] = [
+            word.isalpha()
+            and unicodedata.is_normalized("NFC", word)
+            and _CONTEXT_LOWER[0] not in word
+            and _CONTEXT_LOWER[1] not in word
+            for word in letters.filter(others).to_pylist()
+        ]
+        return easy
+
+    def _merge(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Numbers of ids of pieces, each of which ends with a space, and the ids of all in a row."""
+        ends, text = _bytes_of(pieces)
+        begins = np.append(0, ends[:-1])[::_JOINED].tolist()
+        uptos = [*begins[1:], int(ends[-1])]
+        raw = text.tobytes()
+        joined = [
+            codecs.charmap_decode(raw[begin:upto], "strict", _SPACED_ALPHABET)[0]
+            for begin, upto in zip(begins, uptos, strict=True)
+        ]
+        found = []
+        for i in range(0, len(joined), _AT_ONCE):
+            encoded = self._merges.encode_batch_fast(
+                joined[i : i + _AT_ONCE], add_special_tokens=False
+            )
+            found += [np.array(one.ids, dtype=self._dtype) for one in encoded]
+        ids = np.concatenate(found)
+        last = np.flatnonzero(self._ends[ids]) + 1
+        return (np.diff(last, prepend=0), ids) if len(last) == len(pieces) else None
+
+    def _tokenize_easy(self, words: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        ends, raw = _bytes_of(words)
+        sizes = np.asarray(pc.binary_length(words), dtype=np.int64)
+        letter_sizes = np.asarray(pc.binary_length(letters), dtype=np.int64)
+        both = (letter_sizes > 0) & (letter_sizes < sizes)
+        cuts = np.sort(np.concatenate([ends, (ends - sizes + letter_sizes)[both]]))
+        text = np.insert(raw, cuts, ord(" ")).tobytes().decode().lower().encode()
+        # Words in lower case may have other lengths.
+        after = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == ord(" ")) + 1
+        offsets = np.append(0, after).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(
+            len(after), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text)
+        ).dictionary_encode()
+        merged = self._merge(pieces.dictionary)
+        if merged is None:
             return None
-        return [letters, ending] if ending else [letters]
+        counts, ids = merged
+        counts, ids = _in_a_row(np.asarray(pieces.indices), np.append(0, np.cumsum(counts)), ids)
+        return np.add.reduceat(counts, np.cumsum(1 + both) - 1 - both), ids
 
-    def _tokenize(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _tokenize(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the words, and the ids of all in a row."""
-        pieces: list[bytes] = []
-        easy: list[int] = []
-        upto: list[int] = []
-        rest: list[int] = []
-        for number, word in enumerate(words):
-            if word.isalpha():  # ASCII letters
-                pieces.append(word.lower())
-            elif word[:-1].isalpha() and word[-1:] in _ENDINGS:
-                pieces += [word[:-1].lower(), word[-1:]]
-            else:
-                split = self._pieces(word.decode())
-                if split is None:
-                    rest.append(number)
-                    continue
-                pieces += [piece.encode() for piece in split]
-            easy.append(number)
-            upto.append(len(pieces))
+        letters = pc.ascii_rtrim(words, characters=_PUNCTUATION)
+        easy = self._easy(words, letters)
         counts = np.zeros(len(words), dtype=np.int64)
         ids = np.zeros(0, dtype=self._dtype)
-        if easy and self._merges:
-            joined = [
-                b" ".join(pieces[i : i + _JOINED]).decode()
-                for i in range(0, len(pieces), _JOINED)
-            ]
-            found = []
-            for i in range(0, len(joined), _AT_ONCE):
-                encoded = self._merges.encode_batch_fast(
-                    joined[i : i + _AT_ONCE], add_special_tokens=False
-                )
-                found += [np.array(one.ids, dtype=self._dtype) for one in encoded]
-            ids = np.concatenate(found)
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) == len(pieces):
-                counts[easy] = np.diff(ends[np.array(upto) - 1], prepend=0)
+        if easy.any():
+            chosen = pa.array(easy)
+            found = self._tokenize_easy(words.filter(chosen), letters.filter(chosen))
+            if found is None:
+                easy[:] = False
             else:
-                easy = []
-        if len(easy) + len(rest) < len(words) or not self._merges:
-            easy, rest, ids = [], list(range(len(words))), ids[:0]
-        if rest:
+                counts[easy], ids = found
+        if not easy.all():
             encoded = self._tokenizer.encode_batch_fast(
-                [words[i].decode() for i in rest], add_special_tokens=False
+                words.filter(pa.array(~easy)).to_pylist(), add_special_tokens=False
             )
-            counts[rest] = [len(one.ids) for one in encoded]
-            others = np.array([i for one in encoded for i in one.ids], dtype=self._dtype)
+            counts[~easy] = [len(one.ids) for one in encoded]
             # Back into the order of the words.
-            place = np.zeros(len(words), dtype=bool)
-            place[rest] = True
             whole = np.empty(int(counts.sum()), dtype=self._dtype)
-            from_rest = np.repeat(place, counts)
-            whole[from_rest] = others
-            whole[~from_rest] = ids
+            from_easy = np.repeat(easy, counts)
+            whole[~from_easy] = [i for one in encoded for i in one.ids]
+            whole[from_easy] = ids
             ids = whole
         return counts, ids
 
@@ -265,44 +312,51 @@ class _Encoder:
         words = numbered.dictionary
         known = pc.index_in(words, value_set=self._known)
         new = words.filter(known.is_null())
-        counts, ids = self._tokenize(new.cast(pa.binary()).to_pylist())
+        counts, ids = self._tokenize(new)
         all_ids = np.concatenate([self._ids, ids])
         bounds = np.concatenate([self._bounds, self._bounds[-1] + np.cumsum(counts)])
         row = np.asarray(known.fill_null(-1)).copy()
         row[row < 0] = len(self._known) + np.arange(len(new))
         if len(self._known) < _CACHED_WORDS:
+            # A word found twice in a slice is likely to come again.
+            found = np.bincount(np.asarray(numbered.indices), minlength=len(words))
             short = np.asarray(pc.less_equal(pc.binary_length(new), _CACHED_BYTES))
+            short = short & (found[np.asarray(known.is_null())] > 1)
             self._known = pa.concat_arrays([self._known, new.filter(pa.array(short))])
             self._ids = np.concatenate([self._ids, ids[np.repeat(short, counts)]])
             self._bounds = np.append(0, np.cumsum(np.append(np.diff(self._bounds), counts[short])))
         else:
             self._unknown += len(new)
 
-        row = row[np.asarray(numbered.indices)]
-        begins = bounds[row]
-        sizes = bounds[row + 1] - begins
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = all_ids[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]
+        sizes, flat = _in_a_row(row[np.asarray(numbered.indices)], bounds, all_ids)
         offsets = np.asarray(split.offsets, dtype=np.int64)
-        upto = np.append(0, ends)[offsets - offsets[0]]
+        upto = np.append(0, np.cumsum(sizes))[offsets - offsets[0]]
         return np.diff(upto), flat
 
 
-# The encoder of the last tokenizer file; a Python worker keeps it from task to task.
+# The encoder of the last job; a Python worker keeps it from task to task. Only functions of the
+# module itself reach this: what is nested gets a copy of its own with every task.
 _ENCODERS: dict[str, _Encoder] = {}
 
 
+def _encoder(job: str, path: str, dtype: str, words: bool) -> _Encoder:
+    if job not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[job] = _Encoder(path, dtype, words)
+    return _ENCODERS[job]
+
+
+def _drop_encoders() -> None:
+    _ENCODERS.clear()
+
+
 def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
     # Asked once, on the driver: the file as Python objects is larger than a task's texts.
-    words = _by_words(path)
+    words, job = _by_words(path), uuid.uuid4().hex
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[path] = _Encoder(path, dtype, words)
-        encode = _ENCODERS[path]
+        encode = _encoder(job, path, dtype, words)
         for batch in batches:
             rows = max(1, batch.num_rows * _SLICE_BYTES // max(batch.nbytes, 1))
             for begin in range(0, batch.num_rows, rows):
@@ -327,6 +381,7 @@ def _encode_documents(path: str, end_id: int, dtype: str) -> Callable:
 def _count_ids(dtype: str) -> Callable:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_encoders()
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype)

@@ -1,5 +1,6 @@
 import json
 import random
+import sys
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -204,3 +205,58 @@ def test_a_small_memory_of_words_gives_the_ids_of_the_library(monkeypatch):
         wanted = [whole.encode(text, add_special_tokens=False).ids for text in texts]
         assert counts.tolist() == [len(one) for one in wanted]
         assert ids.tolist() == [i for one in wanted for i in one]
+
+
+class _Recorder:
+    """Merges that note the pieces of the texts they get."""
+
+    def __init__(self, merges):
+        self.merges, self.pieces = merges, []
+
+    def encode_batch_fast(self, texts, **said):
+        for text in texts:
+            self.pieces += text.split()
+        return self.merges.encode_batch_fast(texts, **said)
+
+
+def test_a_piece_of_many_words_is_merged_once():
+    encoder = token_ids._Encoder(TOKENIZER, "<u2", True)
+    encoder._merges = _Recorder(encoder._merges)
+    texts = ["Spark, spark. SPARK!!", "spark?! Été, (été)", "été ÉTÉ. ... ,", " Straẞe Ⱥb. ⱥb"]
+    whole = Tokenizer.from_file(TOKENIZER)
+    wanted = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    counts, ids = encoder(pa.array(texts))
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == wanted
+    most = Counter(encoder._merges.pieces).most_common(1)
+    assert most[0][1] == 1 and "spark" in encoder._merges.pieces
+
+
+def test_python_does_not_take_words_of_ascii_one_by_one():
+    encoder = token_ids._Encoder(TOKENIZER, "<u2", True)
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(letters[int(digit)] for digit in f"{i:05d}") for i in range(20_000)]
+    texts = pa.array([" ".join(f"{word}{'.' * (i % 3)}" for i, word in enumerate(words))])
+    calls = Counter()
+    sys.setprofile(lambda frame, event, what: calls.update([event]))
+    try:
+        counts, ids = encoder(texts)
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == encode(texts[0].as_py())[:-1] and counts.tolist() == [len(ids)]
+    assert calls["call"] + calls["c_call"] < len(words) / 4
+
+
+def test_letters_of_all_scripts_give_the_ids_of_the_library():
+    letters = [chr(i) for i in range(0x110000) if chr(i).isalpha()]
+    texts = [
+        " ".join(f"{letter} a{letter}B {letter}{letter}.," for letter in letters[i : i + 50])
+        for i in range(0, len(letters), 50)
+    ]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    encoder = token_ids._Encoder(TOKENIZER, "<u2", True)
+    for begin in range(0, len(texts), 100):
+        part = texts[begin : begin + 100]
+        expected = [one.ids for one in tokenizer.encode_batch(part, add_special_tokens=False)]
+        counts, ids = encoder(pa.array(part))
+        found = [one.tolist() for one in np.split(ids, np.cumsum(counts)[:-1])]
+        assert found == expected, [a for a, b, c in zip(part, found, expected) if b != c][:1]
