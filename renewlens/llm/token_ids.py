@@ -152,7 +152,11 @@ def _in_a_row(
     sizes = bounds[which + 1] - begins
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return sizes, ids[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)]
+    # Narrow numbers where they do: these are the longest arrays.
+    place = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    at = np.repeat((begins - (ends - sizes)).astype(place), sizes)
+    at += np.arange(total, dtype=place)
+    return sizes, ids[at]
 
 
 def _by_words(path: str) -> bool:
