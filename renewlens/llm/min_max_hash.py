@@ -269,7 +269,9 @@ def _across(
         .filter("parts > 1")
         .select("o_group", "main")
     )
-    open_groups = placed.join(largest, F.col("group") == F.col("o_group")).drop("o_group")
+    open_groups = store(
+        placed.join(largest, F.col("group") == F.col("o_group")).drop("o_group"), "minmax-open"
+    )
     rows_a_block = F.greatest(
         F.lit(16), F.least(F.lit(512), (F.lit(2e6) / F.pow(F.lit(100 / percent), F.col("level"))))
     )
@@ -340,20 +342,21 @@ def components(links: DataFrame) -> DataFrame:
             edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
         )
         least = both.groupBy(F.col("x").alias("z")).agg(F.least(F.min("y"), F.col("z")).alias("m"))
-        large = (
+        # Stored, as a plan that repeats it grows in the driver with every use.
+        large = store(
             both.join(least, F.col("x") == F.col("z"))
             .filter(F.col("y") > F.col("x"))
             .select(F.col("y").alias("v"), F.col("m").alias("u"))
-            .distinct()
+            .distinct(),
+            "minmax-large",
         )
         floor = large.groupBy(F.col("v").alias("z")).agg(F.min("u").alias("m"))
         moved = large.join(floor, F.col("v") == F.col("z"))
-        small = (
-            moved.select("v", F.col("m").alias("u"))
-            .unionByName(moved.filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")))
-            .distinct()
+        # An edge (v, u) becomes (v, m), and (u, m) where that is another vertex.
+        ends = F.when(F.col("u") != F.col("m"), F.array("v", "u")).otherwise(F.array("v"))
+        after = store(
+            moved.select(F.explode(ends).alias("v"), F.col("m").alias("u")).distinct(), "minmax-edges"
         )
-        after = store(small, "minmax-edges")
         before, seen = seen, _fingerprint(after)
         if seen == before:
             roots = after.select(F.col("u").alias("id")).distinct().withColumn("component", F.col("id"))

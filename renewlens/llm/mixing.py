@@ -83,21 +83,23 @@ def thresholds(documents: DataFrame, budgets: DataFrame) -> DataFrame:
     state = budgets.select(
         "source", "budget", F.lit(0).cast("bigint").alias("below"), F.lit(0).cast("bigint").alias("prefix")
     )
-    rest = documents.select("source", "size", "hash")
+    rows = documents.select("source", "size", "hash").alias("d")
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, 0
     )
     for level in range(1, LEVELS + 1):
         shift = BITS_A_LEVEL * (LEVELS - level)
-        bucket = F.shiftright("hash", shift)
-        sums = rest.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-        sums = sums.withColumn("upto", F.sum("words").over(running))
-        with_state = sums.alias("s").join(
-            small(state, MOST_BROADCAST_SOURCES).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))
+        # A prefix holds those of the levels before, so only the last state is joined.
+        on_edge = F.col("d.source").eqNullSafe(F.col("t.source"))
+        if level > 1:
+            on_edge &= F.shiftright("hash", shift + BITS_A_LEVEL) == F.col("prefix")
+        rest = rows.join(small(state, MOST_BROADCAST_SOURCES).alias("t"), on_edge).select(
+            "d.source", "budget", "below", "size", F.shiftright("hash", shift).alias("bucket")
+        )
+        sums = rest.groupBy("source", "budget", "below", "bucket").agg(F.sum("size").alias("words"))
+        over = sums.withColumn("upto", F.col("below") + F.sum("words").over(running)).filter(
+            F.col("upto") > F.col("budget")
         )
-        over = with_state.select(
-            "t.source", "budget", "bucket", "s.words", (F.col("below") + F.col("upto")).alias("upto")
-        ).filter(F.col("upto") > F.col("budget"))
         first = over.groupBy("source", "budget").agg(
             F.min(F.struct("bucket", "words", "upto")).alias("first")
         )
@@ -111,12 +113,6 @@ def thresholds(documents: DataFrame, budgets: DataFrame) -> DataFrame:
             ),
             f"mixing-level-{level}",
         )
-        edge = state.select(F.col("source").alias("edge_source"), F.col("prefix").alias("edge"))
-        rest = rest.join(
-            small(edge, MOST_BROADCAST_SOURCES),
-            F.col("source").eqNullSafe(F.col("edge_source")) & (bucket == F.col("edge")),
-            "left_semi",
-        )
     nearer = 2 * (F.col("budget") - F.col("below")) > F.col("words")
     return state.select(
         "source", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("threshold")

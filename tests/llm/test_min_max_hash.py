@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from renewlens.llm import min_max_hash as mm
+from renewlens.llm.common import store
 from tests.llm.helpers import components, documents, shingles
 
 
@@ -69,3 +70,19 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 3)], "a bigint, b bigint")
     result = {row.id: row.component for row in mm.components(links).collect()}
     assert result == {**dict.fromkeys(range(100, 161), 100), 3: 3, 7: 3}
+
+
+def test_no_plan_of_a_round_repeats_what_it_reads(spark, monkeypatch):
+    """The driver holds and plans again every repetition, whatever the size of the tables."""
+    reads = []
+
+    def counted(df, purpose, **options):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        reads.append((purpose, plan.count("Relation [")))
+        return store(df, purpose, **options)
+
+    monkeypatch.setattr(mm, "store", counted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(10)], "a bigint, b bigint")
+    assert {row.component for row in mm.components(links).collect()} == {0}
+    assert {purpose for purpose, _ in reads} >= {"minmax-edges", "minmax-components"}
+    assert max(n for _, n in reads) <= 4, reads

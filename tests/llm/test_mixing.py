@@ -1,6 +1,7 @@
 import random
 
 from renewlens.llm import mixing
+from renewlens.llm.common import store
 from tests.llm.helpers import documents, words
 
 
@@ -78,3 +79,17 @@ def test_mixed_documents_repeat_rows(spark):
     for row in out.collect():
         times[row.doc_id] = times.get(row.doc_id, 0) + 1
     assert times == {i: row.taken // row.size for i, row in plan.items() if row.taken}
+
+
+def test_plans_do_not_grow_from_level_to_level(spark, monkeypatch):
+    reads = {}
+
+    def counted(df, purpose, **options):
+        reads[purpose] = df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+        return store(df, purpose, **options)
+
+    monkeypatch.setattr(mixing, "store", counted)
+    random.seed(9)
+    rows = [(i, "word " * random.randint(1, 30), f"s{i % 3}") for i in range(60)]
+    assert len(mixed(spark, rows)) == len(rows)
+    assert max(n for purpose, n in reads.items() if purpose.startswith("mixing-level-")) <= 2, reads
