@@ -202,6 +202,25 @@ def test_a_mount_named_with_its_scheme_serves_a_cluster(spark, setting, monkeypa
         assert entry.queries()[name](spark, SMALL).collect()
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["s01_users_through_csv", "s04_churn_mart_through_csv", "t01_saved_table_counts", "op7_line_dedup"],
+)
+def test_a_mount_named_by_a_plain_path_serves_a_standalone_cluster(spark, setting, monkeypatch, name):
+    """As Spark's defaults often name it: the driver finds what tasks write there."""
+    _on_a_cluster(setting, monkeypatch, spark.conf.get("spark.checkpoint.dir"))
+    with storage.scratch(spark):
+        assert entry.queries()[name](spark, SMALL).collect()
+
+
+def test_a_plain_path_that_tasks_do_not_reach_is_refused(spark, setting, monkeypatch):
+    root = spark.conf.get("spark.checkpoint.dir")
+    _on_a_cluster(setting, monkeypatch, root)
+    monkeypatch.setattr(storage, "_REACHED", {(spark.sparkContext.applicationId, root): False})
+    with pytest.raises(ValueError, match="a folder of one machine"):
+        storage.shared_folder(spark, "x")
+
+
 def test_a_mount_that_tasks_do_not_reach_is_refused(spark, setting, monkeypatch):
     """As where every machine has a folder of that name for itself: the driver finds no files."""
     root = f"file://{spark.conf.get('spark.checkpoint.dir')}"
