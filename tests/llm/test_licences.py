@@ -177,3 +177,83 @@ def test_against_a_plain_version(spark, medium_texts):
     expected = {(i, *hit) for i, text in enumerate(texts) for hit in _plain_scan(text, classifier, weights)}
     assert len(expected) > 30
     assert found == expected
+
+
+# A notice without any word of licences.
+BEERWARE = (
+    "As long as you retain this notice you can do whatever you want with this stuff. If we meet some "
+    "day, and you think this stuff is worth it, you can buy me a beer in return."
+)
+
+
+def test_paragraphs_without_a_cue_are_judged(spark, medium_texts):
+    """Without a word of licences, or with one after the third line only."""
+    prose = list(medium_texts.values())[:30]
+    rows = [
+        (1, "is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files"),
+        (2, "Use in\nsource and binary forms,\nwith or without\nmodification, are permitted\nprovided that "
+            "the following\nconditions are met"),
+        (3, f"{prose[0]}\n\n{BEERWARE[:70]}\n{BEERWARE[70:]}\n\n{prose[1]}"),
+        *[(100 + i, text) for i, text in enumerate(prose)],
+    ]
+    assert not re.search(licences.CUES, rows[0][1] + BEERWARE)
+    templates = (*licences.TEMPLATES, ("Beerware", BEERWARE))
+    found = licences.scan(documents(spark, rows), templates=templates).collect()
+    assert {row.doc_id: row.family for row in found if row.doc_id < 100} == {
+        1: "MIT", 2: "BSD-3-Clause", 3: "Beerware"
+    }
+
+
+def test_every_run_is_judged_as_by_a_plain_version(spark, medium_texts, monkeypatch):
+    texts = [text for i, text in medium_texts.items() if i % 9 == 2]
+    texts = [text for text in texts if max(map(len, text.split("\n"))) <= licences.LINE_CHARS]
+    notices = [*WRAPPED.values(), *FREE.values(), *NOTICES, *licences.NOT_LICENCES]
+    # Notices without their first words, the rest a few words a line, ordinary lines before and after.
+    for before, notice in zip(medium_texts.values(), notices):
+        said = notice.split()[1:]
+        cut = "\n".join(" ".join(said[i : i + 4]) for i in range(0, len(said), 4))
+        texts += [cut, f"{cut}\n\n \n{notice}", f"{before.split(chr(10))[0][:300]}\n{cut}"]
+    frame = documents(spark, list(enumerate(texts)))
+    classifier = licences.train_on(frame)
+    weights = {row.gram: row.weights for row in classifier.weights.collect()}
+    found = {
+        (row.doc_id, row.paragraph, row.n_units, row.family)
+        for row in licences.scan(frame, classifier=classifier).collect()
+    }
+    # Every line holds the empty cue.
+    monkeypatch.setattr(licences, "CUES", "")
+    expected = {(i, *hit) for i, text in enumerate(texts) for hit in _plain_scan(text, classifier, weights)}
+    assert len(expected) > 30
+    assert found == expected
+
+
+def test_the_bound_holds_for_every_run(spark, medium_texts):
+    """Each run that the full scores give a family is among those that the bound leaves."""
+    notices = [*WRAPPED.values(), *FREE.values(), *NOTICES]
+    texts = [*list(medium_texts.values())[:60], *notices, "", None, " \n\n ", "x", "licence\n" * 9]
+    frame = documents(spark, list(enumerate(texts)))
+    classifier = licences.train_on(frame)
+    weights = {row.gram: row.weights for row in classifier.weights.collect()}
+    runs = licences.paragraphs(frame, classifier, id_col="doc_id", text_col="text").collect()
+    left = {(row.doc_id, row.paragraph, row.text) for row in runs}
+    named = 0
+    for i, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        if max(map(len, lines)) > licences.LINE_CHARS:
+            continue
+        for start in range(len(lines)):
+            for n in range(1, licences.LINES + 1):
+                run = lines[start : start + n]
+                words = [normal(line.lower().replace("licence", "license")) for line in run]
+                if len(run) < n or not all(words):
+                    break
+                words = [word for one in words for word in one]
+                sums = list(classifier.intercepts)
+                for gram in {*words, *(" ".join(pair) for pair in zip(words, words[1:]))}:
+                    for k, weight in enumerate(weights.get(gram, ())):
+                        sums[k] += weight
+                if len(words) > 1 and max(sums) > sums[classifier.classes.index(licences.UNKNOWN)]:
+                    named += 1
+                    assert (i, start, "\n".join(run)) in left
+    assert named > 30
